@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
-from ..functions.text import blank_to_null, strip
+from ..functions.text import blank_to_null, let, strip
 
 # --- Fixed values: labels of the detail block, entities ----------------------
 LABELS = ["Start", "Von", "Auslastung", "Eingestellt", "Ansprechpartner:", "Projekt-ID:",
@@ -66,9 +66,10 @@ def to_markdown(fragment: Column) -> Column:
 def sections(html: Column) -> Column:
     """Array of struct(heading, text), one per h1-h4, text up to the next heading."""
     pieces = F.slice(F.split(without_code(html), r"(?i)<h[1-4]\b[^>]*>"), 2, 1_000_000)
-    return F.transform(pieces, lambda p: F.struct(
-        inner_text(F.element_at(F.split(p, r"(?i)</h[1-4]\s*>", 2), 1)).alias("heading"),
-        to_markdown(F.coalesce(F.get(F.split(p, r"(?i)</h[1-4]\s*>", 2), F.lit(1)), F.lit(""))).alias("text")))
+    halves = F.transform(pieces, lambda p: F.split(p, r"(?i)</h[1-4]\s*>", 2))
+    return F.transform(halves, lambda p: F.struct(
+        inner_text(F.get(p, F.lit(0))).alias("heading"),
+        to_markdown(F.coalesce(F.get(p, F.lit(1)), F.lit(""))).alias("text")))
 
 
 def section_rows(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -96,6 +97,16 @@ def label_values(stream: Column, labels: list[str] | None = None) -> Column:
     The value is the next piece (a filler is skipped); the contact label takes a second one.
     """
     names = sorted({lab.rstrip(":") for lab in (LABELS if labels is None else labels)})
+    return let(stream, lambda pieces: let(_label_pairs(pieces, names), _last_of_key))
+
+
+def _last_of_key(pairs: Column) -> Column:
+    last = F.filter(pairs, lambda p, i: ~F.exists(
+        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    return F.map_from_entries(last)
+
+
+def _label_pairs(stream: Column, names: list[str]) -> Column:
     known = names + [n + ":" for n in names]
     pieces = F.transform(stream, lambda t, i: F.struct(
         F.rtrim(t, F.lit(":")).alias("key"), F.get(stream, i + 1).alias("next"),
@@ -108,11 +119,8 @@ def label_values(stream: Column, labels: list[str] | None = None) -> Column:
             & ~p["after"].isin(FILLERS) & ~p["after"].isin(known)
         return F.when(second, F.concat(first, F.lit(" "), p["after"])).otherwise(first)
 
-    pairs = F.filter(F.transform(hits, lambda p: F.struct(p["key"].alias("key"), value(p).alias("value"))),
-                     lambda p: p["value"] != "")
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return F.filter(F.transform(hits, lambda p: F.struct(p["key"].alias("key"), value(p).alias("value"))),
+                    lambda p: p["value"] != "")
 
 
 def label_rows(pages: DataFrame, labels: list[str] | None = None, html: str = "html") -> DataFrame:
@@ -144,8 +152,7 @@ def keywords(html: Column, class_pattern: str = r"\b(?:keyword|tag|skill)\b", mi
 
 def longest_block(html: Column, low: int = 200, high: int = 10_000, cut: int = 2500) -> Column:
     """The longest text block within bounds, cut."""
-    blocks = F.transform(F.regexp_extract_all(
-        without_code(html), F.lit(r"(?is)<(?:p|div|li|td)\b[^>]*>((?:(?!<(?:p|div|li|td)\b).)*)"), F.lit(1)), plain)
+    blocks = F.transform(F.split(without_code(html), r"(?i)</?(?:p|div|li|td|h[1-6])\b[^>]*>"), plain)
     ranked = F.transform(F.filter(blocks, lambda b: (F.length(b) > low) & (F.length(b) < high)),
                          lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
     return F.substring(F.array_max(ranked)["b"], 1, cut)
@@ -240,8 +247,8 @@ def extract_fields(pages: DataFrame, rules: list[ExtractRule], provider: Column
 def parse_pages(pages: DataFrame, rules: list[ExtractRule] | None = None,
                 description_heading: str = "Beschreibung") -> DataFrame:
     """Pages to the unified schema; details without a value are left out."""
-    df = extract_fields(pages, rules or COMMON_RULES)
     html = F.col("html")
+    df = extract_fields(pages, rules or COMMON_RULES)
     text = F.coalesce(section(html, description_heading), longest_block(html))
     return df.withColumns({
         "description": text,

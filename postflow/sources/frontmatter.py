@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import urls
-from ..functions.text import blank_to_null, strip
+from ..functions.text import blank_to_null, let, strip
 from ..model import SCHEMA_VERSION, SOURCE, STATE_CHANGE
 
 # --- Fixed values: the header keys the record model knows --------------------
@@ -48,13 +48,20 @@ def header_map(content: Column) -> Column:
     """
     entries = F.split(F.concat(F.lit("\n"), header_text(content)), r"\n(?=[^\s#\-'\"\[{][^:\n]*:(?:\s|\z))")
     entries = F.filter(entries, lambda e: strip(e) != "")
+    return let(entries, _entries_to_map)
+
+
+def _entries_to_map(entries: Column) -> Column:
     well_formed = F.forall(entries, lambda e: e.rlike(r"(?s)^[^\s:][^:\n]*:(?:\s.*)?\z"))
     pairs = F.transform(entries, lambda e: F.struct(
         strip(F.regexp_extract(e, r"(?s)^([^:\n]*):", 1)).alias("key"),
         F.regexp_replace(F.regexp_extract(e, r"(?s)^[^:\n]*:(.*)\z", 1), r"\s+\z", "").alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(well_formed, F.map_from_entries(last)).otherwise(
+
+    def last_of_key(found: Column) -> Column:
+        return F.filter(found, lambda p, i: ~F.exists(
+            F.slice(found, i + 2, F.size(found)), lambda q: q["key"] == p["key"]))
+
+    return F.when(well_formed, F.map_from_entries(let(pairs, last_of_key))).otherwise(
         F.expr("cast(map() as map<string,string>)"))
 
 
