@@ -31,7 +31,18 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+# Long texts: work per row is heavy, so a scan with fewer splits than cores is spread first.
+TEXT_TABLES = {"documents", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when the files give fewer splits; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:

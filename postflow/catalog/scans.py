@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import terms, urls
-from ..operators import ledger, migration, pages as PG
+from ..operators import ledger, migration
 from ..session import shared_dir
-from ..sources import config, feeds, frontmatter as FM, inventory, logs, profiles
-from .base import (FEED_CTE, GROUP_CONFIG, NL, NOW, PREFILTER_TERMS, cte, feed_entries, groups, hit, pick, query, s,
-                   sql_list, table, text, view)
-from .projections import TOKEN_RE, canon_sql, fold_sql, id_sql
+from ..sources import feeds, frontmatter as FM, inventory, logs, profiles
+from .base import FEED_CTE, NL, NOW, cte, feed_entries, pick, query, s, table, view
+from .projections import TOKEN_RE, fold_sql
 
 # Annotated documents of both schema versions, with the odd broken or missing header.
 DOCUMENT = {
@@ -56,7 +57,7 @@ def s2(spark, d):
 @query("s3_schema_upgrade", f"SELECT state, count(*) AS n, CAST(sum(CASE WHEN source_version = 1 THEN 1 ELSE 0 END) AS BIGINT) AS upgraded FROM ({RECORD_SQL}) GROUP BY state")
 def s3(spark, d):
     with_header = documents(spark, d).where(FM.has_header(F.col("content")))
-    target = f"{shared_dir(spark)}/upgraded-{abs(hash((d, id(object()))))}"
+    target = f"{shared_dir(spark)}/upgraded-{uuid.uuid4().hex}"
     migration.upgrade(with_header, target, dry_run=False)
     return spark.read.parquet(target).groupBy("state").agg(
         F.count("*").alias("n"), F.count_if(F.col("source_version") == 1).alias("upgraded"))
