@@ -102,14 +102,14 @@ def f9(spark, d):
 
 
 FILTER = C.CorpusFilter(
-    search="th", statuses=["scraped", "evaluated", "accepted", "open"], companies=[], providers=["GULP", "freelancermap"],
-    channels=["rss", "manual"], date_from="2024-01-03", date_to="2024-01-28", pre_eval_score_min=5, pre_eval_score_max=95,
-    llm_score_min=5, llm_score_max=98, search_groups=["en", "src3"], profile_ids=[], priority_labels=["high_priority", "review", "not_evaluated"],
+    search="e", statuses=["scraped", "evaluated", "accepted", "open", "sent"], companies=[], providers=["GULP", "freelancermap"],
+    channels=["rss", "manual"], date_from="2024-01-02", date_to="2024-01-29", pre_eval_score_min=2, pre_eval_score_max=98,
+    llm_score_min=2, llm_score_max=99, search_groups=["en", "fr", "src3"], profile_ids=[], priority_labels=["high_priority", "review", "low_priority", "not_evaluated"],
     evaluation_statuses=["ok", "not_evaluated", "failed"])
-FILTER_SQL = f"""WITH {CORPUS_CTE} SELECT * FROM c WHERE (contains(lower(coalesce(title, '')), 'th') OR contains(lower(coalesce(company, '')), 'th')) AND status IN ('scraped','evaluated','accepted','open')
- AND lower(coalesce(nullif(provider_name, ''), 'freelancermap')) IN ('gulp','freelancermap') AND collection_channel IN ('rss','manual') AND CAST(substr(retrieval_date, 1, 10) AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'
- AND pre_eval_score BETWEEN 5 AND 95 AND llm_score BETWEEN 5 AND 98 AND list_has_any(string_split(search_groups, ','), ['en','src3'])
- AND coalesce(nullif(llm_priority, ''), 'not_evaluated') IN ('high_priority','review','not_evaluated') AND coalesce(evaluation_status, 'not_evaluated') IN ('ok','not_evaluated','failed')"""
+FILTER_SQL = f"""WITH {CORPUS_CTE} SELECT * FROM c WHERE (contains(lower(coalesce(title, '')), 'e') OR contains(lower(coalesce(company, '')), 'e')) AND status IN ('scraped','evaluated','accepted','open','sent')
+ AND lower(coalesce(nullif(provider_name, ''), 'freelancermap')) IN ('gulp','freelancermap') AND collection_channel IN ('rss','manual') AND CAST(substr(retrieval_date, 1, 10) AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-29'
+ AND pre_eval_score BETWEEN 2 AND 98 AND llm_score BETWEEN 2 AND 99 AND list_has_any(string_split(search_groups, ','), ['en','fr','src3'])
+ AND coalesce(nullif(llm_priority, ''), 'not_evaluated') IN ('high_priority','review','low_priority','not_evaluated') AND coalesce(evaluation_status, 'not_evaluated') IN ('ok','not_evaluated','failed')"""
 
 
 @query("f10_corpus_query", f"SELECT id, title, status, retrieval_date FROM ({FILTER_SQL})")

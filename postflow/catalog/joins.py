@@ -14,11 +14,11 @@ from .projections import STOP_SQL, TOKEN_RE, canon_sql, fold_sql, id_sql
 TOPIC = "title || ' ' || description || ' ; ' || schlagworte"
 
 
-@query("j1_unseen_postings", f"SELECT page_id, {id_sql('url')} AS project_id FROM pages WHERE page_id % 3 <> 0")
+@query("j1_unseen_postings", f"SELECT page_id, {id_sql('url')} AS project_id FROM pages WHERE url NOT LIKE '%utm_source%'")
 def j1(spark, d):
-    """A third of the pages is processed already (under another query string)."""
+    """Pages seen through a tagged link are processed already (under another query string)."""
     pages = table(spark, d, "pages").select("page_id", "url")
-    done = pages.where("page_id % 3 = 0").select(urls.project_id(F.concat("url", F.lit("?x=1")), F.lit("")).alias("project_id")).distinct()
+    done = pages.where("url like '%utm_source%'").select(urls.project_id(F.concat("url", F.lit("?x=1")), F.lit("")).alias("project_id")).distinct()
     found = pages.select("page_id", urls.project_id(F.col("url"), F.lit("")).alias("project_id"))
     return logs.unseen(found, done, "project_id").select("page_id", "project_id")
 
@@ -99,16 +99,16 @@ def j5(spark, d):
     return feed_entries(spark, d).join(F.broadcast(shared), ["provider", "feed"]).select("page_id", F.array_join("groups", ",").alias("groups"))
 
 
-@query("j6_unlogged_rejections", "SELECT page_id FROM pages WHERE page_id % 2 = 1")
+@query("j6_unlogged_rejections", "SELECT page_id FROM pages WHERE url NOT LIKE 'https%'")
 def j6(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.lit("a").alias("search_group_id"), F.col("url").alias("provider_url"))
-    return logs.new_rejections(pages, pages.where("page_id % 2 = 0")).select("page_id")
+    return logs.new_rejections(pages, pages.where("provider_url like 'https%'")).select("page_id")
 
 
-@query("j7_cache_lookup", """SELECT d.doc_id AS project_id, coalesce(c.hit, false) AS cache_hit, c.doc_id AS result FROM documents d LEFT JOIN (SELECT text, source, max(doc_id) AS doc_id, true AS hit FROM documents WHERE doc_id % 2 = 0 GROUP BY text, source) c ON c.text = d.text AND c.source = d.source""")
+@query("j7_cache_lookup", """SELECT d.doc_id AS project_id, coalesce(c.hit, false) AS cache_hit, c.doc_id AS result FROM documents d LEFT JOIN (SELECT text, source, max(doc_id) AS doc_id, true AS hit FROM documents WHERE lang = 'en' GROUP BY text, source) c ON c.text = d.text AND c.source = d.source""")
 def j7(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("project_id"), F.sha2(F.concat("text", F.lit("|"), "source"), 256).alias("cache_key"))
-    cache = docs.where("project_id % 2 = 0").withColumn("result", F.col("project_id")).withColumn("line", F.col("project_id")).withColumn("cache_hit", F.lit(False))
+    docs = table(spark, d, "documents").select("lang", F.col("doc_id").alias("project_id"), F.sha2(F.concat("text", F.lit("|"), "source"), 256).alias("cache_key"))
+    cache = docs.where("lang = 'en'").drop("lang").withColumn("result", F.col("project_id")).withColumn("line", F.col("project_id")).withColumn("cache_hit", F.lit(False))
     return evaluation.cache_lookup(docs, cache).select("project_id", "cache_hit", "result")
 
 
@@ -121,11 +121,11 @@ def cost_log(spark, d):
     return view(spark, d, "events", COST)
 
 
-@query("j8_settlement", f"""WITH {COST_CTE}, a AS (SELECT 'r' || (event_id * 3) AS reservation_id, value FROM events WHERE event_id % 2 = 0)
+@query("j8_settlement", f"""WITH {COST_CTE}, a AS (SELECT 'r' || (event_id * 3) AS reservation_id, value FROM events WHERE event_type IN ('click', 'purchase'))
 SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(sum(cost_usd) AS DOUBLE) AS usd FROM (SELECT type, cost_usd FROM k WHERE NOT (type = 'reserved' AND reservation_id IN (SELECT reservation_id FROM a)) UNION ALL SELECT 'actual', CAST(value AS DECIMAL(18,6)) FROM a) GROUP BY type""")
 def j8(spark, d):
-    """Half of the events settle a reservation; those without a partner are appended."""
-    actual = table(spark, d, "events").where("event_id % 2 = 0").select(
+    """Clicks and purchases settle a reservation; those without a partner are appended."""
+    actual = table(spark, d, "events").where("event_type in ('click', 'purchase')").select(
         F.lit("actual").alias("type"), F.concat(F.lit("r"), (F.col("event_id") * 3).cast("string")).alias("reservation_id"), F.col("value").cast("decimal(18,6)").alias("cost_usd"))
     settled = evaluation.settle(cost_log(spark, d).select("type", "reservation_id", "cost_usd"), actual)
     return settled.groupBy("type").agg(F.count("*").alias("n"), F.sum("cost_usd").cast("double").alias("usd"))
@@ -149,11 +149,11 @@ def j10(spark, d):
     return table(spark, d, "documents").join(F.broadcast(dim), "lang").select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("j11_stale_decisions", f"""WITH {LEDGER_SQL} SELECT url_key FROM lk WHERE status = 'filtered' AND terms <> 'r1' AND url_key NOT IN (SELECT {canon_sql('url')} FROM pages WHERE page_id % 5 = 0)""")
+@query("j11_stale_decisions", f"""WITH {LEDGER_SQL} SELECT url_key FROM lk WHERE status = 'filtered' AND terms <> 'r1' AND url_key NOT IN (SELECT {canon_sql('url')} FROM pages WHERE url LIKE '%.html%')""")
 def j11(spark, d):
     rows, decisions = ledger_tables(spark, d)
     current = spark.createDataFrame([("a", "r1")], "group_id string, terms string")
-    in_feed = table(spark, d, "pages").where("page_id % 5 = 0").select(urls.identity_url(F.col("url")).alias("url_key")).distinct()
+    in_feed = table(spark, d, "pages").where("url like '%.html%'").select(urls.identity_url(F.col("url")).alias("url_key")).distinct()
     return ledger.stale(rows, decisions, current, in_feed).select("url_key")
 
 
@@ -186,10 +186,10 @@ def u1(spark, d):
     return rss.unionByName(mail_)
 
 
-@query("u2_feed_union", f"""WITH {FEED_CTE} SELECT feed, link, title, summary FROM f WHERE page_id % 2 = 0 UNION ALL SELECT feed, link, title, NULL FROM f WHERE page_id % 2 = 1""")
+@query("u2_feed_union", f"""WITH {FEED_CTE} SELECT feed, link, title, summary FROM f WHERE link LIKE 'https%' UNION ALL SELECT feed, link, title, NULL FROM f WHERE link NOT LIKE 'https%'""")
 def u2(spark, d):
-    entries = feed_entries(spark, d).select("feed", "link", "title", "summary", "page_id")
-    return feeds.union_feeds(entries.where("page_id % 2 = 0").drop("page_id"), entries.where("page_id % 2 = 1").drop("page_id", "summary"))
+    entries = feed_entries(spark, d).select("feed", "link", "title", "summary")
+    return feeds.union_feeds(entries.where("link like 'https%'"), entries.where("link not like 'https%'").drop("summary"))
 
 
 @query("u3_distinct_urls", f"SELECT DISTINCT {canon_sql('url')} AS url_key FROM pages")
@@ -202,13 +202,13 @@ def u4(spark, d):
     return corpus(spark, d).where(C.in_groups(F.col("search_groups"), ["fr", "src1", "src2"])).select("id")
 
 
-@query("u5_key_difference", f"SELECT {canon_sql('url')} AS url_key FROM pages EXCEPT SELECT {canon_sql('url')} FROM pages WHERE page_id % 2 = 0")
+@query("u5_key_difference", f"SELECT {canon_sql('url')} AS url_key FROM pages EXCEPT SELECT {canon_sql('url')} FROM pages WHERE url LIKE '%.com/%'")
 def u5(spark, d):
-    keys = table(spark, d, "pages").select("page_id", urls.identity_url(F.col("url")).alias("url_key"))
-    return logs.unseen(keys.select("url_key").distinct(), keys.where("page_id % 2 = 0").select("url_key"), "url_key")
+    keys = table(spark, d, "pages").select("url", urls.identity_url(F.col("url")).alias("url_key"))
+    return logs.unseen(keys.select("url_key").distinct(), keys.where("url like '%.com/%'").select("url_key"), "url_key")
 
 
-@query("u6_key_union", f"SELECT {canon_sql('url')} AS url_key FROM pages WHERE page_id % 3 = 0 UNION SELECT {canon_sql('url')} FROM pages WHERE page_id % 3 < 2")
+@query("u6_key_union", f"SELECT {canon_sql('url')} AS url_key FROM pages WHERE url LIKE '%.com/%' UNION SELECT {canon_sql('url')} FROM pages WHERE url NOT LIKE '%.org/%'")
 def u6(spark, d):
-    keys = table(spark, d, "pages").select("page_id", urls.identity_url(F.col("url")).alias("url_key"))
-    return logs.add_keys(keys.where("page_id % 3 = 0").select("url_key"), keys.where("page_id % 3 < 2").select("url_key"))
+    keys = table(spark, d, "pages").select("url", urls.identity_url(F.col("url")).alias("url_key"))
+    return logs.add_keys(keys.where("url like '%.com/%'").select("url_key"), keys.where("url not like '%.org/%'").select("url_key"))

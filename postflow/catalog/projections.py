@@ -634,8 +634,8 @@ def p48(spark, d):
     facts = table(spark, d, "events").select(
         F.col("user_id").alias("project_id"), F.col("event_type").alias("kind"),
         F.floor("value").alias("score"), F.struct("ts", "event_id").alias("ts"))
-    even = F.col("ts.event_id") % 2 == 0
-    return evaluation.upsert_scores(facts.where(even), facts.where(~even)).drop("ts")
+    early = F.col("ts.ts") < F.lit(dt.datetime(2024, 1, 20))
+    return evaluation.upsert_scores(facts.where(early), facts.where(~early)).drop("ts")
 
 
 @query("p49_evaluation_fact", f"""WITH {CORPUS_CTE} SELECT id AS project_id, pre_eval_score, fit_score, CASE WHEN fit_score >= 85 THEN 'accepted' ELSE 'rejected' END AS decision,

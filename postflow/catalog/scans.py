@@ -87,11 +87,11 @@ REJECTION = {"search_group_id": pick("page_id", 2, ["'a'", "'b'"]), "provider_ur
 
 
 @query("s6_rejection_log", """SELECT CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS search_group_id, CASE WHEN page_id % 10 = 0 THEN '' ELSE url END AS provider_url, count(*) AS n
- FROM (SELECT page_id, url FROM pages WHERE page_id % 10 <> 0 AND page_id % 3 <> 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 10 = 0) GROUP BY 1, 2""")
+ FROM (SELECT page_id, url FROM pages WHERE page_id % 10 <> 0 AND url NOT LIKE '%utm_source%' UNION ALL SELECT page_id, url FROM pages WHERE page_id % 10 = 0 UNION ALL SELECT page_id, url FROM pages WHERE page_id % 10 = 0) GROUP BY 1, 2""")
 def s6(spark, d):
-    """Every rejection is reported twice; a third of the pages are logged already."""
+    """Every rejection is reported twice; pages seen through a tagged link are logged already."""
     new = view(spark, d, "pages", REJECTION)
-    logged = view(spark, d, "pages", REJECTION).where(F.col("title").cast("int") % 3 == 0)
+    logged = view(spark, d, "pages", REJECTION).where("provider_url like '%utm_source%'")
     fresh = logs.new_rejections(new.unionByName(new), logged)
     return fresh.groupBy("search_group_id", "provider_url").agg(F.count("*").alias("n"))
 

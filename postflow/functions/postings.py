@@ -223,7 +223,7 @@ def _segment_dates(segment: Column, today: dt.date) -> Column:
         part = F.lower(F.regexp_extract(found, FLAGS + MONTH_DATE, 1))
         name = F.lower(F.regexp_extract(found, FLAGS + MONTH_DATE, 2))
         year = blank_to_null(F.regexp_extract(found, FLAGS + MONTH_DATE, 3)).cast("int")
-        number = F.coalesce(*[F.when(name == n, F.lit(m)) for n, m in MONTHS.items()])
+        number = F.create_map(*[F.lit(v) for item in MONTHS.items() for v in item])[name]
         day = F.when(part == "mitte", 15).when(part == "ende", 28).otherwise(1)
         this_year = F.make_date(F.lit(today.year), number, day)
         return F.when(year.isNotNull(), F.make_date(year, number, day)) \

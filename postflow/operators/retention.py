@@ -58,16 +58,16 @@ def excluded(path: Column, patterns: list[str] = EXCLUDED) -> Column:
 def purge_candidates(files: DataFrame, now: dt.datetime, retention: dict[str, int] | None = None) -> DataFrame:
     """F16: files (path, mtime, category) older than their category's retention."""
     days = retention or RETENTION
-    limit = F.coalesce(*[F.when(F.col("category") == c, F.lit(d)) for c, d in days.items()])
-    order = F.coalesce(*[F.when(F.col("category") == c, F.lit(i)) for i, c in enumerate(days)])
+    limit = F.create_map(*[F.lit(v) for item in days.items() for v in item])[F.col("category")]
+    order = F.create_map(*[F.lit(v) for i, c in enumerate(days) for v in (c, i)])[F.col("category")]
     return files.withColumn("age_days", age_days(F.col("path"), F.col("mtime"), now)) \
         .withColumn("category_ord", order) \
         .where(limit.isNotNull() & ~excluded(F.col("path")) & (F.col("age_days") > limit))
 
 
-def purge_set(candidates: DataFrame, max_deletions: int = MAX_DELETIONS) -> DataFrame:
+def purge_set(candidates: DataFrame, max_deletions: int = MAX_DELETIONS, tie: str | None = None) -> DataFrame:
     """The first files in category order; a distributed top-n."""
-    return candidates.orderBy("category_ord", "path").limit(max_deletions)
+    return candidates.orderBy("category_ord", "path", *([tie] if tie else [])).limit(max_deletions)
 
 
 def purge_statistics(candidates: DataFrame, max_deletions: int = MAX_DELETIONS) -> DataFrame:
