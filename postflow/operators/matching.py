@@ -210,22 +210,29 @@ def filter_checks(df: DataFrame, cfg: Filters, now: dt.datetime) -> Column:
     return F.array(*checks) if checks else F.array().cast(f"array<{CHECK.simpleString()}>")
 
 
-def apply_filters(df: DataFrame, groups: list[SearchGroup], now: dt.datetime,
-                  pending: str | None = None) -> DataFrame:
-    """F1 for every group: one row per (posting, group) with ``checks`` and ``passed``.
+def filter_results(df: DataFrame, groups: list[SearchGroup], now: dt.datetime,
+                   pending: str | None = None) -> Column:
+    """F1 for every group as one array of struct(group_id, terms, checks, passed).
 
     ``pending`` may name an array column with the groups still open for a posting; the
     others are not evaluated.  The rules are literals of one projection: no join, no shuffle.
     """
+    def one(g: SearchGroup) -> Column:
+        result = let(filter_checks(df, g.filters, now), lambda checks: F.struct(
+            F.lit(g.group_id).alias("group_id"), F.lit(g.fingerprint).alias("terms"),
+            checks.alias("checks"), F.forall(checks, lambda c: c["passed"]).alias("passed")))
+        return F.when(F.array_contains(pending, g.group_id), result) if pending else result
+
+    return F.array_compact(F.array(*[one(g) for g in groups]))
+
+
+def apply_filters(df: DataFrame, groups: list[SearchGroup], now: dt.datetime,
+                  pending: str | None = None) -> DataFrame:
+    """F1 as rows: one per (posting, group) with ``checks``, ``passed`` and the criteria."""
+    keep = df.columns
     df = df if "topic_low" in df.columns else with_texts(df)
-    results = []
-    for g in groups:
-        result = F.struct(F.lit(g.group_id).alias("group_id"), F.lit(g.fingerprint).alias("terms"),
-                          filter_checks(df, g.filters, now).alias("checks"))
-        results.append(F.when(F.array_contains(pending, g.group_id), result) if pending else result)
-    out = df.withColumn("_result", F.explode(F.array_compact(F.array(*results))))
-    return out.select(*df.columns, "_result.*").drop("full_text", "topic_text", "topic_low") \
-        .withColumn("passed", F.forall("checks", lambda c: c["passed"])) \
+    out = df.withColumn("_result", F.explode(filter_results(df, groups, now, pending)))
+    return out.select(*keep, "_result.*") \
         .withColumn("failed_criteria", F.transform(F.filter("checks", lambda c: ~c["passed"]),
                                                    lambda c: c["criterion"])) \
         .withColumn("unknown_criteria", F.transform(F.filter("checks", lambda c: c["was_unknown"]),
