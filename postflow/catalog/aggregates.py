@@ -93,7 +93,7 @@ def a8(spark, d):
 
 @query("a9_cosine_similarity", f"WITH {VECTORS} SELECT * FROM scores")
 def a9(spark, d):
-    scored = similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id")
+    scored = similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0)
     return scored.select("doc_id", F.explode("profiles").alias("p")).select("doc_id", "p.profile_id", "p.score")
 
 
@@ -109,13 +109,13 @@ def _points_sql(c: str) -> str:
 def a10(spark, d):
     df = table(spark, d, "documents").withColumn("low", terms.search_form(F.col("text")))
     return df.select("doc_id", *[suitability.capped_points(
-        F.size(terms.matched(terms.compile_terms(t), F.col("text"), F.col("low"))), w, cap).alias(c) for c, (t, w, cap) in CATS.items()])
+        F.size(terms.matched(terms.compile_terms(t), F.col("low"))), w, cap).alias(c) for c, (t, w, cap) in CATS.items()])
 
 
 @query("a11_best_profile", f"""WITH {VECTORS}, r AS (SELECT doc_id, profile_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CAST(profile_id AS BIGINT)) AS rn FROM scores)
 SELECT d.doc_id, CASE WHEN score > 0 THEN profile_id END AS best_profile, CASE WHEN score > 0 THEN score ELSE 0.0 END AS best_score FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.doc_id = d.doc_id""")
 def a11(spark, d):
-    return similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id").drop("profiles")
+    return similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0).drop("profiles")
 
 
 @query("a12_id_collisions", f"SELECT {id_sql('url')} AS project_id, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")
@@ -188,7 +188,7 @@ def a21_output(spark, d):
 def a22(spark, d):
     df = table(spark, d, "documents").withColumn("low", terms.search_form(F.col("text")))
     return df.select("doc_id", suitability.bonus_points(
-        {"requires": ["that"], "skills": ["anat", "thha*", "onre"], "points_per_skill": 5, "max_points": 10}, F.col("text"), F.col("low")).alias("bonus"))
+        {"requires": ["that"], "skills": ["anat", "thha*", "onre"], "points_per_skill": 5, "max_points": 10}, F.col("low")).alias("bonus"))
 
 
 @query("a23_budget_share", """SELECT user_id, CAST(CASE WHEN user_id % 5 = 0 THEN 0 ELSE least(100, floor(sum(CAST(value AS DECIMAL(18,2))) / (user_id % 5 * 500) * 100 + 0.5)) END AS INT) AS percent FROM events GROUP BY user_id""")

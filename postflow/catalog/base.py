@@ -7,11 +7,11 @@ query and SQL counterpart start from the same rows of the given tables.
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.terms import WORD, compile_term
 from ..sources.config import SearchGroup, load_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,14 +190,15 @@ def groups() -> list[SearchGroup]:
     return load_groups(GROUP_CONFIG, PREFILTER_TERMS)
 
 
+WORD_RE2 = "0-9A-Za-zÄÖÜäöüß"
+
+
 def term_re2(term: str) -> str:
-    """The term rule in a dialect without look-around."""
-    compiled = compile_term(term)
-    body = compiled.pattern.split(")", 2)[2]
-    tail = f"(?![{WORD}])"
-    if body.endswith(tail):
-        body = body[:-len(tail)] + f"(?:[^{WORD}]|$)"
-    return f"(?i)(?:^|[^{WORD}]){body}"
+    """The term rule for the original text, in a dialect without look-around."""
+    parts = [p for p in re.split(r"[\s\-]+", term.rstrip("*").strip()) if p]
+    body = r"[\s\-]*".join(re.escape(p) for p in parts)
+    tail = "" if term.endswith("*") else f"(?:[^{WORD_RE2}]|$)"
+    return f"(?i)(?:^|[^{WORD_RE2}]){body}{tail}"
 
 
 def hit(term: str, column: str) -> str:

@@ -48,7 +48,7 @@ def one_check(spark, d, build):
  CASE WHEN len(m) >= 2 THEN 'Fachlicher Treffer: ' || array_to_string(m, ', ') WHEN len(m) = 1 THEN 'Nur 1 von 2 nötigen Fachbegriffen gefunden: ' || m[1] ELSE 'Kein Fachbegriff der Suchgruppe gefunden' END AS reason FROM facts""")
 def f2(spark, d):
     return one_check(spark, d, lambda df: matching.check_include(
-        terms.compile_terms(ANGLO["include_terms"]), 2, F.col("topic_text"), F.col("topic_low")))
+        terms.compile_terms(ANGLO["include_terms"]), 2, F.col("topic_low")))
 
 
 @query("f3_exclude_terms", f"""WITH {POSTING_CTE}, {FACTS} SELECT doc_id, ex IS NULL AS passed, ex AS value_found, false AS was_unknown,

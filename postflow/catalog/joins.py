@@ -63,7 +63,7 @@ def profiles(spark, d):
 
 @query("j3_similarity_join", f"WITH {VECTORS} SELECT doc_id, profile_id, round(dot, 9) AS dot FROM pairs")
 def j3(spark, d):
-    parts = similarity.similarities(table(spark, d, "documents"), profiles(spark, d), "doc_id")
+    parts = similarity.similarities(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0)
     return parts.where("profile_id is not null").select("doc_id", "profile_id", F.round("dot", 9).alias("dot"))
 
 

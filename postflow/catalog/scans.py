@@ -151,7 +151,7 @@ def s12(spark, d):
 
 
 @query("s13_rule_dimension", f"""WITH t AS (SELECT lang, unnest(list_distinct(regexp_extract_all({fold_sql('lower(text)')}, {TOKEN_RE}))) AS term FROM documents)
-SELECT lang AS group_id, term, count(*) AS df, '(?iU)(?<![{terms.WORD}])' || regexp_replace(term, '([^{terms.WORD}_])', '\\\\\\1', 'g') || '(?![{terms.WORD}])' AS pattern FROM t GROUP BY lang, term HAVING count(*) >= 20""")
+SELECT lang AS group_id, term, count(*) AS df, '(?<![{terms.WORD}])' || regexp_replace(term, '([^{terms.WORD}_])', '\\\\\\1', 'g') || '(?![{terms.WORD}])' AS pattern FROM t GROUP BY lang, term HAVING count(*) >= 20""")
 def s13(spark, d):
     """A rule table made from the corpus: frequent words per language, compiled in Spark."""
     from ..functions.text import raw_tokens

@@ -43,7 +43,7 @@ def entries(spark, d):
 # What earlier runs left: decisions for links seen over https, ids for .net pages without query.
 PRIOR = {"page_id": "page_id", "url": "url", "title": "substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 200)", "html": "html",
          "decision": pick("page_id", 4, ["'captured'", "'existing'", "'filtered'", "'filtered'"]),
-         "terms": f"CASE WHEN page_id % 3 = 0 THEN 'old' ELSE '{FINGERPRINTS['anglo']}' END",
+         "terms": f"CASE WHEN page_id % 5 = 0 THEN 'old' ELSE '{FINGERPRINTS['anglo']}' END",
          "status": pick("page_id", 9, ["'error'"] + ["NULL"] * 8)}
 DECIDED, PROCESSED, STORED, LANDED = ("url LIKE 'https%'", "url LIKE '%.net/%' AND url NOT LIKE '%utm_source%'", "url NOT LIKE '%.html%'", "url NOT LIKE '%#top'")
 

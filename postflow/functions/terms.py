@@ -1,7 +1,9 @@
 """Term rules: compiling a term (P15) and finding terms in a text.
 
 A term is plain text.  Spaces and hyphens in it are optional and interchangeable, it must
-start as a word, and a trailing ``*`` lets the word go on.
+start as a word, and a trailing ``*`` lets the word go on.  Case does not matter: patterns
+are lower-case and run on the :func:`search_form` of a text, which is much faster than
+case-insensitive matching.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# --- Fixed value: the characters that make a word ----------------------------
-WORD = "0-9A-Za-zÄÖÜäöüß"
+# --- Fixed values: the characters that make a word (of a search form), and those that
+# --- may stand between the parts of a term -----------------------------------
+WORD = "0-9a-zäöüß"
+GAP = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\-]*"
 
 
 def _escape(part: str) -> str:
-    return re.sub(r"([^0-9A-Za-zÄÖÜäöüß_])", r"\\\1", part)
+    return re.sub(rf"([^A-Z{WORD}_])", r"\\\1", part)
 
 
 @dataclass(frozen=True)
@@ -41,7 +45,7 @@ def compile_term(entry) -> Term | None:
     if not parts:
         return None
     tail = "" if raw.endswith("*") else f"(?![{WORD}])"
-    pattern = f"(?iU)(?<![{WORD}])" + r"[\s\-]*".join(map(_escape, parts)) + tail
+    pattern = f"(?<![{WORD}])" + GAP.join(_escape(p.lower()) for p in parts) + tail
     return Term(raw, pattern, max(parts, key=len).lower(), tuple(context))
 
 
@@ -51,45 +55,43 @@ def compile_terms(entries) -> list[Term]:
 
 def term_pattern(term: Column) -> Column:
     """P15 as a column, for rule tables that are built in Spark."""
-    core = F.trim(F.regexp_replace(F.trim(term), r"\*+\z", ""))
+    core = F.lower(F.trim(F.regexp_replace(F.trim(term), r"\*+\z", "")))
     parts = F.filter(F.split(core, r"[\s\-]+"), lambda p: p != "")
-    body = F.array_join(
-        F.transform(parts, lambda p: F.regexp_replace(p, rf"([^{WORD}_])", r"\\$1")), r"[\s\-]*")
+    body = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, rf"([^{WORD}_])", r"\\$1")), GAP)
     tail = F.when(F.trim(term).endswith("*"), "").otherwise(f"(?![{WORD}])")
-    return F.when(F.size(parts) > 0, F.concat(F.lit(f"(?iU)(?<![{WORD}])"), body, tail))
+    return F.when(F.size(parts) > 0, F.concat(F.lit(f"(?<![{WORD}])"), body, tail))
 
 
 def search_form(text: Column) -> Column:
-    """Lower-cased text for the needle test; the letters that only case folding joins
-    to ASCII are mapped too, so that the needle never hides a regex match."""
+    """Lower case; the letters that only case folding joins to ASCII are mapped too."""
     return F.lower(F.translate(text, "ſıİK", "siik"))
 
 
-def hits(term: Term, text: Column, low: Column) -> Column:
+def hits(term: Term, low: Column) -> Column:
     """True when the term occurs.  The substring test is cheap and runs first."""
-    found = low.contains(term.needle) & text.rlike(term.pattern)
+    found = low.contains(term.needle) & low.rlike(term.pattern)
     if term.context:
-        found = found & reduce(lambda a, b: a | b, [hits(c, text, low) for c in term.context])
+        found = found & reduce(lambda a, b: a | b, [hits(c, low) for c in term.context])
     return found
 
 
-def matched(terms: list[Term], text: Column, low: Column) -> Column:
-    """The distinct matched terms in rule order."""
+def matched(terms: list[Term], low: Column) -> Column:
+    """The distinct matched terms in rule order; ``low`` is a search form."""
     if not terms:
         return F.expr("cast(array() as array<string>)")
-    return F.array_compact(F.array(*[F.when(hits(t, text, low), F.lit(t.term)) for t in terms]))
+    return F.array_compact(F.array(*[F.when(hits(t, low), F.lit(t.term)) for t in terms]))
 
 
-def first_match(terms: list[Term], text: Column, low: Column) -> Column:
+def first_match(terms: list[Term], low: Column) -> Column:
     if not terms:
         return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(hits(t, text, low), F.lit(t.term)) for t in terms])
+    return F.coalesce(*[F.when(hits(t, low), F.lit(t.term)) for t in terms])
 
 
-def any_match(terms: list[Term], text: Column, low: Column) -> Column:
+def any_match(terms: list[Term], low: Column) -> Column:
     if not terms:
         return F.lit(False)
-    return reduce(lambda a, b: a | b, [hits(t, text, low) for t in terms])
+    return reduce(lambda a, b: a | b, [hits(t, low) for t in terms])
 
 
 def exclude_pattern(term: str) -> str:

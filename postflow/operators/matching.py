@@ -30,7 +30,7 @@ def with_texts(df: DataFrame) -> DataFrame:
     df = df.withColumn("full_text", text)
     topic = F.concat_ws(" ; ", blank_to_null(F.col("full_text")),
                         *([blank_to_null(tag_text(*tags))] if tags else []))
-    return df.withColumn("topic_text", topic).withColumn("topic_low", T.search_form(F.col("topic_text")))
+    return df.withColumn("topic_low", T.search_form(topic))
 
 
 def _check(criterion: str, passed: Column, reason: Column, value: Column | None = None,
@@ -42,9 +42,9 @@ def _check(criterion: str, passed: Column, reason: Column, value: Column | None
                     unknown.alias("was_unknown")).cast(CHECK)
 
 
-def check_include(terms, needed: int, text: Column, low: Column) -> Column:
+def check_include(terms, needed: int, low: Column) -> Column:
     """no hit is a rejection, not an unknown."""
-    return let(T.matched(list(terms), text, low), lambda hit: _include_result(hit, needed))
+    return let(T.matched(list(terms), low), lambda hit: _include_result(hit, needed))
 
 
 def _include_result(hit: Column, needed: int) -> Column:
@@ -191,10 +191,10 @@ def _age_result(first: Column, max_age_days: int, now: dt.datetime) -> Column:
 
 def filter_checks(df: DataFrame, cfg: Filters, now: dt.datetime) -> Column:
     """every configured criterion is checked, none is skipped after a failure."""
-    text, topic, low = F.col("full_text"), F.col("topic_text"), F.col("topic_low")
+    text, low = F.col("full_text"), F.col("topic_low")
     checks = []
     if cfg.include:
-        checks.append(check_include(cfg.include, cfg.include_min, topic, low))
+        checks.append(check_include(cfg.include, cfg.include_min, low))
     if cfg.exclude:
         checks.append(check_exclude(cfg.exclude, text))
     if cfg.contract_type:
@@ -247,10 +247,10 @@ def match_terms(df: DataFrame, groups: list[SearchGroup]) -> DataFrame:
     """
     df = df if "topic_low" in df.columns else with_texts(df)
     per_group = [F.struct(F.lit(g.group_id).alias("group_id"), T.matched(
-        list(g.filters.include), F.col("topic_text"), F.col("topic_low")).alias("matched"))
+        list(g.filters.include), F.col("topic_low")).alias("matched"))
         for g in groups]
     return df.withColumn("_m", F.explode(F.array(*per_group))).select(
-        *df.columns, "_m.*").drop("full_text", "topic_text", "topic_low")
+        *df.columns, "_m.*").drop("full_text", "topic_low")
 
 
 PREFIX = 4
@@ -274,16 +274,15 @@ def match_rule_table(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     prefixes = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
         F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
     small = n_rules <= 100_000
-    text = ["topic_text", "topic_low"]
     if small:
-        candidates = df.select(key, *text, F.explode(prefixes).alias("_prefix")) \
+        candidates = df.select(key, "topic_low", F.explode(prefixes).alias("_prefix")) \
             .join(F.broadcast(keyed), "_prefix")
     else:
         # The texts stay out of the shuffle: candidate keys first, texts joined back by key.
         pairs = df.select(key, F.explode(prefixes).alias("_prefix")).join(keyed, "_prefix")
-        candidates = pairs.join(df.select(key, *text), key)
+        candidates = pairs.join(df.select(key, "topic_low"), key)
     found = candidates.where(F.col("topic_low").contains(F.col("needle"))
-                             & F.expr("topic_text rlike pattern"))
+                             & F.expr("topic_low rlike pattern"))
     return found.select(key, "group_id", "term", "term_ord")
 
 
@@ -297,10 +296,10 @@ def title_prefilter(title: Column, summary: Column, exclude: list, groups: list[
     low, title_low = T.search_form(rss), T.search_form(title)
     hits = []
     for g in groups:
-        hit = T.any_match(list(g.filters.include), rss, low)
+        hit = T.any_match(list(g.filters.include), low)
         hits.append(hit & F.array_contains(pending, g.group_id) if pending is not None else hit)
     any_hit = reduce(lambda a, b: a | b, hits) if hits else F.lit(False)
-    return F.when(~any_hit, T.first_match(exclude, title, title_low))
+    return F.when(~any_hit, T.first_match(exclude, title_low))
 
 
 def keyword_score(text: Column, config: dict | None) -> tuple[Column, Column]:

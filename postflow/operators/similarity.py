@@ -57,7 +57,7 @@ def similarities(docs: DataFrame, profiles: DataFrame, key: str, text: str = "te
     A document's terms meet the term table once.  Beside its profile weights every term
     carries one entry without profile, which adds up to the document's own norm, so
     dot products and norms come out of one aggregation; its map side already reduces
-    to one row per (document, profile).
+    to one row per (document, profile).  ``top_n`` 0 leaves the matched terms out.
     """
     vectors = profile_vectors(profiles)
     by_term = vectors.groupBy("term").agg(
@@ -71,13 +71,18 @@ def similarities(docs: DataFrame, profiles: DataFrame, key: str, text: str = "te
     x = tf * F.coalesce("idf", F.lit(1.0))
     joined = with_terms(docs, [key], text).join(by_term, "term", "left") \
         .select(key, "term", "pos", x.alias("x"), F.explode(entries).alias("e"))
-    parts = joined.groupBy(key, "e.profile_id").agg(
-        F.sum(F.when(F.col("e.profile_id").isNotNull(), F.col("x") * F.col("e.weight"))).alias("dot"),
-        F.sum(F.when(F.col("e.profile_id").isNull(), F.col("x") * F.col("x"))).alias("square"),
+    paired = F.col("e.profile_id").isNotNull()
+    measures = [
+        F.sum(F.when(paired, F.col("x") * F.col("e.weight"))).alias("dot"),
+        F.sum(F.when(~paired, F.col("x") * F.col("x"))).alias("square"),
         F.first("e.norm").alias("norm"),
-        # At most one entry per term of a profile, so the list is bounded by the profile.
-        F.collect_list(F.when(F.col("e.profile_id").isNotNull(), F.struct(
-            (-F.col("x") * F.col("e.weight")).alias("w"), "pos", "term"))).alias("shared"))
+    ]
+    if not top_n:
+        return joined.groupBy(key, "e.profile_id").agg(*measures) \
+            .withColumn("top_matches", F.expr("cast(array() as array<string>)"))
+    # At most one entry per term of a profile, so the list is bounded by the profile.
+    shared = F.collect_list(F.when(paired, F.struct((-F.col("x") * F.col("e.weight")).alias("w"), "pos", "term")))
+    parts = joined.groupBy(key, "e.profile_id").agg(*measures, shared.alias("shared"))
     return parts.withColumn("top_matches", F.transform(
         F.slice(F.sort_array("shared"), 1, top_n), lambda s: s["term"])).drop("shared")
 

@@ -30,10 +30,10 @@ def capped_points(hits: Column, weight: int, cap: int | None) -> Column:
     return F.greatest(points, F.lit(cap)) if cap < 0 else F.least(points, F.lit(cap))
 
 
-def bonus_points(rule: dict, text: Column, low: Column) -> Column:
+def bonus_points(rule: dict, low: Column) -> Column:
     """Once per rule, when a prerequisite is in the text."""
-    skills = T.matched(T.compile_terms(rule.get("skills")), text, low)
-    needed = T.any_match(T.compile_terms(rule.get("requires")), text, low)
+    skills = T.matched(T.compile_terms(rule.get("skills")), low)
+    needed = T.any_match(T.compile_terms(rule.get("requires")), low)
     points = F.least(F.lit(int(rule.get("max_points", 10))), F.size(skills) * int(rule.get("points_per_skill", 5)))
     return F.when(needed, points).otherwise(0)
 
@@ -43,7 +43,7 @@ def _signed(points: Column) -> Column:
 
 
 def _matched(entries, text: str) -> Column:
-    return T.matched(T.compile_terms(entries), F.col(text), F.col(text + "_low"))
+    return T.matched(T.compile_terms(entries), F.col(text + "_low"))
 
 
 def _condition(status: Column, value: Column, note: Column) -> Column:
