@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
+from .terms import search_form
 from .text import blank_to_null, let, strip
 
 # --- Fixed values: synonyms in search order ----------------------------------
@@ -85,6 +86,10 @@ UNKNOWN, NOT_CHECKED, CONFLICT = "unbekannt", "nicht geprüft", "Konflikt"
 FLAGS = "(?iU)"
 
 
+def _literal_map(values: dict) -> Column:
+    return F.create_map(*[F.lit(v) for item in values.items() for v in item])
+
+
 def german_number(col: Column) -> Column:
     """Dots are thousands separators, the comma is the decimal mark."""
     plain = F.replace(F.replace(col, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
@@ -93,8 +98,8 @@ def german_number(col: Column) -> Column:
 
 def _rate(text: Column, *patterns: str) -> Column:
     """First number of the first pattern that hits (every hit of these parses)."""
-    return F.coalesce(*[
-        german_number(blank_to_null(F.regexp_extract(text, FLAGS + p, 1))) for p in patterns])
+    return let(search_form(text), lambda low: F.coalesce(*[
+        german_number(blank_to_null(F.regexp_extract(low, f"(?U){p}", 1))) for p in patterns]))
 
 
 def hourly_rate(text: Column) -> Column:
@@ -110,7 +115,7 @@ def daily_rate(text: Column) -> Column:
 def work_mode(text: Column) -> Column:
     """Exact synonym, else the first synonym (in order) the text contains."""
     return let(F.lower(text), lambda low: F.coalesce(
-        *[F.when(low == s, F.lit(m)) for s, m in WORK_MODES.items()],
+        _literal_map(WORK_MODES)[low],
         *[F.when(low.contains(s), F.lit(m)) for s, m in WORK_MODES.items()]))
 
 
@@ -118,21 +123,25 @@ def contract_type(text: Column) -> Column:
     """Like P12, but a synonym whose first hit is negated just before counts as absent."""
     low = F.lower(text)
 
+    def window(text_: Column, synonym: str) -> Column:
+        return let(F.instr(text_, synonym), lambda pos: F.substring(
+            text_, F.greatest(F.lit(1), pos - NEGATION_WINDOW),
+            pos - F.greatest(F.lit(1), pos - NEGATION_WINDOW)))
+
     def inside(text_: Column, synonym: str, canonical: str) -> Column:
-        pos = F.instr(text_, synonym)
-        start = F.greatest(F.lit(1), pos - NEGATION_WINDOW)
-        window = F.substring(text_, start, pos - start)
-        return F.when((pos > 0) & ~window.rlike(FLAGS + NEGATION), F.lit(canonical))
+        # The plain substring test is cheap; few texts go on to position and window.
+        return F.when(text_.contains(synonym) & ~window(text_, synonym).rlike(f"(?U){NEGATION}"),
+                      F.lit(canonical))
 
     return let(low, lambda t: F.coalesce(
-        *[F.when(strip(t) == s, F.lit(m)) for s, m in CONTRACT_TYPES.items()],
+        _literal_map(CONTRACT_TYPES)[strip(t)],
         *[inside(t, s, m) for s, m in CONTRACT_TYPES.items()]))
 
 
 def languages(text: Column) -> Column:
     """P14."""
-    return F.array_compact(F.array(*[
-        F.when(text.rlike(FLAGS + p), F.lit(code)) for code, p in LANGUAGES.items()]))
+    return let(search_form(text), lambda low: F.array_compact(F.array(*[
+        F.when(low.rlike(f"(?U){p}"), F.lit(code)) for code, p in LANGUAGES.items()])))
 
 
 def must_sections(text: Column) -> Column:
@@ -171,14 +180,19 @@ def weekly_hours(text: Column, full_time: float = 40.0) -> Column:
         return struct(hours, hours, F.concat(share, F.lit(" %")))
 
     none = F.lit(None)
-    return F.coalesce(
-        form(HOURS_RANGE, 2, lambda _, a, b: struct(a, b, none)),
-        form(HOURS, 1, lambda _, a: struct(a, a, none)),
-        form(DAYS, 2, days),
-        form(PERCENT, 1, percent),
-        F.when(text.rlike(FLAGS + FULL_TIME),
-               struct(F.lit(full_time), F.lit(full_time), F.lit("Vollzeit"))),
-    )
+
+    def first_form(low: Column) -> Column:
+        # Each form needs its key word, so the cheap test spares most texts the patterns.
+        weekly = F.coalesce(
+            form(HOURS_RANGE, 2, lambda _, a, b: struct(a, b, none)),
+            form(HOURS, 1, lambda _, a: struct(a, a, none)), form(DAYS, 2, days))
+        whole = struct(F.lit(full_time), F.lit(full_time), F.lit("Vollzeit"))
+        return F.coalesce(
+            F.when(low.contains("woche"), weekly),
+            F.when(low.contains("auslastung"), form(PERCENT, 1, percent)),
+            F.when((low.contains("vollzeit") | low.contains("full")) & text.rlike(FLAGS + FULL_TIME), whole))
+
+    return let(search_form(text), first_form)
 
 
 def _general(number: Column) -> Column:
@@ -189,7 +203,7 @@ def _general(number: Column) -> Column:
 
 def workload(text: Column, low: float = 20, high: float = 40, full_time: float = 40) -> Column:
     """P20 as a condition: struct(status, value, note)."""
-    part_time = text.rlike(FLAGS + PART_TIME)
+    part_time = text.rlike(FLAGS + PART_TIME)  # read only when no hours are stated
 
     def judge(hours: Column) -> Column:
         lo, hi, label = hours["lo"], hours["hi"], hours["label"]
@@ -215,37 +229,43 @@ def remote_share(text: Column) -> Column:
 
 
 def _segment_dates(segment: Column, today: dt.date) -> Column:
-    """Dates of one labelled segment, numeric dates first, then month names."""
+    """Dates of one labelled segment (lower case), numeric dates first, then month names."""
     numeric = F.transform(
-        F.regexp_extract_all(segment, F.lit(FLAGS + DAY_DATE), F.lit(0)),
+        F.regexp_extract_all(segment, F.lit("(?U)" + DAY_DATE), F.lit(0)),
         lambda d: F.try_to_date(d, "d.M.yyyy"))
+    pattern = "(?U)" + MONTH_DATE.lower()
+
     def month(found: Column) -> Column:
-        part = F.lower(F.regexp_extract(found, FLAGS + MONTH_DATE, 1))
-        name = F.lower(F.regexp_extract(found, FLAGS + MONTH_DATE, 2))
-        year = blank_to_null(F.regexp_extract(found, FLAGS + MONTH_DATE, 3)).cast("int")
-        number = F.create_map(*[F.lit(v) for item in MONTHS.items() for v in item])[name]
+        part, name = F.regexp_extract(found, pattern, 1), F.regexp_extract(found, pattern, 2)
+        year = blank_to_null(F.regexp_extract(found, pattern, 3)).cast("int")
+        number = _literal_map(MONTHS)[name]
         day = F.when(part == "mitte", 15).when(part == "ende", 28).otherwise(1)
         this_year = F.make_date(F.lit(today.year), number, day)
         return F.when(year.isNotNull(), F.make_date(year, number, day)) \
             .when(this_year < F.lit(today.replace(day=1)), F.make_date(F.lit(today.year + 1), number, day)) \
             .otherwise(this_year)
 
-    named = F.transform(F.regexp_extract_all(segment, F.lit(FLAGS + MONTH_DATE), F.lit(0)), month)
+    named = F.transform(F.regexp_extract_all(segment, F.lit(pattern), F.lit(0)), month)
     return F.array_compact(F.concat(numeric, named))
 
 
 def start_date(text: Column, today: dt.date) -> Column:
     """struct(start, shown) of the first labelled segment that states a start.
 
-    The whole rule is array functions over the labelled segments of the row.
+    The whole rule is array functions over the labelled segments of the row.  It runs on
+    the search form, so no pattern has to fold case.
     """
-    labels = F.regexp_extract_all(text, F.lit(FLAGS + START_LABEL), F.lit(1))
-    segments = F.regexp_extract_all(text, F.lit(FLAGS + START_LABEL), F.lit(2))
-    parsed = F.transform(F.arrays_zip(labels.alias("label"), segments.alias("segment")), lambda z: F.struct(
-        F.lower(z["label"]).alias("label"),
-        _segment_dates(z["segment"], today).alias("dates"),
-        z["segment"].rlike(FLAGS + IMMEDIATE).alias("immediate"),
-    ))
+    return let(search_form(text), lambda low: F.when(
+        low.contains("zeit") | low.contains("start") | low.contains("beginn"), _first_start(low, today)))
+
+
+def _first_start(low: Column, today: dt.date) -> Column:
+    pattern = "(?Ud)" + START_LABEL.lower()
+    segments = F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda hit: F.struct(
+        F.regexp_extract(hit, pattern, 1).alias("label"), F.regexp_extract(hit, pattern, 2).alias("segment")))
+    parsed = F.transform(segments, lambda z: F.struct(
+        z["label"].alias("label"), _segment_dates(z["segment"], today).alias("dates"),
+        z["segment"].rlike("(?U)" + IMMEDIATE).alias("immediate")))
     stated = F.filter(parsed, lambda p: (F.size(p["dates"]) > 0) | p["immediate"])
 
     def result(p: Column) -> Column:

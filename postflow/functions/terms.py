@@ -17,7 +17,7 @@ from pyspark.sql import Column, functions as F
 # --- Fixed values: the characters that make a word (of a search form), and those that
 # --- may stand between the parts of a term -----------------------------------
 WORD = "0-9a-zäöüß"
-GAP = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\-]*"
+GAP = r"(?U:[\s\x1c-\x1f\-]*)"
 
 
 def _escape(part: str) -> str:
