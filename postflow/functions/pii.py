@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import rstrip, strip
+from .text import let, rstrip, strip, with_fixed
 
 MIN_USEFUL_CHARS = 150
 
@@ -48,32 +48,37 @@ DEFAULT = Rules()
 KINDS = ["thread", "signature"] + [kind for kind, _, _ in DEFAULT.steps]
 
 
-def _cut_before(text: Column, pattern: str) -> tuple[Column, Column]:
-    """(text before the first match, matched?)."""
-    found = text.rlike(pattern)
-    return F.when(found, rstrip(F.element_at(F.split(text, pattern, 2), 1))).otherwise(text), found
+def _cut_before(text: Column, pattern: str) -> Column:
+    """The text before the first match."""
+    return rstrip(F.element_at(F.split(text, pattern, 2), 1))
+
+
+def _apply(text: Column, rules: Rules, steps: list[tuple[str, str, str | None]], counts: list[Column]) -> Column:
+    """One step after the other; each count and each text is bound once."""
+    if not steps:
+        return let(strip(text), lambda done: F.struct(
+            done.alias("scrubbed"), *[n.alias(f"n_{k}") for k, n in zip(KINDS, counts)],
+            is_safe(done).alias("safe")))
+    (kind, pattern, placeholder), rest = steps[0], steps[1:]
+    if placeholder is None:
+        count, changed = text.rlike(pattern).cast("int"), _cut_before(text, pattern)
+    else:
+        count, changed = F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, placeholder)
+    if kind == "email":  # the cheap test spares most texts the pattern
+        count = F.when(text.contains("@"), count).otherwise(0)
+    return let(count, lambda n: let(F.when(n > 0, changed).otherwise(text), lambda after: _apply(
+        after, rules, rest, counts + [n])))
+
+
+def scrub_struct(text: Column, rules: Rules = DEFAULT) -> Column:
+    """P43-P45 as one value: struct(scrubbed, n_<kind>…, safe)."""
+    cuts = [("thread", rules.thread, None), ("signature", rules.signature, None)]
+    return _apply(text, rules, cuts + list(rules.steps), [])
 
 
 def scrub(df: DataFrame, text: str = "text", rules: Rules = DEFAULT) -> DataFrame:
-    """Adds ``scrubbed``, one ``n_<kind>`` count per kind, and ``safe``.
-
-    Each step is a projection over the step before, so every pattern scans a text once
-    for its count and once for its replacement, and rows without a hit keep their text.
-    """
-    cut, thread = _cut_before(F.col(text), rules.thread)
-    df = df.withColumns({"n_thread": thread.cast("int"), "scrubbed": cut})
-    cut, signature = _cut_before(F.col("scrubbed"), rules.signature)
-    df = df.withColumns({"n_signature": signature.cast("int"), "scrubbed": cut})
-    for kind, pattern, placeholder in rules.steps:
-        hits = F.regexp_count("scrubbed", F.lit(pattern))
-        if kind == "email":  # the cheap test spares most texts the pattern
-            hits = F.when(F.col("scrubbed").contains("@"), hits).otherwise(0)
-        df = df.withColumn(f"n_{kind}", hits).withColumn(
-            "scrubbed", F.when(F.col(f"n_{kind}") > 0,
-                               F.regexp_replace("scrubbed", pattern, placeholder))
-            .otherwise(F.col("scrubbed")))
-    return df.withColumn("scrubbed", strip(F.col("scrubbed"))) \
-        .withColumn("safe", is_safe(F.col("scrubbed")))
+    """Adds ``scrubbed``, one ``n_<kind>`` count per kind, and ``safe``."""
+    return with_fixed(df, "_pii", scrub_struct(F.col(text), rules)).select(*df.columns, "_pii.*")
 
 
 def replacements(prefix: str = "n_") -> Column:
@@ -93,9 +98,7 @@ def useful_text(scrubbed: Column) -> Column:
 
 def is_safe(scrubbed: Column) -> Column:
     """Enough text is left and none of it still looks like personal data."""
-    clean = useful_text(scrubbed)
-    return (
+    return let(useful_text(scrubbed), lambda clean: (
         (F.length(clean) >= MIN_USEFUL_CHARS)
         & ~(clean.contains("@") & clean.rlike(f"(?U){EMAIL}")) & ~clean.rlike(f"(?U){PHONE}")
-        & ~clean.rlike(f"(?iU){IBAN_LEFT}")
-    )
+        & ~clean.rlike(f"(?iU){IBAN_LEFT}")))

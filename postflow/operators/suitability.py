@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import postings as P, terms as T
-from ..functions.text import blank_to_null, full_text, let, tag_text
+from ..functions.text import blank_to_null, full_text, let, tag_text, with_fixed
 from .matching import TAG_FIELDS, TEXT_FIELDS
 
 # --- Fixed values: categories, classes, recommendations ----------------------
@@ -226,7 +226,7 @@ def score(df: DataFrame, rules: dict, today: dt.date, available_from: dt.date |
         F.col("_rec.recommendation").alias("recommendation"),
         F.col("_rec.reasons").alias("recommendation_reasons"),
         F.col("_reject").alias("reject_reason"))
-    return df.select(*keep, result.alias("suitability"))
+    return with_fixed(df, "suitability", result).select(*keep, "suitability")
 
 
 def _workload_bounds(cfg: dict) -> dict:
