@@ -157,7 +157,7 @@ def must_sections(text: Column) -> Column:
         F.transform(windows, lambda w: F.element_at(F.split(w, end, 2), 1)), "\n")
 
 
-def weekly_hours(text: Column, full_time: float = 40.0) -> Column:
+def weekly_hours(text: Column, full_time: float = 40.0, low_text: Column | None = None) -> Column:
     """P20: struct(lo, hi, label) of the first form that is stated, null when none is."""
 
     def groups(pattern: str, n: int) -> Column:
@@ -192,7 +192,7 @@ def weekly_hours(text: Column, full_time: float = 40.0) -> Column:
             F.when(low.contains("auslastung"), form(PERCENT, 1, percent)),
             F.when((low.contains("vollzeit") | low.contains("full")) & text.rlike(FLAGS + FULL_TIME), whole))
 
-    return let(search_form(text), first_form)
+    return first_form(low_text) if low_text is not None else let(search_form(text), first_form)
 
 
 def _general(number: Column) -> Column:
@@ -201,8 +201,9 @@ def _general(number: Column) -> Column:
         F.format_string("%.4f", number), r"0+\z", ""), r"\.\z", "")
 
 
-def workload(text: Column, low: float = 20, high: float = 40, full_time: float = 40) -> Column:
-    """P20 as a condition: struct(status, value, note)."""
+def workload(text: Column, low: float = 20, high: float = 40, full_time: float = 40,
+             low_text: Column | None = None) -> Column:
+    """P20 as a condition: struct(status, value, note).  ``low_text`` is the search form, if at hand."""
     part_time = text.rlike(FLAGS + PART_TIME)  # read only when no hours are stated
 
     def judge(hours: Column) -> Column:
@@ -220,7 +221,7 @@ def workload(text: Column, low: float = 20, high: float = 40, full_time: float =
             .when(~inside, f"Außerhalb von {low:g}–{high:g} h/Woche").alias("note"),
         )
 
-    return let(weekly_hours(text, full_time), judge)
+    return let(weekly_hours(text, full_time, low_text), judge)
 
 
 def remote_share(text: Column) -> Column:
@@ -249,14 +250,17 @@ def _segment_dates(segment: Column, today: dt.date) -> Column:
     return F.array_compact(F.concat(numeric, named))
 
 
-def start_date(text: Column, today: dt.date) -> Column:
+def start_date(text: Column, today: dt.date, low_text: Column | None = None) -> Column:
     """struct(start, shown) of the first labelled segment that states a start.
 
     The whole rule is array functions over the labelled segments of the row.  It runs on
     the search form, so no pattern has to fold case.
     """
-    return let(search_form(text), lambda low: F.when(
-        low.contains("zeit") | low.contains("start") | low.contains("beginn"), _first_start(low, today)))
+    def stated(low: Column) -> Column:
+        return F.when(low.contains("zeit") | low.contains("start") | low.contains("beginn"),
+                      _first_start(low, today))
+
+    return stated(low_text) if low_text is not None else let(search_form(text), stated)
 
 
 def _first_start(low: Column, today: dt.date) -> Column:

@@ -196,14 +196,15 @@ COMMON_RULES = [
 ]
 
 
-def candidate(rule: ExtractRule, url: Column, html: Column, text: Column) -> Column:
+def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text: Column) -> Column:
+    """``markup`` is the page without scripts and comments, ``text`` its visible text."""
     if rule.kind == "meta":
         attribute, name = rule.pattern.split("=", 1)
-        value = meta(html, attribute, name)
+        value = meta(markup, attribute, name)
     elif rule.kind == "tag":
         tag, _, cls = rule.pattern.partition(".")
         attrs = rf"[^>]*\bclass\s*=\s*[\"'][^\"']*\b{cls}\b[^\"']*[\"'][^>]*" if cls else r"[^>]*"
-        value = inner_text(F.regexp_extract(html, rf"(?is)<{tag}\b{attrs}>(.*?)</{tag}\s*>", 1))
+        value = inner_text(F.regexp_extract(markup, rf"(?is)<{tag}\b{attrs}>(.*?)</{tag}\s*>", 1))
     elif rule.kind == "json":
         script = F.regexp_extract(
             html, r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>", 1)
@@ -227,21 +228,22 @@ def extract_fields(pages: DataFrame, rules: list[ExtractRule], provider: Column
     the first hit decides, later candidates are not evaluated, and nothing is shuffled.
     """
     h, u = F.col(html), F.col(url)
-    df = pages.withColumn("_visible", F.array_join(text_stream(h), "\n")) \
+    df = pages.withColumn("_markup", without_code(h)) \
+        .withColumn("_visible", F.array_join(text_stream(F.col("_markup")), "\n")) \
         .withColumn("_provider", provider if provider is not None else urls.host(u))
     providers = sorted({r.provider for r in rules} - {DEFAULT_PROVIDER_RULES})
 
     def first(provider_id: str, field: str) -> Column:
         ordered = sorted((r for r in rules if r.provider == provider_id and r.field == field),
                          key=lambda r: r.priority)
-        found = [candidate(r, u, h, F.col("_visible")) for r in ordered]
+        found = [candidate(r, u, h, F.col("_markup"), F.col("_visible")) for r in ordered]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     for field in dict.fromkeys(r.field for r in rules):
         value = reduce(lambda acc, p: F.when(F.col("_provider") == p, first(p, field)).otherwise(acc),
                        providers, first(DEFAULT_PROVIDER_RULES, field))
         df = df.withColumn(field, value)
-    return df.drop("_visible", "_provider")
+    return df.drop("_markup", "_visible", "_provider")
 
 
 def parse_pages(pages: DataFrame, rules: list[ExtractRule] | None = None,

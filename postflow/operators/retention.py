@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.markdown import section_scores
+from ..functions.text import with_fixed
 from ..sources.inventory import age_days
 
 # --- Fixed values: retention in days by category, thresholds, exclusions -----
@@ -47,12 +48,10 @@ def file_category(path: Column, posting: Column) -> Column:
 
 
 def excluded(path: Column, patterns: list[str] = EXCLUDED) -> Column:
-    def one(pattern: str) -> Column:
-        head = pattern[:-3]
-        if pattern.endswith("/**"):
-            return path.rlike(rf"(?:^|/){head.replace('.', chr(92) + '.')}/")
-        return path == pattern
-    return reduce(lambda a, b: a | b, [one(p) for p in patterns], F.lit(False))
+    """One test: whole paths by list, folders by one alternation."""
+    folders = [re.escape(p[:-3]) for p in patterns if p.endswith("/**")]
+    inside = path.rlike(rf"(?:^|/)(?:{'|'.join(folders)})/") if folders else F.lit(False)
+    return path.isin([p for p in patterns if not p.endswith("/**")]) | inside
 
 
 def purge_candidates(files: DataFrame, now: dt.datetime, retention: dict[str, int] | None = None) -> DataFrame:
@@ -60,8 +59,8 @@ def purge_candidates(files: DataFrame, now: dt.datetime, retention: dict[str, in
     days = retention or RETENTION
     limit = F.create_map(*[F.lit(v) for item in days.items() for v in item])[F.col("category")]
     order = F.create_map(*[F.lit(v) for i, c in enumerate(days) for v in (c, i)])[F.col("category")]
-    return files.withColumn("age_days", age_days(F.col("path"), F.col("mtime"), now)) \
-        .withColumn("category_ord", order) \
+    aged = with_fixed(files, "age_days", age_days(F.col("path"), F.col("mtime"), now))
+    return with_fixed(aged, "category", F.col("category")).withColumn("category_ord", order) \
         .where(limit.isNotNull() & ~excluded(F.col("path")) & (F.col("age_days") > limit))
 
 
@@ -73,8 +72,6 @@ def purge_set(candidates: DataFrame, max_deletions: int = MAX_DELETIONS, tie: st
 def purge_statistics(candidates: DataFrame, max_deletions: int = MAX_DELETIONS) -> DataFrame:
     """Found per category, and how many one run deletes."""
     found = candidates.groupBy("category", "category_ord").agg(F.count("*").alias("found"))
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("found").over(Window.orderBy("category_ord").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))  # one row per category
     return found.withColumn("deleted", F.greatest(F.lit(0), F.least(

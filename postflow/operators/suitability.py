@@ -71,8 +71,9 @@ def _work_mode_result(onsite: Column, share: Column, cfg: dict, text: str) -> Co
         .otherwise(_condition(F.lit(P.UNKNOWN), none, F.lit("Kein Arbeitsort angegeben")))
 
 
-def start_condition(text: Column, today: dt.date, available_from: dt.date | None) -> Column:
-    return let(P.start_date(text, today), lambda v: _start_result(v, available_from))
+def start_condition(text: Column, today: dt.date, available_from: dt.date | None,
+                    low_text: Column | None = None) -> Column:
+    return let(P.start_date(text, today, low_text), lambda v: _start_result(v, available_from))
 
 
 def _start_result(found: Column, available_from: dt.date | None) -> Column:
@@ -93,13 +94,16 @@ def _texts(df: DataFrame) -> DataFrame:
     tags = [F.col(c) for c in TAG_FIELDS if c in df.columns]
     df = df.withColumn("_body", body).withColumn("_title", F.coalesce("title", F.lit("")))
     df = df.withColumn("_text", full_text(F.col("_title"), F.col("_body"), tag_text(*tags), sep="\n"))
-    details = F.lit(None).cast("string")
+    df = df.withColumn("_text_low", T.search_form(F.col("_text")))
     if "details" in df.columns:
         kept = F.filter(F.map_entries("details"), lambda e: e["value"].isNotNull() & (e["value"] != ""))
         details = F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " ; ")
-    df = df.withColumn("_cond", F.concat_ws("\n", blank_to_null(F.col("_text")), blank_to_null(details)))
+        df = df.withColumn("_cond", F.concat_ws("\n", blank_to_null(F.col("_text")), blank_to_null(details)))
+        df = df.withColumn("_cond_low", T.search_form(F.col("_cond")))
+    else:
+        df = df.withColumns({"_cond": F.col("_text"), "_cond_low": F.col("_text_low")})
     df = df.withColumn("_must", P.must_sections(F.col("_body")))
-    return df.withColumns({f"{c}_low": T.search_form(F.col(c)) for c in ("_title", "_text", "_cond", "_must")})
+    return df.withColumns({f"{c}_low": T.search_form(F.col(c)) for c in ("_title", "_must")})
 
 
 def _groups(df: DataFrame, rules: dict) -> DataFrame:
@@ -120,7 +124,8 @@ def _groups(df: DataFrame, rules: dict) -> DataFrame:
         structs.append(F.struct(
             positive.alias("positive"), (-negative).alias("penalty"), F.lit(-i).alias("rank"),
             F.lit(gid).alias("group_id"), (positive + negative).alias("score"), reasons.alias("reasons")))
-    df = df.withColumn("_parts", F.array(*structs)).drop(
+    none = F.array().cast("array<struct<positive:int,penalty:int,rank:int,group_id:string,score:int,reasons:array<string>>>")
+    df = df.withColumn("_parts", F.array(*structs) if structs else none).drop(
         *[f"_m_{i}_{c}" for i in range(len(groups)) for c in CATEGORIES])
     # Most positive points, then the larger penalty, then configuration order.
     return df.withColumn("_best", F.array_max("_parts")) \
@@ -203,8 +208,8 @@ def score(df: DataFrame, rules: dict, today: dt.date, available_from: dt.date |
         "_technical": technical,
         "_reasons": F.concat("_reasons", F.array_compact(F.array("_cap.reason", "_reject"))),
         "_work": work_mode_condition(conditions.get("work_mode") or {}, "_cond"),
-        "_load": P.workload(F.col("_cond"), **_workload_bounds(conditions.get("workload") or {})),
-        "_start": start_condition(F.col("_cond"), today, available_from),
+        "_load": P.workload(F.col("_cond"), low_text=F.col("_cond_low"), **_workload_bounds(conditions.get("workload") or {})),
+        "_start": start_condition(F.col("_cond"), today, available_from, F.col("_cond_low")),
     })
     decision = F.when(F.col("_reject").isNotNull(), REJECT) \
         .when(F.col("_technical") >= int(thresholds.get("high", 50)), HIGH) \

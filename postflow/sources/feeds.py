@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read_feed_xml(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
@@ -21,8 +21,15 @@ def read_feed_xml(spark: SparkSession, path: str, row_tag: str = "item") -> Data
         F.coalesce("summary", "description", F.lit("")).alias("summary"),
         F.coalesce("guid", "link", F.lit("")).alias("id"),
         F.coalesce(
-            F.try_to_timestamp("pubDate", F.lit("EEE, d MMM yyyy HH:mm:ss Z")),
-            F.try_to_timestamp("pubDate"), F.try_to_timestamp("updated")).alias("published"))
+            rfc_timestamp(F.col("pubDate")), F.try_to_timestamp("pubDate"),
+            F.try_to_timestamp("updated")).alias("published"))
+
+
+def rfc_timestamp(text: Column) -> Column:
+    """``Mon, 05 Oct 2026 10:00:00 +0000``; the weekday carries no information."""
+    plain = F.regexp_replace(text, r"^\s*[A-Za-z]{3},\s*", "")
+    zoned = F.regexp_replace(plain, r"\s+(?:GMT|UTC|UT|Z)\s*\z", " +0000")
+    return F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z"))
 
 
 def first_entries(entries: DataFrame, default_limit: int = 5, limit: str | None = None,
