@@ -33,11 +33,6 @@ def check_timeline(events: DataFrame, key: str, order: list[str], state: str = "
         .withColumn("valid", is_valid(F.col("from_state"), F.col(state)))
 
 
-def _next_state(state: Column, event: Column) -> Column:
-    allowed = event["force"] | is_valid(state, event["to_state"])
-    return F.when(allowed, event["to_state"]).otherwise(state)
-
-
 def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """T8, batch: every event with ``from_state``, ``accepted`` and the state after it.
 
@@ -49,12 +44,9 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """
     cut = slices(events, [key] + order)
     known = [None] + STATES + [OTHER]
-    starts = F.array(*[F.lit(s).cast("string") for s in known])
-    # Slices are balanced ranges, so a group below is at most one slice.
-    maps = cut.groupBy(key, SLICE).agg(F.sort_array(F.collect_list(
-        F.struct(*order, "to_state", "force"))).alias("_events"))
-    maps = maps.select(key, SLICE, F.aggregate(
-        "_events", starts, lambda acc, e: F.transform(acc, lambda s: _next_state(s, e))).alias("_map"))
+    # The checkpoint keeps slices and partitions one to one, so sorting inside is enough.
+    maps = cut.select(key, SLICE, *order, "to_state", "force").sortWithinPartitions(key, *order).mapInPandas(
+        _summarise(key, known), f"`{key}` {dict(cut.dtypes)[key]}, {SLICE} int, _map array<string>")
     # One small array per slice of a posting.
     chain = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(SLICE, "_map"))).alias("_chain"))
 
@@ -79,6 +71,45 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return joined.mapInPandas(replay, f"{schema}, from_state string, accepted boolean, state string")
 
 
+def _summarise(key: str, known: list):
+    """Per (key, slice) the state reached from each possible start; rows stream through.
+
+    Starts that have met in one state stay together, so after a few events of a posting
+    there is little left to track.
+    """
+    import pandas as pd
+
+    allowed = frozenset(ARROWS)
+
+    def run(batches):
+        current, reached = None, {}
+
+        def row():
+            ends = [None] * len(known)
+            for state, starts in reached.items():
+                for i in starts:
+                    ends[i] = state
+            return (*current, ends)
+
+        for pdf in batches:
+            done = []
+            for k, part, target, force in zip(pdf[key], pdf[SLICE], pdf["to_state"], pdf["force"]):
+                if (k, part) != current:
+                    if current is not None:
+                        done.append(row())
+                    current, reached = (k, part), {s: [i] for i, s in enumerate(known)}
+                moved = [s for s in reached if force or not s or f"{s}>{target}" in allowed]
+                joined = [i for s in moved for i in reached.pop(s)]
+                if joined:
+                    reached.setdefault(target, []).extend(joined)
+            if done:
+                yield pd.DataFrame(done, columns=[key, SLICE, "_map"])
+        if current is not None:
+            yield pd.DataFrame([row()], columns=[key, SLICE, "_map"])
+
+    return run
+
+
 def _replay(key: str, columns: list[str]):
     allowed = frozenset(ARROWS)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import MIN_TOKEN, STOPWORDS, raw_tokens
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 
 def term_counts(text: Column) -> Column:
@@ -59,11 +59,13 @@ def similarities(docs: DataFrame, profiles: DataFrame, key: str, text: str = "te
     dot products and norms come out of one aggregation; its map side already reduces
     to one row per (document, profile).  ``top_n`` 0 leaves the matched terms out.
     """
-    vectors = profile_vectors(profiles)
+    # Read twice below (size check and join), computed once.
+    vectors = cut_lineage(profile_vectors(profiles))
     by_term = vectors.groupBy("term").agg(
         F.first("idf").alias("idf"),
         F.collect_list(F.struct("profile_id", "weight", "norm")).alias("entries"))
-    by_term = broadcast_if_small(by_term, by_term.count())
+    # The bound counts weights, not terms: a term carries one per profile that holds it.
+    by_term = broadcast_if_small(by_term, vectors.count(), 500_000)
     own = F.array(F.struct(F.lit(None).cast("string").alias("profile_id"),
                            F.coalesce("idf", F.lit(1.0)).alias("weight"), F.lit(0.0).alias("norm")))
     entries = F.concat(own, F.coalesce("entries", F.slice(own, 1, 0)))

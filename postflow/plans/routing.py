@@ -123,6 +123,9 @@ def route(entries: DataFrame, state: State, pages: DataFrame, setup: Setup) -> D
     # Cheap decisions first: page texts are joined to the few URLs that need them.
     rows = take_pages(cut_lineage(rows), setup.max_page_reads)
     to_read = rows.where(F.col("needs_page") & ~F.col("deferred")).select("url_key")
+    if setup.max_page_reads is not None:
+        # At most the cap, so the page table is filtered where it lies.
+        to_read = broadcast_if_small(to_read, setup.max_page_reads)
     texts = pages.join(to_read, "url_key", "left_semi").withColumn("_landed", F.lit(True))
     rows = rows.join(texts, "url_key", "left")
 
