@@ -96,33 +96,36 @@ def german_number(col: Column) -> Column:
     return plain.try_cast("double")
 
 
-def _rate(text: Column, *patterns: str) -> Column:
+def _on_low(text: Column, low: Column | None, body) -> Column:
+    """``body`` over the search form of the text, which a caller may have at hand."""
+    return body(low) if low is not None else let(search_form(text), body)
+
+
+def _rate(text: Column, low: Column | None, *patterns: str) -> Column:
     """First number of the first pattern that hits (every hit of these parses)."""
-    return let(search_form(text), lambda low: F.coalesce(*[
-        german_number(blank_to_null(F.regexp_extract(low, f"(?U){p}", 1))) for p in patterns]))
+    return _on_low(text, low, lambda t: F.coalesce(*[
+        german_number(blank_to_null(F.regexp_extract(t, f"(?U){p}", 1))) for p in patterns]))
 
 
-def hourly_rate(text: Column) -> Column:
+def hourly_rate(text: Column, low: Column | None = None) -> Column:
     """P10."""
-    return _rate(text, HOURLY_LABELLED, HOURLY_UNIT)
+    return _rate(text, low, HOURLY_LABELLED, HOURLY_UNIT)
 
 
-def daily_rate(text: Column) -> Column:
+def daily_rate(text: Column, low: Column | None = None) -> Column:
     """P10."""
-    return _rate(text, DAILY_LABELLED, DAILY_UNIT)
+    return _rate(text, low, DAILY_LABELLED, DAILY_UNIT)
 
 
-def work_mode(text: Column) -> Column:
+def work_mode(text: Column, low: Column | None = None) -> Column:
     """Exact synonym, else the first synonym (in order) the text contains."""
-    return let(F.lower(text), lambda low: F.coalesce(
-        _literal_map(WORK_MODES)[low],
-        *[F.when(low.contains(s), F.lit(m)) for s, m in WORK_MODES.items()]))
+    return _on_low(text, low, lambda t: F.coalesce(
+        _literal_map(WORK_MODES)[t],
+        *[F.when(t.contains(s), F.lit(m)) for s, m in WORK_MODES.items()]))
 
 
-def contract_type(text: Column) -> Column:
+def contract_type(text: Column, low: Column | None = None) -> Column:
     """Like P12, but a synonym whose first hit is negated just before counts as absent."""
-    low = F.lower(text)
-
     def window(text_: Column, synonym: str) -> Column:
         return let(F.instr(text_, synonym), lambda pos: F.substring(
             text_, F.greatest(F.lit(1), pos - NEGATION_WINDOW),
@@ -133,15 +136,15 @@ def contract_type(text: Column) -> Column:
         return F.when(text_.contains(synonym) & ~window(text_, synonym).rlike(f"(?U){NEGATION}"),
                       F.lit(canonical))
 
-    return let(low, lambda t: F.coalesce(
+    return _on_low(text, low, lambda t: F.coalesce(
         _literal_map(CONTRACT_TYPES)[strip(t)],
         *[inside(t, s, m) for s, m in CONTRACT_TYPES.items()]))
 
 
-def languages(text: Column) -> Column:
+def languages(text: Column, low: Column | None = None) -> Column:
     """P14."""
-    return let(search_form(text), lambda low: F.array_compact(F.array(*[
-        F.when(low.rlike(f"(?U){p}"), F.lit(code)) for code, p in LANGUAGES.items()])))
+    return _on_low(text, low, lambda t: F.array_compact(F.array(*[
+        F.when(t.rlike(f"(?U){p}"), F.lit(code)) for code, p in LANGUAGES.items()])))
 
 
 def must_sections(text: Column) -> Column:

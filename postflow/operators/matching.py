@@ -30,7 +30,7 @@ def with_texts(df: DataFrame) -> DataFrame:
     df = df.withColumn("full_text", text)
     topic = F.concat_ws(" ; ", blank_to_null(F.col("full_text")),
                         *([blank_to_null(tag_text(*tags))] if tags else []))
-    return df.withColumn("topic_low", T.search_form(topic))
+    return df.withColumns({"topic_low": T.search_form(topic), "full_low": T.search_form(F.col("full_text"))})
 
 
 def _check(criterion: str, passed: Column, reason: Column, value: Column | None = None,
@@ -86,11 +86,15 @@ def _choice_result(criterion: str, label: str, value: Column, cfg: Choice, unkno
     return _check(criterion, passed, reason, value, ~known)
 
 
+def _low(df: DataFrame) -> Column | None:
+    return F.col("full_low") if "full_low" in df.columns else None
+
+
 def _explicit_or(df: DataFrame, field: str, normalise, text: Column) -> Column:
     if field not in df.columns:
-        return normalise(text)
+        return normalise(text, _low(df))
     raw = strip(F.coalesce(F.col(field), F.lit("")))
-    return F.when(raw != "", normalise(raw)).otherwise(normalise(text))
+    return F.when(raw != "", normalise(raw)).otherwise(normalise(text, _low(df)))
 
 
 def check_work_mode(df: DataFrame, cfg: Choice, text: Column) -> Column:
@@ -114,8 +118,8 @@ def check_rate(df: DataFrame, cfg, text: Column) -> Column:
     hourly = F.col("hourly_rate").cast("double") if "hourly_rate" in df.columns else none
     daily = F.col("daily_rate").cast("double") if "daily_rate" in df.columns else none
     missing = hourly.isNull() & daily.isNull()
-    rates = F.struct(F.when(missing, P.hourly_rate(text)).otherwise(hourly).alias("hourly"),
-                     F.when(missing, P.daily_rate(text)).otherwise(daily).alias("daily"))
+    rates = F.struct(F.when(missing, P.hourly_rate(text, _low(df))).otherwise(hourly).alias("hourly"),
+                     F.when(missing, P.daily_rate(text, _low(df))).otherwise(daily).alias("daily"))
     return let(rates, lambda r: _rate_result(r["hourly"], r["daily"], cfg))
 
 
@@ -144,7 +148,7 @@ def _rate_result(hourly: Column, daily: Column, cfg) -> Column:
 
 def check_language(df: DataFrame, cfg: Choice, text: Column) -> Column:
     """F7."""
-    found = P.languages(text)
+    found = P.languages(text, _low(df))
     if "language" in df.columns:
         explicit = F.lower(strip(F.coalesce(F.col("language"), F.lit(""))))
         found = F.when(explicit != "", F.array(explicit)).otherwise(found)
@@ -250,7 +254,7 @@ def match_terms(df: DataFrame, groups: list[SearchGroup]) -> DataFrame:
         list(g.filters.include), F.col("topic_low")).alias("matched"))
         for g in groups]
     return df.withColumn("_m", F.explode(F.array(*per_group))).select(
-        *df.columns, "_m.*").drop("full_text", "topic_low")
+        *df.columns, "_m.*").drop("full_text", "topic_low", "full_low")
 
 
 PREFIX = 4

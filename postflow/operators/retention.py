@@ -19,8 +19,7 @@ RETENTION = {
 }
 PRE_THRESHOLD, FIT_THRESHOLD = 10, 85
 MAX_DELETIONS = 1000
-EXCLUDED = [".git/**", "config.yaml", "config_template.yaml", "requirements.txt", "README.md",
-            "main.py", "file_purger.py", "venv/**"]
+EXCLUDED = [".git/**", "venv/**", "config.yaml", "requirements.txt", "README.md"]
 
 
 def posting_category(state: Column, pre_score: Column, fit_score: Column,

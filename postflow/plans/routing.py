@@ -147,7 +147,7 @@ def route(entries: DataFrame, state: State, pages: DataFrame, setup: Setup) -> D
     results = matching.filter_results(checked, setup.groups, setup.now, "pending")
     return checked.withColumn("results", F.when(F.col("route") == "check", results)
                               .otherwise(F.slice(results, 1, 0))) \
-        .drop("full_text", "topic_low")
+        .drop("full_text", "topic_low", "full_low")
 
 
 def _decisions(routed: DataFrame, setup: Setup) -> DataFrame:
