@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import functions as F
 
-from ..functions import postings as P, responses as R, text as T
+from ..functions import pii, postings as P, responses as R, text as T
 from ..operators import counters, evaluation, pages as PG, similarity, suitability
 from ..plans import scoring
-from ..sources import config
-from .base import NL, NOW, POSTING_CTE, TODAY, cte, hit, matched_sql, postings, query, s, table, text, view
-from .joins import VECTORS, profiles, terms_cte
-from .projections import (ANSWER, ANSWER_CTE, BODY, BODY_CTE, FOLD, PII_SQL, PII_VIEW, STOP_SQL, TOKEN_RE, bodies, canon_sql, fold_sql, must_sql, re,
+from .base import NL, POSTING_CTE, TODAY, hit, postings, query, s, table, text, view
+from .joins import VECTORS, profiles
+from .projections import (ANSWER, BODY_CTE, PII_SQL, PII_VIEW, STOP_SQL, TOKEN_RE, bodies, fold_sql, must_sql, re,
                           start_sql, workload_sql)
-from .streams import NET, ROUTE_SQL, outcome
+from .streams import ROUTE_SQL, outcome
 
 
 @query("c1_similarity_score", f"""WITH {VECTORS}, r AS (SELECT dv.doc_id, pv.profile_id, dv.term, row_number() OVER (PARTITION BY dv.doc_id, pv.profile_id ORDER BY x * w DESC, pos) AS rn FROM dv JOIN pv ON pv.term = dv.term),
@@ -113,7 +110,7 @@ LIMITS = evaluation.Limits(max_input_tokens=1800, max_calls_per_run=40, daily_bu
 @query("c4_evaluation_requests", f"""{PII_SQL}, sc AS (SELECT doc_id, trim(x, ' ' || chr(10) || chr(9)) AS x FROM t6),
 tr AS (SELECT doc_id, x, length(x) > 4000 AS cut, CASE WHEN length(x) > 4000 THEN rtrim(substr(x, 1, 1950), ' ' || {NL}) || {' || chr(10) || '.join(text(p) for p in T.TRUNCATION_MARK.split(chr(10)))} || ltrim(right(x, 1950), ' ' || {NL}) ELSE x END AS y FROM sc),
 g AS (SELECT *, trim(regexp_replace(regexp_replace(x, '\\[(?:EMAIL|PHONE|IBAN|NAME|SCRUBBED)\\]', '', 'g'), '\\s+', ' ', 'g')) AS u FROM tr),
-sf AS (SELECT *, length(u) >= 150 AND NOT regexp_matches(u, {text(__import__('postflow.functions.pii', fromlist=['x']).PHONE)}) AND NOT regexp_matches(u, {text(__import__('postflow.functions.pii', fromlist=['x']).EMAIL)}) AND NOT regexp_matches(u, {text('(?i)' + __import__('postflow.functions.pii', fromlist=['x']).IBAN_LEFT)}) AS safe,
+sf AS (SELECT *, length(u) >= 150 AND NOT regexp_matches(u, {text(pii.PHONE)}) AND NOT regexp_matches(u, {text(pii.EMAIL)}) AND NOT regexp_matches(u, {text('(?i)' + pii.IBAN_LEFT)}) AS safe,
  greatest(1, (length(y) + {len(PROMPT.replace('{note}', '').replace('{profiles}', '').replace('{text}', '').replace('{profile_ids}', '')) + len('[' + ', '.join(f'"{p}"' for p in DIGESTS) + ']') + len(chr(10) * 2) + sum(len(f'<profile id="{p}">') + 1 + len(v) + 1 + len('</profile>') for p, v in DIGESTS.items())} + CASE WHEN cut THEN {len(R.TRUNCATION_NOTE)} ELSE 0 END) // 4) AS tk FROM g),
 rq AS (SELECT doc_id, CAST(tk * 0.25e-6 + 1024 * 1.25e-6 AS DECIMAL(18,6)) AS cost FROM sf WHERE safe), rn AS (SELECT doc_id, cost, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS i, sum(cost) OVER (ORDER BY CAST(doc_id AS VARCHAR) ROWS UNBOUNDED PRECEDING) AS run FROM rq)
 SELECT CAST(sf.doc_id AS VARCHAR) AS project_id, tk AS est_input_tokens, cut AS input_truncated, CASE WHEN NOT safe THEN 'unsafe_content' WHEN i <= 40 AND run <= 0.05 THEN 'send' ELSE 'pending_retry' END AS action FROM sf LEFT JOIN rn ON rn.doc_id = sf.doc_id""")
@@ -136,7 +133,7 @@ def c5(spark, d):
     return evaluation.ingest(answers, ["alpha", "beta"]).select("project_id", "evaluation_status", "best_profile", "best_score")
 
 
-_C6_VECTORS = VECTORS.replace("'documents'", "").replace("FROM documents)", "FROM (SELECT doc_id, body AS text FROM b WHERE NOT regexp_matches(body, '- [*][*]Score:[*][*]\\s*\\d+/100')))")
+_C6_VECTORS = VECTORS.replace("FROM documents)", "FROM (SELECT doc_id, body AS text FROM b WHERE NOT regexp_matches(body, '- [*][*]Score:[*][*]\\s*\\d+/100')))")
 
 
 @query("c6_score_backfill", f"""WITH {BODY_CTE}, {_C6_VECTORS}, best AS (SELECT doc_id, max(score) AS score FROM scores GROUP BY doc_id)
