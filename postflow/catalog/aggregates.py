@@ -214,9 +214,9 @@ def o2_info(spark, d):
     return C.page_info(C.corpus_query(corpus(spark, d), FILTER), 2, 10)
 
 
-@query("o3_ui_order", f"WITH {CORPUS_CTE} SELECT id, company FROM c ORDER BY lower(coalesce(company, '')) DESC, id LIMIT 50")
+@query("o3_ui_order", f"WITH {CORPUS_CTE} SELECT id, company FROM c ORDER BY lower(coalesce(company, '')) DESC, id")
 def o3(spark, d):
-    return C.page(C.ui_order(corpus(spark, d), "company", ascending=False), 1, 50).select("id", "company")
+    return C.ui_order(corpus(spark, d), "company", ascending=False).select("id", "company")
 
 
 @query("o4_recent_activity", f"""WITH {STATE_EVENT_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC) AS rn FROM e)

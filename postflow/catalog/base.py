@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import LOCAL_SPREAD
 from ..sources.config import SearchGroup, load_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,19 +33,14 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    # Only a local session asks for this: its test files are one row group each.
+    spread = spark.conf.get(LOCAL_SPREAD, None)
+    return df.repartition(int(spread)) if spread and name in TEXT_TABLES else df
 
 
-# Long texts: work per row is heavy, so a scan with fewer splits than cores is spread first.
 TEXT_TABLES = {"documents", "pages"}
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the files give fewer splits; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def view(spark: SparkSession, sf_dir: str, name: str, columns: dict[str, str]) -> DataFrame:
     return table(spark, sf_dir, name).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
@@ -139,6 +135,7 @@ STATE_EVENT = {
                 "WHEN 'signup' THEN 'accepted' WHEN 'click' THEN 'applied' WHEN 'purchase' THEN 'sent' "
                 "ELSE CASE WHEN event_id % 3 = 0 THEN 'scraped' ELSE 'rejected' END END",
     "force": "event_id % 17 = 0",
+    "ui_context": "event_id % 23 = 0",
 }
 STATE_EVENT_CTE = cte("e", "events", STATE_EVENT)
 
@@ -152,8 +149,8 @@ FEED_ENTRY = {
     "feed": "'https://feeds.example.com/' || substr(regexp_extract(url, '[.]example[.]([a-z]+)', 1), 1, 3) || '.xml'",
     "entry_ord": "page_id",
     "link": "url",
-    "title": "substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 200)",
-    "summary": "substr(regexp_extract(html, '<article><h1>([^<]*)</h1>', 1), 1, 400)",
+    "title": "regexp_extract(html, '<title>([^<]*)</title>', 1)",
+    "summary": "regexp_extract(html, '<article><h1>([^<]*)</h1>', 1)",
     "published": "CASE WHEN page_id % 8 = 0 THEN NULL ELSE CAST('2024-01-' || lpad(CAST(1 + page_id % 30 AS STRING), 2, '0') "
                  "|| ' 00:00:00' AS TIMESTAMP) END",
     "page_id": "page_id",
@@ -169,7 +166,7 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 GROUP_CONFIG = {"search_groups": {
     "anglo": {"priority": 1, "display_name": "Anglo", "providers": {"freelancermap": {"channels": {"rss": {
         "feed_urls": ["https://feeds.example.com/com.xml", "https://feeds.example.com/net.xml"],
-        "limit": 1000000, "max_age_days": 0}}}},
+        "limit": None, "max_age_days": 0}}}},
         "filters": {"include_terms": ["anat", "thha*", "That of", "onre", "an-at*", "ing the"],
                     "include_min_matches": 2,
                     "exclude_terms": ["ndble", "the[aei]rou", "(unclosed"],
@@ -179,7 +176,7 @@ GROUP_CONFIG = {"search_groups": {
                     "language": {"allowed": ["de", "en"]}, "max_age_days": 14}},
     "romance": {"priority": 2, "display_name": "Romance", "providers": {"freelancermap": {"channels": {"rss": {
         "feed_urls": ["https://feeds.example.com/org.xml", "https://feeds.example.com/net.xml"],
-        "limit": 1000000, "max_age_days": 0}}}},
+        "limit": None, "max_age_days": 0}}}},
         "filters": {"include_terms": ["que", "des", "para", "der", "le la", "sch*"],
                     "work_mode": {"allowed": ["onsite"], "reject_if_unknown": True}}},
 }}

@@ -40,6 +40,29 @@ def j2b(spark, d):
     return matching.match_rule_table(postings(spark, d), config.term_rules(spark, groups()), "doc_id").select("doc_id", "group_id", "term")
 
 
+# Rules with contexts, with signs that are no Latin letter, with one letter and with an open end.
+ODD_RULES = [("odd", {"term": "the", "with": ["para", "wh*"]}), ("odd", {"term": "de", "with": ["mails"]}), ("odd", "||"), ("odd", "é"),
+             ("odd", "+1"), ("odd", "a"), ("sign", "@*"), ("sign", {"term": "(7*", "with": ["|", "@*"]})]
+ODD_TEXT = {"doc_id": "doc_id", "description": "text || CASE doc_id % 4 WHEN 0 THEN ' || para' WHEN 1 THEN ' (7 é' WHEN 2 THEN ' @x +1' ELSE ' (70) |' END"}
+
+
+def _odd_hit(term: str) -> str:
+    """The term rule written out for DuckDB, whose patterns know no look-around."""
+    word, body = "0-9a-zA-ZäöüßÄÖÜ", "".join("\\" + c if c in "+|()@." else c for c in term.rstrip("*"))
+    return f"regexp_matches(description, '(?i)(?:^|[^{word}]){body}" + ("')" if term.endswith("*") else f"(?:[^{word}]|$)')")
+
+
+@query("j2_odd_rules", f"WITH {cte('o', 'documents', ODD_TEXT)} " + " UNION ALL ".join(
+    f"SELECT doc_id, '{g}' AS group_id, {text(r if isinstance(r, str) else r['term'])} AS term FROM o WHERE {_odd_hit(r if isinstance(r, str) else r['term'])}"
+    + ("" if isinstance(r, str) else " AND (" + " OR ".join(_odd_hit(w) for w in r["with"]) + ")") for g, r in ODD_RULES))
+def j2_odd(spark, d):
+    """Context terms and terms without a Latin letter in the rule table."""
+    compiled = [(g, terms.compile_term(r)) for g, r in ODD_RULES]
+    rows = [(g, "include", t.term, [c.term for c in t.context], t.pattern, t.needle, i) for i, (g, t) in enumerate(compiled)]
+    docs = view(spark, d, "documents", ODD_TEXT).select("doc_id", F.col("description"), F.lit("").alias("title"), F.lit("").alias("schlagworte"))
+    return matching.match_rule_table(docs, spark.createDataFrame(rows, config.TERM_RULE), "doc_id").select("doc_id", "group_id", "term")
+
+
 def terms_cte(name: str, source: str, key: str, col: str) -> str:
     return f"""{name}_w AS (SELECT {key}, list_filter(regexp_extract_all({fold_sql(f'lower({col})')}, {TOKEN_RE}), lambda t: length(t) >= 2 AND t NOT IN {STOP_SQL}) AS w FROM {source}),
 {name}_u AS (SELECT {key}, len(w) AS total, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM {name}_w),

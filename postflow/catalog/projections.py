@@ -29,7 +29,7 @@ def p1(spark, d):
 
 
 P2_VIEW = {"page_id": "page_id", "url": "CASE WHEN page_id % 3 = 0 THEN '  ' WHEN page_id % 3 = 1 THEN url ELSE NULL END",
-           "title": "CASE WHEN page_id % 9 = 0 THEN NULL ELSE substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 90) END",
+           "title": "CASE WHEN page_id % 9 = 0 THEN NULL ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END",
            "raw": "url"}
 
 
@@ -498,7 +498,7 @@ ANSWER_CTE = cte("a", "documents", ANSWER)
 
 @query("p35_response_validation", f"""WITH {ANSWER_CTE} SELECT doc_id,
  CASE doc_id % 9 WHEN 0 THEN 'no JSON object in the answer' WHEN 1 THEN 'no JSON object in the answer' WHEN 2 THEN 'key ''evaluations'' is missing or no list'
- WHEN 3 THEN 'unknown profile_id: gamma' WHEN 4 THEN 'duplicate profile_id' WHEN 5 THEN 'score outside [0,100] for beta' WHEN 6 THEN 'score is no number for beta'
+ WHEN 3 THEN 'unknown profile_id: gamma' WHEN 4 THEN 'duplicate profile_id: alpha' WHEN 5 THEN 'score outside [0,100] for beta' WHEN 6 THEN 'score is no number for beta'
  WHEN 7 THEN 'expected 2 entries, got 3' END AS error,
  CASE WHEN doc_id % 9 = 8 THEN CAST(json_extract_string(regexp_extract(raw, '(?s)\\{{.*\\}}', 0), '$.evaluations[1].score') AS INT) END AS second_score,
  CASE WHEN doc_id % 9 = 8 THEN 'a' || source || ',b' END AS matched, CASE WHEN doc_id % 9 = 8 THEN 0 END AS n_missing FROM a""")
@@ -511,6 +511,27 @@ def p35(spark, d):
                      F.when(second.isNotNull(), F.size(second["missing"])).alias("n_missing"))
 
 
+# Faults of single fields: quoted, boolean and broken scores, an entry that is no object, faults in both entries.
+_FAULTS = [
+    ('{"profile_id": "alpha", "score": "55"}, {"profile_id": "beta", "score": 5}', "'score is no number for alpha'", "NULL"),
+    ('{"profile_id": "alpha", "score": true}, {"profile_id": "beta", "score": false}', "NULL", "1"),
+    ('{"profile_id": "alpha", "score": 101}, {"profile_id": "gamma", "score": 5}', "'score outside [0,100] for alpha'", "NULL"),
+    ('{"profile_id": "delta", "score": "x"}, {"profile_id": "gamma", "score": 5}', "'unknown profile_id: delta'", "NULL"),
+    ('{"profile_id": "alpha", "score": 99.9}, {"profile_id": "beta", "score": 100}', "NULL", "99"),
+    ('{"profile_id": "alpha", "score": 1}, 7', "'no object as entry 1'", "NULL"),
+    ('{"profile_id": "beta", "score": null}, {"profile_id": "beta", "score": -1}', "'score is no number for beta'", "NULL"),
+    ('{"profile_id": "beta", "score": -0.5}, {"profile_id": "alpha", "score": -1}', "'score outside [0,100] for alpha'", "NULL"),
+]
+FAULTY = {"doc_id": "doc_id", "raw": pick("doc_id", len(_FAULTS), [text(f'{{"evaluations": [{f}]}}') for f, _, _ in _FAULTS])}
+
+
+@query("p35_entry_faults", f"""SELECT doc_id, {pick("doc_id", len(_FAULTS), [e for _, e, _ in _FAULTS])} AS error,
+ CAST({pick("doc_id", len(_FAULTS), [v for _, _, v in _FAULTS])} AS INT) AS first_score FROM documents""")
+def p35_faults(spark, d):
+    v = view(spark, d, "documents", FAULTY).select("doc_id", R.validate_response(F.col("raw"), ["alpha", "beta"]).alias("v"))
+    return v.select("doc_id", "v.error", F.get("v.evaluations", F.lit(0))["score"].alias("first_score"))
+
+
 @query("p36_priority_label", f"WITH {CORPUS_CTE} SELECT id, CASE WHEN fit_score >= 65 THEN 'high_priority' WHEN fit_score >= 35 THEN 'review' ELSE 'low_priority' END AS label FROM c")
 def p36(spark, d):
     return corpus(spark, d).select("id", R.priority_label(F.col("fit_score")).alias("label"))

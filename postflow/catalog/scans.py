@@ -126,7 +126,7 @@ def s9(spark, d):
 
 MESSAGE = {"mailbox": pick("conv_id", 3, ["'inbox'", "'alerts'", "'jobs'"]), "message_id": f"{s('conv_id')} || '-' || {s('turn')}",
            "ts": "CAST('2024-01-' || lpad(CAST(1 + (conv_id * 7 + turn) % 30 AS STRING), 2, '0') || ' 12:00:00' AS TIMESTAMP)", "sender": "role || '@mail.example.com'",
-           "subject": "substr(text, 1, 80)", "text": "text"}
+           "subject": "text", "text": "text"}
 MESSAGE_CTE = cte("m", "conversations", MESSAGE)
 
 
@@ -151,12 +151,12 @@ def s12(spark, d):
 
 
 @query("s13_rule_dimension", f"""WITH t AS (SELECT lang, unnest(list_distinct(regexp_extract_all({fold_sql('lower(text)')}, {TOKEN_RE}))) AS term FROM documents)
-SELECT lang AS group_id, term, count(*) AS df, '(?<![{terms.WORD}])' || regexp_replace(term, '([^{terms.WORD}_])', '\\\\\\1', 'g') || '(?![{terms.WORD}])' AS pattern FROM t GROUP BY lang, term HAVING count(*) >= 20""")
+SELECT lang AS group_id, term, count(*) AS df, '(?<![{terms.WORD}])' || regexp_replace(term, '([^{terms.WORD}_])', '\\\\\\1', 'g') || '(?![{terms.WORD}])' AS pattern FROM t GROUP BY lang, term""")
 def s13(spark, d):
     """A rule table made from the corpus: frequent words per language, compiled in Spark."""
     from ..functions.text import raw_tokens
     words = table(spark, d, "documents").select("lang", F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"))
-    return words.groupBy(F.col("lang").alias("group_id"), "term").agg(F.count("*").alias("df")).where("df >= 20") \
+    return words.groupBy(F.col("lang").alias("group_id"), "term").agg(F.count("*").alias("df"))\
         .withColumn("pattern", terms.term_pattern(F.col("term")))
 
 

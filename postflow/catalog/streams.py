@@ -26,7 +26,7 @@ ROUTE_CONFIG = {"search_groups": {
 
 
 def setup(**changes) -> routing.Setup:
-    return routing.Setup(**{"groups": config.load_groups(ROUTE_CONFIG, PREFILTER_TERMS), "now": NOW, "prefilter": PREFILTER_TERMS, "max_page_reads": 60, **changes})
+    return routing.Setup(**{"groups": config.load_groups(ROUTE_CONFIG, PREFILTER_TERMS), "now": NOW, "prefilter": PREFILTER_TERMS, **changes})
 
 
 FINGERPRINTS = {g.group_id: g.fingerprint for g in config.load_groups(ROUTE_CONFIG, PREFILTER_TERMS)}
@@ -34,14 +34,14 @@ FINGERPRINTS = {g.group_id: g.fingerprint for g in config.load_groups(ROUTE_CONF
 
 def entries(spark, d):
     """Every page is sighted in its own feed and once more in a second one."""
-    first = feed_entries(spark, d)
-    again = first.withColumn("feed", F.expr(NET)).withColumn("entry_ord", F.col("entry_ord") + 1_000_000) \
+    first = feed_entries(spark, d).withColumn("entry_ord", 2 * F.col("entry_ord"))
+    again = first.withColumn("feed", F.expr(NET)).withColumn("entry_ord", F.col("entry_ord") + 1) \
         .withColumn("link", F.concat("link", F.lit("#again")))
     return first.unionByName(again).drop("page_id")
 
 
 # What earlier runs left: decisions for links seen over https, ids for .net pages without query.
-PRIOR = {"page_id": "page_id", "url": "url", "title": "substr(regexp_extract(html, '<title>([^<]*)</title>', 1), 1, 200)", "html": "html",
+PRIOR = {"page_id": "page_id", "url": "url", "title": "regexp_extract(html, '<title>([^<]*)</title>', 1)", "html": "html",
          "decision": pick("page_id", 4, ["'captured'", "'existing'", "'filtered'", "'filtered'"]),
          "terms": f"CASE WHEN page_id % 5 = 0 THEN 'old' ELSE '{FINGERPRINTS['anglo']}' END",
          "status": pick("page_id", 9, ["'error'"] + ["NULL"] * 8)}
@@ -83,7 +83,7 @@ def _any(group: str, column: str) -> str:
 
 
 ROUTE_SQL = f"""WITH {FEED_CTE}, {cte('pr', 'pages', PRIOR)},
-ent AS (SELECT feed, entry_ord, link, title, summary FROM f UNION ALL SELECT {NET}, entry_ord + 1000000, link || '#again', title, summary FROM f),
+ent AS (SELECT feed, 2 * entry_ord AS entry_ord, link, title, summary FROM f UNION ALL SELECT {NET}, 2 * entry_ord + 1, link || '#again', title, summary FROM f),
 en AS (SELECT *, {canon_sql('link')} AS url_key, feed NOT LIKE '%org.xml' AS ga, feed NOT LIKE '%com.xml' AS gr FROM ent),
 lst AS (SELECT * FROM (SELECT *, {canon_sql('url')} AS url_key, row_number() OVER (PARTITION BY {canon_sql('url')} ORDER BY page_id DESC) AS rn FROM pr) WHERE rn = 1),
 u AS (SELECT url_key, bool_or(ga) AS ga, bool_or(gr) AS gr, min((feed, entry_ord)) AS o, arg_min(title, (feed, entry_ord)) AS title, arg_min(summary, (feed, entry_ord)) AS summary FROM en GROUP BY url_key),
@@ -93,7 +93,7 @@ q AS (SELECT *, ga AND va IS NULL AS pa, gr AS prm, ga AND coalesce(va IN ('capt
 x AS (SELECT *, NOT known AND (pa OR prm) AND NOT (pa AND {_any('anglo', "(title || ' ; ' || coalesce(summary, ''))")}) AND NOT (prm AND {_any('romance', "(title || ' ; ' || coalesce(summary, ''))")})
   AND ({' OR '.join(hit(t, 'title') for t in PREFILTER_TERMS)}) AS excl FROM q),
 nd AS (SELECT *, (pa OR prm) AND NOT known AND NOT excl AS needs FROM x),
-tk AS (SELECT *, needs AND row_number() OVER (PARTITION BY needs ORDER BY o, url_key) > 60 AS deferred FROM nd),
+tk AS (SELECT *, false AS deferred FROM nd),
 rt AS (SELECT *, CASE WHEN NOT (pa OR prm) THEN 'decided' WHEN known AND NOT had THEN 'existing' WHEN excl THEN 'prefiltered' WHEN deferred THEN 'deferred' WHEN needs AND NOT landed THEN 'error' WHEN NOT needs AND NOT stored THEN 'error' ELSE 'check' END AS route,
   ptitle || ' ' || html AS t FROM tk),
 ck AS (SELECT *, route = 'check' AND pa AND ({_count('anglo', 't')}) >= 3 AS ok_a, route = 'check' AND prm AND ({_count('romance', 't')}) >= 3 AS ok_r FROM rt),
@@ -130,9 +130,9 @@ def t2(spark, d):
 @query("t2_dedupe_stream", f"SELECT DISTINCT {canon_sql('url')} AS url_key FROM pages")
 def t2_stream(spark, d):
     base = f"{shared_dir(spark)}/dedupe-{uuid.uuid4().hex}"
-    landed = entries(spark, d).withColumn("published", F.coalesce("published", F.lit(NOW)))
+    landed = entries(spark, d)
     landed.write.parquet(f"{base}/landing")
-    stream = SI.dedupe_stream(spark.readStream.schema(landed.schema).parquet(f"{base}/landing")).select("url_key")
+    stream = SI.dedupe_stream(spark.readStream.schema(landed.schema).parquet(f"{base}/landing"), NOW).select("url_key")
     stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp") \
         .trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -175,10 +175,27 @@ def t7(spark, d):
     return feeds.recent(feed_entries(spark, d), NOW, 10).select("page_id")
 
 
+LATE = "published > (SELECT max(published) FROM f WHERE page_id % 3 = 0) - INTERVAL 7 DAY"
+
+
+@query("t7_late_stream", f"WITH {FEED_CTE} SELECT page_id FROM f WHERE page_id % 3 < 2 OR published IS NULL OR {LATE}")
+def t7_stream(spark, d):
+    """Three landings; Spark filters a batch by the watermark that the batch before has worked with, so
+    rows of the third are late by the dates of the first.  Undated ones stay."""
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    landed = feed_entries(spark, d)
+    for part in range(3):
+        landed.where(F.col("page_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/landing/part={part}")
+    entries = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing/*")
+    SI.drop_late(entries, ["page_id"]).writeStream.format("parquet").option("path", f"{base}/out") \
+        .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("page_id")
+
+
 FOLD_SQL = f"""WITH RECURSIVE {STATE_EVENT_CTE}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, event_id) AS rn FROM e),
 w AS (SELECT project_id, event_id, rn, CAST(NULL AS VARCHAR) AS from_state, to_state, true AS accepted, to_state AS state FROM n WHERE rn = 1
- UNION ALL SELECT n.project_id, n.event_id, n.rn, w.state, n.to_state, n.force OR w.state || '>' || n.to_state IN {ARROWS_SQL},
-  CASE WHEN n.force OR w.state || '>' || n.to_state IN {ARROWS_SQL} THEN n.to_state ELSE w.state END FROM w JOIN n ON n.project_id = w.project_id AND n.rn = w.rn + 1)"""
+ UNION ALL SELECT n.project_id, n.event_id, n.rn, w.state, n.to_state, n.force OR n.ui_context OR w.state || '>' || n.to_state IN {ARROWS_SQL},
+  CASE WHEN n.force OR n.ui_context OR w.state || '>' || n.to_state IN {ARROWS_SQL} THEN n.to_state ELSE w.state END FROM w JOIN n ON n.project_id = w.project_id AND n.rn = w.rn + 1)"""
 
 
 @query("t8_state_fold", f"{FOLD_SQL} SELECT event_id, from_state, to_state, accepted, state FROM w")
@@ -197,10 +214,10 @@ def t8_stream(spark, d):
     return spark.read.parquet(f"{base}/out").select("event_id", "from_state", "to_state", "accepted", "state")
 
 
-@query("t8_history_notes", f"""{FOLD_SQL} SELECT w.event_id, CASE WHEN n.force THEN 'Manual override: ' || coalesce(from_state, 'none') || ' → ' || w.to_state END AS note FROM w JOIN n ON n.event_id = w.event_id WHERE accepted""")
+@query("t8_history_notes", f"""{FOLD_SQL} SELECT w.event_id, CASE WHEN n.force THEN 'Manual override: ' || coalesce(from_state, 'none') || ' → ' || w.to_state WHEN n.ui_context THEN 'UI state change: ' || coalesce(from_state, 'none') || ' → ' || w.to_state END AS note FROM w JOIN n ON n.event_id = w.event_id WHERE accepted""")
 def t8_notes(spark, d):
     folded = lifecycle.fold_states(state_events(spark, d), "project_id", ["ts", "event_id"]).where("accepted")
-    entry = lifecycle.history_entry(F.col("from_state"), F.col("to_state"), F.lit(None).cast("string"), F.col("force"), F.lit(False))
+    entry = lifecycle.history_entry(F.col("from_state"), F.col("to_state"), F.lit(None).cast("string"), F.col("force"), F.col("ui_context"))
     return folded.select("event_id", entry["note"].alias("note"))
 
 

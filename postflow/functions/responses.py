@@ -62,35 +62,45 @@ def _clean_list(raw: Column) -> Column:
     return F.coalesce(F.filter(cleaned, lambda v: v != ""), F.expr("cast(array() as array<string>)"))
 
 
+def _entry_error(entry: Column, pos: Column, ids: Column, profile_ids: list[str]) -> Column:
+    """The first fault of one entry, in the order in which its fields are read."""
+    pid = F.coalesce(F.get(ids, pos), F.lit(""))
+    kind = F.coalesce(F.schema_of_variant(F.try_variant_get(entry, "$.score", "variant")), F.lit("VOID"))
+    return F.when(~F.schema_of_variant(entry).startswith("OBJECT"), F.concat(F.lit("no object as entry "), pos.cast("string"))) \
+        .when(~pid.isin(profile_ids), F.concat(F.lit("unknown profile_id: "), pid)) \
+        .when(F.array_position(ids, pid) <= pos, F.concat(F.lit("duplicate profile_id: "), pid)) \
+        .when(~kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$"), F.concat(F.lit("score is no number for "), pid)) \
+        .when(~F.coalesce(_score(entry).between(0, 100), F.lit(False)), F.concat(F.lit("score outside [0,100] for "), pid))
+
+
+def _score(entry: Column) -> Column:
+    """A number cut to whole points; true and false count as 1 and 0."""
+    return F.coalesce(F.try_variant_get(entry, "$.score", "double").try_cast("int"),
+                      F.try_variant_get(entry, "$.score", "boolean").cast("int"))
+
+
 def validate_response(raw: Column, profile_ids: list[str]) -> Column:
-    """struct(evaluations, error); exactly one of the two is set."""
+    """struct(evaluations, error); exactly one of the two is set.
+
+    The entries are checked in order and the first fault of the first faulty entry is told.
+    """
     body = blank_to_null(F.regexp_extract(raw, r"(?s)\{.*\}", 0))
-    parsed = F.from_json(body, RESPONSE)
-    items = parsed["evaluations"]
+    document = F.try_parse_json(body)
+    entries = F.try_variant_get(document, "$.evaluations", "array<variant>")
+    items = F.from_json(body, RESPONSE)["evaluations"]
     n = len(profile_ids)
-    ids = F.transform(items, lambda e: F.coalesce(e["profile_id"], F.lit("")))
-    unknown = F.filter(ids, lambda p: ~p.isin(profile_ids))
-    number = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
-    not_number = F.filter(items, lambda e: ~F.coalesce(e["score"].rlike(number), F.lit(False)))
-    outside = F.filter(items, lambda e: ~F.coalesce(
-        e["score"].try_cast("double").try_cast("int").between(0, 100), F.lit(False)))
-    well_formed = F.coalesce(F.try_parse_json(body).isNotNull(), F.lit(False))
+    ids = F.transform(entries, lambda e: F.coalesce(F.try_variant_get(e, "$.profile_id", "string"), F.lit("")))
+    faults = F.array_compact(F.transform(entries, lambda e, i: _entry_error(e, i, ids, profile_ids)))
     error = (
         F.when(body.isNull(), "no JSON object in the answer")
-        .when(~well_formed, "JSON does not parse")
-        .when(items.isNull(), "key 'evaluations' is missing or no list")
-        .when(F.size(items) != n, F.concat(F.lit(f"expected {n} entries, got "),
-                                           F.size(items).cast("string")))
-        .when(F.size(unknown) > 0, F.concat(F.lit("unknown profile_id: "), F.get(unknown, F.lit(0))))
-        .when(F.size(F.array_distinct(ids)) < n, "duplicate profile_id")
-        .when(F.size(not_number) > 0, F.concat(F.lit("score is no number for "),
-                                               F.get(not_number, F.lit(0))["profile_id"]))
-        .when(F.size(outside) > 0, F.concat(F.lit("score outside [0,100] for "),
-                                            F.get(outside, F.lit(0))["profile_id"]))
+        .when(document.isNull(), "JSON does not parse")
+        .when(entries.isNull(), "key 'evaluations' is missing or no list")
+        .when(F.size(entries) != n, F.concat(F.lit(f"expected {n} entries, got "), F.size(entries).cast("string")))
+        .otherwise(F.get(faults, F.lit(0)))
     )
-    valid = F.transform(items, lambda e: F.struct(
+    valid = F.transform(items, lambda e, i: F.struct(
         e["profile_id"].alias("profile_id"),
-        e["score"].try_cast("double").try_cast("int").alias("score"),
+        _score(F.get(entries, i)).alias("score"),
         _clean_list(e["matched"]).alias("matched"),
         _clean_list(e["missing"]).alias("missing"),
         F.substring(F.coalesce(e["rationale"], F.lit("")), 1, MAX_RATIONALE).alias("rationale"),

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import pii, responses, text as X, urls
-from ..session import broadcast_if_small, cut_lineage
 from .ordered import running_sum
 
 
@@ -19,7 +18,7 @@ class Limits:
     max_cost_per_call: float = 0.05
     daily_budget: float = 2.0
     monthly_budget: float = 20.0
-    max_calls_per_run: int = 50
+    max_calls_per_run: int | None = 50  # None: the budgets alone decide
     high_threshold: int = responses.HIGH_THRESHOLD
     low_threshold: int = responses.LOW_THRESHOLD
 
@@ -89,19 +88,20 @@ def admit(requests: DataFrame, cost_log: DataFrame, today: dt.date, order: list[
           limits: Limits = Limits()) -> DataFrame:
     """W10 for one run: adds ``budget_reason``, null where a call is admitted.
 
-    Calls are admitted in order while day and month budgets last.  A run makes at most
-    ``max_calls_per_run`` calls, so only that many candidates can be admitted: a
-    distributed top-n finds them and the running sum covers just these rows.
+    Calls are admitted in order while day and month budgets last.  A run with a call
+    limit can admit no more candidates than that: a distributed top-n finds them and the
+    running sum covers just these rows.  Without one the running sum covers all.
     """
     used = spent(cost_log, today).first()  # one row of two numbers
     left = min(limits.daily_budget - float(used["daily_usd"]), limits.monthly_budget - float(used["monthly_usd"]))
     too_dear = F.col("est_cost") > limits.max_cost_per_call
-    candidates = requests.where(~too_dear).select(*order, "est_cost") \
-        .orderBy(*order).limit(limits.max_calls_per_run)
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    admitted = candidates.withColumn("_sum", F.sum("est_cost").over(w)) \
-        .where(F.col("_sum") <= left).select(*order, F.lit(True).alias("_admitted"))
-    admitted = broadcast_if_small(cut_lineage(admitted), limits.max_calls_per_run)
+    candidates = requests.where(~too_dear).select(*order, "est_cost")
+    if limits.max_calls_per_run is None:
+        summed = running_sum(candidates, [], order, F.col("est_cost"), "_sum")
+    else:
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = candidates.orderBy(*order).limit(limits.max_calls_per_run).withColumn("_sum", F.sum("est_cost").over(w))
+    admitted = summed.where(F.col("_sum") <= left).select(*order, F.lit(True).alias("_admitted"))
     reason = F.when(too_dear, "cost per call") \
         .when(F.col("_admitted").isNull(), "run, day or month limit")
     return requests.join(admitted, order, "left").withColumn("budget_reason", reason).drop("_admitted")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..model import STATES, TRANSITIONS
@@ -33,6 +35,15 @@ def check_timeline(events: DataFrame, key: str, order: list[str], state: str = "
         .withColumn("valid", is_valid(F.col("from_state"), F.col(state)))
 
 
+OVERRIDE = "_override"
+
+
+def with_override(events: DataFrame) -> DataFrame:
+    """Adds the flag of forced changes and of those made in the user interface."""
+    flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("force", "ui_context") if c in events.columns]
+    return events.withColumn(OVERRIDE, reduce(lambda a, b: a | b, flags, F.lit(False)))
+
+
 def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """T8, batch: every event with ``from_state``, ``accepted`` and the state after it.
 
@@ -40,12 +51,13 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     of a posting.  The domain is small, though: a slice of events is summarised by the
     state it leads to from each possible start.  The summaries of a posting are chained,
     then all slices are replayed side by side from their start state.  A posting with a
-    third of all events is thus spread like any other.
+    third of all events is thus spread like any other.  ``force`` and, where there is such
+    a column, ``ui_context`` let a change through whatever the matrix says.
     """
-    cut = slices(events, [key] + order)
+    cut = slices(with_override(events), [key] + order)
     known = [None] + STATES + [OTHER]
     # The checkpoint keeps slices and partitions one to one, so sorting inside is enough.
-    maps = cut.select(key, SLICE, *order, "to_state", "force").sortWithinPartitions(key, *order).mapInPandas(
+    maps = cut.select(key, SLICE, *order, "to_state", OVERRIDE).sortWithinPartitions(key, *order).mapInPandas(
         _summarise(key, known), f"`{key}` {dict(cut.dtypes)[key]}, {SLICE} int, _map array<string>")
     # One small array per slice of a posting.
     chain = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(SLICE, "_map"))).alias("_chain"))
@@ -65,7 +77,7 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     begun = chain.select(key, F.explode(F.aggregate("_chain", zero, advance)["starts"]).alias("b")) \
         .select(key, f"b.{SLICE}", "b.start")
     joined = cut.join(begun, [key, SLICE]).sortWithinPartitions(key, SLICE, *order)
-    fields = [f for f in joined.schema.fields if f.name not in (SLICE, "start")]
+    fields = [f for f in joined.schema.fields if f.name not in (SLICE, "start", OVERRIDE)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     replay = _replay(key, [f.name for f in fields])
     return joined.mapInPandas(replay, f"{schema}, from_state string, accepted boolean, state string")
@@ -93,7 +105,7 @@ def _summarise(key: str, known: list):
 
         for pdf in batches:
             done = []
-            for k, part, target, force in zip(pdf[key], pdf[SLICE], pdf["to_state"], pdf["force"]):
+            for k, part, target, force in zip(pdf[key], pdf[SLICE], pdf["to_state"], pdf[OVERRIDE]):
                 if (k, part) != current:
                     if current is not None:
                         done.append(row())
@@ -117,7 +129,7 @@ def _replay(key: str, columns: list[str]):
         current, state = None, None
         for pdf in batches:
             before, taken, after = [], [], []
-            rows = zip(pdf[key], pdf[SLICE], pdf["start"], pdf["to_state"], pdf["force"])
+            rows = zip(pdf[key], pdf[SLICE], pdf["start"], pdf["to_state"], pdf[OVERRIDE])
             for k, part, start, target, force in rows:
                 if (k, part) != current:
                     current, state = (k, part), start

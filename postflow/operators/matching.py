@@ -11,7 +11,6 @@ from ..functions import postings as P, terms as T
 from ..functions.markdown import iso_timestamp
 from ..functions.text import blank_to_null, full_text, let, strip, tag_text
 from ..model import CHECK
-from ..session import broadcast_if_small
 from ..sources.config import Choice, Filters, SearchGroup
 
 TEXT_FIELDS = ["title", "description", "summary", "body", "content"]
@@ -258,35 +257,38 @@ def match_terms(df: DataFrame, groups: list[SearchGroup]) -> DataFrame:
 
 
 PREFIX = 4
+WORDS = r"[0-9a-zäöüß]+"
+
+
+def _begin_keys(low: Column) -> Column:
+    """The distinct word beginnings (1 to 4 letters) and other signs of a text."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)), lambda w: F.substring(w, 1, PREFIX)))
+    begins = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
+    others = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[^0-9a-zäöüß\s]"), F.lit(0)))
+    return F.concat(begins, F.transform(others, lambda c: F.concat(F.lit("\1"), c)))
 
 
 def match_rule_table(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """J2 for large rule tables: (posting, group, term) by an equi-join on word prefixes.
+    """J2 for rule tables: (posting, group, term) by an equi-join on word beginnings.
 
     A term starts at a word start, so the text must hold a word that begins like the
-    first word of the term.  The distinct word beginnings of a text (1 to 4 letters) are
-    joined with the rules on that beginning; only these candidates meet the pattern.
-    Every true match is a candidate, so the result equals :func:`match_terms`.
+    first word of the term; a term without such letters is keyed by its first sign.
+    The distinct keys of a text meet the rules without the text; only the candidates
+    (key, rule) then meet the text, its pattern and its context terms.  Every true match
+    is a candidate, so the result equals :func:`match_terms`.  ``key`` is unique.
     """
     df = df if "topic_low" in df.columns else with_texts(df)
-    first_word = F.regexp_extract(T.search_form(F.col("term")), r"[0-9a-zäöüß]+", 0)
-    keyed = rules.withColumn("_prefix", F.substring(first_word, 1, PREFIX))
-    n_rules = keyed.count()
-    words = F.array_distinct(F.transform(
-        F.regexp_extract_all("topic_low", F.lit("[0-9a-zäöüß]+"), F.lit(0)),
-        lambda w: F.substring(w, 1, PREFIX)))
-    prefixes = F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
-    small = n_rules <= 100_000
-    if small:
-        candidates = df.select(key, "topic_low", F.explode(prefixes).alias("_prefix")) \
-            .join(F.broadcast(keyed), "_prefix")
-    else:
-        # The texts stay out of the shuffle: candidate keys first, texts joined back by key.
-        pairs = df.select(key, F.explode(prefixes).alias("_prefix")).join(keyed, "_prefix")
-        candidates = pairs.join(df.select(key, "topic_low"), key)
-    found = candidates.where(F.col("topic_low").contains(F.col("needle"))
-                             & F.expr("topic_low rlike pattern"))
+    low_term = T.search_form(F.trim(F.col("term")))
+    word = F.regexp_extract(low_term, WORDS, 0)
+    keyed = rules.withColumn("_begin", F.when(word != "", F.substring(word, 1, PREFIX))
+                             .otherwise(F.concat(F.lit("\1"), F.substring(low_term, 1, 1))))
+    pairs = df.select(key, F.explode(_begin_keys(F.col("topic_low"))).alias("_begin")).join(keyed, "_begin").drop("_begin")
+    candidates = pairs.join(df.select(key, "topic_low"), key)
+    low = F.col("topic_low")
+    in_context = F.exists("context_terms", lambda c: F.rlike(low, T.term_pattern(c)))
+    found = candidates.where(low.contains(F.col("needle")) & F.expr("topic_low rlike pattern")
+                             & ((F.size("context_terms") == 0) | in_context))
     return found.select(key, "group_id", "term", "term_ord")
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import urls
-from ..functions.text import blank_to_null, let, strip
+from ..functions.text import blank_to_null, let, rest, strip
 
 # --- Fixed values: labels of the detail block, entities ----------------------
 LABELS = ["Start", "Von", "Auslastung", "Eingestellt", "Ansprechpartner:", "Projekt-ID:",
@@ -65,7 +65,7 @@ def to_markdown(fragment: Column) -> Column:
 
 def sections(html: Column) -> Column:
     """Array of struct(heading, text), one per h1-h4, text up to the next heading."""
-    pieces = F.slice(F.split(without_code(html), r"(?i)<h[1-4]\b[^>]*>"), 2, 1_000_000)
+    pieces = rest(F.split(without_code(html), r"(?i)<h[1-4]\b[^>]*>"))
     halves = F.transform(pieces, lambda p: F.split(p, r"(?i)</h[1-4]\s*>", 2))
     return F.transform(halves, lambda p: F.struct(
         inner_text(F.get(p, F.lit(0))).alias("heading"),

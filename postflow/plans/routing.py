@@ -15,8 +15,7 @@ from ..session import broadcast_if_small, cut_lineage
 from ..sources import config, feeds
 from ..sources.config import SearchGroup
 
-# --- Fixed values: page reads per run, marks of appended sections ------------
-MAX_PAGE_READS = 60
+# --- Fixed values: marks of appended sections --------------------------------
 APPENDED = r"## Vorbewertung|## 🤖 AI Evaluation Results"
 
 
@@ -35,7 +34,7 @@ class Setup:
     groups: list[SearchGroup]
     now: dt.datetime
     prefilter: list = field(default_factory=list)
-    max_page_reads: int | None = MAX_PAGE_READS
+    max_page_reads: int | None = None  # W9: pages one run may read
     suitability_rules: dict | None = None
     channel: str = "rss"
 
@@ -55,7 +54,7 @@ def scan_entries(entries: DataFrame, setup: Setup) -> DataFrame:
     spark = entries.sparkSession
     subs = config.subscriptions(spark, setup.groups)
     shared = config.shared_feeds(subs)
-    largest = max((limit for g in setup.groups for _, _, limit, _ in g.feeds), default=0)
+    largest = max((limit for g in setup.groups for _, _, limit, _ in g.feeds if limit), default=0)
     joined = entries.join(F.broadcast(shared), ["provider", "feed"])  # configuration-sized
     found = feeds.first_entries(joined, limit="limit", max_limit=largest, by=("provider", "feed"))
     found = L.nonblank_link(feeds.recent(found, setup.now, "max_age_days"))

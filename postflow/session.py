@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Names the number of tasks that local sessions deal the test texts to; unset on a cluster.
+LOCAL_SPREAD = "spark.postflow.localSpread"
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the benchmark; a cluster brings its own."""
     return (
@@ -18,6 +23,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(LOCAL_SPREAD, str(os.cpu_count() if cores == "*" else cores))
         .config("spark.driver.memory", os.environ.get("POSTFLOW_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -26,11 +32,13 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    ``spark.checkpoint.dir`` is the cluster's setting.  Only where it is unset
-    (local tests) is a temporary folder made and remembered in the session.
+    ``spark.checkpoint.dir`` is the cluster's setting.  Only a session on one machine may do
+    without: a temporary folder is made and remembered in the session.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -91,7 +91,7 @@ class SearchGroup:
     display_name: str = ""
     priority: int = 10
     enabled: bool = True
-    feeds: tuple[tuple[str, str, int, int], ...] = field(default=())  # provider, url, limit, age
+    feeds: tuple[tuple[str, str, int | None, int], ...] = field(default=())  # provider, url, limit, age
 
 
 def overlay_defaults(groups: dict, defaults: dict) -> dict:
@@ -122,10 +122,11 @@ def load_groups(config: dict, prefilter_terms: list[str] | None = None) -> list[
             rss = (cfg.get("channels") or {}).get("rss")
             if rss is None:
                 continue
-            limit = int(rss.get("limit", 25))
+            limit = rss.get("limit", 25)  # None: every entry
+            limit = None if limit is None else int(limit)
             if not rss.get("feed_urls"):
                 errors.append(f"{gid}.{provider}: feed_urls must not be empty")
-            if limit < 1:
+            if limit is not None and limit < 1:
                 errors.append(f"{gid}.{provider}: limit must be >= 1")
             feeds += [(provider, u, limit, int(rss.get("max_age_days", 7)))
                       for u in rss.get("feed_urls") or []]
@@ -154,6 +155,8 @@ TERM_RULE = T.StructType([
 
 def term_rules(spark: SparkSession, groups: list[SearchGroup]) -> DataFrame:
     """The include terms of all groups as one dimension table."""
+    if any(c.context for g in groups for t in g.filters.include for c in t.context):
+        raise ValueError("context terms with contexts of their own need the literal form")
     rows = [(g.group_id, "include", t.term, [c.term for c in t.context], t.pattern, t.needle, i)
             for g in groups for i, t in enumerate(g.filters.include)]
     return spark.createDataFrame(rows, TERM_RULE)
@@ -174,10 +177,10 @@ def subscriptions(spark: SparkSession, groups: list[SearchGroup]) -> DataFrame:
 
 
 def shared_feeds(subs: DataFrame) -> "DataFrame":
-    """Each feed once, with its groups, the largest limit and the largest age."""
+    """Each feed once, with its groups, the largest limit (null: none) and the largest age."""
     from pyspark.sql import functions as F
 
     return subs.groupBy("provider", "feed").agg(
         F.array_sort(F.collect_list(F.struct("priority", "group_id"))).alias("g"),
-        F.max("limit").alias("limit"), F.max("max_age_days").alias("max_age_days")) \
+        F.when(F.count("limit") == F.count("*"), F.max("limit")).alias("limit"), F.max("max_age_days").alias("max_age_days")) \
         .withColumn("groups", F.col("g.group_id")).drop("g")

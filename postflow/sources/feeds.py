@@ -38,14 +38,16 @@ def first_entries(entries: DataFrame, default_limit: int = 5, limit: str | None
 
     ``limit`` may name a column with the feed's own limit; ``max_limit`` is then the
     largest of them.  The constant bound lets Spark cut each feed before the shuffle,
-    so one huge feed never lands in one task.
+    so one huge feed never lands in one task.  Feeds with a null limit are not ranked:
+    all their entries stay.
     """
     bound = max_limit if limit else default_limit
     w = Window.partitionBy(*by).orderBy("entry_ord")
-    ranked = entries.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= bound)
-    if limit:
-        ranked = ranked.where(F.col("_rank") <= F.col(limit))
-    return ranked.drop("_rank")
+    limited = entries.where(F.col(limit).isNotNull()) if limit else entries
+    ranked = limited.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= bound)
+    if not limit:
+        return ranked.drop("_rank")
+    return ranked.where(F.col("_rank") <= F.col(limit)).drop("_rank").unionByName(entries.where(F.col(limit).isNull()))
 
 
 def recent(entries: DataFrame, now: dt.datetime, max_age_days: int | str) -> DataFrame:

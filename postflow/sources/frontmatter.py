@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import urls
-from ..functions.text import blank_to_null, let, strip
+from ..functions.text import blank_to_null, let, rest, strip
 from ..model import SCHEMA_VERSION, SOURCE, STATE_CHANGE
 
 # --- Fixed values: the header keys the record model knows --------------------
@@ -77,8 +77,8 @@ def scalar(raw: Column) -> Column:
 def string_list(raw: Column) -> Column:
     """``- item`` lines, ``[a, b]`` or a single scalar as a list; nothing as an empty list."""
     value = strip(F.coalesce(raw, F.lit("")))
-    items = F.when(value.rlike(r"^- "), F.slice(
-        F.split(F.concat(F.lit("\n"), value), r"\n\s*-\s+"), 2, 1_000_000)) \
+    items = F.when(value.rlike(r"^- "), rest(
+        F.split(F.concat(F.lit("\n"), value), r"\n\s*-\s+"))) \
         .when(value.rlike(r"(?s)^\[.*\]\z"), F.split(
             F.regexp_extract(value, r"(?s)^\[(.*)\]\z", 1), r"\s*,\s*")) \
         .otherwise(F.array(value))
@@ -88,7 +88,7 @@ def string_list(raw: Column) -> Column:
 def record_list(raw: Column) -> Column:
     """``- key: value`` blocks as an array of string maps."""
     value = strip(F.coalesce(raw, F.lit("")))
-    items = F.slice(F.split(F.concat(F.lit("\n"), value), r"\n\s*-\s+"), 2, 1_000_000)
+    items = rest(F.split(F.concat(F.lit("\n"), value), r"\n\s*-\s+"))
     return F.transform(items, lambda item: F.map_from_entries(F.transform(
         F.filter(F.split(item, r"\n\s*(?=[A-Za-z_]+:)"), lambda v: v.contains(":")),
         lambda v: F.struct(strip(F.regexp_extract(v, r"^([^:]*):", 1)).alias("key"),

@@ -8,6 +8,7 @@ rewrites the same result.
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -73,12 +74,22 @@ def ingest(spark: SparkSession, landing: str, store: SnapshotStore, pages: Calla
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def dedupe_stream(entries: DataFrame, delay: str = "120 days") -> DataFrame:
-    """T2/T3, streaming form: one row per URL; its state expires with the watermark."""
+def dedupe_stream(entries: DataFrame, undated: dt.datetime, delay: str = "120 days") -> DataFrame:
+    """T2/T3, streaming form: one row per URL; its state expires with the watermark.
+
+    Entries without a date count as published at ``undated``.
+    """
     return entries.withColumn("url_key", urls.identity_url(F.col("link"))) \
+        .withColumn("published", F.coalesce("published", F.lit(undated))) \
         .withWatermark("published", delay).dropDuplicatesWithinWatermark(["url_key"])
 
 
-def drop_late(entries: DataFrame, delay: str = "7 days") -> DataFrame:
-    """T7, event-time form."""
-    return entries.withWatermark("published", delay)
+def drop_late(entries: DataFrame, key: list[str], delay: str = "7 days") -> DataFrame:
+    """T7, event-time form: entries older than the watermark go, undated ones stay.
+
+    A watermark drops rows only in an operator that keeps state, here one that knows the
+    ``key`` of each entry until the watermark has passed it.
+    """
+    dated = entries.where(F.col("published").isNotNull())
+    return dated.withWatermark("published", delay).dropDuplicatesWithinWatermark(key) \
+        .unionByName(entries.where(F.col("published").isNull()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.lifecycle import ARROWS
+from ..operators.lifecycle import ARROWS, OVERRIDE, with_override
 
 OUTPUT = "project_id long, event_id long, from_state string, to_state string, accepted boolean, state string"
 
@@ -13,7 +13,7 @@ OUTPUT = "project_id long, event_id long, from_state string, to_state string, ac
 def fold_stream(events: DataFrame, key: str = "project_id") -> DataFrame:
     """Each change with the state before it and whether it was taken.
 
-    ``events`` has project_id, ts, event_id, to_state and force.  Only the current state is
+    ``events`` has project_id, ts, event_id, to_state, force and perhaps ui_context.  Only the current state is
     kept per posting; within a trigger changes are applied in (ts, event_id) order.
     """
     import pandas as pd
@@ -24,7 +24,7 @@ def fold_stream(events: DataFrame, key: str = "project_id") -> DataFrame:
         current = state.get[0] if state.exists else None
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         before, taken, after = [], [], []
-        for target, force in zip(pdf["to_state"], pdf["force"]):
+        for target, force in zip(pdf["to_state"], pdf[OVERRIDE]):
             ok = bool(force) or not current or f"{current}>{target}" in allowed
             before.append(current)
             taken.append(ok)
@@ -34,5 +34,5 @@ def fold_stream(events: DataFrame, key: str = "project_id") -> DataFrame:
         yield pd.DataFrame({"project_id": keys[0], "event_id": pdf["event_id"], "from_state": before,
                             "to_state": pdf["to_state"], "accepted": taken, "state": after})
 
-    return events.groupBy(key).applyInPandasWithState(
+    return with_override(events).groupBy(key).applyInPandasWithState(
         step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
