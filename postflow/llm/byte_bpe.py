@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .encoders import ID, byte_encoder
+from .tables import with_long_ids, with_text_ids
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: A border this near to the end of a chunk may hang on characters that the chunk does not hold.
@@ -63,9 +64,12 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], pattern: str) -> list[str]
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), one row for each row of ``docs``."""
+    return with_long_ids(_encode(with_text_ids(docs, "text"), path, pattern, chunk, overlap))
+
+
+def _encode(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     if chunk <= 2 * overlap:
         raise ValueError("chunks must be longer than two overlaps")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     long = F.char_length("text") > chunk
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,7 +81,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
         for b in batches:
             for row, doc_id, text in zip(b["row"], b["doc_id"], b["text"]):
                 starts = range(0, len(text), chunk)
-                yield pd.DataFrame({"row": row, "doc_id": pd.Series([doc_id] * len(starts), dtype=b["doc_id"].dtype),
+                yield pd.DataFrame({"row": row, "doc_id": pd.Series([doc_id] * len(starts), dtype=object),
                                     "start": starts, "last": [s + chunk >= len(text) for s in starts],
                                     "text": [text[s:s + chunk + overlap] for s in starts]})
 
@@ -89,7 +93,7 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     def join(chunks: pd.DataFrame) -> pd.DataFrame:
         chunks = chunks.sort_values("start")
         pieces = stitch([(s, t, np.frombuffer(x, np.int64)) for s, t, x in zip(chunks["start"], chunks["text"], chunks["borders"])], pattern)
-        return pd.DataFrame({"row": chunks["row"].iloc[0], "doc_id": pd.Series([chunks["doc_id"].iloc[0]] * len(pieces), dtype=chunks["doc_id"].dtype),
+        return pd.DataFrame({"row": chunks["row"].iloc[0], "doc_id": pd.Series([chunks["doc_id"].iloc[0]] * len(pieces), dtype=object),
                              "piece": range(len(pieces)), "text": pieces})
 
     def ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,16 +103,16 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
             yield b[["row", "doc_id", "piece", "ids"]]
 
     chunks = (rows.where(long).withColumn("row", F.monotonically_increasing_id())
-              .mapInPandas(cut, "row long, doc_id long, start long, last boolean, text string")
+              .mapInPandas(cut, "row long, doc_id string, start long, last boolean, text string")
               .repartition("row", "start")
-              .mapInPandas(scan, "row long, doc_id long, start long, last boolean, text string, borders binary"))
-    pieces = (chunks.groupBy("row").applyInPandas(join, "row long, doc_id long, piece long, text string")
+              .mapInPandas(scan, "row long, doc_id string, start long, last boolean, text string, borders binary"))
+    pieces = (chunks.groupBy("row").applyInPandas(join, "row long, doc_id string, piece long, text string")
               .repartition("row", "piece")
-              .mapInPandas(ids, "row long, doc_id long, piece long, ids binary"))
+              .mapInPandas(ids, "row long, doc_id string, piece long, ids binary"))
     together = (pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"),
                                           F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("parts"))
                 .select("doc_id", F.aggregate(F.col("parts.ids"), F.lit(b""), lambda a, b: F.concat(a, b)).alias("ids")))
-    return rows.where(~long).mapInPandas(whole, "doc_id long, ids binary").unionByName(together)
+    return rows.where(~long).mapInPandas(whole, "doc_id string, ids binary").unionByName(together)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -117,7 +121,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder = byte_encoder(path, pattern)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "data": [encoder.decode(x) for x in b["ids"]]})
-    return encoded.mapInPandas(raw, "doc_id long, data binary")
+    return with_long_ids(with_text_ids(encoded, "ids").mapInPandas(raw, "doc_id string, data binary"))
 
 
 def report(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -131,5 +135,5 @@ def report(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
                 "doc_id": b["doc_id"], "n_tokens": [len(x) // ID.itemsize for x in b["ids"]],
                 "ids_sha256": [sha(",".join([names[i] for i in np.frombuffer(x, ID).tolist()]).encode()) for x in b["ids"]],
                 "decoded_sha256": [sha(encoder.decode(x)) for x in b["ids"]]})
-    return encode(docs, path, pattern, chunk, overlap).mapInPandas(
-        digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_long_ids(_encode(with_text_ids(docs, "text"), path, pattern, chunk, overlap).mapInPandas(
+        digest, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))

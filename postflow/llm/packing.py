@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .encoders import ID, byte_encoder
-from .tables import stored
+from .tables import stored, with_long_ids, with_text_ids
 
 CAPACITY = 1024
 #: length, ranks [first, first + count) go, ``each`` to a sequence, to sequences from ``sequence`` on,
@@ -58,10 +58,9 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity:
                     seen[length] += 1
                     start, stop, piece = stop, stop + capacity, piece + 1
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", "ids"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long" + ", ids binary" * with_ids
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, task long, place long" + ", ids binary" * with_ids
+    return with_long_ids(with_text_ids(docs, "text").mapInPandas(cut, schema))
 
 
 def best_fit(lengths: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

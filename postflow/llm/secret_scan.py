@@ -27,6 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .tables import with_long_ids, with_text_ids
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -275,7 +277,7 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            found = spans_of(rows["text"].fillna("").tolist(), rules)
+            found = spans_of(rows["text"].tolist(), rules)
             named = [[(rules[k].kind, f"{rules[k].kind}:{s}:{e}") for s, k, e in x] for x in found]
             out = {"doc_id": rows["doc_id"]}
             for kind in base:
@@ -284,4 +286,4 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             out["spans"] = [",".join(t for _, t in x) for x in named]
             yield pd.DataFrame(out)
     counts = ", ".join(f"n_{k} long" for k in base)
-    return docs.select("doc_id", "text").mapInPandas(digest, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return with_long_ids(with_text_ids(docs, "text").mapInPandas(digest, f"doc_id string, {counts}, base_sha256 string, spans string"))

@@ -26,6 +26,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """doc_id as text, whole ``text`` (empty for null): pandas would read long ids beside nulls as floats."""
+    return df.select(F.col("doc_id").cast("string").alias("doc_id"),
+                     *[F.coalesce("text", F.lit("")).alias("text") if c == "text" else c for c in columns])
+
+
+def with_long_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def words_of(text: Column) -> Column:
     """Words of a text; null and blank texts have none."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))

@@ -20,9 +20,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from .encoders import ID, ByteEncoder, byte_encoder
+from .tables import with_long_ids, with_text_ids
 
 Spans = tuple[np.ndarray, np.ndarray]
 
@@ -83,7 +84,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, sections: Callable[
                 ids += [doc_id] * len(spans[0])
                 parts.append((np.arange(len(spans[0])), *spans, *own))
             columns = [np.concatenate(x) for x in zip(*parts)]
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=b["doc_id"].dtype)} | dict(zip(
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object)} | dict(zip(
                 ("section", "start", "end", "n_tokens", "n_crossing", "token_share"), columns)))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(
-        count, "doc_id long, section int, start long, end long, n_tokens long, n_crossing long, token_share double")
+    return with_long_ids(with_text_ids(docs, "text").mapInPandas(
+        count, "doc_id string, section int, start long, end long, n_tokens long, n_crossing long, token_share double"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import shared_dir
 from .encoders import ID, word_encoder
-from .tables import stored
+from .tables import stored, with_text_ids
 
 MAGIC = b"PFIDS001"
 BLOCK = 1 << 16
@@ -152,15 +152,15 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 1, docs_per_fil
         task, encoder, out = TaskContext.get(), word_encoder(path), None
         name = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         for b in batches:
-            for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
+            for doc_id, text in zip(b["doc_id"], b["text"]):
                 out = out or Writer(name, bits_for(encoder.size))
                 ids = np.frombuffer(encoder.encode(text), ID)
-                out.add(None if doc_id is pd.NA else int(doc_id), np.append(ids, np.array([end_id], ID)))
+                out.add(None if doc_id is None else int(doc_id), np.append(ids, np.array([end_id], ID)))
         if out:
             out.close()
             yield pd.DataFrame({"file": [task.partitionId()], "path": [name], "n_ids": [out.count]})
 
-    return stored(ordered.select("doc_id", "text").mapInPandas(put, "file long, path string, n_ids long"))
+    return stored(with_text_ids(ordered, "text").mapInPandas(put, "file long, path string, n_ids long"))
 
 
 def read(manifest: DataFrame) -> DataFrame:
