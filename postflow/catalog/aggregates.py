@@ -234,9 +234,14 @@ def o5(spark, d):
         .groupBy("doc_id").agg(F.min_by("group_id", rank).alias("group_id"))
 
 
-@query("o7_longest_block")
+# A long footer paragraph, a long navigation, and the wanted text in many short paragraphs and nested containers.
+BLOCK_PAGE = {"page_id": "page_id", "html": "'<div class=\"Top-Nav\"><p>' || repeat('n ', 900) || '</p></div><div class=\"page\"><div class=\"main\">' || repeat('<p>' || url || '</p>', 9) "
+              "|| '</div><div>Schluss ' || CAST(page_id AS STRING) || '</div></div><footer><p>' || repeat('f ', 900) || '</p></footer><div>' || repeat('lang ', 2100) || '</div>'"}
+
+
+@query("o7_longest_block", "SELECT page_id, sha256(substr(repeat(url || chr(10), 9) || 'Schluss ' || page_id, 1, 2500)) AS block FROM pages")
 def o7(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(PG.longest_block(F.col("html")), 256).alias("block"))
+    return view(spark, d, "pages", BLOCK_PAGE).select("page_id", F.sha2(PG.longest_block(F.col("html")), 256).alias("block"))
 
 
 @query("o8_deletion_cap", f"""WITH {PURGE_CTE} SELECT o_orderkey, category FROM cand ORDER BY list_position({'[' + ', '.join(text(k) for k in retention.RETENTION) + ']'}, category), path, o_orderkey LIMIT 1000""")

@@ -571,11 +571,58 @@ def p40(spark, d):
     return PG.extract_fields(view(spark, d, "pages", extra), PG.COMMON_RULES).drop("url", "html")
 
 
-@query("p41_page_schema")
+# Pages of the known sites: which of the places holds a field goes by the remainder of the id.
+_ID = s("page_id")
+_LONG = "trim(repeat('lang ' || " + _ID + " || ' ', 30))"
+SOLCOM = {"page_id": "page_id", "url": f"'https://www.solcom.de/projektangebote/daten-analyst-' || {_ID} || '?x=1'", "html": f"""
+ '<html><head>' || CASE page_id % 4 WHEN 0 THEN '<meta property="og:title" content="Projekt: Meta ' || {_ID} || '">' WHEN 2 THEN '<title>Titel ' || {_ID} || ' – Freiberufler Projekt SOLCOM</title>' ELSE '<title>x</title>' END
+ || '</head><body>' || CASE page_id % 4 WHEN 1 THEN '<h2>Weitere Projekte von uns</h2><h2>Kurz</h2><h2>Analyst Nummer ' || {_ID} || '</h2>' ELSE '' END
+ || CASE page_id % 3 WHEN 0 THEN '<div class="project-header"><div>Projekt-Nr.: <b>P' || {_ID} || '</b></div></div>' ELSE '' END
+ || '<div class="projekt-body"><div class="projekt-desc x"><p>Eins</p><div>Zwei <b>drei</b></div></div><div>nein</div></div><span class="tags">q' || {_ID} || '</span><div class="skillbox">r</div>'"""}
+
+
+@query("p40_site_solcom", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Meta ' || page_id WHEN 1 THEN 'Analyst Nummer ' || page_id WHEN 2 THEN 'Titel ' || page_id ELSE 'Daten Analyst' END AS title, 'Solcom GmbH' AS company,
+ CASE page_id % 3 WHEN 0 THEN 'P' || page_id ELSE CAST(page_id AS VARCHAR) END AS reference_id, 'Eins' || chr(10) || 'Zwei' || chr(10) || 'drei' AS description, 'q' || page_id AS keywords FROM pages""")
+def p40_solcom(spark, d):
+    return PG.parse_pages(view(spark, d, "pages", SOLCOM)).select("page_id", "title", "company", "reference_id", "description", F.array_join("schlagworte", "|").alias("keywords"))
+
+
+FREELANCE = {"page_id": "page_id", "url": f"'https://www.freelance.de/projekte/projekt-' || {_ID} || '-x'", "html": f"""
+ '<html><head><title>Seite ' || {_ID} || ' - freelance.de</title><meta name="keywords" content="m' || {_ID} || ', k1">' || CASE page_id % 3 WHEN 0 THEN '<meta property="og:title" content="Rolle ' || {_ID} || ' - Freelance.de">' ELSE '' END
+ || '</head><body>' || CASE page_id % 3 WHEN 1 THEN '<h1>Seite</h1><h1 class="a project-title">Kopf ' || {_ID} || '</h1>' ELSE '' END || CASE page_id % 2 WHEN 0 THEN '<p class="kunde">Kunde ' || {_ID} || '</p>' ELSE '<p>Firma: Haus ' || {_ID} || '</p>' END
+ || '<i class="standort"> Ort ' || {_ID} || '</i><div class="job-description">kurz</div><div class="x my-description-y"><div>' || {_LONG} || '</div><p>Ende</p></div>'
+ || '<div class="tags"><span>k1</span><a href="#">k2</a><li>7</li></div>'"""}
+
+
+@query("p40_site_freelance", f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Rolle ' || page_id WHEN 1 THEN 'Kopf ' || page_id ELSE 'Seite ' || page_id END AS title, CASE page_id % 2 WHEN 0 THEN 'Kunde ' ELSE 'Haus ' END || page_id AS company,
+ 'Ort ' || page_id AS location, CAST(page_id AS VARCHAR) AS reference_id, sha256(trim(repeat('lang ' || page_id || ' ', 30)) || chr(10) || 'Ende') AS description, 'k1|k2|m' || page_id AS keywords FROM pages""")
+def p40_freelance(spark, d):
+    return PG.parse_pages(view(spark, d, "pages", FREELANCE)).select(
+        "page_id", "title", "company", "location", "reference_id", F.sha2("description", 256).alias("description"), F.array_join("schlagworte", "|").alias("keywords"))
+
+
+GULP = {"page_id": "page_id", "url": f"'https://www.gulp.de/gulp2/g/projekte/' || {_ID}", "html": f"""
+ '<html><body>' || CASE page_id % 2 WHEN 0 THEN '<h1 data-testid="projectTitle"> Titel ' || {_ID} || '</h1>' ELSE '<h1 class="gp-title">Kopf ' || {_ID} || '</h1>' END
+ || '<b data-testid="contactPersonFullName">Frau ' || {_ID} || '</b><li data-testid="infoListItem">Beginn 06.10.2025</li><li data-testid="infoListItem">Einsatzort  5513' || {s("page_id % 10")} || ' Mainz</li>'
+ || '<div class="gp-project-description">' || {_LONG} || '</div><span class="tag">kurz</span><span class="tag">Kubernetes ' || {_ID} || '</span>'"""}
+
+
+@query("p40_site_gulp", """SELECT page_id, CASE page_id % 2 WHEN 0 THEN 'Titel ' ELSE 'Kopf ' END || page_id AS title, 'Frau ' || page_id AS company, '5513' || (page_id % 10) || ' Mainz' AS location, '06.10.2025' AS published,
+ sha256(trim(repeat('lang ' || page_id || ' ', 30))) AS description, 'Kubernetes ' || page_id AS keywords FROM pages""")
+def p40_gulp(spark, d):
+    return PG.parse_pages(view(spark, d, "pages", GULP)).select(
+        "page_id", "title", "company", "location", "published", F.sha2("description", 256).alias("description"), F.array_join("schlagworte", "|").alias("keywords"))
+
+
+P41_PAGE = {"page_id": "page_id", "url": "url", "html": P38_PAGE["html"] + " || '<div class=\"page\"><div class=\"main\"><p>Aufgabe ' || CAST(page_id AS STRING) || '</p><p>' || trim(repeat(url || ' ', 20)) || '</p></div></div><span class=\"tag\">k' || CAST(page_id % 7 AS STRING) || '</span>'"}
+
+
+@query("p41_page_schema", """SELECT page_id, nullif(replace(trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1), '\\s*<[^>]*>\\s*', '', 'g')), '&amp;', '&'), '') AS title,
+ nullif(regexp_extract(url, '([0-9]+)(?:\\.html)?/?(?:[?#].*)?$', 1), '') AS reference_id, 'Mainz' || page_id AS place, sha256('Aufgabe ' || page_id || chr(10) || trim(repeat(url || ' ', 20))) AS description, 'k' || (page_id % 7) AS keywords FROM pages""")
 def p41(spark, d):
-    df = PG.parse_pages(table(spark, d, "pages"))
-    return df.select("page_id", "title", "reference_id", F.length("description").alias("n_description"),
-                     F.size("schlagworte").alias("n_keywords"), F.size("details").alias("n_details"))
+    df = PG.parse_pages(view(spark, d, "pages", P41_PAGE))
+    return df.select("page_id", "title", "reference_id", F.col("details")["Ort"].alias("place"), F.sha2("description", 256).alias("description"),
+                     F.array_join("schlagworte", "|").alias("keywords"))
 
 
 P42_MAIL = {"page_id": "page_id", "text": "'Neu: ' || url || ' und https://ads.example.org/x/' || CAST(page_id AS STRING) || ' Ende'",

@@ -22,6 +22,9 @@ FILLERS = ["", ":", "•"]
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'",
             "&apos;": "'", "&auml;": "ä", "&ouml;": "ö", "&uuml;": "ü", "&Auml;": "Ä",
             "&Ouml;": "Ö", "&Uuml;": "Ü", "&szlig;": "ß", "&euro;": "€", "&amp;": "&"}
+# --- Fixed values: class names of page frames; words of generic second headings ---
+FRAME_CLASSES = ["nav", "footer", "sidebar", "menu", "header", "login", "register"]
+GENERIC_HEADING = r"(?i)weitere|projekte|solcom|portal|angebote|projekt|details"
 _NONE = "cast(array() as array<string>)"
 
 
@@ -150,12 +153,53 @@ def keywords(html: Column, class_pattern: str = r"\b(?:keyword|tag|skill)\b", mi
     return F.array_distinct(F.concat(marked, F.filter(listed, lambda t: t != "")))
 
 
+def containers(markup: Column, tag: str = "div") -> Column:
+    """Array of struct(attrs, inner): every well-nested ``tag`` element in page order, however deep.
+
+    The page is cut before each opening and closing tag.  On one level of nesting opening and closing
+    tags alternate, so after sorting by (level, place) each opening tag stands before its closing one.
+    """
+    pieces = F.split(markup, rf"(?i)(?=</?{tag}\b)")
+    steps = F.transform(pieces, lambda p: F.when(p.rlike(rf"(?i)^<{tag}\b"), 1).when(p.rlike(rf"(?i)^</{tag}\b"), -1).otherwise(0))
+    none = F.expr("struct(0 as depth, cast(array() as array<struct<level:int,place:int,step:int>>) as tags, 0 as place)")
+
+    def walk(acc: Column, step: Column) -> Column:
+        depth = acc["depth"] + step
+        level = F.when(step < 0, depth + 1).otherwise(depth)
+        own = F.struct(level.alias("level"), acc["place"].alias("place"), step.alias("step"))
+        return F.struct(depth.alias("depth"), F.when(step != 0, F.concat(acc["tags"], F.array(own))).otherwise(acc["tags"]).alias("tags"),
+                        (acc["place"] + 1).alias("place"))
+
+    def pairs(tags: Column) -> Column:
+        return F.filter(F.transform(tags, lambda t, i: F.struct(
+            t["place"].alias("start"), F.get(tags, i + 1)["place"].alias("stop"),
+            ((t["step"] == 1) & (F.get(tags, i + 1)["step"] == -1)).alias("whole"))), lambda p: F.coalesce(p["whole"], F.lit(False)))
+
+    return let(pieces, lambda ps: let(F.array_sort(F.aggregate(steps, none, walk)["tags"]), lambda tags: F.transform(
+        F.array_sort(pairs(tags)), lambda p: let(F.array_join(F.slice(ps, p["start"] + 1, p["stop"] - p["start"]), ""), lambda whole: F.struct(
+            F.regexp_extract(whole, r"^<[^\s>]*([^>]*)>", 1).alias("attrs"),
+            F.regexp_replace(whole, r"^<[^>]*>", "").alias("inner"))))))
+
+
+def classes(attrs: Column) -> Column:
+    return F.regexp_extract(attrs, r"(?is)\bclass\s*=\s*[\"']([^\"']*)[\"']", 1)
+
+
+def lines_of(fragment: Column) -> Column:
+    """The text pieces of a fragment, one a line."""
+    text = F.array_join(text_stream(fragment), "\n")
+    return F.regexp_replace(text, r" {2,}", " ")
+
+
 def longest_block(html: Column, low: int = 200, high: int = 10_000, cut: int = 2500) -> Column:
-    """The longest text block within bounds, cut."""
-    blocks = F.transform(F.split(without_code(html), r"(?i)</?(?:p|div|li|td|h[1-6])\b[^>]*>"), plain)
-    ranked = F.transform(F.filter(blocks, lambda b: (F.length(b) > low) & (F.length(b) < high)),
-                         lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
-    return F.substring(F.array_max(ranked)["b"], 1, cut)
+    """The text of the longest container within bounds, cut.
+
+    Whole ``div`` elements compete; those whose class names say that they frame the page are out.
+    """
+    free = F.filter(containers(without_code(html)), lambda c: ~F.lower(classes(c["attrs"])).rlike("|".join(FRAME_CLASSES)))
+    texts = F.filter(F.transform(free, lambda c: lines_of(c["inner"])), lambda t: (F.length(t) > low) & (F.length(t) < high))
+    ranked = F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))
+    return F.substring(F.array_max(ranked)["t"], 1, cut)
 
 
 # ---------------------------------------------------------------------------------------
@@ -166,8 +210,12 @@ def longest_block(html: Column, low: int = 200, high: int = 10_000, cut: int = 2
 class ExtractRule:
     """One candidate for a field.  ``kind`` says where to look:
 
-    ``meta`` (attribute=name), ``tag`` (tag or tag.class), ``json`` (JSON-LD path), ``text``
-    (regex on the visible text), ``url`` (regex on the URL) or ``const``.
+    ``meta`` (attribute=name), ``tag`` (tag or tag.class), ``class`` (first element of that class),
+    ``testid`` (first element with that data-testid, ``group`` 0; else a regex on the texts of all of
+    them, after ``|``), ``heading`` (first h2 that is no generic one), ``box`` (text lines of the whole
+    container of that class, if longer than ``group``), ``json`` (JSON-LD path), ``text`` (regex on the
+    visible text), ``url`` (regex on the URL), ``slug`` (words of the URL's last part) or ``const``.
+    ``pick`` keeps group 1 of a pattern on the value; without a match there is none.
     """
 
     provider: str
@@ -177,6 +225,7 @@ class ExtractRule:
     pattern: str
     group: int = 1
     cleanup: str | None = None
+    pick: str | None = None
 
 
 # The last provider is the fallback for every unknown one.
@@ -196,6 +245,73 @@ COMMON_RULES = [
 ]
 
 
+# --- Fixed values: where the pages of the known sites keep their fields ------
+_SUFFIX = r"(?i)\s*-\s*freelance\.de\s*$"
+_PREFIX = r"(?i)^(?:Projekt|Ausschreibung|Job):\s*"
+SITE_RULES = [
+    ExtractRule("solcom", "title", 1, "meta", "property=og:title", cleanup=_PREFIX),
+    ExtractRule("solcom", "title", 2, "heading", "h2", cleanup=_PREFIX),
+    ExtractRule("solcom", "title", 3, "tag", "title", pick=r"(?i)^(.*?)\s*–\s*Freiberufler Projekt SOLCOM\s*$", cleanup=_PREFIX),
+    ExtractRule("solcom", "title", 4, "slug", "", cleanup=_PREFIX),
+    ExtractRule("solcom", "company", 1, "const", "Solcom GmbH"),
+    ExtractRule("solcom", "reference_id", 1, "text", r"Projekt-Nr\.:?\s*(\S+)"),
+    ExtractRule("solcom", "reference_id", 2, "url", r"-([^-/?#]+)(?:[?#].*)?\z"),
+    ExtractRule("solcom", "description", 1, "box", "projekt-desc", 0),
+    ExtractRule("solcom", "description", 2, "box", r"neos-nodetypes-text\S*", 0),
+    ExtractRule("freelance", "title", 1, "meta", "property=og:title", cleanup=_SUFFIX),
+    ExtractRule("freelance", "title", 2, "tag", "h1.project-title"),
+    ExtractRule("freelance", "title", 3, "tag", "h1"),
+    ExtractRule("freelance", "title", 4, "tag", "title", cleanup=_SUFFIX),
+    *[ExtractRule("freelance", "company", k, "class", c) for k, c in enumerate(
+        ["company-name", "client-name", "kunde", "project-company", "company"])],
+    ExtractRule("freelance", "company", 9, "text", r"(?i)(?:Firma|Company|Client|Kunde):\s*([^\n\r]+)"),
+    *[ExtractRule("freelance", "location", k, "class", c) for k, c in enumerate(
+        ["location", "ort", "place", "project-location", "standort"])],
+    ExtractRule("freelance", "location", 9, "text", r"(?i)(?:Ort|Location|Standort|Einsatzort):\s*([^\n\r]+)"),
+    ExtractRule("freelance", "reference_id", 1, "url", r"/projekt-(\d+)"),
+    *[ExtractRule("freelance", "description", k, "box", c, 100) for k, c in enumerate(
+        ["project-description", "job-description", "projekt-beschreibung", "content-description", r"\S*description\S*", "main-content"])],
+    ExtractRule("gulp", "title", 1, "testid", "projectTitle"),
+    ExtractRule("gulp", "title", 2, "tag", "h1.gp-title"),
+    ExtractRule("gulp", "company", 1, "testid", "contactPersonFullName"),
+    ExtractRule("gulp", "location", 1, "testid", r"infoListItem|(?i)^(?:location|einsatzort)\s*(.+)"),
+    *[ExtractRule("gulp", "location", 2 + k, "class", c) for k, c in enumerate(["location", "project-location", "einsatzort"])],
+    ExtractRule("gulp", "published", 1, "testid", r"infoListItem|(\d{1,2}\.\d{1,2}\.\d{4})"),
+    *[ExtractRule("gulp", "description", k, "box", c, 100) for k, c in enumerate(["gp-project-description", "project-description"])],
+]
+#: site -> (classes of keyword containers, classes of single keywords, least length)
+SITE_KEYWORDS = {
+    "solcom": ([], r"(?:tag|keyword|skill)", 2),
+    "freelance": (["keywords", "tags", "skills", "schlagworte", "project-tags"], None, 2),
+    "gulp": ([], r"(?:^|\s)(?:tag|label)(?:\s|$)", 6),
+}
+
+
+def site_of(url: Column) -> Column:
+    """The known site of a page, else its host."""
+    host = urls.host(url)
+    return reduce(lambda acc, s: F.when(host.rlike(rf"(?:^|\.){s}\."), F.lit(s)).otherwise(acc), SITE_KEYWORDS, host)
+
+
+def site_keywords(html: Column, site: str) -> Column:
+    """P39 by the rules of a site; freelance also reads the meta keywords."""
+    boxes, single, least = SITE_KEYWORDS[site]
+    found = F.expr(_NONE)
+    for box in boxes:
+        inner = F.get(F.filter(containers(html), lambda c: classes(c["attrs"]).rlike(rf"(?:^|\s){box}(?:\s|$)")), F.lit(0))["inner"]
+        texts = F.regexp_extract_all(F.coalesce(inner, F.lit("")), F.lit(r"(?is)<(span|a|li|div)\b[^>]*>([^<]*)"), F.lit(2))
+        found = F.concat(found, F.filter(F.transform(texts, inner_text), lambda t: ~t.rlike(r"^\d+$")))
+    if single:
+        marked = F.regexp_extract_all(html, F.lit(rf"(?is)<(?:span|div)\b[^>]*\bclass\s*=\s*[\"']([^\"']*)[\"'][^>]*>[^<]*"), F.lit(0))
+        marked = F.filter(marked, lambda m: classes(m).rlike(single))
+        found = F.concat(found, F.transform(marked, lambda m: inner_text(F.regexp_replace(m, r"^<[^>]*>", ""))))
+    found = F.filter(found, lambda t: F.length(t) >= least)
+    if boxes:
+        listed = F.transform(F.split(F.coalesce(meta(html, "name", "keywords"), F.lit("")), ","), strip)
+        found = F.array_distinct(F.concat(found, F.filter(listed, lambda t: t != "")))
+    return found
+
+
 def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text: Column) -> Column:
     """``markup`` is the page without scripts and comments, ``text`` its visible text."""
     if rule.kind == "meta":
@@ -205,6 +321,22 @@ def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text
         tag, _, cls = rule.pattern.partition(".")
         attrs = rf"[^>]*\bclass\s*=\s*[\"'][^\"']*\b{cls}\b[^\"']*[\"'][^>]*" if cls else r"[^>]*"
         value = inner_text(F.regexp_extract(markup, rf"(?is)<{tag}\b{attrs}>(.*?)</{tag}\s*>", 1))
+    elif rule.kind == "class":
+        value = inner_text(F.get(_by_attribute(markup, "class", rule.pattern), F.lit(0)))
+    elif rule.kind == "testid":
+        name, _, pattern = rule.pattern.partition("|")
+        texts = F.transform(_by_attribute(markup, "data-testid", name), plain)
+        if pattern:
+            texts = F.filter(F.transform(texts, lambda t: F.regexp_extract(t, pattern, rule.group)), lambda t: t != "")
+        value = F.get(texts, F.lit(0))
+    elif rule.kind == "heading":
+        value = F.get(F.filter(element_texts(markup, "h2"), lambda t: (F.length(t) > 10) & ~t.rlike(GENERIC_HEADING)), F.lit(0))
+    elif rule.kind == "box":
+        boxes = F.filter(containers(markup), lambda c: classes(c["attrs"]).rlike(rf"(?:^|\s){rule.pattern}(?:\s|$)"))
+        value = F.get(F.filter(F.transform(boxes, lambda c: lines_of(c["inner"])), lambda t: F.length(t) > rule.group), F.lit(0))
+    elif rule.kind == "slug":
+        last = F.element_at(F.split(F.regexp_replace(url, r"[?#].*\z", ""), "/"), -1)
+        value = F.initcap(F.translate(F.regexp_replace(last, r"-[^-]*\z", ""), "-", " "))
     elif rule.kind == "json":
         script = F.regexp_extract(
             html, r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>", 1)
@@ -215,9 +347,17 @@ def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text
         value = F.regexp_extract(url, rule.pattern, rule.group)
     else:
         value = F.lit(rule.pattern)
+    if rule.pick:
+        value = F.regexp_extract(value, rule.pick, 1)
     if rule.cleanup:
         value = strip(F.regexp_replace(value, rule.cleanup, ""))
-    return blank_to_null(value)
+    return blank_to_null(strip(value))
+
+
+def _by_attribute(markup: Column, attribute: str, word: str) -> Column:
+    """Contents of the elements whose attribute holds the word, up to their first closing tag."""
+    return F.regexp_extract_all(markup, F.lit(
+        rf"(?is)<(\w+)\b[^>]*\b{attribute}\s*=\s*[\"'](?:[^\"']*\s)?{word}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</\1\s*>"), F.lit(2))
 
 
 def extract_fields(pages: DataFrame, rules: list[ExtractRule], provider: Column | None = None,
@@ -250,10 +390,14 @@ def parse_pages(pages: DataFrame, rules: list[ExtractRule] | None = None,
                 description_heading: str = "Beschreibung") -> DataFrame:
     """Pages to the unified schema; details without a value are left out."""
     html = F.col("html")
-    df = extract_fields(pages, rules or COMMON_RULES)
-    text = F.coalesce(section(html, description_heading), longest_block(html))
+    fallback = [ExtractRule(DEFAULT_PROVIDER_RULES, "description", 1, "const", "")]
+    df = extract_fields(pages, rules or COMMON_RULES + SITE_RULES + fallback, site_of(F.col("url")))
+    text = F.coalesce(F.col("description") if "description" in df.columns else F.lit(None).cast("string"),
+                      section(html, description_heading), longest_block(html))
+    site = site_of(F.col("url"))
+    words = reduce(lambda acc, s: F.when(site == s, site_keywords(html, s)).otherwise(acc), SITE_KEYWORDS, keywords(html))
     return df.withColumns({
         "description": text,
-        "schlagworte": keywords(html),
+        "schlagworte": words,
         "details": F.map_filter(label_values(text_stream(html)), lambda _, v: v.isNotNull()),
     }).drop("html")
