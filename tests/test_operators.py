@@ -93,7 +93,7 @@ def test_unknown_passes_unless_rejected(spark):
 
 
 def test_all_criteria_are_checked(spark):
-    row = checks(spark, {"include_terms": ["Power BI"], "exclude_terms": ["Vollzeit", "(kaputt"], "rate": {"min_hourly": 80},
+    row = checks(spark, {"include_terms": ["Laternen Werk"], "exclude_terms": ["Vollzeit", "(kaputt"], "rate": {"min_hourly": 80},
                          "language": {"allowed": ["de"]}, "max_age_days": 5}, title="Java", description="Vollzeit (kaputt 50 €/Std English",
                  published_date="2026-10-01")
     assert row.failed_criteria == ["include_terms", "exclude_terms", "rate", "language", "max_age_days"]
@@ -107,25 +107,25 @@ def test_explicit_fields_win(spark):
 
 
 def test_tags_count_for_topics_only(spark):
-    df = spark.createDataFrame([("t", "d", ["SharePoint", None, ""])], "title string, description string, schlagworte array<string>")
-    assert matching.apply_filters(df, group({"include_terms": ["SharePoint"]}), NOW).first().passed
-    assert matching.apply_filters(df, group({"exclude_terms": ["SharePoint"]}), NOW).first().passed
+    df = spark.createDataFrame([("t", "d", ["Aktenhort", None, ""])], "title string, description string, schlagworte array<string>")
+    assert matching.apply_filters(df, group({"include_terms": ["Aktenhort"]}), NOW).first().passed
+    assert matching.apply_filters(df, group({"exclude_terms": ["Aktenhort"]}), NOW).first().passed
 
 
 def test_rule_table_equals_literal_rules(spark):
-    words = ["Power", "BI", "power-bi", "KI", "kapital", "n8n", "Make.com", "x", "Firewalls", "LAN/WAN", "ISO", "27001", "Öl", "é"]
+    words = ["Power", "BI", "power-bi", "KI", "kapital", "q7q", "Make.com", "x", "Brandmauers", "LAN/WAN", "ISO", "27001", "Öl", "é"]
     rng = random.Random(5)
     docs = [(i, "", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(200)]
     df = spark.createDataFrame(docs, "id int, title string, description string")
-    groups = group({"include_terms": ["Power BI", "KI", "n8n", "Make.com", "Firewall*", "LAN/WAN", "ISO 27001", "Öl"]})
+    groups = group({"include_terms": ["Laternen Werk", "KI", "q7q", "Make.com", "Brandmauer*", "LAN/WAN", "ISO 27001", "Öl"]})
     literal = {(r.id, t) for r in matching.match_terms(df, groups).collect() for t in r.matched}
     table = {(r.id, r.term) for r in matching.match_rule_table(df, config.term_rules(spark, groups), "id").collect()}
     assert literal == table and literal
 
 
 def test_title_prefilter(spark):
-    groups = group({"include_terms": ["Power BI"]})
-    df = spark.createDataFrame([("Buchhalterin", "nichts"), ("Buchhalter", "mit Power BI"), ("Admin", "")], "t string, s string")
+    groups = group({"include_terms": ["Laternen Werk"]})
+    df = spark.createDataFrame([("Buchhalterin", "nichts"), ("Buchhalter", "mit Laternen Werk"), ("Admin", "")], "t string, s string")
     got = [r[0] for r in df.select(matching.title_prefilter(F.col("t"), F.col("s"), T.compile_terms(["Buchhalter*"]), groups)).collect()]
     assert got == ["Buchhalter*", None, None]
 
@@ -144,26 +144,26 @@ RULES = {
     "caps": {"high": 45, "medium": 24, "transferable": 8, "low_priority": -45},
     "thresholds": {"high": 50, "medium": 25}, "reject_score_cap": 10, "must_have_penalty": -25,
     "groups": {
-        "a": {"high": ["Power BI", "KPI-Dashboard*", "SharePoint", "Management Reporting", "Prozessautomatisierung"],
-              "medium": ["REST-API", "Webhook*"], "transferable": ["n8n"]},
-        "b": {"high": ["IT-Infrastruktur*", "Firewall*", "Netzwerksegmentierung", "Segmentierungskonzept*"],
-              "medium": ["Informationssicherheit*", "Sicherheitsarchitektur*", "Active Directory"],
-              "low_priority": ["Client-Rollout*", "Onsite-Support*"]}},
-    "common": {"role": {"points": 10, "terms": ["Senior", "Consultant*"]},
-               "unsupported_must_haves": [{"label": "Pega", "terms": ["Pega"]}],
-               "specialist_roles": [{"label": "Cyber", "score_cap": 40, "title_terms": ["Cybersecurity"],
-                                     "required_experience_terms": ["technischen Informationssicherheit"]}]},
+        "a": {"high": ["Laternen Werk", "Ziel-Tafel*", "Aktenhort", "Lagebericht Wesen", "Ablaufschmiede"],
+              "medium": ["Tor-Kanal", "Rufhaken*"], "transferable": ["q7q"]},
+        "b": {"high": ["Netz-Unterbau*", "Brandmauer*", "Zonenteilung", "Teilungsplan*"],
+              "medium": ["Datenobhut*", "Obhutbauplan*", "Namens Register"],
+              "low_priority": ["Geräte-Ausgabe*", "Vorort-Hilfe*"]}},
+    "common": {"role": {"points": 10, "terms": ["Altmeister", "Ratgeber*"]},
+               "unsupported_must_haves": [{"label": "Zorbo", "terms": ["Zorbo"]}],
+               "specialist_roles": [{"label": "Cyber", "score_cap": 40, "title_terms": ["Hüterwesen"],
+                                     "required_experience_terms": ["technischen Datenobhut"]}]},
     "conditions": {"work_mode": {"onsite_only": ["kein Remote"], "hybrid": ["hybrid"], "remote": ["Remote"]},
                    "score_adjustments": {"onsite_only": -20, "workload_outside": -10}},
 }
 CASES = {
-    "bi": ("Senior Power BI Consultant", "KPI-Dashboards, SharePoint, Management Reporting. Remote, 3 Tage pro Woche"),
-    "n8n": ("n8n-Ablauf", "Prozessautomatisierung mit REST-API oder Webhook auf n8n"),
-    "pega": ("Architekt für Pega", "Prozessautomatisierung\nMust-Have\n- Pega Praxis\nNice-To-Have\n- x"),
-    "pega_must": ("Architekt", "Prozessautomatisierung\nMust-Have\n- Pega Praxis"),
-    "cyber": ("Senior Cybersecurity Consultant", "IT-Infrastrukturen, Firewalls, Netzwerksegmentierung, Sicherheitsarchitektur\n"
-              "**Anforderungen**\n- Erfahrung in der technischen Informationssicherheit"),
-    "support": ("Supporter", "Client-Rollout, Onsite-Support, Active Directory. kein Remote, Auslastung: Vollzeit"),
+    "bi": ("Altmeister Laternen Werk Ratgeber", "Ziel-Tafels, Aktenhort, Lagebericht Wesen. Remote, 3 Tage pro Woche"),
+    "q7q": ("q7q-Gang", "Ablaufschmiede mit Tor-Kanal oder Rufhaken auf q7q"),
+    "pega": ("Architekt für Zorbo", "Ablaufschmiede\nMust-Have\n- Zorbo Praxis\nNice-To-Have\n- x"),
+    "pega_must": ("Architekt", "Ablaufschmiede\nMust-Have\n- Zorbo Praxis"),
+    "cyber": ("Altmeister Hüterwesen Ratgeber", "Netz-Unterbauen, Brandmauers, Zonenteilung, Obhutbauplan\n"
+              "**Anforderungen**\n- Erfahrung in der technischen Datenobhut"),
+    "support": ("Supporter", "Geräte-Ausgabe, Vorort-Hilfe, Namens Register. kein Remote, Auslastung: Vollzeit"),
 }
 
 
@@ -175,17 +175,17 @@ def scored(spark):
 
 def test_suitability_decisions(scored):
     assert {k: v.technical.decision for k, v in scored.items()} == {
-        "bi": "hoch", "n8n": "mittel", "pega": "abgelehnt", "pega_must": "niedrig", "cyber": "mittel", "support": "niedrig"}
+        "bi": "hoch", "q7q": "mittel", "pega": "abgelehnt", "pega_must": "niedrig", "cyber": "mittel", "support": "niedrig"}
     assert {k: v.recommendation for k, v in scored.items()} == {
-        "bi": "Bewerben", "n8n": "Prüfen", "pega": "Nicht bewerben", "pega_must": "Nicht bewerben", "cyber": "Prüfen",
+        "bi": "Bewerben", "q7q": "Prüfen", "pega": "Nicht bewerben", "pega_must": "Nicht bewerben", "cyber": "Prüfen",
         "support": "Nicht bewerben"}
 
 
 def test_suitability_points(scored):
-    assert scored["n8n"].technical.score == 15 + 16 + 4
+    assert scored["q7q"].technical.score == 15 + 16 + 4
     assert scored["bi"].technical.score == 45 + 10
     assert scored["cyber"].technical.score == 40 and any("begrenzt" in r for r in scored["cyber"].technical.reasons)
-    assert scored["pega"].score <= 10 and "Pega" in scored["pega"].reject_reason
+    assert scored["pega"].score <= 10 and "Zorbo" in scored["pega"].reject_reason
     assert scored["pega_must"].technical.score == 0 and scored["pega_must"].reject_reason is None
     assert scored["support"].conditions.work_mode.status == "nicht erfüllt"
     assert scored["bi"].conditions.workload.value == "3 Tage pro Woche (24 h/Woche)"
