@@ -37,7 +37,7 @@ from .tables import stored
 COSINE = 0.98
 BLOCKS = 4
 CELL = 1_024
-IN_BLOCK = 2_048
+IN_BLOCK = 4_096
 SEED = 8
 
 
