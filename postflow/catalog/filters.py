@@ -122,7 +122,7 @@ def f10_orders(spark, d):
     """The same predicates on the order table: filters and columns reach the scan."""
     rows = table(spark, d, "orders").select(
         "o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("pre_eval_score"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("retrieval_date"))
+        F.col("o_orderdate").alias("retrieval_date"))
     return C.corpus_query(rows, C.CorpusFilter(statuses=["O", "P"], date_from="1996-01-01", date_to="1997-06-30", pre_eval_score_min=100)) \
         .select("o_orderkey", "o_totalprice")
 

@@ -64,12 +64,14 @@ def corpus_query(view: DataFrame, f: CorpusFilter) -> DataFrame:
     if f.channels:
         where(F.col("collection_channel").isin(f.channels))
     if f.date_from or f.date_to:
-        day = F.try_to_date(F.substring("retrieval_date", 1, 10), "yyyy-MM-dd")
+        typed = dict(out.dtypes)["retrieval_date"] != "string"
+        # A typed column is compared as it is, so that the range reaches the scan.
+        day = F.col("retrieval_date") if typed else F.try_to_date(F.substring("retrieval_date", 1, 10), "yyyy-MM-dd")
         where(day.isNotNull())
         if f.date_from:
-            where(day >= F.to_date(F.lit(f.date_from)))
+            where(day >= F.lit(dt.date.fromisoformat(f.date_from)))
         if f.date_to:
-            where(day <= F.to_date(F.lit(f.date_to)))
+            where(day < F.lit(dt.date.fromisoformat(f.date_to) + dt.timedelta(days=1)))
     for name in ("pre_eval_score", "llm_score"):
         low, high = getattr(f, f"{name}_min"), getattr(f, f"{name}_max")
         if low is not None:

@@ -63,9 +63,11 @@ def prepare(postings: DataFrame, digests: dict[str, str], template: str, profile
 def spent(cost_log: DataFrame, today: dt.date) -> DataFrame:
     """A5: one row (daily_usd, monthly_usd); reservations count as spent."""
     day, month = today.isoformat(), today.isoformat()[:7]
-    ts, cost = F.col("timestamp").cast("string"), F.col("cost_usd")
+    is_text = dict(cost_log.dtypes)["timestamp"] == "string"
+    ts, cost = F.col("timestamp") if is_text else F.col("timestamp").cast("string"), F.col("cost_usd")
     zero = F.lit(0).cast("decimal(18,6)")
-    return cost_log.agg(
+    # Only the month is read: a prefix test on a text column reaches the scan.
+    return cost_log.where(ts.startswith(month)).agg(
         F.coalesce(F.sum(F.when(ts.startswith(day), cost)), zero).alias("daily_usd"),
         F.coalesce(F.sum(F.when(ts.startswith(month), cost)), zero).alias("monthly_usd"))
 
