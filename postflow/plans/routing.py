@@ -111,9 +111,7 @@ def route(entries: DataFrame, state: State, pages: DataFrame, setup: Setup) -> D
     """
     rows = _open_groups(_per_url(entries), state, setup)
     known = state.processed.select("project_id").distinct().withColumn("_known", F.lit(True))
-    stored = state.postings.select("project_id", F.col("title").alias("_old_title"), F.col("description").alias("_old_text"))
-    rows = rows.join(known, "project_id", "left").join(stored, "project_id", "left") \
-        .withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
+    rows = rows.join(known, "project_id", "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
     is_open = F.size("pending") > 0
     excluded = matching.title_prefilter(F.col("title"), F.col("summary"), T.compile_terms(setup.prefilter),
                                         setup.groups, F.col("pending"))
@@ -127,6 +125,11 @@ def route(entries: DataFrame, state: State, pages: DataFrame, setup: Setup) -> D
         to_read = broadcast_if_small(to_read, setup.max_page_reads)
     texts = pages.join(to_read, "url_key", "left_semi").withColumn("_landed", F.lit(True))
     rows = rows.join(texts, "url_key", "left")
+    # Stored texts likewise: only of known postings that a changed or new group asks about.
+    asked = rows.where(is_open & F.col("known") & F.col("had_decisions")).select("project_id").distinct()
+    stored = state.postings.join(asked, "project_id", "left_semi").select(
+        "project_id", F.col("title").alias("_old_title"), F.col("description").alias("_old_text"))
+    rows = rows.join(stored, "project_id", "left")
 
     old_text = rstrip(F.element_at(F.split("_old_text", APPENDED, 2), 1))
     from_page = F.col("needs_page")
