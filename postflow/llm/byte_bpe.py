@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .encoders import ID, byte_encoder
-from .tables import with_long_ids, with_text_ids
+from .tables import slices, with_long_ids, with_text_ids
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: A border this near to the end of a chunk may hang on characters that the chunk does not hold.
@@ -74,7 +74,7 @@ def _encode(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int)
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = byte_encoder(path, pattern)
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [encoder.encode(t) for t in b["text"]]})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,7 +130,7 @@ def report(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
         encoder = byte_encoder(path, pattern)
         names = [str(i) for i in range(len(encoder.tokens))]
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             yield pd.DataFrame({
                 "doc_id": b["doc_id"], "n_tokens": [len(x) // ID.itemsize for x in b["ids"]],
                 "ids_sha256": [sha(",".join([names[i] for i in np.frombuffer(x, ID).tolist()]).encode()) for x in b["ids"]],

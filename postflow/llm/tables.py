@@ -32,6 +32,12 @@ def with_text_ids(df: DataFrame, *columns: str) -> DataFrame:
                      *[F.coalesce("text", F.lit("")).alias("text") if c == "text" else c for c in columns])
 
 
+def slices(batch, rows: int = 512):
+    """An Arrow batch in parts, so that what a task builds at once stays small."""
+    for k in range(0, len(batch), rows):
+        yield batch.iloc[k:k + rows]
+
+
 def with_long_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.col("doc_id").cast("long"))
 
