@@ -66,6 +66,17 @@ _OUTCOMES = f"""o AS (SELECT page_id, feed, unnest(CASE WHEN feed LIKE '%net.xml
  CASE WHEN page_id % 2 = 0 THEN 'gulp' ELSE 'freelancermap' END AS provider, CASE page_id % 5 WHEN 0 THEN 'created' WHEN 1 THEN 'merged' WHEN 2 THEN 'filtered' WHEN 3 THEN 'errors' ELSE 'deferred' END AS outcome FROM f)"""
 
 
+_CLASSES = ["new", "known", "filtered", "deferred", "errors"]
+
+
+@query("a6_feed_counters", f"""WITH {FEED_CTE}, c AS (SELECT feed, CASE page_id % 5 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLASSES))} END AS k FROM f)
+SELECT feed AS label, count(*) AS entries, {', '.join(f"count(*) FILTER (k = '{c}') AS {c}" for c in _CLASSES)} FROM c GROUP BY feed""")
+def a6_feeds(spark, d):
+    names = F.array(*[F.lit(c) for c in _CLASSES])
+    rows = feed_entries(spark, d).select(F.col("feed").alias("label"), F.get(names, (F.col("page_id") % 5).cast("int")).alias("entry_class"))
+    return counters.feed_counters(rows)
+
+
 @query("a6_ingestion_counters", f"""WITH {FEED_CTE}, {_OUTCOMES} SELECT CASE WHEN grouping(group_id) = 1 THEN 'total' WHEN grouping(provider) = 1 THEN 'group' ELSE 'group_provider' END AS level, group_id, provider, count(*) AS entries_found,
  count(*) FILTER (outcome = 'created') AS projects_saved, count(*) FILTER (outcome = 'merged') AS urls_skipped_dedupe, count(*) FILTER (outcome = 'filtered') AS projects_filtered,
  count(*) FILTER (outcome = 'created' AND page_id % 3 = 0) AS projects_unsuitable, count(*) FILTER (outcome = 'errors') AS errors, count(*) FILTER (outcome = 'deferred') AS deferred
