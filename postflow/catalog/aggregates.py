@@ -10,6 +10,7 @@ from ..functions import responses as R, terms, urls
 from ..operators import (corpus as C, counters, evaluation, ledger, lifecycle, matching, migration, pages as PG, retention, similarity,
                          suitability)
 from ..sources import frontmatter as FM, inventory
+from . import literals as V
 from .base import (CORPUS_CTE, FEED_CTE, GROUP_CONFIG, NL, NOW, POSTING_CTE, STATE_EVENT_CTE, corpus, cte, feed_entries, groups, hit, matched_sql,
                    postings, query, s, state_events, table, text, view)
 from .filters import F12_SQL, FILTER, FILTER_SQL, PURGE_CTE, TAGS, purge_candidates
@@ -166,7 +167,7 @@ def a17(spark, d):
 
 
 @query("a18_purge_statistics", f"""WITH {PURGE_CTE}, g AS (SELECT category, count(*) AS found FROM cand GROUP BY category),
-o AS (SELECT *, list_position({'[' + ', '.join(text(k) for k in retention.RETENTION) + ']'}, category) AS i FROM g)
+o AS (SELECT *, list_position({'[' + ', '.join(text(k) for k in V.RETENTION) + ']'}, category) AS i FROM g)
 SELECT category, found, CAST(greatest(0, least(found, 1000 - coalesce(sum(found) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS deleted FROM o""")
 def a18(spark, d):
     return retention.purge_statistics(purge_candidates(spark, d))
@@ -255,6 +256,6 @@ def o7(spark, d):
     return view(spark, d, "pages", BLOCK_PAGE).select("page_id", F.sha2(PG.longest_block(F.col("html")), 256).alias("block"))
 
 
-@query("o8_deletion_cap", f"""WITH {PURGE_CTE} SELECT o_orderkey, category FROM cand ORDER BY list_position({'[' + ', '.join(text(k) for k in retention.RETENTION) + ']'}, category), path, o_orderkey LIMIT 1000""")
+@query("o8_deletion_cap", f"""WITH {PURGE_CTE} SELECT o_orderkey, category FROM cand ORDER BY list_position({'[' + ', '.join(text(k) for k in V.RETENTION) + ']'}, category), path, o_orderkey LIMIT 1000""")
 def o8(spark, d):
     return retention.purge_set(purge_candidates(spark, d), tie="o_orderkey").select("o_orderkey", "category")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pii, postings as P, responses as R, text as T
 from ..operators import counters, evaluation, pages as PG, similarity, suitability
 from ..plans import scoring
+from . import literals as V
 from .base import NL, POSTING_CTE, TODAY, hit, postings, query, s, table, text, view
 from .joins import VECTORS, profiles
 from .projections import (ANSWER, BODY_CTE, PII_SQL, PII_VIEW, STOP_SQL, TOKEN_RE, bodies, fold_sql, must_sql, re,
@@ -73,7 +74,7 @@ cp AS (SELECT *, CASE WHEN sr > 0 AND (st > 0 OR sr >= 2) THEN least(raw, 40) EL
 fin AS (SELECT *, CASE WHEN rejected THEN least(capped, 10) ELSE capped END AS technical FROM cp),
 dc AS (SELECT *, CASE WHEN rejected THEN 'abgelehnt' WHEN technical >= 50 THEN 'hoch' WHEN technical >= 25 THEN 'mittel' ELSE 'niedrig' END AS decision FROM fin),
 wk AS ({workload_sql('c', 'base')}), sd AS ({start_sql('c', 'base', TODAY)}),
-wm AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(c, {re(P.REMOTE_SHARE)}, 1), '') AS INT) AS share, {hit('vor ort', 'c')} AS onsite, {hit('hybrid', 'c')} AS hybrid, {hit('remote', 'c')} AS remote FROM base),
+wm AS (SELECT doc_id, TRY_CAST(nullif(regexp_extract(c, {re(V.REMOTE_SHARE)}, 1), '') AS INT) AS share, {hit('vor ort', 'c')} AS onsite, {hit('hybrid', 'c')} AS hybrid, {hit('remote', 'c')} AS remote FROM base),
 wmd AS (SELECT doc_id, CASE WHEN onsite THEN 'nicht erfüllt' WHEN share >= 100 THEN 'erfüllt' WHEN share <= 0 THEN 'nicht erfüllt' WHEN share IS NOT NULL THEN 'teilweise' WHEN hybrid THEN 'teilweise' WHEN remote THEN 'erfüllt' ELSE 'unbekannt' END AS work_status FROM wm),
 al AS (SELECT dc.*, work_status, wk.status AS load_status, CASE WHEN sd.start IS NULL THEN 'unbekannt' ELSE 'nicht geprüft' END AS start_status,
  greatest(0, least(100, technical + CASE WHEN work_status = 'nicht erfüllt' THEN -20 ELSE 0 END + CASE WHEN wk.status = 'nicht erfüllt' THEN -10 ELSE 0 END)) AS score
@@ -108,10 +109,10 @@ LIMITS = evaluation.Limits(max_input_tokens=1800, max_calls_per_run=None, daily_
 
 
 @query("c4_evaluation_requests", f"""{PII_SQL}, sc AS (SELECT doc_id, trim(x, ' ' || chr(10) || chr(9)) AS x FROM t6),
-tr AS (SELECT doc_id, x, length(x) > 4000 AS cut, CASE WHEN length(x) > 4000 THEN rtrim(substr(x, 1, 1950), ' ' || {NL}) || {' || chr(10) || '.join(text(p) for p in T.TRUNCATION_MARK.split(chr(10)))} || ltrim(right(x, 1950), ' ' || {NL}) ELSE x END AS y FROM sc),
+tr AS (SELECT doc_id, x, length(x) > 4000 AS cut, CASE WHEN length(x) > 4000 THEN rtrim(substr(x, 1, 1950), ' ' || {NL}) || {' || chr(10) || '.join(text(p) for p in V.TRUNCATION_MARK.split(chr(10)))} || ltrim(right(x, 1950), ' ' || {NL}) ELSE x END AS y FROM sc),
 g AS (SELECT *, trim(regexp_replace(regexp_replace(x, '\\[(?:EMAIL|PHONE|IBAN|NAME|SCRUBBED)\\]', '', 'g'), '\\s+', ' ', 'g')) AS u FROM tr),
-sf AS (SELECT *, length(u) >= 150 AND NOT regexp_matches(u, {text(pii.PHONE)}) AND NOT regexp_matches(u, {text(pii.EMAIL)}) AND NOT regexp_matches(u, {text('(?i)' + pii.IBAN_LEFT)}) AS safe,
- greatest(1, (length(y) + {len(PROMPT.replace('{note}', '').replace('{profiles}', '').replace('{text}', '').replace('{profile_ids}', '')) + len('[' + ', '.join(f'"{p}"' for p in DIGESTS) + ']') + len(chr(10) * 2) + sum(len(f'<profile id="{p}">') + 1 + len(v) + 1 + len('</profile>') for p, v in DIGESTS.items())} + CASE WHEN cut THEN {len(R.TRUNCATION_NOTE)} ELSE 0 END) // 4) AS tk FROM g),
+sf AS (SELECT *, length(u) >= 150 AND NOT regexp_matches(u, {text(V.PHONE)}) AND NOT regexp_matches(u, {text(V.EMAIL)}) AND NOT regexp_matches(u, {text('(?i)' + V.IBAN_LEFT)}) AS safe,
+ greatest(1, (length(y) + {len(PROMPT.replace('{note}', '').replace('{profiles}', '').replace('{text}', '').replace('{profile_ids}', '')) + len('[' + ', '.join(f'"{p}"' for p in DIGESTS) + ']') + len(chr(10) * 2) + sum(len(f'<profile id="{p}">') + 1 + len(v) + 1 + len('</profile>') for p, v in DIGESTS.items())} + CASE WHEN cut THEN {len(V.TRUNCATION_NOTE)} ELSE 0 END) // 4) AS tk FROM g),
 rq AS (SELECT doc_id, CAST(tk * 0.25e-6 + 1024 * 1.25e-6 AS DECIMAL(18,6)) AS cost FROM sf WHERE safe)
 SELECT CAST(sf.doc_id AS VARCHAR) AS project_id, tk AS est_input_tokens, cut AS input_truncated, CASE WHEN NOT safe THEN 'unsafe_content' WHEN rq.cost <= 1e9 THEN 'send' END AS action FROM sf LEFT JOIN rq ON rq.doc_id = sf.doc_id""")
 def c4(spark, d):

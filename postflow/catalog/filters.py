@@ -8,6 +8,7 @@ from ..functions import mail, terms
 from ..operators import corpus as C, lifecycle, matching, retention
 from ..sources import config
 from ..sources.config import Choice, Filters, RateBounds
+from . import literals as V
 from .base import (CORPUS_CTE, FEED_CTE, GROUP_CONFIG, NOW, POSTING_CTE, PREFILTER_TERMS, STATE_EVENT_CTE, corpus, feed_entries, groups,
                    hit, matched_sql, postings, query, state_events, table, text, view)
 from .projections import BODY_CTE, bodies, contract_sql, languages_sql, mode_sql, rate_sql
@@ -20,7 +21,7 @@ TOPIC = FULL + " || ' ; ' || schlagworte"
 
 FACTS = f"""facts AS (SELECT doc_id, published_date, {FULL} AS t, {matched_sql(ANGLO['include_terms'], TOPIC)} AS m,
  CASE WHEN regexp_matches({FULL}, '(?i)ndble') THEN 'ndble' WHEN regexp_matches({FULL}, '(?i)the[aei]rou') THEN 'the[aei]rou' WHEN contains(lower({FULL}), '(unclosed') THEN '(unclosed' END AS ex,
- {contract_sql(FULL)} AS ct, {mode_sql(FULL)} AS wm, {rate_sql(FULL, P.HOURLY_LABELLED, P.HOURLY_UNIT)} AS h, {rate_sql(FULL, P.DAILY_LABELLED, P.DAILY_UNIT)} AS dy,
+ {contract_sql(FULL)} AS ct, {mode_sql(FULL)} AS wm, {rate_sql(FULL, V.HOURLY_LABELLED, V.HOURLY_UNIT)} AS h, {rate_sql(FULL, V.DAILY_LABELLED, V.DAILY_UNIT)} AS dy,
  {languages_sql(FULL)} AS lg FROM p)"""
 RATE_OK = "(h IS NULL OR (h >= 80 AND h <= 130)) AND (dy IS NULL OR (dy >= 600 AND dy <= 1300))"
 AGE_OK = "(published_date IS NULL OR TIMESTAMP '2024-01-31' - CAST(published_date AS TIMESTAMP) <= INTERVAL 14 DAY)"
@@ -173,7 +174,7 @@ def f15(spark, d):
     return feed_entries(spark, d).join(F.broadcast(subs), ["provider", "feed"]).groupBy("group_id", "feed").agg(F.count("*").alias("entries"))
 
 
-_RETENTION = " ".join(f"WHEN '{k}' THEN {v}" for k, v in retention.RETENTION.items())
+_RETENTION = " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.RETENTION.items())
 CATEGORY_SQL = """CASE WHEN regexp_matches(path, '[.]log$') THEN 'logs' WHEN regexp_matches(path, '^base/projects/.*[.]md$') THEN CASE o_orderstatus WHEN 'O' THEN 'scraped' WHEN 'F' THEN 'archived'
  WHEN 'P' THEN CASE WHEN length < 300 THEN 'rejected_low_pre_eval' WHEN length < 900 THEN 'rejected_low_llm' ELSE 'rejected_other' END END WHEN regexp_matches(path, '(^|/)temp/') THEN 'temp_files' WHEN contains(path, 'backup') THEN 'backups' ELSE 'other' END"""
 PURGE_CTE = f"""{FILES_CTE}, pc AS (SELECT fl.o_orderkey, path, {CATEGORY_SQL} AS category, date_diff('second', CASE WHEN regexp_matches(path, '\\d{{8}}_\\d{{6}}') THEN strptime(regexp_extract(path, '\\d{{8}}_\\d{{6}}'), '%Y%m%d_%H%M%S')

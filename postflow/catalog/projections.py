@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, mail, markdown as M, pii, postings as P, responses as R, terms, text as X, urls
 from ..operators import evaluation, pages as PG
+from . import literals as V
 from .base import (CORPUS_CTE, FEED_CTE, NL, NOW, POSTING_CTE, TODAY, corpus, cte, feed_entries, pick,
                    postings, query, s, table, text, view)
 
@@ -85,7 +86,7 @@ def p7(spark, d):
 
 
 FOLD = "{}"
-for _u, _p in X.UMLAUTS.items():
+for _u, _p in V.UMLAUTS.items():
     FOLD = f"replace({FOLD}, '{_u}', '{_p}')"
 
 
@@ -125,8 +126,8 @@ def rate_sql(col: str, *patterns: str) -> str:
     return "coalesce(" + ", ".join(number_sql(f"regexp_extract({col}, {re(p)}, 1)") for p in patterns) + ")"
 
 
-@query("p10_rates", f"""WITH {POSTING_CTE} SELECT doc_id, {rate_sql('description', P.HOURLY_LABELLED, P.HOURLY_UNIT)} AS hourly,
- {rate_sql('description', P.DAILY_LABELLED, P.DAILY_UNIT)} AS daily FROM p""")
+@query("p10_rates", f"""WITH {POSTING_CTE} SELECT doc_id, {rate_sql('description', V.HOURLY_LABELLED, V.HOURLY_UNIT)} AS hourly,
+ {rate_sql('description', V.DAILY_LABELLED, V.DAILY_UNIT)} AS daily FROM p""")
 def p10(spark, d):
     c = F.col("description")
     return postings(spark, d).select("doc_id", P.hourly_rate(c).alias("hourly"), P.daily_rate(c).alias("daily"))
@@ -142,8 +143,8 @@ def p11(spark, d):
 
 
 def mode_sql(col: str) -> str:
-    exact = " ".join(f"WHEN lower({col}) = {text(k)} THEN '{v}'" for k, v in P.WORK_MODES.items())
-    inside = " ".join(f"WHEN contains(lower({col}), {text(k)}) THEN '{v}'" for k, v in P.WORK_MODES.items())
+    exact = " ".join(f"WHEN lower({col}) = {text(k)} THEN '{v}'" for k, v in V.WORK_MODES.items())
+    inside = " ".join(f"WHEN contains(lower({col}), {text(k)}) THEN '{v}'" for k, v in V.WORK_MODES.items())
     return f"CASE {exact} {inside} END"
 
 
@@ -154,14 +155,14 @@ def p12(spark, d):
 
 def contract_sql(col: str) -> str:
     low = f"lower({col})"
-    exact = " ".join(f"WHEN trim({low}) = {text(k)} THEN '{v}'" for k, v in P.CONTRACT_TYPES.items())
+    exact = " ".join(f"WHEN trim({low}) = {text(k)} THEN '{v}'" for k, v in V.CONTRACT_TYPES.items())
 
     def inside(k: str, v: str) -> str:
         pos = f"instr({low}, {text(k)})"
         start = f"greatest(1, {pos} - 30)"
         window = f"substr({low}, {start}, {pos} - {start})"
-        return f"WHEN {pos} > 0 AND NOT regexp_matches({window}, {re(P.NEGATION)}) THEN '{v}'"
-    return f"CASE {exact} {' '.join(inside(k, v) for k, v in P.CONTRACT_TYPES.items())} END"
+        return f"WHEN {pos} > 0 AND NOT regexp_matches({window}, {re(V.NEGATION)}) THEN '{v}'"
+    return f"CASE {exact} {' '.join(inside(k, v) for k, v in V.CONTRACT_TYPES.items())} END"
 
 
 @query("p13_contract_type", f"WITH {POSTING_CTE} SELECT doc_id, {contract_sql('description')} AS contract_type FROM p")
@@ -177,7 +178,7 @@ def lang_re2(pattern: str) -> str:
 
 def languages_sql(col: str) -> str:
     return "list_filter([" + ", ".join(
-        f"CASE WHEN regexp_matches({col}, {text(lang_re2(p))}) THEN '{c}' END" for c, p in P.LANGUAGES.items()) + "], lambda x: x IS NOT NULL)"
+        f"CASE WHEN regexp_matches({col}, {text(lang_re2(p))}) THEN '{c}' END" for c, p in V.LANGUAGES.items()) + "], lambda x: x IS NOT NULL)"
 
 
 @query("p14_languages", f"WITH {POSTING_CTE} SELECT doc_id, array_to_string({languages_sql('description')}, ',') AS languages FROM p")
@@ -190,8 +191,8 @@ P15_VIEW = {"p_partkey": "p_partkey", "term": "CASE p_partkey % 3 WHEN 0 THEN p_
 
 @query("p15_term_pattern", f"""WITH {cte('v', 'part', P15_VIEW)},
 w AS (SELECT p_partkey, trim(term) AS t, list_filter(regexp_split_to_array(lower(trim(regexp_replace(trim(term), '[*]+$', ''))), '[\\s-]+'), lambda x: x <> '') AS parts FROM v)
-SELECT p_partkey, '(?<![{terms.WORD}])' || array_to_string(list_transform(parts, lambda x: regexp_replace(x, '([^{terms.WORD}_])', '\\\\\\1', 'g')), {text(terms.GAP)})
- || CASE WHEN suffix(t, '*') THEN '' ELSE '(?![{terms.WORD}])' END AS pattern FROM w""")
+SELECT p_partkey, '(?<![{V.WORD}])' || array_to_string(list_transform(parts, lambda x: regexp_replace(x, '([^{V.WORD}_])', '\\\\\\1', 'g')), {text(V.GAP)})
+ || CASE WHEN suffix(t, '*') THEN '' ELSE '(?![{V.WORD}])' END AS pattern FROM w""")
 def p15(spark, d):
     return view(spark, d, "part", P15_VIEW).select("p_partkey", terms.term_pattern(F.col("term")).alias("pattern"))
 
@@ -234,12 +235,12 @@ def p18(spark, d):
 
 def must_sql(col: str) -> str:
     """Windows rebuilt from the pieces between headings."""
-    pat = re(P.MUST_START)
+    pat = re(V.MUST_START)
     pieces, heads = f"regexp_split_to_array({col}, {pat})", f"regexp_extract_all({col}, {pat})"
     rest = (f"substr(array_to_string(list_transform(range(i, len({pieces}) + 1), lambda j: CASE WHEN j = i THEN ({pieces})[j] "
-            f"ELSE ({heads})[j - 1] || ({pieces})[j] END), ''), 1, {P.MUST_CHARS})")
+            f"ELSE ({heads})[j - 1] || ({pieces})[j] END), ''), 1, {V.MUST_CHARS})")
     return (f"array_to_string(list_transform(range(2, len({pieces}) + 1), lambda i: "
-            f"(regexp_split_to_array({rest}, {re(P.MUST_END)}))[1]), {NL})")
+            f"(regexp_split_to_array({rest}, {re(V.MUST_END)}))[1]), {NL})")
 
 
 @query("p19_must_sections", f"WITH {POSTING_CTE} SELECT doc_id, length(m) AS n, sha256(m) AS sections FROM (SELECT doc_id, {must_sql('description')} AS m FROM p)")
@@ -265,8 +266,8 @@ FROM (SELECT *, CASE WHEN lo = hi THEN {general_sql('lo')} ELSE {general_sql('lo
   CASE WHEN r1 IS NOT NULL THEN CAST(r2 AS DOUBLE) WHEN h IS NOT NULL THEN CAST(h AS DOUBLE) WHEN d1 IS NOT NULL THEN CAST(coalesce(d2, d1) AS DOUBLE) * 8
    WHEN pc IS NOT NULL THEN CAST(pc AS DOUBLE) * 40 / 100 WHEN ft THEN 40 END AS hi,
   CASE WHEN r1 IS NOT NULL OR h IS NOT NULL THEN NULL WHEN d1 IS NOT NULL THEN d0 WHEN pc IS NOT NULL THEN pc || ' %' WHEN ft THEN 'Vollzeit' END AS label
- FROM (SELECT doc_id, {g(P.HOURS_RANGE, 1)} AS r1, {g(P.HOURS_RANGE, 2)} AS r2, {g(P.HOURS, 1)} AS h, {g(P.DAYS, 1)} AS d1, {g(P.DAYS, 2)} AS d2,
-   {g(P.DAYS, 0)} AS d0, {g(P.PERCENT, 1)} AS pc, regexp_matches({col}, {re(P.FULL_TIME)}) AS ft, regexp_matches({col}, {re(P.PART_TIME)}) AS part FROM {source})))"""
+ FROM (SELECT doc_id, {g(V.HOURS_RANGE, 1)} AS r1, {g(V.HOURS_RANGE, 2)} AS r2, {g(V.HOURS, 1)} AS h, {g(V.DAYS, 1)} AS d1, {g(V.DAYS, 2)} AS d2,
+   {g(V.DAYS, 0)} AS d0, {g(V.PERCENT, 1)} AS pc, regexp_matches({col}, {re(V.FULL_TIME)}) AS ft, regexp_matches({col}, {re(V.PART_TIME)}) AS part FROM {source})))"""
 
 
 @query("p20_workload", f"WITH {POSTING_CTE} {workload_sql('description', 'p')}")
@@ -276,22 +277,22 @@ def p20(spark, d):
 
 
 def start_sql(col: str, source: str, today: dt.date) -> str:
-    month = " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.MONTHS.items())
-    md = re(P.MONTH_DATE)
+    month = " ".join(f"WHEN '{k}' THEN {v}" for k, v in V.MONTHS.items())
+    md = re(V.MONTH_DATE)
     first = today.replace(day=1)
     return f"""SELECT doc_id, strftime(start, '%Y-%m-%d') AS start, CASE WHEN n = 0 THEN 'sofort' WHEN period THEN shown
   WHEN immediate THEN 'sofort bis spätestens ' || shown WHEN n > 1 THEN 'spätestens ' || shown ELSE shown END AS shown
 FROM (SELECT *, strftime(start, '%d.%m.%Y') AS shown FROM (
  SELECT doc_id, period, immediate, len(dates) AS n, CASE WHEN len(dates) = 0 THEN DATE '{today}' WHEN period THEN dates[1] ELSE list_max(dates) END AS start,
    row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn
- FROM (SELECT doc_id, i, lower(label) IN ('zeitraum','projektzeitraum','laufzeit') AS period, regexp_matches(seg, {re(P.IMMEDIATE)}) AS immediate,
+ FROM (SELECT doc_id, i, lower(label) IN ('zeitraum','projektzeitraum','laufzeit') AS period, regexp_matches(seg, {re(V.IMMEDIATE)}) AS immediate,
    list_filter(list_concat(
-     list_transform(regexp_extract_all(seg, {re(P.DAY_DATE)}), lambda x: CAST(try_strptime(x, '%d.%m.%Y') AS DATE)),
+     list_transform(regexp_extract_all(seg, {re(V.DAY_DATE)}), lambda x: CAST(try_strptime(x, '%d.%m.%Y') AS DATE)),
      list_transform(regexp_extract_all(seg, {md}), lambda x: CASE WHEN y(x) IS NOT NULL THEN make_date(y(x), mo(x), da(x))
        WHEN make_date({today.year}, mo(x), da(x)) < DATE '{first}' THEN make_date({today.year + 1}, mo(x), da(x)) ELSE make_date({today.year}, mo(x), da(x)) END)
    ), lambda x: x IS NOT NULL) AS dates
-  FROM (SELECT doc_id, unnest(regexp_extract_all({col}, {re(P.START_LABEL)}, 1)) AS label, unnest(regexp_extract_all({col}, {re(P.START_LABEL)}, 2)) AS seg,
-        generate_subscripts(regexp_extract_all({col}, {re(P.START_LABEL)}, 1), 1) AS i FROM {source}))
+  FROM (SELECT doc_id, unnest(regexp_extract_all({col}, {re(V.START_LABEL)}, 1)) AS label, unnest(regexp_extract_all({col}, {re(V.START_LABEL)}, 2)) AS seg,
+        generate_subscripts(regexp_extract_all({col}, {re(V.START_LABEL)}, 1), 1) AS i FROM {source}))
  WHERE len(dates) > 0 OR immediate) WHERE rn = 1)""" \
         .replace("y(x)", f"TRY_CAST(nullif(regexp_extract(x, {md}, 3), '') AS INT)") \
         .replace("mo(x)", f"CASE lower(regexp_extract(x, {md}, 2)) {month} END") \
@@ -304,14 +305,14 @@ def p21(spark, d):
     return df.select("doc_id", F.date_format("v.start", "yyyy-MM-dd").alias("start"), "v.shown")
 
 
-@query("p22_remote_share", f"WITH {POSTING_CTE} SELECT doc_id, TRY_CAST(nullif(regexp_extract(description, {re(P.REMOTE_SHARE)}, 1), '') AS INT) AS share FROM p")
+@query("p22_remote_share", f"WITH {POSTING_CTE} SELECT doc_id, TRY_CAST(nullif(regexp_extract(description, {re(V.REMOTE_SHARE)}, 1), '') AS INT) AS share FROM p")
 def p22(spark, d):
     return postings(spark, d).select("doc_id", P.remote_share(F.col("description")).alias("share"))
 
 
 # Bodies as the evaluation writes them: none, one or two sections, or a plain score.
 def _section(day: str, pre: str, fit: str) -> str:
-    return (f"'{M.EVALUATION_MARK}' || {NL} || {NL} || '**Evaluation Timestamp:** ' || {day} || {NL} || {NL} || '### Pre-Evaluation Phase' || {NL} || "
+    return (f"'{V.EVALUATION_MARK}' || {NL} || {NL} || '**Evaluation Timestamp:** ' || {day} || {NL} || {NL} || '### Pre-Evaluation Phase' || {NL} || "
             f"'- **Score:** ' || {s(pre)} || '/100' || {NL} || {NL} || '### LLM Analysis Phase' || {NL} || '- **Fit Score:** ' || {s(fit)} || '/100' || {NL}")
 
 
@@ -341,12 +342,12 @@ def bodies(spark, d):
 SECTION_ROWS = f"""sections AS (SELECT doc_id, i, try_cast(replace(regexp_extract(piece, 'Timestamp:[*][*]\\s*([^\\n]+)', 1), 'T', ' ') AS TIMESTAMP) AS ts,
   TRY_CAST(nullif(regexp_extract(piece, '- [*][*]Score:[*][*]\\s*(\\d+)/100', 1), '') AS INT) AS pre,
   TRY_CAST(nullif(regexp_extract(piece, '- [*][*]Fit Score:[*][*]\\s*(\\d+)/100', 1), '') AS INT) AS llm
- FROM (SELECT doc_id, unnest(string_split(body, '{M.EVALUATION_MARK}')[2:]) AS piece, generate_subscripts(string_split(body, '{M.EVALUATION_MARK}')[2:], 1) AS i FROM b))"""
+ FROM (SELECT doc_id, unnest(string_split(body, '{V.EVALUATION_MARK}')[2:]) AS piece, generate_subscripts(string_split(body, '{V.EVALUATION_MARK}')[2:], 1) AS i FROM b))"""
 
 LATEST_SQL = f"""WITH {BODY_CTE}, {SECTION_ROWS},
 newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts DESC, i) AS rn FROM sections WHERE ts IS NOT NULL) WHERE rn = 1),
-latest AS (SELECT b.doc_id, body, CASE WHEN contains(body, '{M.EVALUATION_MARK}') THEN n.pre ELSE TRY_CAST(nullif(regexp_extract(body, '- [*][*]Score:[*][*]\\s*(\\d+)/100', 1), '') AS INT) END AS pre,
- CASE WHEN contains(body, '{M.EVALUATION_MARK}') THEN n.llm ELSE TRY_CAST(nullif(regexp_extract(body, '- [*][*]Fit Score:[*][*]\\s*(\\d+)/100', 1), '') AS INT) END AS llm
+latest AS (SELECT b.doc_id, body, CASE WHEN contains(body, '{V.EVALUATION_MARK}') THEN n.pre ELSE TRY_CAST(nullif(regexp_extract(body, '- [*][*]Score:[*][*]\\s*(\\d+)/100', 1), '') AS INT) END AS pre,
+ CASE WHEN contains(body, '{V.EVALUATION_MARK}') THEN n.llm ELSE TRY_CAST(nullif(regexp_extract(body, '- [*][*]Fit Score:[*][*]\\s*(\\d+)/100', 1), '') AS INT) END AS llm
  FROM b LEFT JOIN newest n ON n.doc_id = b.doc_id)"""
 
 
@@ -355,7 +356,7 @@ def p23(spark, d):
     return bodies(spark, d).select("doc_id", M.latest_scores(F.col("body")).alias("v")).select("doc_id", "v.*")
 
 
-@query("p24_score_kind", f"""{LATEST_SQL} SELECT doc_id, CASE WHEN pre IS NULL THEN NULL WHEN contains(body, '{M.EVALUATION_MARK}') THEN 'keyword'
+@query("p24_score_kind", f"""{LATEST_SQL} SELECT doc_id, CASE WHEN pre IS NULL THEN NULL WHEN contains(body, '{V.EVALUATION_MARK}') THEN 'keyword'
  WHEN regexp_matches(body, '(?m)^- [*][*]Score-Art:[*][*]\\s*Eignung') THEN 'eignung' ELSE 'tfidf' END AS kind FROM latest""")
 def p24(spark, d):
     df = bodies(spark, d).select("doc_id", "body", M.latest_scores(F.col("body"))["pre"].alias("pre"))
@@ -448,7 +449,7 @@ def p32(spark, d):
 
 
 @query("p33_middle_truncation", f"""SELECT doc_id, length(text) > 400 AS truncated, sha256(CASE WHEN length(text) <= 400 THEN text ELSE
- rtrim(substr(text, 1, 150), ' ' || {NL}) || {NL} || {NL} || '{X.TRUNCATION_MARK.strip()}' || {NL} || {NL} || ltrim(right(text, 150), ' ' || {NL}) END) AS text FROM documents""")
+ rtrim(substr(text, 1, 150), ' ' || {NL}) || {NL} || {NL} || '{V.TRUNCATION_MARK.strip()}' || {NL} || {NL} || ltrim(right(text, 150), ' ' || {NL}) END) AS text FROM documents""")
 def p33(spark, d):
     short, cut = X.truncate_middle(F.col("text"), 400)
     return table(spark, d, "documents").select("doc_id", cut.alias("truncated"), F.sha2(short, 256).alias("text"))
@@ -457,7 +458,7 @@ def p33(spark, d):
 TEMPLATE = "Regeln{note}\n{profiles}\n<project_text>\n{text}\n</project_text>\nIDs {profile_ids}"
 
 
-@query("p34_prompt", f"""SELECT doc_id, sha256('Regeln' || CASE WHEN length(text) > 9000 THEN {' || chr(10) || '.join(text(p) for p in R.TRUNCATION_NOTE.split(chr(10)))} ELSE '' END || {NL} ||
+@query("p34_prompt", f"""SELECT doc_id, sha256('Regeln' || CASE WHEN length(text) > 9000 THEN {' || chr(10) || '.join(text(p) for p in V.TRUNCATION_NOTE.split(chr(10)))} ELSE '' END || {NL} ||
  '<profile id="alpha">' || {NL} || '- x' || {NL} || '</profile>' || {NL} || {NL} || '<profile id="beta">' || {NL} || '- y' || {NL} || '</profile>' || {NL} || '<project_text>' || {NL} || text || {NL} || '</project_text>'
  || {NL} || 'IDs ["alpha", "beta"]') AS prompt FROM documents""")
 def p34(spark, d):
@@ -654,9 +655,9 @@ def _trim_sql(x: str) -> str:
 
 
 def pii_sql() -> str:
-    steps = [("iban", "(?i)" + pii.IBAN, "[IBAN]"), ("email", "(?i)" + pii.EMAIL, "[EMAIL]"),
+    steps = [("iban", "(?i)" + V.IBAN, "[IBAN]"), ("email", "(?i)" + V.EMAIL, "[EMAIL]"),
              ("contact_label", r"(?im)^(?:Tel(?:efon)?|Fax|Mobil|Mobile|Phone|Handy|Direct)[.:]?\s*[\+\d].*$", "[SCRUBBED]"),
-             ("phone", "(?i)" + pii.PHONE, "[PHONE]"), ("name", pii.NAME, "[NAME]")]
+             ("phone", "(?i)" + V.PHONE, "[PHONE]"), ("name", V.NAME, "[NAME]")]
     sql = f"""WITH {PII_CTE},
 t0 AS (SELECT doc_id, CAST(regexp_matches(text, {text(_CUT)}) AS INT) AS n_thread, CASE WHEN regexp_matches(text, {text(_CUT)}) THEN {_trim_sql(f"regexp_split_to_array(text, {text(_CUT)})[1]")} ELSE text END AS x FROM v),
 t1 AS (SELECT * EXCLUDE (x), CAST(regexp_matches(x, {text(_SIG)}) AS INT) AS n_signature, CASE WHEN regexp_matches(x, {text(_SIG)}) THEN {_trim_sql(f"regexp_split_to_array(x, {text(_SIG)})[1]")} ELSE x END AS x FROM t0)"""
@@ -676,11 +677,11 @@ def p43(spark, d):
 
 @query("p44_pii_counts", f"{PII_SQL} SELECT doc_id, n_thread, n_signature, n_iban, n_email, n_contact_label, n_phone, n_name FROM t6")
 def p44(spark, d):
-    return pii.scrub(view(spark, d, "documents", PII_VIEW)).select("doc_id", *[f"n_{k}" for k in pii.KINDS])
+    return pii.scrub(view(spark, d, "documents", PII_VIEW)).select("doc_id", *[f"n_{k}" for k in V.KINDS])
 
 
-@query("p45_safe_gate", f"""{PII_SQL}, g AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '{pii.PLACEHOLDER}', '', 'g'), '\\s+', ' ', 'g')) AS u FROM t6)
-SELECT doc_id, length(u) >= 150 AND NOT regexp_matches(u, {text(pii.EMAIL)}) AND NOT regexp_matches(u, {text(pii.PHONE)}) AND NOT regexp_matches(u, {text('(?i)' + pii.IBAN_LEFT)}) AS safe FROM g""")
+@query("p45_safe_gate", f"""{PII_SQL}, g AS (SELECT doc_id, trim(regexp_replace(regexp_replace(x, '{V.PLACEHOLDER}', '', 'g'), '\\s+', ' ', 'g')) AS u FROM t6)
+SELECT doc_id, length(u) >= 150 AND NOT regexp_matches(u, {text(V.EMAIL)}) AND NOT regexp_matches(u, {text(V.PHONE)}) AND NOT regexp_matches(u, {text('(?i)' + V.IBAN_LEFT)}) AS safe FROM g""")
 def p45(spark, d):
     return pii.scrub(view(spark, d, "documents", PII_VIEW)).select("doc_id", "safe")
 

@@ -10,6 +10,7 @@ from ..functions import terms, urls
 from ..operators import ledger, migration
 from ..session import shared_dir
 from ..sources import feeds, frontmatter as FM, inventory, logs, profiles
+from . import literals as V
 from .base import FEED_CTE, NL, NOW, cte, feed_entries, pick, query, s, table, view
 from .projections import TOKEN_RE, fold_sql
 
@@ -151,7 +152,7 @@ def s12(spark, d):
 
 
 @query("s13_rule_dimension", f"""WITH t AS (SELECT lang, unnest(list_distinct(regexp_extract_all({fold_sql('lower(text)')}, {TOKEN_RE}))) AS term FROM documents)
-SELECT lang AS group_id, term, count(*) AS df, '(?<![{terms.WORD}])' || regexp_replace(term, '([^{terms.WORD}_])', '\\\\\\1', 'g') || '(?![{terms.WORD}])' AS pattern FROM t GROUP BY lang, term""")
+SELECT lang AS group_id, term, count(*) AS df, '(?<![{V.WORD}])' || regexp_replace(term, '([^{V.WORD}_])', '\\\\\\1', 'g') || '(?![{V.WORD}])' AS pattern FROM t GROUP BY lang, term""")
 def s13(spark, d):
     """A rule table made from the corpus: frequent words per language, compiled in Spark."""
     from ..functions.text import raw_tokens
