@@ -54,10 +54,10 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     third of all events is thus spread like any other.  ``force`` and, where there is such
     a column, ``ui_context`` let a change through whatever the matrix says.
     """
-    cut = slices(with_override(events), [key] + order)
+    cut = slices(with_override(events), order[0])
     known = [None] + STATES + [OTHER]
-    # The checkpoint keeps slices and partitions one to one, so sorting inside is enough.
-    maps = cut.select(key, SLICE, *order, "to_state", OVERRIDE).sortWithinPartitions(key, *order).mapInPandas(
+    maps = cut.select(key, SLICE, *order, "to_state", OVERRIDE).repartition(key, SLICE) \
+        .sortWithinPartitions(key, SLICE, *order).mapInPandas(
         _summarise(key, known), f"`{key}` {dict(cut.dtypes)[key]}, {SLICE} int, _map array<string>")
     # One small array per slice of a posting.
     chain = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(SLICE, "_map"))).alias("_chain"))
@@ -76,7 +76,7 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
                   f"cast(array() as array<struct<{SLICE}:int,start:string>>) as starts)")
     begun = chain.select(key, F.explode(F.aggregate("_chain", zero, advance)["starts"]).alias("b")) \
         .select(key, f"b.{SLICE}", "b.start")
-    joined = cut.join(begun, [key, SLICE]).sortWithinPartitions(key, SLICE, *order)
+    joined = cut.join(begun, [key, SLICE]).repartition(key, SLICE).sortWithinPartitions(key, SLICE, *order)
     fields = [f for f in joined.schema.fields if f.name not in (SLICE, "start", OVERRIDE)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     replay = _replay(key, [f.name for f in fields])
