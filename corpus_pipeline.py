@@ -24,7 +24,8 @@ def follow_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_cnn.keep(docs, table(spark, sf_dir, "labels"))
+    # Learned from all labelled documents: those that the rules have left are nearly all of one label.
+    return byte_cnn.keep(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

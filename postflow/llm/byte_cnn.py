@@ -186,7 +186,11 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class
                        (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of ``docs``, with its columns, that score at least ``threshold``."""
-    rows = scored(docs, fit(docs, labels, per_class))
+def keep(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None, threshold: float = 0.3,
+         per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs``, with its columns, that score at least ``threshold``.
+
+    ``learn_from`` holds the texts to learn from where ``docs`` has been filtered and may lack one kind.
+    """
+    rows = scored(docs, fit(docs if learn_from is None else learn_from, labels, per_class))
     return rows.where(F.col("_cnn_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
