@@ -29,6 +29,7 @@ FOLDS = 5
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
 PER_LANGUAGE = 600
+MOST_LANGUAGES = 500
 #: Texts longer than this are counted part by part, which bounds the memory.
 PART = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
@@ -145,7 +146,9 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for r in document_frequencies(known).collect():  # at most BUCKETS + 1 rows
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: these are no languages")
     rows, labels, later = [], [], []
     for k, lang in enumerate(languages):
         chosen = (known.where(F.col("lang") == lang).select("doc_id").distinct()

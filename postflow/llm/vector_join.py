@@ -146,9 +146,9 @@ def report(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                      .withColumn("cid", F.monotonically_increasing_id()))
     # One row for each label would do; the largest label sizes the grid.
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    width = grid_width(largest)
+    width, kinds = grid_width(largest), dict(rows.dtypes)
     cells = stored(classes.select("label", "embedding", "n", "cid").mapInPandas(
-        _cells(width, cosine), "label int, size int, block int, cell binary, cid long, n long, embedding array<float>"))
+        _cells(width, cosine), f"label {kinds['label']}, size int, block int, cell binary, cid long, n long, embedding {kinds['embedding']}"))
     keys = ["label", "size", "block", "cell"]
     found = stored(in_blocks(cells, keys, "cid", IN_BLOCK).groupBy(*keys, "_i", "_j").applyInPandas(
         _compare(width, cosine), "cid long, links long, root long"))
