@@ -50,15 +50,23 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
+#: A line break, also one written as an escape inside a string.
+BREAK = r"(?:\r?\n|\\r\\n|\\n)"
+#: From the BEGIN line to the END line, if that comes before another BEGIN.  Otherwise to the end of the
+#: base64 block: header lines, then lines of nothing else, or long or padded runs.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{BREAK}[A-Za-z0-9-]+:(?:(?!{BREAK})[^\n])*)*(?:[ \t]*{BREAK}(?=[ \t]*{BREAK}))*"
+    rf"(?:{BREAK}[ \t]*[A-Za-z0-9+/]+={{0,2}}(?=[ \t]*(?:{BREAK}|[\"']|\Z))|(?:[ \t]+|{BREAK}[ \t]*)?(?:[A-Za-z0-9+/]{{20,}}={{0,2}}|[A-Za-z0-9+/]+={{1,2}}(?!\S)))*)")
 #: Kinds with a mark of their own, by which the index finds them.
 MARKED = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_bot", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("login_url", r"://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[A-Za-z0-9.-]+"),
+    Rule("login_url", r"://[^\s/:@]+:[^\s/:@]{3,}@[A-Za-z0-9.-]+"),
 )
 RULES = BASE + MARKED
 

@@ -76,6 +76,27 @@ def test_redaction(spark, docs, clashing):
     assert secret_scan.redact(clashing).columns == clashing.columns and secret_scan.redact(docs.where("1 = 0")).count() == 0
 
 
+def test_private_keys_and_long_logins_go_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" * 4] * 3 + ["q8Zk+/w=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a {head}\n{body}\n{end} b": "a [private_key] b",
+        f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A\n\n{body}\n{end}\nb": "a [private_key]\nb",
+        f"a {head}\n{body}\n\nThe text goes on": "a [private_key]\n\nThe text goes on",
+        f"a {head}\nDEK-Info: AES-128-CBC,0A\n\n{body}\nThe text goes on": "a [private_key]\nThe text goes on",
+        f"{head}\r\n{body}\n{head}\n{body}\n{end}".replace("\r\n", "\n"): "[private_key]\n[private_key]",
+        f'{{"key": "{head}\\n{body}\\n{end}\\n"}}'.replace("\n", "\\n"): '{"key": "[private_key]\\n"}',
+        f'"{head}\n{body}" ends'.replace("\n", "\\n"): '"[private_key]" ends',
+        f"{head} {body}".replace("\n", " "): "[private_key]",
+        f"The mark {head} begins a key": "The mark [private_key] begins a key",
+        f"https://{'u' * 70}:github_pat_{'Ab1' * 27}x@host.example/x": "https[login_url]/x",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(rows).collect()} == dict(enumerate(texts.values()))
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.report(rows).collect()}
+    assert spans[0].startswith(f"private_key:2:{len(next(iter(texts))) - 2}")
+
+
 # ---- op4 ----
 
 def base_of(text):
