@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from postflow.llm import byte_cnn, packing, quality_rules, secret_scan, simhash
+from postflow.llm.encoders import added_tokens
 from postflow.llm.queries import pattern, vocabulary
 from postflow.llm.tables import stored, table
 
@@ -37,7 +38,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.report(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), with_ids=True)
+    return packing.report(docs, vocabulary("byte_bpe_50k.tiktoken"), pattern(), with_ids=True,
+                          added=added_tokens(vocabulary("byte_bpe_50k.json")))
 
 
 STAGES = [

@@ -14,11 +14,16 @@ ID = np.dtype("<u4")
 
 
 class ByteEncoder:
-    """Ranks of a byte-level vocabulary; special tokens are ordinary text."""
+    """Ranks of a byte-level vocabulary.  A rank file names no added tokens, so they are the caller's:
+    ``added`` holds (content, id).  Texts are cut at them as the tokenizers library does by default;
+    ``plain`` takes them as ordinary text."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
         import tiktoken
 
+        self.added = dict(added)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
+
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -28,7 +33,13 @@ class ByteEncoder:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.plain(text), ID).tobytes()
+        parts = self.cut(text) if self.cut else [text]
+        if len(parts) == 1:
+            return np.array(self.plain(text), ID).tobytes()
+        ids: list[int] = []
+        for k, part in enumerate(parts):
+            ids += [self.added[part]] if k % 2 else self.plain(part)
+        return np.array(ids, ID).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
         """The raw bytes of the tokens, one after another."""
@@ -41,8 +52,8 @@ class WordEncoder:
 
     Texts of Latin letters (code points 1 to U+024F) are lower-cased and cut into words here, and the
     merges run in the faster rank encoder, with a zero byte as the mark.  Both ways give the same ids
-    when every entry of the vocabulary encodes to itself, which a test asserts.  Any other text goes
-    to the tokenizers library as it is.
+    when every entry of the vocabulary encodes to itself, which a test asserts.  Any other text, and one
+    that holds an added token, goes to the tokenizers library as it is.
     """
 
     LATIN = re.compile("[\x01-ɏ]*")
@@ -56,11 +67,11 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         with open(path) as f:
             entries = json.load(f)
         special = {t["content"] for t in entries["added_tokens"]}
+        self.added = tuple(special)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         char = {}
         for byte in range(128):
@@ -88,15 +99,21 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.LATIN.fullmatch(text):
+        if not self.LATIN.fullmatch(text) or any(t in text for t in self.added):
             return self.whole(text)
         words = self.cut(text.lower())
         return np.array(self.merge("\0".join(words) + "\0"), ID).tobytes() if words else b""
 
 
 @lru_cache(maxsize=4)
-def byte_encoder(path: str, pattern: str) -> ByteEncoder:
-    return ByteEncoder(path, pattern)
+def byte_encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()) -> ByteEncoder:
+    return ByteEncoder(path, pattern, added)
+
+
+def added_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of the added tokens that a tokenizers file names."""
+    with open(path) as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
 
 
 @lru_cache(maxsize=2)

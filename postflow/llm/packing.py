@@ -36,13 +36,14 @@ CAPACITY = 1024
 PLAN = "length long, first long, count long, each long, sequence long, offset long"
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False,
+           added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), with task and place: the rank of the piece
     among those of its length in the task.  Place and task hold for one evaluation: store the rows."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        task, encoder = TaskContext.get().partitionId(), byte_encoder(path, pattern)
+        task, encoder = TaskContext.get().partitionId(), byte_encoder(path, pattern, added)
         seen: defaultdict[int, int] = defaultdict(int)
         end = np.array([end_id], ID).tobytes()
         for b in batches:
@@ -132,7 +133,9 @@ def assign(stored_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             .drop("task", "place", "base", "rank", "p_length", "first", "count", "each", "sequence", "p_offset"))
 
 
-def report(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece."""
+def report(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capacity: int = CAPACITY, with_ids: bool = False,
+           added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece; ``added`` are
+    the (content, id) of tokens that no merge yields."""
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
-    return assign(stored(pieces(docs, path, pattern, end_id, capacity, with_ids)), capacity).select(*columns)
+    return assign(stored(pieces(docs, path, pattern, end_id, capacity, with_ids, added)), capacity).select(*columns)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (byte_bpe, byte_cnn, language_id, packing, quality_rules, secret_scan, simhash, token_counts, token_files,
                vector_join)
+from .encoders import added_tokens
 from .tables import table
 
 
@@ -44,7 +45,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern())
+    return packing.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), pattern(),
+                          added=added_tokens(vocabulary("byte_bpe_50k.json")))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from postflow.llm import byte_bpe, packing, token_counts, token_files
+from postflow.llm import byte_bpe, packing, queries, token_counts, token_files
 from postflow.llm.encoders import ID, byte_encoder, word_encoder
 
 
@@ -49,6 +49,22 @@ def test_word_encoder_equals_the_library(word_file):
         assert encoder.encode(text) == encoder.whole(text)
 
 
+MARKED = ["a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|>", "<|endoftext|><|endoftext|>", "A <|EndOfText|> don't  \n <|endoftext|>\n", "日本語 <|startoftext|> É", "none"]
+
+
+def test_added_tokens_as_the_untouched_library(spark, byte_file, pattern, monkeypatch):
+    """op6 and op7 as registered, next to a tokenizer with default settings."""
+    from tokenizers import Tokenizer
+
+    texts = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: texts)
+    for query, name, end in ((queries.op6_packing, "byte_bpe_50k.json", 2), (queries.op7_token_files, "word_bpe_49k.json", 1)):
+        library = Tokenizer.from_file(queries.vocabulary(name))
+        want = {i: zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, end], ID).tobytes()) for i, t in enumerate(MARKED)}
+        assert {r["doc_id"]: r["ids_crc32"] for r in query(spark, "").collect()} == want
+    assert np.frombuffer(byte_encoder(byte_file, pattern).encode(MARKED[0]), ID).tolist()[:3] == [64, 1279, 91]  # op1 and op3 keep text
+
+
 # ---- op1 ----
 
 def test_sections_hold_all_tokens(docs, rows, byte_file, pattern):
