@@ -246,8 +246,8 @@ def o5(spark, d):
         .groupBy("doc_id").agg(F.min_by("group_id", rank).alias("group_id"))
 
 
-# A long footer paragraph, a long navigation, and the wanted text in many short paragraphs and nested containers.
-BLOCK_PAGE = {"page_id": "page_id", "html": "'<div class=\"Top-Nav\"><p>' || repeat('n ', 900) || '</p></div><div class=\"page\"><div class=\"main\">' || repeat('<p>' || url || '</p>', 9) "
+# Behind the real page: a long footer paragraph, a long navigation, and the wanted text in many short paragraphs and nested containers.
+BLOCK_PAGE = {"page_id": "page_id", "html": "html || '<div class=\"Top-Nav\"><p>' || repeat('n ', 900) || '</p></div><div class=\"page\"><div class=\"main\">' || repeat('<p>' || url || '</p>', 9) "
               "|| '</div><div>Schluss ' || CAST(page_id AS STRING) || '</div></div><footer><p>' || repeat('f ', 900) || '</p></footer><div>' || repeat('lang ', 2100) || '</div>'"}
 
 

@@ -3,6 +3,7 @@
 All of them run; POSTFLOW_QUICK=1 takes one of each family.
 """
 
+import hashlib
 import os
 
 import pytest
@@ -49,3 +50,12 @@ def test_entry(spark):
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_longest_block_reads_the_real_page(spark, tmp_path):
+    own = " ".join(["Beschreibung"] * 300)  # longer than what the query puts behind a page
+    pages = [(1, "https://a.example/1", f"<html><body><div><p>{own}</p></div></body></html>"), (2, "https://www.a.example/jobs/2", "<html><body><div>kurz</div></body></html>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r["block"] for r in entry.queries()["o7_longest_block"](spark, str(tmp_path)).collect()}
+    behind = "https://www.a.example/jobs/2\n" * 9 + "Schluss 2"
+    assert got == {1: hashlib.sha256(own[:2500].encode()).hexdigest(), 2: hashlib.sha256(behind.encode()).hexdigest()}
