@@ -5,7 +5,7 @@ documents with their columns:
 
 1. quality rules: rejected documents go;
 2. quality classifier: rejected documents go;
-3. SimHash near-dedup: one document of each group stays;
+3. near-dedup by SimHash and by 5-word Jaccard of 0.8 or more: one document of each group stays;
 4. secret scan: every span becomes ``[kind]``;
 5. best-fit packing: one row for each piece, with its token ids, sequence and place.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postflow.llm import byte_cnn, packing, quality_rules, secret_scan, simhash
+from postflow.llm import byte_cnn, packing, quality_rules, secret_scan, shingle_join
 from postflow.llm.encoders import added_tokens
 from postflow.llm.queries import pattern, vocabulary
 from postflow.llm.tables import stored, table
@@ -30,7 +30,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return shingle_join.keep_one(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

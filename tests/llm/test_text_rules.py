@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postflow.llm import graph, quality_rules, secret_scan, simhash, vector_join
+from postflow.llm import graph, quality_rules, secret_scan, shingle_join, simhash, vector_join
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -219,6 +219,38 @@ def test_one_of_each_group_stays(docs, clashing, none):
     assert simhash.keep_one(none).count() == 0 and simhash.report(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1_024, 4])
+def test_pipeline_near_copies_equal_brute_force(spark, none, monkeypatch, block):
+    """Groups of SimHash links and of 5-word Jaccard >= 0.8, over all pairs."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingle_join, "IN_BLOCK", block)
+    monkeypatch.setattr(shingle_join, "SAMPLE", 2)
+    r = random.Random(3)
+    texts = ["", " ", "one two", "One  two", "a b c d e", "a b c d e f"]
+    passage = " ".join(f"same{k}" for k in range(30))
+    for size in (12, 60, 300, 1000):
+        for _ in range(6):
+            base = [f"w{r.randrange(3000)}" for _ in range(size)] + passage.split() * (size > 200)
+            texts.append(" ".join(base))
+            for share in (0.01, 0.02, 0.03):
+                texts.append(" ".join(f"x{r.randrange(3000)}" if r.random() < share else w for w in base))
+    sets = [frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if (w := t.lower().split()) else frozenset() for t in texts]
+    prints, group, missed = [simhash.fingerprint(t) for t in texts], list(range(len(texts))), 0
+    for a in range(len(texts)):
+        for b in range(a):
+            alike = bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            by_print = (prints[a] ^ prints[b]).bit_count() <= 3
+            missed += alike and not by_print
+            if alike or by_print:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, rows, "").collect()}
+    assert missed > 10 and kept == set(group)
+    assert corpus_pipeline.drop_near_copies(spark, none, "").count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (40, 41), (41, 42), (42, 43), (43, 44), (44, 3), (7, 6)] + [(100 + k, 101 + k) for k in range(60)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
