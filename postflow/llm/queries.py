@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, byte_cnn, language_id, packing, quality_rules, secret_scan, simhash, token_counts, token_files,
-               vector_join)
+from . import (byte_bpe, byte_cnn, fill_middle, importance_resampling, interpolated_lm, language_id, packing, quality_rules,
+               secret_scan, simhash, token_counts, token_files, vector_join)
 from .encoders import added_tokens
 from .tables import table
 
@@ -65,9 +65,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op11_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.report(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_token_counts, op2_secret_scan, op3_byte_bpe, op4_quality_rules, op5_simhash, op6_packing, op7_token_files,
-    op8_embedding_dedup, op9_quality_classifier, op10_language_id)}
-
-#: None of the ten is expressible in SQL as a whole; tests/llm holds each against a brute-force version.
-ORACLES: dict[str, str] = {}
+    op8_embedding_dedup, op9_quality_classifier, op10_language_id, op11_interpolated_lm, op12_importance_resampling,
+    op13_fill_middle)}
+
+#: The others are not expressible in SQL as a whole; tests/llm holds each against a brute-force version.
+ORACLES: dict[str, str] = {
+    "op12_importance_resampling": importance_resampling.ORACLE,
+    "op13_fill_middle": fill_middle.ORACLE,
+}
