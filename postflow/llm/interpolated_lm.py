@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .tables import crc_remainder, stored, with_long_ids, with_text_ids
+from .tables import crc_remainder, packed, stored, unpacked, with_long_ids, with_text_ids
 
 FOLDS, HELD = 7, 2
 ORDER = 2
@@ -123,17 +123,6 @@ def tokens(texts: bytes, sizes: bytes, learned: bytes, order: int) -> Tokens:
 
 # ---- counts, asked for and answered ----
 
-def packed(a: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, in as few planes as the largest needs: the upper ones compress well."""
-    width = next(w for w in (1, 2, 4, 8) if not len(a) or w == 8 or int(a.max()) < 1 << (8 * w))
-    return a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-
-
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    width = len(data) // n if n else 1
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel().astype(np.uint64)
-
-
 def asked(blocks: DataFrame, order: int, ranges: int) -> DataFrame:
     """One row for each block and range of keys: the keys, and how often learned texts of the block hold them."""
     borders = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)

@@ -4,9 +4,8 @@ Each rule votes +1 (good), -1 (bad) or 0 (abstains) on a text.  Expectation-maxi
 counted vote patterns estimates, without labels, how often each rule is right on good and on bad
 texts; the posterior probability of "good" then decides, in place of "every rule must pass".
 
-Everything is row-local SQL but one count by vote pattern, which has at most 3 ** rules rows.  The
-steps of the estimation are aggregates over that small stored table; the driver sees one row of sums
-for each.
+Everything is row-local SQL but one count by vote pattern, which has at most 3 ** rules rows, whatever the
+input.  These come to the driver, where the estimation is arithmetic on a small array.
 
 Cases: a null or blank text has no words, fails the base rules and is not kept.  Rows are judged on
 their own, so null or repeated ids and repeated rows do no harm.  An empty table gives no rows.
@@ -18,6 +17,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .tables import stored, words_of
@@ -119,42 +119,40 @@ class Model:
 GOOD, BAD, PRIOR, EARLIER = 0.99, 0.3, 0.8, 10.0
 
 
-def estimate(patterns: DataFrame, rules: int, rounds: int = 25, settled: float = 1e-3) -> Model:
-    """Expectation-maximisation on a table (v0, v1, ..., n) of vote patterns and their counts.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 25, settled: float = 1e-3) -> Model:
+    """Expectation-maximisation on vote patterns (one row each, one column for each rule) and their counts.
 
-    ``patterns`` has at most 3 ** rules rows.  Stops when no figure moves by more than ``settled``.
+    Stops when no figure moves by more than ``settled``.
     """
-    model = Model(PRIOR, (GOOD,) * rules, (BAD,) * rules)
-    vs = [F.col(f"v{j}") for j in range(rules)]
-    for _ in range(rounds):
-        q = model.posterior(vs)
-        sums = [F.sum(q * F.col("n")), F.sum(F.col("n"))]
-        for v in vs:
-            sums += [F.sum(F.when(v == 1, q * F.col("n"))), F.sum(F.when(v != 0, q * F.col("n"))),
-                     F.sum(F.when(v == -1, (1 - q) * F.col("n"))), F.sum(F.when(v != 0, (1 - q) * F.col("n")))]
-        row = patterns.agg(*[F.coalesce(s, F.lit(0.0)).alias(f"s{k}") for k, s in enumerate(sums)]).first()
-        if not row[1]:
-            return model
-        held = lambda x: min(max(x, 1e-4), 1 - 1e-4)
-        right = lambda hits, all_, start: held((hits + EARLIER * start) / (all_ + EARLIER))
-        new = Model(held((row[0] + PRIOR * EARLIER) / (row[1] + EARLIER)),
-                    tuple(right(row[2 + 4 * j], row[3 + 4 * j], GOOD) for j in range(rules)),
-                    tuple(right(row[4 + 4 * j], row[5 + 4 * j], BAD) for j in range(rules)))
-        moved = max(abs(a - b) for a, b in zip((model.prior, *model.good, *model.bad), (new.prior, *new.good, *new.bad)))
-        model = new
+    rules = patterns.shape[1]
+    now = np.array([PRIOR] + [GOOD] * rules + [BAD] * rules)
+    yes, no = patterns == 1, patterns == -1
+    start, n = now.copy(), counts.astype(float)
+    for _ in range(rounds if len(n) else 0):
+        good, bad = now[1:rules + 1], now[rules + 1:]
+        odds = np.log(now[0] / (1 - now[0])) + yes @ np.log(good / (1 - bad)) + no @ np.log((1 - good) / bad)
+        is_good = n / (1 + np.exp(-odds))
+        is_bad = n - is_good
+        hits = np.concatenate([[is_good.sum()], is_good @ yes, is_bad @ no])
+        all_ = np.concatenate([[n.sum()], is_good @ (yes | no), is_bad @ (yes | no)])
+        new = np.clip((hits + EARLIER * start) / (all_ + EARLIER), 1e-4, 1 - 1e-4)
+        moved, now = np.abs(new - now).max(), new
         if moved < settled:
             break
-    return model
+    return Model(float(now[0]), tuple(now[1:rules + 1].tolist()), tuple(now[rules + 1:].tolist()))
 
 
 def judge(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Adds ``_qr_posterior`` and ``_qr_kept`` to rows of ``measure``; writes them once in between,
     so the texts are measured once."""
-    own = votes()
-    vs = [F.col(f"{_PREFIX}v{j}") for j in range(len(RULES))]
-    table = stored(measured.withColumns({f"{_PREFIX}v{j}": own[rule] for j, rule in enumerate(RULES)}))
-    patterns = stored(table.groupBy(*[v.alias(f"v{j}") for j, v in enumerate(vs)]).agg(F.count("*").alias("n")).coalesce(1))
-    model = estimate(patterns, len(RULES))
+    own, code = votes(), F.col(f"{_PREFIX}code")
+    table = stored(measured.withColumn(f"{_PREFIX}code", reduce(Column.__add__, [
+        (own[rule].cast("int") + 1) * 3 ** j for j, rule in enumerate(RULES)])))
+    rows = table.groupBy(code.alias("code")).agg(F.count("*").alias("n")).collect()  # at most 3 ** rules
+    codes = np.array([r["code"] for r in rows], np.int64)
+    patterns = codes[:, None] // 3 ** np.arange(len(RULES)) % 3 - 1
+    model = estimate(patterns, np.array([r["n"] for r in rows], np.int64))
+    vs = [F.floor(code / 3 ** j) % 3 - 1 for j in range(len(RULES))]
     return table.withColumn(f"{_PREFIX}posterior", model.posterior(vs)).withColumn(
         f"{_PREFIX}kept", ~F.col(f"{_PREFIX}base_failed") & (F.col(f"{_PREFIX}posterior") >= threshold))
 

@@ -118,12 +118,15 @@ def test_pipeline_equals_its_parts_in_plain_python(spark):
     assert not isinstance(net, float)
     stay = {i for i in stay if byte_cnn.score(net, text[i]["text"]) >= 0.3}
     prints = {i: simhash.fingerprint(text[i]["text"]) for i in stay}
+    words = {i: text[i]["text"].lower().split() for i in stay}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
     group = {i: i for i in stay}
-    for _ in stay:
-        for a in sorted(stay):
-            for b in sorted(stay):
-                if (prints[a] ^ prints[b]).bit_count() <= 3:
-                    group[a] = group[b] = min(group[a], group[b])
+    for a in sorted(stay):
+        for b in sorted(i for i in stay if i < a):
+            alike = bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            if alike or (prints[a] ^ prints[b]).bit_count() <= 3:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
     stay = sorted(set(group.values()))
     plain, want = byte_encoder(queries.vocabulary("byte_bpe_50k.tiktoken"), queries.pattern()), {}
     for i in stay:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postflow.llm import fill_middle, importance_resampling as ir, interpolated_lm as lm
+from postflow.llm.tables import packed, unpacked
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -143,7 +144,7 @@ def test_expectation_maximisation_never_loses_likelihood():
 def test_packed_numbers_come_back():
     for values in ([], [0], [255], [256, 1], [2**32, 7], [2**64 - 1, 0]):
         a = np.array(values, np.uint64)
-        assert lm.unpacked(lm.packed(a), len(a)).tolist() == values
+        assert unpacked(packed(a), len(a)).tolist() == values
 
 
 def test_lm_odd_rows(docs, clashing, none):

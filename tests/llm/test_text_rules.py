@@ -126,8 +126,7 @@ def test_estimation_equals_plain_arithmetic(spark):
     good = r.random(4000) < 0.8
     votes = np.stack([np.where(r.random(4000) < 0.2, 0, np.where(r.random(4000) < np.where(good, 0.97, 0.35), 1, -1)) for _ in range(5)], 1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    table = spark.createDataFrame([(*map(int, p), int(k)) for p, k in zip(patterns, n)], ", ".join(f"v{j} int" for j in range(5)) + ", n long")
-    model = quality_rules.estimate(table, 5, rounds=12, settled=0)
+    model = quality_rules.estimate(patterns, n, rounds=12, settled=0)
     Q = quality_rules
     prior, g, b = Q.PRIOR, np.full(5, Q.GOOD), np.full(5, Q.BAD)
     for _ in range(12):
@@ -219,12 +218,14 @@ def test_one_of_each_group_stays(docs, clashing, none):
     assert simhash.keep_one(none).count() == 0 and simhash.report(none).count() == 0
 
 
-@pytest.mark.parametrize("block", [1_024, 4])
-def test_pipeline_near_copies_equal_brute_force(spark, none, monkeypatch, block):
+@pytest.mark.parametrize("block, long", [(1_024, 8_192), (4, 8_192), (1_024, 3)])
+def test_pipeline_near_copies_equal_brute_force(spark, none, monkeypatch, block, long):
     """Groups of SimHash links and of 5-word Jaccard >= 0.8, over all pairs."""
     import corpus_pipeline
 
     monkeypatch.setattr(shingle_join, "IN_BLOCK", block)
+    monkeypatch.setattr(shingle_join, "LONG", long)
+    monkeypatch.setattr(shingle_join, "RANGE", 500)
     monkeypatch.setattr(shingle_join, "SAMPLE", 2)
     r = random.Random(3)
     texts = ["", " ", "one two", "One  two", "a b c d e", "a b c d e f"]
