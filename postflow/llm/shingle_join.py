@@ -5,27 +5,36 @@ SimHash misses most pairs just over 0.8, so the second kind of link comes from a
 * Two sets of that similarity share one of the first n - ceil(0.8 n) + 1 shingles of each in any common
   order.  The order puts shingles that a sample of the texts repeats last; which they are matters to the
   cost alone, not to the pairs.
-* Sets that meet on a shingle and pass the bounds by size and by place are joined by a spanning forest in
-  their block.  Candidates of one component then meet with their whole sets, again in blocks, and common
-  shingles are counted.
-
-Equal sets are one node, named by a digest.  Cases: blank texts have no shingle; their fingerprint links
-them.  A text of fewer words than a shingle is one shingle.
+* These prefixes travel packed: each task sorts its keys and sends one row for each range of keys.  Where a
+  range finds a key with several sets, those that pass the bounds by size and by place are joined by a
+  spanning forest.  Keys that the sample tells to be common, and any that turn out to be, go entry by entry
+  and are split into pairs of blocks.  Candidates of one component then meet with their whole texts, again in
+  blocks, and common shingles are counted.
+
+Equal sets are one node, named by a digest.  Only texts that a filter of fixed size lets through travel: to
+their candidates, and to the table of those that go.
+
+Cases: a null or blank text has no shingle; its fingerprint links it.  A text of fewer words than a shingle is
+one shingle.  Repeated rows are one node, and one row of them stays; on ties of doc_id the first row stays.
+Null ids stay only where a group has no other.  Helper columns start with ``_sh_``, which no input column may.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import simhash
 from .graph import components, forest, in_blocks
-from .tables import stored
+from .tables import flagged, flags, packed, stored, unpacked
 
 SHINGLE = 5
 #: Sets link if 9 * common >= 4 * (a + b), which is Jaccard >= 4/5.
 IN_BLOCK = 1_024
+#: Entries of one range of keys; sets on one key that a task compares on its own.
+RANGE, LONG = 1_000_000, 8_192
 #: One text of so many tells which shingles are common; so many hits make one; so many at most are told.
 SAMPLE, HITS, TOLD = 8, 3, 200_000
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -56,12 +65,21 @@ def digest(found: np.ndarray) -> int:
 
 def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample repeats, ascending, and how often."""
-    @F.pandas_udf("array<long>")
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).view(np.int64) for t in texts.fillna("")], dtype=object)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    def find(batches):
+        seen: set[int] = set()
+        for b in batches:
+            each = []
+            for text in b["text"].fillna(""):
+                found = shingles(text)
+                if (node := digest(found)) not in seen:
+                    seen.add(node)
+                    each.append(found)
+            if each:
+                key, n = np.unique(np.concatenate(each), return_counts=True)
+                yield pd.DataFrame({"key": key.view(np.int64), "n": n})
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text")
     # A bounded table: it sets an order and leaves no pair out.
-    rows = (some.select(F.explode(find("text")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    rows = (some.mapInPandas(find, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
             .where(F.col("n") >= HITS).orderBy(F.desc("n"), "key").limit(TOLD).toPandas())
     keys = rows["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -115,45 +133,111 @@ def _edges(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 
 
-def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
-    """(u, v): a spanning forest of all links between nodes; ``docs`` and ``prints`` share ``_sh_row``."""
-    keys, hits = common(docs)
+def _columns(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """(key, node, n, place) of packed rows."""
+    key, node, n, place = [], [], [], []
+    for r in rows.itertuples(index=False):
+        at = unpacked(r.at, r.entries).astype(np.int64)
+        key.append(unpacked(r.keys, r.entries)), place.append(unpacked(r.places, r.entries).astype(np.int64))
+        node.append(np.frombuffer(r.nodes, np.int64)[at]), n.append(np.frombuffer(r.sizes, np.int64)[at])
+    return tuple(map(np.concatenate, (key, node, n, place)))
+
+
+def prefixes(docs: DataFrame, keys: np.ndarray, hits: np.ndarray, ranges: int) -> DataFrame:
+    """Prefix entries of all sets, packed by range of keys; those of keys that the sample tells to be common
+    are in range -1.  A task sends equal sets once."""
     told = docs.sparkSession.sparkContext.broadcast((keys, hits))
+    borders = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    hot = keys[hits * SAMPLE >= IN_BLOCK]
 
     def cut(batches):
+        seen: set[int] = set()
         for b in batches:
-            out = []
+            chosen, nodes, sizes = [], [], []
             for text in b["text"].fillna(""):
                 found = shingles(text)
-                if len(found):
-                    chosen = prefix(found, *told.value)
-                    out.append((chosen.view(np.int64), np.full(len(chosen), digest(found)), np.full(len(chosen), len(found)), np.arange(len(chosen))))
-            if out:
-                yield pd.DataFrame(dict(zip(("key", "node", "n", "place"), map(np.concatenate, zip(*out)))))
-    rows = docs.select("text").mapInPandas(cut, "key long, node long, n int, place int")
-    key = W.partitionBy("key")
-    met = rows.withColumns({"_a": F.min("node").over(key), "_b": F.max("node").over(key)}).where("_a <> _b").drop("_a", "_b")
-    met = stored(met.distinct())
+                node = digest(found)
+                if not len(found) or node in seen:
+                    continue
+                seen.add(node)
+                chosen.append(prefix(found, *told.value)), nodes.append(node), sizes.append(len(found))
+            if not nodes:
+                continue
+            many = [len(c) for c in chosen]
+            key, owner, place = np.concatenate(chosen), np.repeat(np.arange(len(nodes)), many), np.concatenate([np.arange(m) for m in many])
+            of = np.where(np.isin(key, hot), -1, np.searchsorted(borders, key, "right"))
+            order = np.lexsort((key, of))
+            key, owner, place, of = key[order], owner[order], place[order], of[order]
+            nodes, sizes, rows = np.array(nodes, np.int64), np.array(sizes, np.int64), []
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for i, j in zip(cuts, cuts[1:]):
+                here, at = np.unique(owner[i:j], return_inverse=True)
+                rows.append((int(of[i]), j - i, packed(key[i:j]), nodes[here].tobytes(), sizes[here].tobytes(), packed(at), packed(place[i:j])))
+            yield pd.DataFrame(rows, columns=["range", "entries", "keys", "nodes", "sizes", "at", "places"])
+    return stored(docs.select("text").mapInPandas(
+        cut, "range int, entries int, keys binary, nodes binary, sizes binary, at binary, places binary"))
+
+
+def meeting(rows: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest, in each range, of the pairs that share a key and may be similar.  Keys that turn
+    out to have more than ``LONG`` sets are passed on entry by entry, with v null."""
+    def meet(b: pd.DataFrame) -> pd.DataFrame:
+        key, node, n, place = _columns(b)
+        order = np.lexsort((node, key))
+        order = order[np.append(True, (np.diff(key[order]) > 0) | (np.diff(node[order]) != 0))]
+        key, node, n, place = key[order], node[order], n[order], place[order]
+        starts = np.flatnonzero(np.append(True, np.diff(key) > 0))
+        sizes = np.diff(np.append(starts, len(key)))
+        first = starts[sizes == 2]
+        a, c, rest = n[first], n[first + 1], np.minimum(n[first] - place[first], n[first + 1] - place[first + 1])
+        first = first[(5 * np.minimum(a, c) >= 4 * np.maximum(a, c)) & (9 * rest >= 4 * (a + c))]
+        left, right = [first], [first + 1]
+        for start, size in zip(starts[(sizes > 2) & (sizes <= LONG)], sizes[(sizes > 2) & (sizes <= LONG)]):
+            i, j = may_link(n[start:start + size], place[start:start + size])
+            left.append(i + start), right.append(j + start)
+        names, at = np.unique(node, return_inverse=True)
+        found = _edges(names, at[np.concatenate(left)], at[np.concatenate(right)])
+        long = np.repeat(sizes > LONG, sizes)
+        if not long.any():
+            return found.assign(key=0, n=0, place=0)
+        more = pd.DataFrame({"u": node[long], "v": pd.array([None] * int(long.sum()), "Int64"), "key": key[long].view(np.int64), "n": n[long], "place": place[long]})
+        return pd.concat([found.astype({"v": "Int64"}).assign(key=0, n=0, place=0), more])
+    return stored(rows.groupBy("range").applyInPandas(meet, "u long, v long, key long, n int, place int"))
+
+
+def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(u, v): a spanning forest of all links between nodes; ``docs`` and ``prints`` share ``_sh_row``."""
+    total = prints.agg(F.sum(F.ceil(F.col("n") / 5) + 1)).first()[0] or 0
+    rows = prefixes(docs, *common(docs), 1 + total // RANGE)
+
+    def entries(batches):
+        for b in batches:
+            if len(b):
+                key, node, n, place = _columns(b)
+                yield pd.DataFrame({"key": key.view(np.int64), "node": node, "n": n, "place": place})
+    met = meeting(rows.where("range >= 0"))
+    hot = (rows.where("range < 0").drop("range").mapInPandas(entries, "key long, node long, n int, place int")
+           .unionByName(met.where("v is null").select("key", F.col("u").alias("node"), "n", "place")))
+    hot = stored(hot.distinct())
 
     def candidates(batches):
         for b in batches:
             if len(b):
                 yield pd.concat([_edges(np.asarray(nodes, np.int64), *may_link(np.asarray(n, np.int64), np.asarray(place, np.int64)))
                                  for nodes, n, place in zip(b["node"], b["n"], b["place"])])
-    together = (in_blocks(met, ["key"], "node", IN_BLOCK).groupBy("key", "_i", "_j").agg(F.collect_list(F.struct("node", "n", "place")).alias("r"))
+    together = (in_blocks(hot, ["key"], "node", IN_BLOCK).groupBy("key", "_i", "_j").agg(F.collect_list(F.struct("node", "n", "place")).alias("r"))
                 .where(F.size("r") > 1).select("r.node", "r.n", "r.place"))
-    found = components(together.mapInPandas(candidates, "u long, v long").distinct())
+    found = components(together.mapInPandas(candidates, "u long, v long").unionByName(met.where("v is not null").select("u", "v")).distinct())
 
-    @F.pandas_udf("binary")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).tobytes() for t in texts.fillna("")], dtype=object)
-    one = prints.groupBy("node").agg(F.min("_sh_row").alias("_sh_row")).join(found, "node")
-    sets = stored(docs.select("_sh_row", "text").join(one, "_sh_row").select("component", "node", whole("text").alias("set")))
+    one = stored(prints.groupBy("node").agg(F.min("_sh_row").alias("_sh_row")).join(found, "node"))
+    pairs = in_blocks(one, ["component"], "node", IN_BLOCK).select("_sh_row", "component", "_i", "_j", "node")
+    # Neither side is bounded, so both are dealt by row at every size.
+    sets = (docs.where(flagged("_sh_row", flags(one, "_sh_row"))).select("_sh_row", "text").hint("merge")
+            .join(pairs, "_sh_row").select("component", "_i", "_j", "node", "text"))
 
     def verify(b: pd.DataFrame) -> pd.DataFrame:
-        return _edges(b["node"].to_numpy(np.int64), *similar([np.frombuffer(s, np.uint64) for s in b["set"]]))
-    return (in_blocks(sets, ["component"], "node", IN_BLOCK).select("component", "_i", "_j", "node", "set")
-            .groupBy("component", "_i", "_j").applyInPandas(verify, "u long, v long").distinct())
+        return _edges(b["node"].to_numpy(np.int64), *similar([shingles(t) for t in b["text"]]))
+    return sets.groupBy("component", "_i", "_j").applyInPandas(verify, "u long, v long").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -161,16 +245,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by task and place, so ``docs`` is a stored table, which deals them alike each time."""
     numbered = docs.withColumn("_sh_row", F.monotonically_increasing_id())
 
-    @F.pandas_udf("long")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest(shingles(t)) for t in texts.fillna("")], dtype="int64")
-    prints = stored(simhash.fingerprints(numbered.withColumn("_sh_node", node("text")), "_sh_row", "doc_id", "_sh_node")
-                    .withColumnRenamed("_sh_node", "node"))
+    @F.pandas_udf("struct<fp:long,node:long,n:long>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts.fillna(""):
+            found = shingles(t)
+            rows.append((simhash._signed(simhash.fingerprint(t)), digest(found), len(found)))
+        return pd.DataFrame(rows, columns=["fp", "node", "n"])
+    prints = stored(numbered.select("_sh_row", "doc_id", both("text").alias("p")).select("_sh_row", "doc_id", "p.*"))
     near = prints.select("fp", "node").distinct().join(simhash.groups(prints), "fp").select("node", "group")
     least = near.groupBy("group").agg(F.min("node").alias("v"))
     by_print = near.join(least, "group").select(F.col("node").alias("u"), "v")
     united = components(by_print.unionByName(links(numbered, prints)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("_sh_row").alias("row")))
-    of = prints.groupBy("node").agg(first.alias("least")).join(united, "node", "left")
-    chosen = of.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("_sh_row"))
-    return numbered.join(chosen, "_sh_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    of = prints.join(united, "node", "left").select("doc_id", "_sh_row", F.coalesce("component", "node").alias("group"))
+    chosen = of.groupBy("group").agg(first.alias("least")).select(F.col("least.row").alias("_sh_row"))
+    gone = stored(prints.select("_sh_row").join(chosen, "_sh_row", "left_anti"))
+    # Only texts that may be gone travel to the table of those that are.
+    bits = flags(gone, "_sh_row")
+    kept = numbered.where(~flagged("_sh_row", bits)).unionByName(
+        numbered.where(flagged("_sh_row", bits)).hint("merge").join(gone, "_sh_row", "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
@@ -63,3 +64,29 @@ def packed(a: np.ndarray) -> bytes:
 def unpacked(data: bytes, n: int) -> np.ndarray:
     width = len(data) // n if n else 1
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel().astype(np.uint64)
+
+
+#: Size of a filter; a multiple of 32768, which is what one bitmap of the engine holds.
+FLAGS = 1 << 24
+
+
+def flags(df: DataFrame, column: str) -> np.ndarray:
+    """FLAGS bits, of which each value of ``column`` sets one: a filter of a fixed size (2 MB), which lets ever
+    more other values through as they fill, but loses none."""
+    at = F.pmod(F.xxhash64(column), F.lit(FLAGS)) + 1
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(FLAGS // 8, np.uint8)
+    for r in rows.collect():  # at most FLAGS / 32768
+        out[(r["k"] - 1) * 4096:r["k"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def flagged(column: str, bits: np.ndarray) -> Column:
+    """Whether a value may be one of those that have set ``bits``."""
+    shared = SparkSession.active().sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def test(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+    return test(F.pmod(F.xxhash64(column), F.lit(FLAGS)))
