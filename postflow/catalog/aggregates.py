@@ -105,8 +105,8 @@ def a8(spark, d):
 
 @query("a9_cosine_similarity", f"WITH {VECTORS} SELECT * FROM scores")
 def a9(spark, d):
-    scored = similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0)
-    return scored.select("doc_id", F.explode("profiles").alias("p")).select("doc_id", "p.profile_id", "p.score")
+    return similarity.scores(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0) \
+        .where("profile_id is not null").select("doc_id", "profile_id", "score")
 
 
 CATS = {"high": (["anat", "thha*", "onre"], 15, 25), "medium": (["ing the", "that of"], 8, 24), "low_priority": (["ndble", "for", "the of"], -15, -20)}
@@ -127,7 +127,7 @@ def a10(spark, d):
 @query("a11_best_profile", f"""WITH {VECTORS}, r AS (SELECT doc_id, profile_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CAST(profile_id AS BIGINT)) AS rn FROM scores)
 SELECT d.doc_id, CASE WHEN score > 0 THEN profile_id END AS best_profile, CASE WHEN score > 0 THEN score ELSE 0.0 END AS best_score FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn = 1) r ON r.doc_id = d.doc_id""")
 def a11(spark, d):
-    return similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0).drop("profiles")
+    return similarity.best_profiles(table(spark, d, "documents"), profiles(spark, d), "doc_id", top_n=0).drop("top_matches")
 
 
 @query("a12_id_collisions", f"SELECT {id_sql('url')} AS project_id, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1")

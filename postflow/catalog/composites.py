@@ -15,14 +15,24 @@ from .projections import (ANSWER, BODY_CTE, PII_SQL, PII_VIEW, STOP_SQL, TOKEN_R
 from .streams import ROUTE_SQL, outcome
 
 
-@query("c1_similarity_score", f"""WITH {VECTORS}, r AS (SELECT dv.doc_id, pv.profile_id, dv.term, row_number() OVER (PARTITION BY dv.doc_id, pv.profile_id ORDER BY x * w DESC, pos) AS rn FROM dv JOIN pv ON pv.term = dv.term),
+C1_SQL = f"""WITH {VECTORS}, r AS (SELECT dv.doc_id, pv.profile_id, dv.term, row_number() OVER (PARTITION BY dv.doc_id, pv.profile_id ORDER BY x * w DESC, pos) AS rn FROM dv JOIN pv ON pv.term = dv.term),
 tm AS (SELECT doc_id, profile_id, string_agg(term, ' ' ORDER BY rn) AS top_matches FROM r WHERE rn <= 10 GROUP BY doc_id, profile_id),
 b AS (SELECT * FROM (SELECT scores.*, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, CAST(profile_id AS BIGINT)) AS rn FROM scores) WHERE rn = 1 AND score > 0)
-SELECT d.doc_id, b.profile_id AS best_profile, coalesce(b.score, 0.0) AS best_score, top_matches FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN tm ON tm.doc_id = b.doc_id AND tm.profile_id = b.profile_id""")
+SELECT d.doc_id, b.profile_id AS best_profile, coalesce(b.score, 0.0) AS best_score, top_matches FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN tm ON tm.doc_id = b.doc_id AND tm.profile_id = b.profile_id"""
+
+
+@query("c1_similarity_score", C1_SQL)
 def c1(spark, d):
-    scored = similarity.pre_score(table(spark, d, "documents"), profiles(spark, d), "doc_id")
-    best = F.get(F.filter("profiles", lambda p: p["profile_id"] == F.col("best_profile")), F.lit(0))
-    return scored.select("doc_id", "best_profile", "best_score", F.array_join(best["top_matches"], " ").alias("top_matches"))
+    scored = similarity.best_profiles(table(spark, d, "documents"), profiles(spark, d), "doc_id")
+    return scored.withColumn("top_matches", F.when(F.col("best_profile").isNotNull(), F.array_join("top_matches", " ")))
+
+
+@query("c1_profile_search", C1_SQL)
+def c1_search(spark, d):
+    """The same by the inverted index, which scores only the pairs that can win."""
+    index = similarity.build_index(profiles(spark, d))
+    scored = similarity.search_profiles(table(spark, d, "documents"), index, "doc_id")
+    return scored.withColumn("top_matches", F.when(F.col("best_profile").isNotNull(), F.array_join("top_matches", " ")))
 
 
 RULES = {

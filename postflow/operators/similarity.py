@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import MIN_TOKEN, STOPWORDS, raw_tokens
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
+
+#: Tables of profiles lie in so many copies and every document asks one of them, so a term or a profile that
+#: all documents hold is dealt to as many tasks.  Profiles are few beside documents.
+SALTS = 16
+#: Profiles that a term names at once, by their weight on it.
+CHAMPIONS = 8
+#: Scores are compared after rounding to four digits.
+GRAIN = 1.01e-4
 
 
 def term_counts(text: Column) -> Column:
@@ -50,29 +62,31 @@ def profile_vectors(profiles: DataFrame) -> DataFrame:
     return vectors.join(norms, "profile_id").select("term", "idf", "profile_id", "weight", "norm")
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("_salt")
+
+
 def similarities(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text",
                  top_n: int = 10) -> DataFrame:
-    """(key, profile_id, score, top_matches) for pairs that share a term.
+    """(key, profile_id, dot, square, norm, top_matches) for pairs that share a term.
 
-    A document's terms meet the term table once.  Beside its profile weights every term
-    carries one entry without profile, which adds up to the document's own norm, so
-    dot products and norms come out of one aggregation; its map side already reduces
-    to one row per (document, profile).  ``top_n`` 0 leaves the matched terms out.
+    Postings are rows, one per (term, profile), and every term has one more without profile,
+    which adds up to the document's own norm; so dot products and norms come out of one
+    aggregation, whose map side already reduces to one row per (document, profile).  ``top_n`` 0
+    leaves the matched terms out.
     """
-    # Read twice below (size check and join), computed once.
-    vectors = cut_lineage(profile_vectors(profiles))
-    by_term = vectors.groupBy("term").agg(
-        F.first("idf").alias("idf"),
-        F.collect_list(F.struct("profile_id", "weight", "norm")).alias("entries"))
-    # The bound counts weights, not terms: a term carries one per profile that holds it.
-    by_term = broadcast_if_small(by_term, vectors.count(), 500_000)
-    own = F.array(F.struct(F.lit(None).cast("string").alias("profile_id"),
-                           F.coalesce("idf", F.lit(1.0)).alias("weight"), F.lit(0.0).alias("norm")))
-    entries = F.concat(own, F.coalesce("entries", F.slice(own, 1, 0)))
+    vectors = profile_vectors(profiles)
+    own = vectors.groupBy("term").agg(F.first("idf").alias("idf")).select(
+        "term", F.lit(None).cast("string").alias("profile_id"), F.lit(0.0).alias("weight"), F.lit(0.0).alias("norm"), "idf")
+    entries = _salted(vectors.select("term", "profile_id", "weight", "norm", "idf").unionByName(own))
     tf = F.try_divide("n", "total")  # a text without tokens keeps its row
-    x = tf * F.coalesce("idf", F.lit(1.0))
-    joined = with_terms(docs, [key], text).join(by_term, "term", "left") \
-        .select(key, "term", "pos", x.alias("x"), F.explode(entries).alias("e"))
+    terms = with_terms(docs, [key], text).select("*", _salt_of(key))
+    joined = terms.join(entries, ["term", "_salt"], "left").select(
+        key, "term", "pos", (tf * F.coalesce("idf", F.lit(1.0))).alias("x"), F.struct("profile_id", "weight", "norm").alias("e"))
     paired = F.col("e.profile_id").isNotNull()
     measures = [
         F.sum(F.when(paired, F.col("x") * F.col("e.weight"))).alias("dot"),
@@ -89,30 +103,159 @@ def similarities(docs: DataFrame, profiles: DataFrame, key: str, text: str = "te
         F.slice(F.sort_array("shared"), 1, top_n), lambda s: s["term"])).drop("shared")
 
 
+def scores(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text", top_n: int = 10) -> DataFrame:
+    """(key, profile_id, score, top_matches), a row per pair that shares a term; a document without any
+    has one row without profile."""
+    parts = similarities(docs, profiles, key, text, top_n)
+    own = F.sqrt(F.sum("square").over(Window.partitionBy(key)))
+    pairs = F.count("profile_id").over(Window.partitionBy(key))
+    score = F.when((own > 0) & (F.col("norm") > 0), F.col("dot") / (own * F.col("norm"))).otherwise(0.0)
+    return parts.select(key, "profile_id", F.bround(score, 4).alias("score"), "top_matches", pairs.alias("_n")) \
+        .where("profile_id is not null or _n = 0").drop("_n")
+
+
 def pre_score(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text",
               top_n: int = 10) -> DataFrame:
-    """(key, best_profile, best_score, profiles[]); no profile when all scores are 0."""
-    parts = similarities(docs, profiles, key, text, top_n)
-    ids = profiles.select("profile_id", "profile_ord")
-    ids = broadcast_if_small(ids, ids.count())
-    per_doc = parts.join(ids, "profile_id", "left").groupBy(key).agg(
-        F.sqrt(F.sum("square")).alias("own"),
-        # One entry per profile.
-        F.collect_list(F.when(F.col("profile_id").isNotNull(), F.struct(
-            "profile_ord", "profile_id", "dot", "norm", "top_matches"))).alias("p"))
-    scored = F.transform("p", lambda s: F.struct(
-        F.bround(F.when((F.col("own") > 0) & (s["norm"] > 0), s["dot"] / (F.col("own") * s["norm"]))
-                 .otherwise(0.0), 4).alias("score"),
-        (-s["profile_ord"]).alias("rank"), s["profile_id"].alias("profile_id"),
-        s["top_matches"].alias("top_matches")))
-    result = per_doc.withColumn("p", scored).withColumn("best", F.array_max("p"))
-    hit = F.coalesce(F.col("best.score"), F.lit(0.0)) > 0
-    in_order = F.sort_array(F.transform("p", lambda s: F.struct(
-        (-s["rank"]).alias("o"), s["profile_id"].alias("profile_id"), s["score"].alias("score"),
-        s["top_matches"].alias("top_matches"))))
-    return result.select(
-        key, F.when(hit, F.col("best.profile_id")).alias("best_profile"),
-        F.when(hit, F.col("best.score")).otherwise(F.lit(0.0)).alias("best_score"),
-        F.transform(in_order, lambda s: F.struct(
-            s["profile_id"].alias("profile_id"), s["score"].alias("score"),
-            s["top_matches"].alias("top_matches"))).alias("profiles"))
+    """C1 with the scores of all profiles: (key, best_profile, best_score, profiles[]).
+
+    A report over a set of profiles that is small by nature, as its list holds them all.
+    """
+    rows = scores(docs, profiles, key, text, top_n).join(profiles.select("profile_id", "profile_ord"), "profile_id", "left")
+    entry = F.struct("profile_ord", "profile_id", "score", "top_matches")
+    per_doc = rows.groupBy(key).agg(
+        F.max(F.when(F.col("score") > 0, F.struct("score", (-F.col("profile_ord")).alias("o"), "profile_id"))).alias("best"),
+        F.sort_array(F.collect_list(F.when(F.col("profile_id").isNotNull(), entry))).alias("p"))
+    return per_doc.select(
+        key, F.col("best.profile_id").alias("best_profile"), F.coalesce("best.score", F.lit(0.0)).alias("best_score"),
+        F.transform("p", lambda s: F.struct(s["profile_id"].alias("profile_id"), s["score"].alias("score"),
+                                            s["top_matches"].alias("top_matches"))).alias("profiles"))
+
+
+def best_profiles(docs: DataFrame, profiles: DataFrame, key: str, text: str = "text", top_n: int = 10) -> DataFrame:
+    """(key, best_profile, best_score, top_matches) from the scores of all pairs, for up to some thousand
+    profiles; ``search_profiles`` finds the same among many more.
+
+    On a tie the first profile wins; without a score above 0 there is none.
+    """
+    rows = scores(docs, profiles, key, text, top_n).join(profiles.select("profile_id", "profile_ord"), "profile_id", "left")
+    entry = F.struct("score", (-F.col("profile_ord")).alias("o"), "profile_id", "top_matches")
+    return _best(rows.groupBy(key).agg(F.max(F.when(F.col("score") > 0, entry)).alias("v")), key)
+
+
+def _best(rows: DataFrame, key: str) -> DataFrame:
+    return rows.select(
+        key, F.col("v.profile_id").alias("best_profile"), F.coalesce("v.score", F.lit(0.0)).alias("best_score"),
+        F.coalesce("v.top_matches", F.array().cast("array<string>")).alias("top_matches"))
+
+
+# ---- the best profile, without scoring all of them ----
+
+@dataclass(frozen=True)
+class Index:
+    """Inverted index of the profiles, prepared once by ``build_index``.
+
+    ``terms``: term, idf, top (the largest share it has in a profile's norm), champions (id and share, at most
+    ``CHAMPIONS``); ``postings``: term, profile_id, u (its share); ``vectors``: profile_id, profile_ord, norm, and the
+    terms' codes and weights, sorted by code.
+    """
+
+    terms: DataFrame
+    postings: DataFrame
+    vectors: DataFrame
+
+
+def build_index(profiles: DataFrame) -> Index:
+    """Writes the postings of ``profiles`` (profile_id, profile_ord, text) once; the rest is derived from them."""
+    postings = cut_lineage(profile_vectors(profiles).withColumn("u", F.col("weight") / F.col("norm")))
+    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("u"), "profile_id"))  # a bound that is applied before the shuffle
+    terms = postings.withColumn("_r", place).where(F.col("_r") <= CHAMPIONS).groupBy("term").agg(
+        F.first("idf").alias("idf"), F.max("u").alias("top"),
+        F.collect_list(F.struct(F.xxhash64("profile_id").alias("id"), "u")).alias("champions"))
+    vectors = postings.groupBy("profile_id").agg(F.first("norm").alias("norm"), F.sort_array(
+        F.collect_list(F.struct(F.xxhash64("term").alias("c"), F.col("weight").alias("w")))).alias("v"))
+    vectors = vectors.join(profiles.select("profile_id", "profile_ord"), "profile_id").select(
+        "profile_id", "profile_ord", "norm", F.col("v.c").alias("codes"), F.col("v.w").alias("weights"))
+    return Index(terms, postings, vectors)
+
+
+def document_terms(docs: DataFrame, index: Index, key: str, text: str = "text") -> DataFrame:
+    """(key, own, t): a document's norm, and those of its terms that some profile holds, by falling upper bound."""
+    rows = with_terms(docs, [key], text).select("*", _salt_of(key)).join(_salted(index.terms), ["term", "_salt"], "left")
+    x = F.coalesce(F.try_divide("n", "total") * F.coalesce("idf", F.lit(1.0)), F.lit(0.0))
+    held = F.when(F.col("top").isNotNull(), F.struct((x * F.col("top")).alias("ub"), "term", x.alias("x"), "pos", "champions"))
+    return rows.groupBy(key).agg(F.sqrt(F.sum(x * x)).alias("own"), F.sort_array(F.collect_list(held), asc=False).alias("t"))
+
+
+def essential(bounds: np.ndarray, xs: np.ndarray, floor: float) -> int:
+    """Of terms by falling upper bound, how many a profile must share one of to reach ``floor``: all later ones
+    together stay below it, by the sum of their bounds or, since a profile has norm 1, by their own norm."""
+    by_bound = np.searchsorted(np.cumsum(bounds[::-1]), floor)
+    by_norm = np.searchsorted(np.sqrt(np.cumsum(xs[::-1] ** 2)) * (1 + 1e-9), floor)
+    return len(bounds) - int(max(by_bound, by_norm))
+
+
+def essential_terms(own: DataFrame, key: str) -> DataFrame:
+    """(key, floor, rest, tail, term, x): a document's essential terms, with a ``floor`` under the best profile's
+    dot product, and of all other terms the sum ``rest`` of the bounds and the norm ``tail``.
+
+    The floor is the best sum that a profile has on the terms whose champion it is, less the grain of the score.
+    """
+    def find(batches):
+        for b in batches:
+            out = []
+            for k, o, ub, ids, parts, names, xs in zip(b[key], b["own"], b["ub"], b["ids"], b["parts"], b["term"], b["x"]):
+                if len(ids):
+                    floor = np.bincount(np.unique(ids, return_inverse=True)[1], parts).max() * (1 - 1e-9) - GRAIN * o
+                    n = essential(ub, xs, floor)
+                    out.append((np.full(n, k), np.full(n, floor), np.full(n, np.sum(ub[n:])), np.full(n, np.linalg.norm(xs[n:])), names[:n], xs[:n]))
+            if out:
+                yield pd.DataFrame(dict(zip((key, "floor", "rest", "tail", "term", "x"), map(np.concatenate, zip(*out)))))
+    parts = F.flatten(F.transform("t", lambda e: F.transform(e["champions"], lambda c: e["x"] * c["u"])))
+    flat = own.select(key, "own", "t.ub", F.flatten(F.transform("t", lambda e: e["champions"]["id"])).alias("ids"),
+                      parts.alias("parts"), "t.term", "t.x")
+    return flat.mapInPandas(find, f"`{key}` {dict(own.dtypes)[key]}, floor double, rest double, tail double, term string, x double")
+
+
+def exact(top_n: int):
+    """(dot, top_matches) of a document's terms and a profile's vector, both whole."""
+    @F.pandas_udf("struct<dot:double,top_matches:array<string>>")
+    def find(codes: pd.Series, xs: pd.Series, names: pd.Series, places: pd.Series, held: pd.Series, weights: pd.Series) -> pd.DataFrame:
+        out = []
+        for code, x, name, place, own, w in zip(codes, xs, names, places, held, weights):
+            at = np.minimum(np.searchsorted(own, code), len(own) - 1)
+            hit = np.flatnonzero(own[at] == code)
+            parts = x[hit] * w[at[hit]]
+            out.append((float(parts.sum()), name[hit[np.lexsort((place[hit], -parts))[:top_n]]].tolist()))
+        return pd.DataFrame(out, columns=["dot", "top_matches"])
+    return find
+
+
+def candidates(own: DataFrame, index: Index, key: str) -> DataFrame:
+    """(key, profile_id) of the pairs that may be a document's best: those that meet on an essential term and,
+    with the bounds of all other terms added, reach the floor."""
+    asked = essential_terms(own, key).select("*", _salt_of(key))
+    met = asked.join(_salted(index.postings.select("term", "profile_id", "u")), ["term", "_salt"]).groupBy(key, "profile_id").agg(
+        F.sum(F.col("x") * F.col("u")).alias("sum"), F.sum(F.col("u") * F.col("u")).alias("used"),
+        *[F.first(c).alias(c) for c in ("floor", "rest", "tail")])
+    # What is left of the profile's norm bounds its other terms.
+    others = F.least("rest", F.col("tail") * F.sqrt(F.greatest(1 - F.col("used"), F.lit(0.0))))
+    return met.where((F.col("sum") + others) * (1 + 1e-9) + 1e-12 >= F.col("floor")).select(key, "profile_id")
+
+
+def search_profiles(docs: DataFrame, index: Index, key: str, text: str = "text", top_n: int = 10) -> DataFrame:
+    """(key, best_profile, best_score, top_matches), exact, without scoring all pairs.
+
+    Upper bounds of terms (max-score) tell which few a profile must share to be the best; only their postings
+    are joined, and only the pairs that can still win are scored whole.  Scores are rounded to four digits, on
+    a tie the first profile wins, and without a score above 0 there is none.  Terms are compared by 64-bit hashes.
+    """
+    own = document_terms(docs, index, key, text)
+    whole = own.select(key, "own", F.transform("t.term", lambda t: F.xxhash64(t)).alias("_codes"), F.col("t.x").alias("_xs"),
+                       F.col("t.term").alias("_names"), F.col("t.pos").alias("_places"))
+    paired = candidates(own, index, key).join(whole, key).withColumn("_salt", _salt_of(key)).join(
+        _salted(index.vectors), ["profile_id", "_salt"])
+    score = F.bround(F.when(F.col("own") > 0, F.col("s.dot") / (F.col("own") * F.col("norm"))).otherwise(0.0), 4)
+    scored = paired.withColumn("s", exact(top_n)("_codes", "_xs", "_names", "_places", "codes", "weights")).select(
+        key, F.struct(score.alias("score"), (-F.col("profile_ord")).alias("o"), "profile_id", "s.top_matches").alias("v"))
+    best = scored.where("v.score > 0").groupBy(key).agg(F.max("v").alias("v"))
+    return _best(docs.select(key).distinct().join(best, key, "left"), key)

@@ -42,7 +42,7 @@ def backfill(bodies: DataFrame, profiles: DataFrame, key: str, body: str = "body
     """Score rows for bodies without a score; ``outcome`` tells what became of each row."""
     has_score = F.col(body).rlike(PRE_SCORE)
     open_ = bodies.where(~has_score).select(key, F.col(body).alias("text"))
-    scored = similarity.pre_score(open_, profiles, key).select(
+    scored = similarity.best_profiles(open_, profiles, key, top_n=0).select(
         key, "best_profile", F.bround(F.col("best_score") * 100).cast("int").alias("score"),
         F.when(F.col("best_score") >= min_score, "scored").otherwise("skipped_low").alias("outcome"))
     done = bodies.where(has_score).select(

@@ -379,3 +379,51 @@ def test_page_fields(spark):
     assert row.title == "Titel & mehr" and row.reference_id == "123" and row.schlagworte == ["SQL"]
     assert row.description == "Erste **Zeile**\nzwei\n\n- A"
     assert row.details == {"Start": "sofort", "Ansprechpartner": "Frau Muster"}
+
+
+def _profile_tables(spark, n_docs, n_profiles, seed, words=120):
+    r = random.Random(seed)
+    vocabulary = [f"wort{k}" for k in range(words)]
+    text = lambda n: " ".join(r.choice(vocabulary[:r.choice((12, words))]) for _ in range(n))
+    docs = [(k, text(r.randint(0, 40))) for k in range(n_docs)] + [(n_docs, "nichts davon"), (n_docs + 1, None)]
+    profiles = [(f"p{k}", k, text(r.randint(1, 12))) for k in range(n_profiles)]
+    profiles += [(f"c{k}", n_profiles + k, profiles[k % 5][2]) for k in range(20)]  # ties
+    return (spark.createDataFrame(docs, "id int, text string").repartition(4),
+            spark.createDataFrame(profiles, "profile_id string, profile_ord int, text string"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_profile_search_equals_all_pairs(spark, seed, monkeypatch):
+    monkeypatch.setattr(similarity, "CHAMPIONS", 1 + 3 * (seed - 1))
+    docs, profiles = _profile_tables(spark, 150, 80, seed)
+    want = sorted(map(tuple, similarity.best_profiles(docs, profiles, "id").collect()))
+    got = sorted(map(tuple, similarity.search_profiles(docs, similarity.build_index(profiles), "id").collect()))
+    assert got == want and len(got) == 152 and got[150][1] is None
+    full = {r.id: (r.best_profile, r.best_score) for r in similarity.pre_score(docs, profiles, "id").collect()}
+    assert full == {w[0]: w[1:3] for w in want}
+
+
+def test_ten_times_the_profiles_are_far_from_ten_times_the_pairs(spark):
+    """Texts and profiles on themes, with common words in all of them."""
+    r = random.Random(7)
+    text = lambda theme, n: " ".join(f"allgemein{r.randint(0, 20)}" if r.random() < 0.3 else f"t{theme}w{r.randint(0, 15)}" for _ in range(n))
+    docs = spark.createDataFrame([(k, text(r.randint(0, 99), 60)) for k in range(100)], "id int, text string")
+    pairs, scored = [], []
+    for n in (100, 1000):
+        profiles = spark.createDataFrame([(f"p{k}", k, text(k % (n // 2), 25)) for k in range(n)], "profile_id string, profile_ord int, text string")
+        index = similarity.build_index(profiles)
+        scored.append(similarity.candidates(similarity.document_terms(docs, index, "id"), index, "id").count())
+        pairs.append(similarity.scores(docs, profiles, "id", top_n=0).where("profile_id is not null").count())
+    assert pairs[1] > 8 * pairs[0] and scored[1] < 3 * scored[0] and scored[1] < pairs[1] / 20
+
+
+def test_essential_terms_reach_the_floor():
+    r = random.Random(3)
+    for _ in range(200):
+        ub = sorted((r.random() for _ in range(r.randint(0, 8))), reverse=True)
+        floor = r.uniform(-0.5, 4)
+        xs = [u / r.uniform(0.5, 1) for u in ub]
+        n = similarity.essential(similarity.np.array(ub), similarity.np.array(xs), floor)
+        reach = lambda k: min(sum(ub[k:]), math.sqrt(sum(x * x for x in xs[k:])))
+        assert reach(n) < floor or n == len(ub)
+        assert not n or reach(n - 1) >= floor - 1e-6
