@@ -209,8 +209,8 @@ def t8_stream(spark, d):
     columns = [f"{e} AS {c}" for c, e in STATE_EVENT.items()]
     raw = table(spark, d, "events").schema
     events = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(d).selectExpr(*columns)
-    SL.fold_stream(events).writeStream.format("parquet").option("path", f"{base}/out") \
-        .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
+    log = SL.state_log(f"{base}/log", events)
+    SL.fold_stream(events, log, f"{base}/out", f"{base}/cp").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("event_id", "from_state", "to_state", "accepted", "state")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..model import STATES, TRANSITIONS
@@ -44,21 +46,23 @@ def with_override(events: DataFrame) -> DataFrame:
     return events.withColumn(OVERRIDE, reduce(lambda a, b: a | b, flags, F.lit(False)))
 
 
-def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def fold_states(events: DataFrame, key: str, order: list[str], starts: DataFrame | None = None) -> DataFrame:
     """T8, batch: every event with ``from_state``, ``accepted`` and the state after it.
 
     A refused change leaves the state as it was, so the state depends on the whole history
     of a posting.  The domain is small, though: a slice of events is summarised by the
     state it leads to from each possible start.  The summaries of a posting are chained,
     then all slices are replayed side by side from their start state.  A posting with a
-    third of all events is thus spread like any other.  ``force`` and, where there is such
-    a column, ``ui_context`` let a change through whatever the matrix says.
+    third of all events is thus spread like any other.  Within a slice changes are maps of
+    states too, composed for all rows of a batch at once.  An empty state is none.  ``force`` and, where there is such
+    a column, ``ui_context`` let a change through whatever the matrix says.  ``starts`` (key,
+    state) are states carried from earlier; other postings start without one.
     """
-    cut = slices(with_override(events), order[0])
+    # Dealt once: both passes read the same shuffle.
+    cut = slices(with_override(events), order[0]).repartition(key, SLICE)
     known = [None] + STATES + [OTHER]
-    maps = cut.select(key, SLICE, *order, "to_state", OVERRIDE).repartition(key, SLICE) \
-        .sortWithinPartitions(key, SLICE, *order).mapInPandas(
-        _summarise(key, known), f"`{key}` {dict(cut.dtypes)[key]}, {SLICE} int, _map array<string>")
+    maps = cut.sortWithinPartitions(key, SLICE, *order).mapInPandas(
+        _summarise(key), f"`{key}` {dict(cut.dtypes)[key]}, {SLICE} int, _map array<string>")
     # One small array per slice of a posting.
     chain = maps.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(SLICE, "_map"))).alias("_chain"))
 
@@ -72,76 +76,129 @@ def fold_states(events: DataFrame, key: str, order: list[str]) -> DataFrame:
             F.concat(acc["starts"], F.array(F.struct(s[SLICE].alias(SLICE), acc["state"].alias("start")))
                      ).alias("starts"))
 
-    zero = F.expr(f"struct(cast(null as string) as state, "
-                  f"cast(array() as array<struct<{SLICE}:int,start:string>>) as starts)")
+    if starts is None:
+        chain = chain.withColumn("_start", F.lit(None).cast("string"))
+    else:
+        chain = chain.join(starts.select(key, F.col("state").alias("_start")), key, "left")
+    zero = F.struct(F.col("_start").alias("state"),
+                    F.expr(f"cast(array() as array<struct<{SLICE}:int,start:string>>)").alias("starts"))
     begun = chain.select(key, F.explode(F.aggregate("_chain", zero, advance)["starts"]).alias("b")) \
         .select(key, f"b.{SLICE}", "b.start")
-    joined = cut.join(begun, [key, SLICE]).repartition(key, SLICE).sortWithinPartitions(key, SLICE, *order)
+    joined = cut.join(begun, [key, SLICE]).sortWithinPartitions(key, SLICE, *order)
     fields = [f for f in joined.schema.fields if f.name not in (SLICE, "start", OVERRIDE)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     replay = _replay(key, [f.name for f in fields])
     return joined.mapInPandas(replay, f"{schema}, from_state string, accepted boolean, state string")
 
 
-def _summarise(key: str, known: list):
-    """Per (key, slice) the state reached from each possible start; rows stream through.
+class Codes:
+    """States as numbers: 0 is none (or empty), then those of the matrix, then ``ELSE``, which stands for a start
+    outside the matrix, then the names outside it as they come."""
 
-    Starts that have met in one state stay together, so after a few events of a posting
-    there is little left to track.
+    def __init__(self):
+        self.names = [None, *STATES, OTHER]
+        self.at = {n: i for i, n in enumerate(self.names)}
+        free = [[not a or f"{a}>{b}" in set(ARROWS) for a in self.names] for b in self.names]
+        self.free = np.array(free)  # whether a target may be reached from a state
+
+    def of(self, values: pd.Series) -> np.ndarray:
+        places, distinct = pd.factorize(values)
+        for name in distinct:
+            if name and name not in self.at:
+                self.at[name] = len(self.names)
+                self.names.append(name)
+        return np.append([self.at[n] if n else 0 for n in distinct], 0).astype(np.int64)[places]
+
+    def may(self, state: np.ndarray, target: np.ndarray, force: np.ndarray) -> np.ndarray:
+        """Whether each change is taken; only a forced one leads to or from a state outside the matrix."""
+        return force | self.free[np.minimum(target, ELSE), np.minimum(state, ELSE)]
+
+    def maps(self, target: np.ndarray, force: np.ndarray) -> np.ndarray:
+        """One row per change: the state it leads to from each start."""
+        starts = np.arange(ELSE + 1)
+        return np.where(self.may(starts[None], target[:, None], force[:, None]), target[:, None], starts)
+
+
+ELSE = len(STATES) + 1
+
+
+def follow(state: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Where maps (one row each) lead from states (the same rows, any columns)."""
+    reached = np.take_along_axis(maps, np.minimum(state, ELSE), 1)
+    return np.where((state > ELSE) & (reached == ELSE), state, reached)
+
+
+def scan(maps: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Composes maps along runs: row i becomes where all rows of its run up to i lead to from each start.
+
+    Composition is associative, so runs are combined by doubling: a row that has met its 2 ** k predecessors
+    takes over what the row before these has met, as long as both are in one run.
     """
-    import pandas as pd
+    maps, run, step = maps.copy(), np.cumsum(first), 1
+    while step < len(maps):
+        same = np.flatnonzero(run[step:] == run[:-step]) + step
+        if not len(same):
+            break
+        maps[same] = follow(maps[same - step], maps[same])
+        step *= 2
+    return maps
 
-    allowed = frozenset(ARROWS)
 
-    def run(batches):
-        current, reached = None, {}
+def _runs(pdf: pd.DataFrame, key: str) -> np.ndarray:
+    """Whether a row begins another (key, slice) than the row before."""
+    k, part = pd.factorize(pdf[key], use_na_sentinel=False)[0], pdf[SLICE].to_numpy()
+    return np.append(True, (k[1:] != k[:-1]) | (part[1:] != part[:-1]))
+
 
-        def row():
-            ends = [None] * len(known)
-            for state, starts in reached.items():
-                for i in starts:
-                    ends[i] = state
-            return (*current, ends)
+def _name(pdf: pd.DataFrame, key: str, i: int) -> tuple:
+    return (None if pd.isna(pdf[key].iloc[i]) else pdf[key].iloc[i], pdf[SLICE].iloc[i])
 
+
+def _summarise(key: str):
+    """Per (key, slice) the state reached from each possible start; batches of sorted rows stream through."""
+    def run(batches):
+        codes, current, reached = Codes(), None, None
+
+        def rows(names, maps):
+            return pd.DataFrame([(*n, [codes.names[c] for c in m]) for n, m in zip(names, maps.tolist())], columns=[key, SLICE, "_map"])
         for pdf in batches:
-            done = []
-            for k, part, target, force in zip(pdf[key], pdf[SLICE], pdf["to_state"], pdf[OVERRIDE]):
-                if (k, part) != current:
-                    if current is not None:
-                        done.append(row())
-                    current, reached = (k, part), {s: [i] for i, s in enumerate(known)}
-                moved = [s for s in reached if force or not s or f"{s}>{target}" in allowed]
-                joined = [i for s in moved for i in reached.pop(s)]
-                if joined:
-                    reached.setdefault(target, []).extend(joined)
-            if done:
-                yield pd.DataFrame(done, columns=[key, SLICE, "_map"])
+            if not len(pdf):
+                continue
+            first = _runs(pdf, key)
+            done = scan(codes.maps(codes.of(pdf["to_state"]), pdf[OVERRIDE].to_numpy(bool)), first)
+            ends = np.append(np.flatnonzero(first)[1:] - 1, len(pdf) - 1)
+            if current is not None:
+                if _name(pdf, key, 0) == current:
+                    done[ends[0]] = follow(reached[None], done[ends[:1]])[0]
+                else:
+                    yield rows([current], reached[None])
+            if len(ends) > 1:
+                yield rows([_name(pdf, key, e) for e in ends[:-1]], done[ends[:-1]])
+            current, reached = _name(pdf, key, -1), done[-1]
         if current is not None:
-            yield pd.DataFrame([row()], columns=[key, SLICE, "_map"])
-
+            yield rows([current], reached[None])
     return run
 
 
 def _replay(key: str, columns: list[str]):
-    allowed = frozenset(ARROWS)
-
+    """Adds from_state, accepted and state to batches of sorted rows, of which each knows its slice's start."""
     def run(batches):
-        current, state = None, None
+        codes, current, last = Codes(), None, None
         for pdf in batches:
-            before, taken, after = [], [], []
-            rows = zip(pdf[key], pdf[SLICE], pdf["start"], pdf["to_state"], pdf[OVERRIDE])
-            for k, part, start, target, force in rows:
-                if (k, part) != current:
-                    current, state = (k, part), start
-                ok = bool(force) or not state or f"{state}>{target}" in allowed
-                before.append(state)
-                taken.append(ok)
-                state = target if ok else state
-                after.append(state)
+            if not len(pdf):
+                continue
+            first, start = _runs(pdf, key), codes.of(pdf["start"])
+            if _name(pdf, key, 0) == current:
+                begun = np.flatnonzero(np.append(first, True))
+                start[:begun[1]] = last
+            target, force = codes.of(pdf["to_state"]), pdf[OVERRIDE].to_numpy(bool)
+            after = follow(start[:, None], scan(codes.maps(target, force), first))[:, 0]
+            before = np.where(first, start, np.append(0, after[:-1]))
+            names = np.array(codes.names, object)
             out = pdf[columns].copy()
-            out["from_state"], out["accepted"], out["state"] = before, taken, after
+            out["from_state"], out["accepted"], out["state"] = names[before], codes.may(before, target, force), names[after]
+            current, last = _name(pdf, key, -1), after[-1]
             yield out
-
     return run
 
 

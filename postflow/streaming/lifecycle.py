@@ -2,37 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from collections.abc import Callable
 
-from ..operators.lifecycle import ARROWS, OVERRIDE, with_override
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-OUTPUT = "project_id long, event_id long, from_state string, to_state string, accepted boolean, state string"
+from ..operators.lifecycle import fold_states
+from .deltas import DeltaLog
 
 
-def fold_stream(events: DataFrame, key: str = "project_id") -> DataFrame:
-    """Each change with the state before it and whether it was taken.
+def state_log(path: str, events: DataFrame, key: str = "project_id") -> DeltaLog:
+    """The current state per posting; ``events`` gives the type of the key."""
+    return DeltaLog(path, (key,), StructType([events.schema[key]]).add("state", "string"))
 
-    ``events`` has project_id, ts, event_id, to_state, force and perhaps ui_context.  Only the current state is
-    kept per posting; within a trigger changes are applied in (ts, event_id) order.
+
+def fold_writer(log: DeltaLog, out: str, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """The body of ``foreachBatch``: folds a batch from the carried states, as the batch fold does for a table.
+
+    A posting's events are spread over slices, and only its last state is carried on, as one row of the log.
+    A repeated batch rewrites its own result and changes nothing.
+    """
+    key = log.keys[0]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if log.complete(spark, batch_id):
+            return
+        path = f"{out}/batch={batch_id}"
+        starts = log.read(spark, before=batch_id, only=batch.select(key))
+        fold_states(batch, key, order, starts).write.mode("overwrite").parquet(path)
+        # The log comes last: a batch whose states are known has been written whole.
+        log.append(spark.read.parquet(path).groupBy(key).agg(F.max_by("state", F.struct(*order)).alias("state")), batch_id)
+    return write
+
+
+def fold_stream(events: DataFrame, log: DeltaLog, out: str, checkpoint: str, order: list[str] = ["ts", "event_id"]):
+    """Each change with the state before it and whether it was taken, written to ``out`` by batch.
+
+    ``events`` has the key, ``order``, to_state, force and perhaps ui_context.  Within a trigger changes are
+    applied in ``order``.
     """
-    import pandas as pd
-
-    allowed = frozenset(ARROWS)
-
-    def step(keys, batches, state: GroupState):
-        current = state.get[0] if state.exists else None
-        pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        before, taken, after = [], [], []
-        for target, force in zip(pdf["to_state"], pdf[OVERRIDE]):
-            ok = bool(force) or not current or f"{current}>{target}" in allowed
-            before.append(current)
-            taken.append(ok)
-            current = target if ok else current
-            after.append(current)
-        state.update((current,))
-        yield pd.DataFrame({"project_id": keys[0], "event_id": pdf["event_id"], "from_state": before,
-                            "to_state": pdf["to_state"], "accepted": taken, "state": after})
-
-    return with_override(events).groupBy(key).applyInPandasWithState(
-        step, OUTPUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return events.writeStream.foreachBatch(fold_writer(log, out, order)) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

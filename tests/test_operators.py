@@ -427,3 +427,33 @@ def test_essential_terms_reach_the_floor():
         reach = lambda k: min(sum(ub[k:]), math.sqrt(sum(x * x for x in xs[k:])))
         assert reach(n) < floor or n == len(ub)
         assert not n or reach(n - 1) >= floor - 1e-6
+
+
+def _plain_fold(events):
+    """{event: (from_state, accepted, state)} by a loop over each posting's events."""
+    from postflow.model import TRANSITIONS
+
+    state, out = {}, {}
+    for key, ts, event, target, force in sorted(events, key=lambda e: (str(e[0]), e[1], e[2])):
+        now = state.get(key)
+        ok = bool(force) or not now or target in TRANSITIONS.get(now, ())
+        out[event] = (now, ok, target if ok else now)
+        state[key] = out[event][2]
+    return out
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_fold_of_a_hot_posting_equals_a_loop(spark, batch):
+    from postflow.model import STATES
+
+    r = random.Random(11)
+    names = [*STATES, "fremd", "anders"]
+    events = [("hot" if r.random() < 0.4 else f"p{r.randint(0, 30)}", r.randint(0, 500), k, r.choice(names), r.random() < 0.1) for k in range(1500)]
+    table = spark.createDataFrame(events, "k string, ts int, event_id int, to_state string, force boolean").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {x.event_id: (x.from_state, x.accepted, x.state) for x in lifecycle.fold_states(table, "k", ["ts", "event_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == _plain_fold(events)

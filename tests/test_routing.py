@@ -160,9 +160,8 @@ def test_state_stream_equals_batch_fold(spark, tmp_path):
     rows = [(i % 5, NOW + dt.timedelta(minutes=i), i, ["evaluated", "accepted", "applied", "sent", "scraped"][(i * 7) % 5], i % 11 == 0) for i in range(200)]
     events = spark.createDataFrame(rows, "project_id long, ts timestamp, event_id long, to_state string, force boolean")
     events.write.parquet(str(tmp_path / "in"))
-    stream = SL.fold_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")) \
-        .trigger(availableNow=True).start().awaitTermination()
+    log = SL.state_log(str(tmp_path / "log"), events)
+    SL.fold_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), log, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.event_id: (r.accepted, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r.event_id: (r.accepted, r.state) for r in lifecycle.fold_states(events, "project_id", ["ts", "event_id"]).collect()}
     assert got == want
