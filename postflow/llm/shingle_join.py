@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import simhash
 from .graph import components, forest, in_blocks
-from .tables import flagged, flags, packed, stored, unpacked
+from .tables import flagged, flags, packed, slices, stored, unpacked
 
 SHINGLE = 5
 #: Sets link if 9 * common >= 4 * (a + b), which is Jaccard >= 4/5.
 IN_BLOCK = 1_024
 #: Entries of one range of keys; sets on one key that a task compares on its own.
-RANGE, LONG = 1_000_000, 8_192
+RANGE, LONG = 250_000, 8_192
 #: One text of so many tells which shingles are common; so many hits make one; so many at most are told.
 SAMPLE, HITS, TOLD = 8, 3, 200_000
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -67,7 +67,7 @@ def common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a sample repeats, ascending, and how often."""
     def find(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1_024)):
             each = []
             for text in b["text"].fillna(""):
                 found = shingles(text)
@@ -152,7 +152,7 @@ def prefixes(docs: DataFrame, keys: np.ndarray, hits: np.ndarray, ranges: int) -
 
     def cut(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1_024)):
             chosen, nodes, sizes = [], [], []
             for text in b["text"].fillna(""):
                 found = shingles(text)
