@@ -35,6 +35,8 @@ SHINGLE = 5
 IN_BLOCK = 1_024
 #: Entries of one range of keys; sets on one key that a task compares on its own.
 RANGE, LONG = 250_000, 8_192
+#: Shingles that the comparison of whole sets looks at together.
+AT_ONCE = 500_000
 #: One text of so many tells which shingles are common; so many hits make one; so many at most are told.
 SAMPLE, HITS, TOLD = 8, 3, 200_000
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -107,24 +109,34 @@ def may_link(n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs i > j of sets of Jaccard 4/5 or more."""
+    """All pairs i > j of sorted sets of Jaccard 4/5 or more.
+
+    Common shingles are counted range by range of their values, so that what is built at once is bounded by
+    ``AT_ONCE`` entries, whatever the sets hold.
+    """
+    if len(sets) < 2:
+        return np.zeros(0, int), np.zeros(0, int)
     n = np.array([len(s) for s in sets], np.int64)
-    bounds = np.append(0, np.cumsum(n))
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    by_code = np.argsort(code, kind="stable")
-    owner = np.repeat(np.arange(len(sets)), n)[by_code]
-    sizes = np.bincount(code)
-    first = np.cumsum(sizes) - sizes
-    left, right = [], []
-    for i in range(1, len(sets)):
-        mine = code[bounds[i]:bounds[i + 1]]
-        mine = mine[sizes[mine] > 1]
-        many = sizes[mine]
-        at = np.repeat(first[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))[:i]
-        j = np.flatnonzero(9 * shared >= 4 * (n[i] + n[:i]))
-        left.append(np.full(len(j), i)), right.append(j)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+    shared = np.zeros((len(sets), len(sets)), np.int32)
+    parts = 1 + int(n.sum()) // AT_ONCE
+    borders = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(s, borders), [len(s)]]) for s in sets]
+    for k in range(parts):
+        here = [s[c[k]:c[k + 1]] for s, c in zip(sets, cuts)]
+        many = np.array([len(h) for h in here])
+        code = np.unique(np.concatenate(here), return_inverse=True)[1]
+        bounds, sizes = np.append(0, np.cumsum(many)), np.bincount(code)
+        owner = np.repeat(np.arange(len(sets)), many)[np.argsort(code, kind="stable")]
+        first = np.cumsum(sizes) - sizes
+        for i in range(1, len(sets)):
+            mine = code[bounds[i]:bounds[i + 1]]
+            mine = mine[sizes[mine] > 1]
+            if len(mine):
+                held = sizes[mine]
+                at = np.repeat(first[mine] - (np.cumsum(held) - held), held) + np.arange(held.sum())
+                shared[i, :i] += np.bincount(owner[at], minlength=len(sets))[:i].astype(np.int32)
+    i, j = np.nonzero(np.tril(9 * shared.astype(np.int64) >= 4 * (n[:, None] + n[None]), -1))
+    return i, j
 
 
 def _edges(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:

@@ -252,6 +252,22 @@ def test_pipeline_near_copies_equal_brute_force(spark, none, monkeypatch, block,
     assert corpus_pipeline.drop_near_copies(spark, none, "").count() == 0
 
 
+@pytest.mark.parametrize("at_once", [20, 10**6])
+def test_similar_sets_equal_all_pairs(monkeypatch, at_once):
+    monkeypatch.setattr(shingle_join, "AT_ONCE", at_once)
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = np.unique(r.integers(0, 1 << 63, r.integers(1, 60)).astype(np.uint64) * np.uint64(2))
+        sets += [base, base[r.random(len(base)) < 0.9], base]
+    sets = [s for s in sets if len(s)]
+    i, j = shingle_join.similar(sets)
+    alike = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])}
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 12
+    assert len(shingle_join.similar([])[0]) == len(shingle_join.similar(sets[:1])[0]) == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (40, 41), (41, 42), (42, 43), (43, 44), (44, 3), (7, 6)] + [(100 + k, 101 + k) for k in range(60)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
