@@ -6,9 +6,9 @@ filter keeps its maximum over all chunks, and a logistic layer combines the maxi
 Because the maximum is taken over windows, chunks only bound the memory: any chunk length gives the same
 score.
 
-Training reads a bounded sample: at most ``per_class`` labelled texts of each label, by the order of a
-hash of their ids, and from each at most ``windows`` random stretches of one chunk spread over the whole
-text.  Scoring reads every text whole.
+Training reads a bounded sample of whole texts: of each label the first ``per_class`` by the order of a
+hash of their ids, and of these as many as ``PER_CLASS_BYTES`` hold (always the first).  No text is cut: a
+filter learns from its best window of the whole text, which chunks find as in scoring.
 
 Cases: a null text counts as an empty one; it is padded to one window, like every text shorter than a
 window, and so has a score.  Rows with null labels or ids are not learned from.  Without any labels, or
@@ -23,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .tables import crc_remainder
 
 FOLDS = 5
-WIDTH, STRIDE = 12, 2
+WIDTH, STRIDE = 12, 1
 FACES, FILTERS = 8, 24
+DECAY = 1e-4
 CHUNK = 4_096
 PER_CLASS = 1_200
+PER_CLASS_BYTES = 32 << 20
 
 
 @dataclass
@@ -70,19 +72,37 @@ def responses(net: Net, data: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(seen) @ net.filters
 
 
-def peaks(net: Net, data: np.ndarray) -> np.ndarray:
-    """Each filter's maximum over the whole text, chunk by chunk."""
-    best = np.full(FILTERS, -np.inf, np.float32)
+def chunks(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Overlapping pieces of a text, so that every window lies in some piece."""
     step = CHUNK - CHUNK % STRIDE
     for start in range(0, max(1, len(data)), step):
-        # A chunk reaches into the next one by a window, so that every window lies in some chunk.
+        # A chunk reaches into the next one by a window.
         piece = data[start:start + step + WIDTH - STRIDE]
         if start and len(piece) <= WIDTH - STRIDE:
             break
+        yield piece
+
+
+def peaks(net: Net, data: np.ndarray) -> np.ndarray:
+    """Each filter's maximum over the whole text, chunk by chunk."""
+    best = np.full(FILTERS, -np.inf, np.float32)
+    for piece in chunks(data):
         np.maximum(best, responses(net, piece).max(0), out=best)
     return best
 
 
+def best_windows(net: Net, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each filter's maximum over the whole text and the bytes of the first window that has it."""
+    best, won = np.full(FILTERS, -np.inf, np.float32), np.zeros((FILTERS, WIDTH), np.uint8)
+    for piece in chunks(data):
+        z = responses(net, piece)
+        at = z.argmax(0)
+        top = z[at, np.arange(FILTERS)]
+        better = top > best
+        best[better], won[better] = top[better], windows(piece)[at[better]]
+    return best, won
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -107,8 +127,23 @@ class _Adam:
             setattr(self.net, k, getattr(self.net, k) - move.astype(np.float32) if k != "out_bias" else float(self.net.out_bias - move))
 
 
-def train(texts: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 9) -> Net:
-    """Fits a net to texts, each given as stretches of bytes, by Adam on the weighted logistic loss."""
+def gradients(net: Net, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the weighted mean logistic loss (and the decay of the output weights) over whole texts."""
+    found = [best_windows(net, t) for t in texts]
+    tops, won = np.stack([f[0] for f in found]), np.stack([f[1] for f in found])
+    held = np.maximum(tops + net.bias, 0)
+    slope = ((_sigmoid(held @ net.out + net.out_bias) - labels) * weight / len(texts)).astype(np.float32)
+    back = slope[:, None] * net.out * (held > 0)
+    seen = net.embedding[won].reshape(len(texts), FILTERS, -1)
+    to_bytes = (back[:, :, None] * net.filters.T).reshape(-1, FACES)
+    faces = np.zeros_like(net.embedding)
+    np.add.at(faces, won.reshape(-1), to_bytes)
+    return {"embedding": faces, "filters": np.einsum("tf,tfw->wf", back, seen), "bias": back.sum(0),
+            "out": held.T @ slope + DECAY * net.out, "out_bias": np.float32(slope.sum())}
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 16, rate: float = 0.01, seed: int = 9) -> Net:
+    """Fits a net to the bytes of whole texts, by Adam on the weighted logistic loss."""
     net, r = Net.fresh(seed), np.random.default_rng(seed)
     adam = _Adam(net, rate)
     share = np.clip(labels.mean(), 0.05, 0.95)
@@ -118,26 +153,12 @@ def train(texts: list[list[np.ndarray]], labels: np.ndarray, epochs: int = 6, ba
         order = r.permutation(len(texts))
         for k in range(0, len(order), batch):
             chosen = order[k:k + batch]
-            won = np.empty((len(chosen), FILTERS, WIDTH), np.uint8)  # each filter's best window in each text
-            tops = np.empty((len(chosen), FILTERS), np.float32)
-            for i, x in enumerate(chosen):
-                z = np.concatenate([responses(net, s) for s in texts[x]])
-                at = z.argmax(0)
-                won[i], tops[i] = np.concatenate([windows(s) for s in texts[x]])[at], z[at, np.arange(FILTERS)]
-            held = np.maximum(tops + net.bias, 0)
-            slope = ((_sigmoid(held @ net.out + net.out_bias) - labels[chosen]) * weight[chosen] / len(chosen)).astype(np.float32)
-            back = slope[:, None] * net.out * (held > 0)
-            seen = net.embedding[won].reshape(len(chosen), FILTERS, -1)
-            to_bytes = (back[:, :, None] * net.filters.T).reshape(-1, FACES)
-            faces = np.zeros_like(net.embedding)
-            np.add.at(faces, won.reshape(-1), to_bytes)
-            adam.step({"embedding": faces, "filters": np.einsum("tf,tfw->wf", back, seen), "bias": back.sum(0),
-                       "out": held.T @ slope + 1e-4 * net.out, "out_bias": np.float32(slope.sum())})
+            adam.step(gradients(net, [texts[x] for x in chosen], labels[chosen], weight[chosen]))
     return net
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """text, quality of at most ``per_class`` labelled rows of each kind outside fold 0."""
+    """doc_id, text, quality of at most ``per_class`` labelled rows of each kind outside fold 0."""
     known = (labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
              .where(crc_remainder(F.col("doc_id"), FOLDS) != 0))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -146,27 +167,23 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     kinds = [known.where(F.col("quality") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     chosen = kinds[0].unionByName(kinds[1])
     # At most 2 * per_class ids.
-    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text"))
+    whole = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("text").alias("text"))
+    # At most per_class rows a kind, so that one task may add them up.
+    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.sum(F.octet_length("text").cast("long"))
+    return whole.withColumn("_before", F.coalesce(held.over(w), F.lit(0))) \
+        .where((F.col("_before") == 0) | (F.col("_before") + F.octet_length("text") <= PER_CLASS_BYTES)).drop("_before")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, stretches: int = 4) -> Net | float:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net | float:
     """A net, or one score for all where there is nothing to learn."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for quality, text in zip(b["quality"], b["text"]):
-                data = text.encode()
-                places = [0] if len(data) <= CHUNK else np.linspace(0, len(data) - CHUNK, stretches).astype(int).tolist()
-                rows.append((quality, [data[p:p + CHUNK] for p in sorted(set(places))]))
-            yield pd.DataFrame(rows, columns=["quality", "parts"])
-    # At most 2 * per_class * stretches * CHUNK bytes come to the driver.
-    rows = sample(docs, labels, per_class).select("quality", "text", "doc_id").orderBy("doc_id").select("quality", "text").mapInPandas(
-        cut, "quality int, parts array<binary>").collect()
+    # At most 2 * per_class texts of 2 * PER_CLASS_BYTES (and, if longer, the first text of a kind).
+    rows = sample(docs, labels, per_class).select("quality", F.encode("text", "utf-8").alias("data"), "doc_id") \
+        .orderBy("doc_id").collect()
     kinds = {r["quality"] for r in rows}
     if len(kinds) < 2:
         return float(kinds.pop()) if kinds else 0.5
-    texts = [[np.frombuffer(bytes(p), np.uint8) for p in r["parts"]] for r in rows]
-    return train(texts, np.array([r["quality"] for r in rows], np.float32))
+    return train([np.frombuffer(bytes(r["data"]), np.uint8) for r in rows], np.array([r["quality"] for r in rows], np.float32))
 
 
 def scored(docs: DataFrame, net: Net | float, column: str = "_cnn_score") -> DataFrame:

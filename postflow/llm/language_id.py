@@ -5,11 +5,14 @@ follow-the-regularised-leader (FTRL-proximal, elastic net), then calibrated by o
 that the training has not seen.
 
 Document frequencies are counted over all learnable documents: each task sums up its own and the sums meet
-in one aggregation by n-gram.  The regression reads a bounded sample: at most ``per_language`` texts of each
-language, by the order of a hash of their ids.  Scoring reads every text whole.
+in one aggregation by n-gram.  The regression reads a bounded sample: of each language the first
+``per_language`` ids by the order of a hash, or an equal share of ``SAMPLE`` texts where the languages are too
+many for that (at least one of each).  One pass chooses for all languages and one collects their n-grams.
+The regression takes half a megabyte of the driver for each language.  Scoring reads every text whole.
 
 Cases: a null text, one without a letter, and every text where nothing could be learned get ``und`` with
 score 0.  Rows are judged on their own, so null or repeated ids do no harm; null ids count as held out.
+Of the texts that share an id and a language the largest is learned from.
 With one known language every other text gets it, with score 1.  An empty table gives no rows.
 """
 
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .tables import crc_remainder
 
@@ -29,7 +32,7 @@ FOLDS = 5
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
 PER_LANGUAGE = 600
-MOST_LANGUAGES = 500
+SAMPLE = 12_000
 #: Texts longer than this are counted part by part, which bounds the memory.
 PART = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
@@ -146,27 +149,29 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for r in document_frequencies(known).collect():  # at most BUCKETS + 1 rows
         df[r["bucket"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: these are no languages")
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    place = {lang: k for k, lang in enumerate(languages)}
+    share = min(per_language, max(1, SAMPLE // max(1, len(languages))))
+    # Spark applies the limit of a group before it shuffles, so one language with all rows is no large group.
+    chosen = known.select("lang", "doc_id").distinct().withColumn(
+        "_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))) \
+        .where(F.col("_n") <= share).drop("_n")
+    # At most SAMPLE ids, or one for each language.
+    texts = known.join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.max("text").alias("text"))
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [counts(t) for t in b["text"]]
+            yield pd.DataFrame({"lang": b["lang"], "doc_id": b["doc_id"], "at": [a.astype("<i4").tobytes() for a, _ in found],
+                                "n": [n.astype("<i4").tobytes() for _, n in found]})
     rows, labels, later = [], [], []
-    for k, lang in enumerate(languages):
-        chosen = (known.where(F.col("lang") == lang).select("doc_id").distinct()
-                  .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language))
-        # At most per_language ids.
-        texts = known.where(F.col("lang") == lang).join(F.broadcast(chosen), "doc_id").select("doc_id", "text")
-
-        def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                found = [counts(t) for t in b["text"]]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "at": [a.astype("<i4").tobytes() for a, _ in found],
-                                    "n": [n.astype("<i4").tobytes() for _, n in found]})
-        for r in texts.mapInPandas(grams, "doc_id long, at binary, n binary").orderBy("doc_id", "at", "n").limit(per_language).collect():
-            at, n = (np.frombuffer(bytes(x), "<i4").astype(np.int64) for x in (r["at"], r["n"]))
-            w = (1 + np.log(n)) * idf[at]
-            rows.append((at, w / max(np.linalg.norm(w), 1e-12)))
-            labels.append(k)
-            later.append(len(rows) % 5 == 0)
+    sampled = texts.mapInPandas(grams, "lang string, doc_id long, at binary, n binary").collect()
+    for r in sorted(sampled, key=lambda r: (place[r["lang"]], r["doc_id"])):
+        at, n = (np.frombuffer(bytes(x), "<i4").astype(np.int64) for x in (r["at"], r["n"]))
+        w = (1 + np.log(n)) * idf[at]
+        rows.append((at, w / max(np.linalg.norm(w), 1e-12)))
+        labels.append(place[r["lang"]])
+        later.append(len(rows) % 5 == 0)
     if len(languages) < 2:
         return Model(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0)
     y, later = np.array(labels), np.array(later)

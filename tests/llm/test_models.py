@@ -28,11 +28,52 @@ def test_chunks_change_no_score(monkeypatch):
     plain = []
     for t in texts:
         data = byte_cnn.padded(np.frombuffer(t.encode(), np.uint8))
-        best = [max(float(net.embedding[data[k:k + 12]].reshape(-1) @ net.filters[:, f]) for k in range(0, len(data) - 11, 2)) for f in range(byte_cnn.FILTERS)]
+        best = [max(float(net.embedding[data[k:k + 12]].reshape(-1) @ net.filters[:, f]) for k in range(0, len(data) - 11, byte_cnn.STRIDE)) for f in range(byte_cnn.FILTERS)]
         plain.append(1 / (1 + np.exp(-(np.maximum(np.array(best) + net.bias, 0) @ net.out + net.out_bias))))
     assert np.allclose(plain, whole, atol=1e-5)
 
 
+def test_gradients_equal_finite_differences(monkeypatch):
+    """Against a loss written out over all windows of whole texts, each longer than a chunk or shorter than a window."""
+    monkeypatch.setattr(byte_cnn, "CHUNK", 40)
+    r = np.random.default_rng(4)
+    net = byte_cnn.Net.fresh(3)
+    for k, v in vars(net).items():
+        setattr(net, k, np.asarray(v, np.float64) if k != "out_bias" else 0.1)
+    net.bias = r.normal(0, 0.3, byte_cnn.FILTERS)
+    texts = [r.integers(0, 256, n).astype(np.uint8) for n in (0, 5, 30, 41, 90, 300)]
+    labels, weight = np.array([0, 1, 1, 0, 1, 0.0]), np.array([1, 2, 1, 3, 1, 1.5])
+
+    def loss():
+        total = byte_cnn.DECAY / 2 * float(net.out @ net.out)
+        for t, y, w in zip(texts, labels, weight):
+            data = byte_cnn.padded(t)
+            tops = np.max([net.embedding[data[k:k + 12]].reshape(-1) @ net.filters for k in range(0, len(data) - 11, byte_cnn.STRIDE)], 0)
+            p = 1 / (1 + np.exp(-(np.maximum(tops + net.bias, 0) @ net.out + net.out_bias)))
+            total -= w * np.log(p if y else 1 - p) / len(texts)
+        return total
+
+    found = byte_cnn.gradients(net, texts, labels, weight)
+    for name in ("embedding", "filters", "bias", "out"):
+        values, got = getattr(net, name), found[name]
+        for at in [tuple(r.integers(0, n) for n in values.shape) for _ in range(25)]:
+            kept, values[at] = values[at], values[at] + 1e-6
+            more = loss()
+            values[at] = kept - 1e-6
+            slope, values[at] = (more - loss()) / 2e-6, kept
+            assert got[at] == pytest.approx(slope, abs=2e-5)
+
+
+def test_the_sample_keeps_whole_texts_within_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(byte_cnn, "PER_CLASS_BYTES", 1_000)
+    docs = spark.createDataFrame([(k, "ä" * (200 if k % 3 else 900)) for k in range(60)] + [(99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    rows = byte_cnn.sample(docs, labels, 50).collect()
+    for kind in (0, 1):
+        sizes = [len(r["text"].encode()) for r in rows if r["quality"] == kind]
+        assert sizes and set(sizes) <= {400, 1800} and (sum(sizes) <= 1_000 or len(sizes) == 1)
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     rows = byte_cnn.report(docs, labels).join(labels, "doc_id").collect()
@@ -85,6 +126,48 @@ def test_temperature_calibrates():
     assert language_id.temperature(z * 4, labels) == pytest.approx(4, rel=0.15)
 
 
+def test_training_equals_a_dense_plain_regression(monkeypatch):
+    monkeypatch.setattr(language_id, "BUCKETS", 7)
+    r = np.random.default_rng(5)
+    rows = []
+    for _ in range(30):
+        at = np.sort(r.choice(7, r.integers(1, 5), replace=False))
+        rows.append((at, r.normal(1, 0.5, len(at))))
+    labels = r.integers(0, 3, 30)
+    weight, bias = language_id.train(rows, labels, 3, epochs=2, alpha=0.4, beta=0.8, l1=0.5, l2=0.01, seed=6)
+    z, n = [[0.0] * 3 for _ in range(8)], [[0.0] * 3 for _ in range(8)]
+
+    def plain(i, k):
+        l1 = 0.5 if i < 7 else 0.0
+        if abs(z[i][k]) <= l1:
+            return 0.0
+        return -(z[i][k] - (l1 if z[i][k] > 0 else -l1)) / ((0.8 + n[i][k] ** 0.5) / 0.4 + 0.01)
+
+    order = np.random.default_rng(6)
+    for _ in range(2):
+        for row in order.permutation(30):
+            x = np.zeros(8)
+            x[rows[row][0]], x[7] = rows[row][1], 1
+            w = [[plain(i, k) for k in range(3)] for i in range(8)]
+            e = np.exp([sum(x[i] * w[i][k] for i in range(8)) for k in range(3)])
+            for i in range(8):
+                for k in range(3):
+                    g = x[i] * (e[k] / e.sum() - (labels[row] == k))
+                    z[i][k] += g - ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / 0.4 * w[i][k]
+                    n[i][k] += g * g
+    assert np.allclose(weight, [[plain(i, k) for k in range(3)] for i in range(7)]) and np.allclose(bias, [plain(7, k) for k in range(3)])
+    assert (weight == 0).any()  # the elastic net leaves some out
+
+
+def test_many_languages_and_repeated_ids(spark):
+    """More values of lang than any bound on them before; one id on many rows is one text of the sample."""
+    rows = [(k, f"text {k} of {chr(97 + k % 26) * 4}", f"l{k % 600}") for k in range(1_300)] + [(5_000, "the same row", "l0")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) > 500 and model.weight.shape[1] == len(model.languages)
+    assert model.predict("text 7 of hhhh")[0] in model.languages
+
+
 def test_language_odd_rows(docs, clashing, none):
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.report(docs).collect()}
     assert {(2, "und"), (3, "und"), (4, "und"), (10, "und")} <= got
