@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import pii, postings as P, responses as R, text as T
 from ..operators import counters, evaluation, pages as PG, similarity, suitability
+from ..operators.extractors import Registry
 from ..plans import scoring
 from . import literals as V
 from .base import NL, POSTING_CTE, TODAY, hit, postings, query, s, table, text, view
@@ -177,6 +179,21 @@ def x1(spark, d):
     return PG.extract_fields(table(spark, d, "pages"), EXTRA_RULES, provider).select("page_id", "company", "reference_id")
 
 
+def com_pages(batch: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"reference_id": batch["url"].str.extract(r"/([0-9]+)")[0], "company": "Example GmbH",
+                         "paragraphs": batch["html"].str.count("<p>")})
+
+
+@query("x1_registered_extractor", """SELECT page_id, CASE WHEN contains(url, '.example.com') THEN 'Example GmbH' END AS company,
+ CASE WHEN contains(url, '.example.com') THEN CAST(len(regexp_extract_all(html, '<p>')) AS VARCHAR) END AS paragraphs,
+ nullif(CASE WHEN contains(url, '.example.com') THEN regexp_extract(url, '/([0-9]+)', 1) ELSE regexp_extract(url, '([0-9]+)(?:\\.html)?/?(?:[?#].*)?$', 1) END, '') AS reference_id FROM pages""")
+def x1_registered(spark, d):
+    """A provider with an extractor of its own beside the default rules for all others."""
+    registry = Registry(["reference_id", "company", "paragraphs"]).register("com", com_pages)
+    return registry.extract(table(spark, d, "pages"), F.regexp_extract("url", r"\.example\.([a-z]+)", 1)) \
+        .select("page_id", "company", "paragraphs", "reference_id")
+
+
 @query("x2_text_to_tokens", f"""SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({fold_sql('lower(text)')}, {TOKEN_RE})) AS term FROM documents) WHERE length(term) >= 2 AND term NOT IN {STOP_SQL} GROUP BY doc_id, term""")
 def x2(spark, d):
     """One row to many: a document to its terms with their counts."""

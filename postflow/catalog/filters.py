@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import mail, terms
-from ..operators import corpus as C, lifecycle, matching, retention
+from ..operators import corpus as C, evaluation, lifecycle, matching, retention
 from ..sources import config
 from ..sources.config import Choice, Filters, RateBounds
 from . import literals as V
@@ -211,4 +211,4 @@ def f17(spark, d):
 def f18(spark, d):
     """Eligible: no score yet, and the fit score reaches the minimum."""
     from ..functions.markdown import PRE_SCORE
-    return bodies(spark, d).where(~F.col("body").rlike(PRE_SCORE) & (F.col("doc_id") * 31 % 101 >= 40)).select("doc_id")
+    return evaluation.eligible(bodies(spark, d), F.col("doc_id") * 31 % 101, 40, F.col("body").rlike(PRE_SCORE)).select("doc_id")

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ..functions import markdown as M, urls
-from ..operators import counters, evaluation, ledger, lifecycle, pages as PG, similarity
+from ..operators import admission, counters, evaluation, ledger, lifecycle, pages as PG, similarity
 from ..plans import routing
 from ..sources import feeds
 from .base import FEED_CTE, NOW, STATE_EVENT_CTE, cte, feed_entries, pick, query, s, state_events, table, view
@@ -80,6 +80,17 @@ def w10(spark, d):
         .select("event_id", F.col("running_usd").cast("double").alias("running_usd"), "admitted")
 
 
+@query("w10_greedy_admission", """WITH RECURSIVE n AS (SELECT event_id, CAST(ts AS DATE) AS day, CAST(value AS DECIMAL(18,6)) AS cost, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT event_id, day, rn, cost <= 500 AS admitted, CAST(CASE WHEN cost <= 500 THEN 500 - cost ELSE 500 END AS DECIMAL(18,6)) AS rest FROM n WHERE rn = 1
+ UNION ALL SELECT n.event_id, n.day, n.rn, n.cost <= w.rest, CAST(CASE WHEN n.cost <= w.rest THEN w.rest - n.cost ELSE w.rest END AS DECIMAL(18,6)) FROM w JOIN n ON n.day = w.day AND n.rn = w.rn + 1)
+SELECT event_id, admitted FROM w""")
+def w10_greedy(spark, d):
+    """Each day's calls against its own budget; later ones that still fit are admitted."""
+    log = table(spark, d, "events").select("event_id", "ts", "value", F.to_date("ts").alias("day"))
+    budgets = log.select("day").distinct().withColumn("budget", F.lit(500))
+    return admission.greedy(log, budgets, ["day"], ["ts", "event_id"], F.col("value")).select("event_id", "admitted")
+
+
 @query("w10_run_admission", """WITH c AS (SELECT event_id, CAST(value AS DECIMAL(18,6)) AS cost FROM events WHERE value <= 20), t AS (SELECT * FROM c ORDER BY event_id LIMIT 50),
  r AS (SELECT event_id, sum(cost) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS running FROM t)
 SELECT CASE WHEN e.value > 20 THEN 'cost per call' WHEN r.event_id IS NULL OR running > 100 THEN 'run, day or month limit' ELSE 'admitted' END AS outcome, count(*) AS n FROM events e LEFT JOIN r ON r.event_id = e.event_id GROUP BY 1""")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import pii, responses, text as X, urls
+from . import admission
 from .ordered import running_sum
 
 
@@ -109,6 +110,34 @@ def admit(requests: DataFrame, cost_log: DataFrame, today: dt.date, order: list[
     return requests.join(admitted, order, "left").withColumn("budget_reason", reason).drop("_admitted")
 
 
+def admit_greedy(requests: DataFrame, cost_log: DataFrame, today: dt.date, order: list[str],
+                 limits: Limits = Limits()) -> DataFrame:
+    """W10 for one run, as :func:`admit`, but a call that does not fit leaves room for later, cheaper ones.
+
+    Admission up to the last allowed call does not depend on the call limit, so the limit takes the first
+    admitted calls.  What is left of the budgets stays a column: nothing of the log comes to the driver.
+    """
+    daily, monthly = F.lit(str(limits.daily_budget)), F.lit(str(limits.monthly_budget))
+    left = spent(cost_log, today).select(F.lit(0).alias("_run"), F.least(
+        daily.cast(admission.MONEY) - F.col("daily_usd"), monthly.cast(admission.MONEY) - F.col("monthly_usd")).alias("budget"))
+    too_dear = F.col("est_cost") > limits.max_cost_per_call
+    calls = requests.where(~too_dear).select(F.lit(0).alias("_run"), *order, "est_cost")
+    won = admission.greedy(calls, left, ["_run"], order, F.col("est_cost")).where("admitted").select(*order, "admitted")
+    if limits.max_calls_per_run is not None:
+        won = won.orderBy(*order).limit(limits.max_calls_per_run)
+    reason = F.when(too_dear, "cost per call").when(F.col("admitted").isNull(), "run, day or month limit")
+    return requests.join(won, order, "left").withColumn("budget_reason", reason).drop("admitted")
+
+
+def eligible(postings: DataFrame, score: Column, minimum: int, already: Column | None = None) -> DataFrame:
+    """postings that reach the minimum score and, where ``already`` is given, have not been scored.
+
+    A missing score counts as 0, a missing ``already`` as not scored.
+    """
+    enough = F.coalesce(score, F.lit(0)) >= minimum
+    return postings.where(enough if already is None else enough & ~F.coalesce(already, F.lit(False)))
+
+
 def admit_log(entries: DataFrame, period: list[str], order: list[str], cost: Column,
               budget: float) -> DataFrame:
     """W10 over a whole log: running total per period and whether it is within budget.
