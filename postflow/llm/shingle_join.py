@@ -22,6 +22,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -35,7 +37,7 @@ SHINGLE = 5
 IN_BLOCK = 1_024
 #: Entries of one range of keys; sets on one key that a task compares on its own.
 RANGE, LONG = 250_000, 8_192
-#: Shingles that the comparison of whole sets looks at together.
+#: Shingles of whole sets, or pairs of candidates, that a task looks at together.
 AT_ONCE = 500_000
 #: One text of so many tells which shingles are common; so many hits make one; so many at most are told.
 SAMPLE, HITS, TOLD = 8, 3, 200_000
@@ -96,16 +98,32 @@ def prefix(found: np.ndarray, keys: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return found[:n - (4 * n + 4) // 5 + 1] if n else found
 
 
-def may_link(n: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets with a common shingle at ``place`` that sizes and places do not rule out."""
+def may_link(n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of sets with a common shingle at ``place`` that sizes and places do not rule out, in parts."""
     rest = n - place
-    left, right = [], []
-    for k in range(0, len(n), 256):
-        a, b = n[k:k + 256, None], n[None]
-        ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * np.minimum(rest[k:k + 256, None], rest[None]) >= 4 * (a + b))
-        i, j = np.nonzero(ok)
-        left.append(i[i + k < j] + k), right.append(j[i + k < j])
-    return np.concatenate(left), np.concatenate(right)
+    step = max(1, AT_ONCE // max(1, len(n)))
+    for k in range(0, len(n), step):
+        a, b = n[k:k + step, None], n[None, k:]
+        ok = (5 * np.minimum(a, b) >= 4 * np.maximum(a, b)) & (9 * np.minimum(rest[k:k + step, None], rest[None, k:]) >= 4 * (a + b))
+        i, j = np.nonzero(np.triu(ok, 1))
+        yield i + k, j + k
+
+
+def united(pairs: Iterable[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """The smallest of n nodes that each reaches over ``pairs``.  Some ``AT_ONCE`` pairs are held, then only the
+    forest they leave, so memory follows the nodes, however many pairs a range has."""
+    label, held, count = np.arange(n), [], 0
+    for i, j in pairs:
+        held.append((i, j))
+        count += len(i)
+        if count >= AT_ONCE:
+            label, held, count = _reached(label, held), [], 0
+    return _reached(label, held)
+
+
+def _reached(label: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    u, v = (np.concatenate([label[pair[side]] for pair in held] or [np.zeros(0, int)]) for side in (0, 1))
+    return forest(u, v, len(label))[label]
 
 
 def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +157,8 @@ def similar(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _edges(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
-    root = forest(i, j, len(nodes))
+def _edges(nodes: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    root = united(pairs, len(nodes))
     moved = root != np.arange(len(nodes))
     return pd.DataFrame({"u": nodes[moved], "v": nodes[root[moved]]})
 
@@ -203,12 +221,15 @@ def meeting(rows: DataFrame) -> DataFrame:
         first = starts[sizes == 2]
         a, c, rest = n[first], n[first + 1], np.minimum(n[first] - place[first], n[first + 1] - place[first + 1])
         first = first[(5 * np.minimum(a, c) >= 4 * np.maximum(a, c)) & (9 * rest >= 4 * (a + c))]
-        left, right = [first], [first + 1]
-        for start, size in zip(starts[(sizes > 2) & (sizes <= LONG)], sizes[(sizes > 2) & (sizes <= LONG)]):
-            i, j = may_link(n[start:start + size], place[start:start + size])
-            left.append(i + start), right.append(j + start)
         names, at = np.unique(node, return_inverse=True)
-        found = _edges(names, at[np.concatenate(left)], at[np.concatenate(right)])
+
+        def pairs():
+            yield at[first], at[first + 1]
+            for start, size in zip(starts[(sizes > 2) & (sizes <= LONG)], sizes[(sizes > 2) & (sizes <= LONG)]):
+                here = at[start:start + size]
+                for i, j in may_link(n[start:start + size], place[start:start + size]):
+                    yield here[i], here[j]
+        found = _edges(names, pairs())
         long = np.repeat(sizes > LONG, sizes)
         if not long.any():
             return found.assign(key=0, n=0, place=0)
@@ -235,7 +256,7 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
     def candidates(batches):
         for b in batches:
             if len(b):
-                yield pd.concat([_edges(np.asarray(nodes, np.int64), *may_link(np.asarray(n, np.int64), np.asarray(place, np.int64)))
+                yield pd.concat([_edges(np.asarray(nodes, np.int64), may_link(np.asarray(n, np.int64), np.asarray(place, np.int64)))
                                  for nodes, n, place in zip(b["node"], b["n"], b["place"])])
     together = (in_blocks(hot, ["key"], "node", IN_BLOCK).groupBy("key", "_i", "_j").agg(F.collect_list(F.struct("node", "n", "place")).alias("r"))
                 .where(F.size("r") > 1).select("r.node", "r.n", "r.place"))
@@ -248,7 +269,7 @@ def links(docs: DataFrame, prints: DataFrame) -> DataFrame:
             .join(pairs, "_sh_row").select("component", "_i", "_j", "node", "text"))
 
     def verify(b: pd.DataFrame) -> pd.DataFrame:
-        return _edges(b["node"].to_numpy(np.int64), *similar([shingles(t) for t in b["text"]]))
+        return _edges(b["node"].to_numpy(np.int64), [similar([shingles(t) for t in b["text"]])])
     return sets.groupBy("component", "_i", "_j").applyInPandas(verify, "u long, v long").distinct()
 
 

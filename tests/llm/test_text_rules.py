@@ -218,13 +218,14 @@ def test_one_of_each_group_stays(docs, clashing, none):
     assert simhash.keep_one(none).count() == 0 and simhash.report(none).count() == 0
 
 
-@pytest.mark.parametrize("block, long", [(1_024, 8_192), (4, 8_192), (1_024, 3)])
-def test_pipeline_near_copies_equal_brute_force(spark, none, monkeypatch, block, long):
+@pytest.mark.parametrize("block, long, at_once", [(1_024, 8_192, 500_000), (4, 8_192, 10), (1_024, 3, 10), (1_024, 8_192, 10)])
+def test_pipeline_near_copies_equal_brute_force(spark, none, monkeypatch, block, long, at_once):
     """Groups of SimHash links and of 5-word Jaccard >= 0.8, over all pairs."""
     import corpus_pipeline
 
     monkeypatch.setattr(shingle_join, "IN_BLOCK", block)
     monkeypatch.setattr(shingle_join, "LONG", long)
+    monkeypatch.setattr(shingle_join, "AT_ONCE", at_once)
     monkeypatch.setattr(shingle_join, "RANGE", 500)
     monkeypatch.setattr(shingle_join, "SAMPLE", 2)
     r = random.Random(3)
@@ -268,6 +269,24 @@ def test_similar_sets_equal_all_pairs(monkeypatch, at_once):
     assert len(shingle_join.similar([])[0]) == len(shingle_join.similar(sets[:1])[0]) == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 10**6])
+def test_pairs_folded_in_parts_give_the_same_forest(monkeypatch, at_once):
+    monkeypatch.setattr(shingle_join, "AT_ONCE", at_once)
+    r = np.random.default_rng(5)
+    n, place = r.integers(5, 40, 60), r.integers(0, 5, 60)
+    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j])
+            and 9 * min(n[i] - place[i], n[j] - place[j]) >= 4 * (n[i] + n[j])]
+    parts = list(shingle_join.may_link(n, place))
+    assert [(i, j) for a, b in parts for i, j in zip(a.tolist(), b.tolist())] == want and want
+    label = list(range(60))
+    for i, j in want:
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if x == old else x for x in label]
+    assert shingle_join.united(parts, 60).tolist() == label
+    assert shingle_join.united([], 3).tolist() == [0, 1, 2] and not len(shingle_join.united([], 0))
+    assert not list(shingle_join.may_link(n[:0], place[:0]))
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (40, 41), (41, 42), (42, 43), (43, 44), (44, 3), (7, 6)] + [(100 + k, 101 + k) for k in range(60)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
