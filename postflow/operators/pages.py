@@ -104,9 +104,11 @@ def label_values(stream: Column, labels: list[str] | None = None) -> Column:
 
 
 def _last_of_key(pairs: Column) -> Column:
-    last = F.filter(pairs, lambda p, i: ~F.exists(
-        F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    """The keys are few (labels), so one look from behind for each is linear in the page."""
+    def last(behind: Column) -> Column:
+        return let(F.transform(behind, lambda p: p["key"]), lambda keys: let(F.reverse(F.array_distinct(keys)), lambda each: F.map_from_arrays(
+            each, F.transform(each, lambda k: F.get(behind, (F.array_position(keys, k) - 1).cast("int"))["value"]))))
+    return let(F.reverse(pairs), last)
 
 
 def _label_pairs(stream: Column, names: list[str]) -> Column:
@@ -153,32 +155,49 @@ def keywords(html: Column, class_pattern: str = r"\b(?:keyword|tag|skill)\b", mi
     return F.array_distinct(F.concat(marked, F.filter(listed, lambda t: t != "")))
 
 
-def containers(markup: Column, tag: str = "div") -> Column:
+def running_sum(values: Column) -> Column:
+    """Running sums of an array of ints, in as many passes as its size has binary digits: each adds the sum
+    that ends twice as far before, so no pass carries a growing array from element to element."""
+    shifts = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(shifts, values, lambda acc, shift: F.transform(
+        acc, lambda x, i: x + F.coalesce(F.get(acc, i - shift), F.lit(0))))
+
+
+def containers(markup: Column, tag: str = "div", wanted=None) -> Column:
     """Array of struct(attrs, inner): every well-nested ``tag`` element in page order, however deep.
 
     The page is cut before each opening and closing tag.  On one level of nesting opening and closing
     tags alternate, so after sorting by (level, place) each opening tag stands before its closing one.
+    Tags without a partner are no elements, wherever they stand.  ``wanted`` (attrs -> condition) picks elements before their markup is put together, which alone
+    can grow faster than the page (by its depth).
     """
     pieces = F.split(markup, rf"(?i)(?=</?{tag}\b)")
     steps = F.transform(pieces, lambda p: F.when(p.rlike(rf"(?i)^<{tag}\b"), 1).when(p.rlike(rf"(?i)^</{tag}\b"), -1).otherwise(0))
-    none = F.expr("struct(0 as depth, cast(array() as array<struct<level:int,place:int,step:int>>) as tags, 0 as place)")
 
-    def walk(acc: Column, step: Column) -> Column:
-        depth = acc["depth"] + step
-        level = F.when(step < 0, depth + 1).otherwise(depth)
-        own = F.struct(level.alias("level"), acc["place"].alias("place"), step.alias("step"))
-        return F.struct(depth.alias("depth"), F.when(step != 0, F.concat(acc["tags"], F.array(own))).otherwise(acc["tags"]).alias("tags"),
-                        (acc["place"] + 1).alias("place"))
+    def placed(steps: Column) -> Column:
+        def own(depth: Column, i: Column) -> Column:
+            step = F.get(steps, i)
+            return F.struct(F.when(step < 0, depth + 1).otherwise(depth).alias("level"), i.alias("place"), step.alias("step"))
+        return F.array_sort(F.filter(F.transform(running_sum(steps), own), lambda t: t["step"] != 0))
 
     def pairs(tags: Column) -> Column:
         return F.filter(F.transform(tags, lambda t, i: F.struct(
             t["place"].alias("start"), F.get(tags, i + 1)["place"].alias("stop"),
-            ((t["step"] == 1) & (F.get(tags, i + 1)["step"] == -1)).alias("whole"))), lambda p: F.coalesce(p["whole"], F.lit(False)))
+            ((t["step"] == 1) & (F.get(tags, i + 1)["step"] == -1) & (F.get(tags, i + 1)["level"] == t["level"])).alias("whole"))), lambda p: F.coalesce(p["whole"], F.lit(False)))
+
+    def elements(ps: Column, found: Column) -> Column:
+        def whole(p: Column) -> Column:
+            return F.array_join(F.slice(ps, p["start"] + 1, p["stop"] - p["start"]), "")
+
+        def attrs(p: Column) -> Column:
+            head = F.get(ps, p["start"])  # a whole tag, unless an attribute holds another
+            return F.regexp_extract(F.when(head.contains(">"), head).otherwise(whole(p)), r"^<[^\s>]*([^>]*)>", 1)
+        named = F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), attrs(p).alias("attrs")))
+        named = named if wanted is None else F.filter(named, lambda p: wanted(p["attrs"]))
+        return F.transform(named, lambda p: F.struct(
+            p["attrs"].alias("attrs"), F.regexp_replace(whole(p), r"^<[^>]*>", "").alias("inner")))
 
-    return let(pieces, lambda ps: let(F.array_sort(F.aggregate(steps, none, walk)["tags"]), lambda tags: F.transform(
-        F.array_sort(pairs(tags)), lambda p: let(F.array_join(F.slice(ps, p["start"] + 1, p["stop"] - p["start"]), ""), lambda whole: F.struct(
-            F.regexp_extract(whole, r"^<[^\s>]*([^>]*)>", 1).alias("attrs"),
-            F.regexp_replace(whole, r"^<[^>]*>", "").alias("inner"))))))
+    return let(pieces, lambda ps: let(let(steps, placed), lambda tags: elements(ps, F.array_sort(pairs(tags)))))
 
 
 def classes(attrs: Column) -> Column:
@@ -196,7 +215,7 @@ def longest_block(html: Column, low: int = 200, high: int = 10_000, cut: int = 2
 
     Whole ``div`` elements compete; those whose class names say that they frame the page are out.
     """
-    free = F.filter(containers(without_code(html)), lambda c: ~F.lower(classes(c["attrs"])).rlike("|".join(FRAME_CLASSES)))
+    free = containers(without_code(html), wanted=lambda attrs: ~F.lower(classes(attrs)).rlike("|".join(FRAME_CLASSES)))
     texts = F.filter(F.transform(free, lambda c: lines_of(c["inner"])), lambda t: (F.length(t) > low) & (F.length(t) < high))
     ranked = F.transform(texts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t")))
     return F.substring(F.array_max(ranked)["t"], 1, cut)
@@ -298,7 +317,7 @@ def site_keywords(html: Column, site: str) -> Column:
     boxes, single, least = SITE_KEYWORDS[site]
     found = F.expr(_NONE)
     for box in boxes:
-        inner = F.get(F.filter(containers(html), lambda c: classes(c["attrs"]).rlike(rf"(?:^|\s){box}(?:\s|$)")), F.lit(0))["inner"]
+        inner = F.get(containers(html, wanted=lambda attrs, box=box: classes(attrs).rlike(rf"(?:^|\s){box}(?:\s|$)")), F.lit(0))["inner"]
         texts = F.regexp_extract_all(F.coalesce(inner, F.lit("")), F.lit(r"(?is)<(span|a|li|div)\b[^>]*>([^<]*)"), F.lit(2))
         found = F.concat(found, F.filter(F.transform(texts, inner_text), lambda t: ~t.rlike(r"^\d+$")))
     if single:
@@ -332,7 +351,7 @@ def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text
     elif rule.kind == "heading":
         value = F.get(F.filter(element_texts(markup, "h2"), lambda t: (F.length(t) > 10) & ~t.rlike(GENERIC_HEADING)), F.lit(0))
     elif rule.kind == "box":
-        boxes = F.filter(containers(markup), lambda c: classes(c["attrs"]).rlike(rf"(?:^|\s){rule.pattern}(?:\s|$)"))
+        boxes = containers(markup, wanted=lambda attrs: classes(attrs).rlike(rf"(?:^|\s){rule.pattern}(?:\s|$)"))
         value = F.get(F.filter(F.transform(boxes, lambda c: lines_of(c["inner"])), lambda t: F.length(t) > rule.group), F.lit(0))
     elif rule.kind == "slug":
         last = F.element_at(F.split(F.regexp_replace(url, r"[?#].*\z", ""), "/"), -1)
