@@ -163,13 +163,12 @@ def running_sum(values: Column) -> Column:
         acc, lambda x, i: x + F.coalesce(F.get(acc, i - shift), F.lit(0))))
 
 
-def containers(markup: Column, tag: str = "div", wanted=None) -> Column:
-    """Array of struct(attrs, inner): every well-nested ``tag`` element in page order, however deep.
+def container_index(markup: Column, tag: str = "div") -> Column:
+    """struct(pieces, found): the page cut before each opening and closing ``tag``, and for every well-nested
+    element, in page order and however deep, struct(start, stop, attrs) by pieces.
 
-    The page is cut before each opening and closing tag.  On one level of nesting opening and closing
-    tags alternate, so after sorting by (level, place) each opening tag stands before its closing one.
-    Tags without a partner are no elements, wherever they stand.  ``wanted`` (attrs -> condition) picks elements before their markup is put together, which alone
-    can grow faster than the page (by its depth).
+    On one level of nesting opening and closing tags alternate, so after sorting by (level, place) each
+    opening tag stands before its closing one.  Tags without a partner are no elements, wherever they stand.
     """
     pieces = F.split(markup, rf"(?i)(?=</?{tag}\b)")
     steps = F.transform(pieces, lambda p: F.when(p.rlike(rf"(?i)^<{tag}\b"), 1).when(p.rlike(rf"(?i)^</{tag}\b"), -1).otherwise(0))
@@ -185,19 +184,30 @@ def containers(markup: Column, tag: str = "div", wanted=None) -> Column:
             t["place"].alias("start"), F.get(tags, i + 1)["place"].alias("stop"),
             ((t["step"] == 1) & (F.get(tags, i + 1)["step"] == -1) & (F.get(tags, i + 1)["level"] == t["level"])).alias("whole"))), lambda p: F.coalesce(p["whole"], F.lit(False)))
 
-    def elements(ps: Column, found: Column) -> Column:
-        def whole(p: Column) -> Column:
-            return F.array_join(F.slice(ps, p["start"] + 1, p["stop"] - p["start"]), "")
-
+    def named(ps: Column, found: Column) -> Column:
         def attrs(p: Column) -> Column:
             head = F.get(ps, p["start"])  # a whole tag, unless an attribute holds another
-            return F.regexp_extract(F.when(head.contains(">"), head).otherwise(whole(p)), r"^<[^\s>]*([^>]*)>", 1)
-        named = F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), attrs(p).alias("attrs")))
-        named = named if wanted is None else F.filter(named, lambda p: wanted(p["attrs"]))
-        return F.transform(named, lambda p: F.struct(
-            p["attrs"].alias("attrs"), F.regexp_replace(whole(p), r"^<[^>]*>", "").alias("inner")))
+            return F.regexp_extract(F.when(head.contains(">"), head).otherwise(_whole(ps, p)), r"^<[^\s>]*([^>]*)>", 1)
+        return F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), attrs(p).alias("attrs")))
+
+    return let(pieces, lambda ps: F.struct(ps.alias("pieces"), let(let(steps, placed), lambda tags: named(ps, F.array_sort(pairs(tags)))).alias("found")))
+
+
+def _whole(pieces: Column, p: Column) -> Column:
+    return F.array_join(F.slice(pieces, p["start"] + 1, p["stop"] - p["start"]), "")
 
-    return let(pieces, lambda ps: let(let(steps, placed), lambda tags: elements(ps, F.array_sort(pairs(tags)))))
+
+def indexed(index: Column, wanted=None) -> Column:
+    """Array of struct(attrs, inner) of an index's elements.  ``wanted`` (attrs -> condition) picks elements before
+    their markup is put together, which alone can grow faster than the page (by its depth)."""
+    found = index["found"] if wanted is None else F.filter(index["found"], lambda p: wanted(p["attrs"]))
+    return F.transform(found, lambda p: F.struct(
+        p["attrs"].alias("attrs"), F.regexp_replace(_whole(index["pieces"], p), r"^<[^>]*>", "").alias("inner")))
+
+
+def containers(markup: Column, tag: str = "div", wanted=None) -> Column:
+    """Array of struct(attrs, inner): the (wanted) elements of :func:`container_index`."""
+    return let(container_index(markup, tag), lambda index: indexed(index, wanted))
 
 
 def classes(attrs: Column) -> Column:
@@ -312,12 +322,15 @@ def site_of(url: Column) -> Column:
     return reduce(lambda acc, s: F.when(host.rlike(rf"(?:^|\.){s}\."), F.lit(s)).otherwise(acc), SITE_KEYWORDS, host)
 
 
-def site_keywords(html: Column, site: str) -> Column:
-    """P39 by the rules of a site; freelance also reads the meta keywords."""
+def site_keywords(html: Column, site: str, index: Column | None = None) -> Column:
+    """P39 by the rules of a site; freelance also reads the meta keywords.  ``index`` is the page's, if there is one."""
     boxes, single, least = SITE_KEYWORDS[site]
     found = F.expr(_NONE)
     for box in boxes:
-        inner = F.get(containers(html, wanted=lambda attrs, box=box: classes(attrs).rlike(rf"(?:^|\s){box}(?:\s|$)")), F.lit(0))["inner"]
+        def wanted(attrs: Column, box: str = box) -> Column:
+            return classes(attrs).rlike(rf"(?:^|\s){box}(?:\s|$)")
+        hits = containers(html, wanted=wanted) if index is None else indexed(index, wanted)
+        inner = F.get(hits, F.lit(0))["inner"]
         texts = F.regexp_extract_all(F.coalesce(inner, F.lit("")), F.lit(r"(?is)<(span|a|li|div)\b[^>]*>([^<]*)"), F.lit(2))
         found = F.concat(found, F.filter(F.transform(texts, inner_text), lambda t: ~t.rlike(r"^\d+$")))
     if single:
@@ -331,8 +344,8 @@ def site_keywords(html: Column, site: str) -> Column:
     return found
 
 
-def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text: Column) -> Column:
-    """``markup`` is the page without scripts and comments, ``text`` its visible text."""
+def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text: Column, boxes: Column) -> Column:
+    """``markup`` is the page without scripts and comments, ``text`` its visible text, ``boxes`` the index of its containers."""
     if rule.kind == "meta":
         attribute, name = rule.pattern.split("=", 1)
         value = meta(markup, attribute, name)
@@ -351,8 +364,8 @@ def candidate(rule: ExtractRule, url: Column, html: Column, markup: Column, text
     elif rule.kind == "heading":
         value = F.get(F.filter(element_texts(markup, "h2"), lambda t: (F.length(t) > 10) & ~t.rlike(GENERIC_HEADING)), F.lit(0))
     elif rule.kind == "box":
-        boxes = containers(markup, wanted=lambda attrs: classes(attrs).rlike(rf"(?:^|\s){rule.pattern}(?:\s|$)"))
-        value = F.get(F.filter(F.transform(boxes, lambda c: lines_of(c["inner"])), lambda t: F.length(t) > rule.group), F.lit(0))
+        hits = indexed(boxes, lambda attrs: classes(attrs).rlike(rf"(?:^|\s){rule.pattern}(?:\s|$)"))
+        value = F.get(F.filter(F.transform(hits, lambda c: lines_of(c["inner"])), lambda t: F.length(t) > rule.group), F.lit(0))
     elif rule.kind == "slug":
         last = F.element_at(F.split(F.regexp_replace(url, r"[?#].*\z", ""), "/"), -1)
         value = F.initcap(F.translate(F.regexp_replace(last, r"-[^-]*\z", ""), "-", " "))
@@ -391,18 +404,23 @@ def extract_fields(pages: DataFrame, rules: list[ExtractRule], provider: Column
         .withColumn("_visible", F.array_join(text_stream(F.col("_markup")), "\n")) \
         .withColumn("_provider", provider if provider is not None else urls.host(u))
     providers = sorted({r.provider for r in rules} - {DEFAULT_PROVIDER_RULES})
+    # One index of a page's containers serves all rules; pages whose rules need none are not indexed.
+    boxed = sorted({r.provider for r in rules if r.kind == "box"})
+    needs = F.lit(True) if DEFAULT_PROVIDER_RULES in boxed else F.col("_provider").isin(boxed)
+    if boxed:
+        df = df.withColumn("_boxes", F.when(needs, container_index(F.col("_markup"))))
 
     def first(provider_id: str, field: str) -> Column:
         ordered = sorted((r for r in rules if r.provider == provider_id and r.field == field),
                          key=lambda r: r.priority)
-        found = [candidate(r, u, h, F.col("_markup"), F.col("_visible")) for r in ordered]
+        found = [candidate(r, u, h, F.col("_markup"), F.col("_visible"), F.col("_boxes")) for r in ordered]
         return F.coalesce(*found) if found else F.lit(None).cast("string")
 
     for field in dict.fromkeys(r.field for r in rules):
         value = reduce(lambda acc, p: F.when(F.col("_provider") == p, first(p, field)).otherwise(acc),
                        providers, first(DEFAULT_PROVIDER_RULES, field))
         df = df.withColumn(field, value)
-    return df.drop("_markup", "_visible", "_provider")
+    return df.drop("_markup", "_visible", "_boxes", "_provider")
 
 
 def parse_pages(pages: DataFrame, rules: list[ExtractRule] | None = None,
@@ -414,9 +432,11 @@ def parse_pages(pages: DataFrame, rules: list[ExtractRule] | None = None,
     text = F.coalesce(F.col("description") if "description" in df.columns else F.lit(None).cast("string"),
                       section(html, description_heading), longest_block(html))
     site = site_of(F.col("url"))
-    words = reduce(lambda acc, s: F.when(site == s, site_keywords(html, s)).otherwise(acc), SITE_KEYWORDS, keywords(html))
+    boxed = [s for s, (boxes, _, _) in SITE_KEYWORDS.items() if boxes]
+    df = df.withColumn("_index", F.when(site.isin(boxed), container_index(html)))
+    words = reduce(lambda acc, s: F.when(site == s, site_keywords(html, s, F.col("_index"))).otherwise(acc), SITE_KEYWORDS, keywords(html))
     return df.withColumns({
         "description": text,
         "schlagworte": words,
         "details": F.map_filter(label_values(text_stream(html)), lambda _, v: v.isNotNull()),
-    }).drop("html")
+    }).drop("html", "_index")
