@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import postings as P, terms as T
 from ..functions.markdown import iso_timestamp
-from ..functions.text import blank_to_null, full_text, let, strip, tag_text
+from ..functions.text import blank_to_null, full_text, let, shown_float, strip, tag_text
 from ..model import CHECK
 from ..sources.config import Choice, Filters, SearchGroup
 
@@ -128,14 +128,14 @@ def _rate_result(hourly: Column, daily: Column, cfg) -> Column:
             return F.lit(None).cast("string")
         bad = value < bound if sign == "<" else value > bound
         word = "Minimum" if sign == "<" else "Maximum"
-        return F.when(bad, F.concat(F.lit(f"{label} "), value.cast("string"),
+        return F.when(bad, F.concat(F.lit(f"{label} "), shown_float(value),
                                     F.lit(f"€ {sign} {word} {bound}€")))
 
     failures = F.array_compact(F.array(
         fail(hourly, "Stundensatz", cfg.min_hourly, "<"), fail(hourly, "Stundensatz", cfg.max_hourly, ">"),
         fail(daily, "Tagessatz", cfg.min_daily, "<"), fail(daily, "Tagessatz", cfg.max_daily, ">")))
     unknown = hourly.isNull() & daily.isNull()
-    shown_h, shown_d = (F.coalesce(v.cast("string"), F.lit("None")) for v in (hourly, daily))
+    shown_h, shown_d = (F.coalesce(shown_float(v), F.lit("None")) for v in (hourly, daily))
     passed = F.when(unknown, not cfg.reject_if_unknown).otherwise(F.size(failures) == 0)
     reason = F.when(unknown, "Stunden-/Tagessatz nicht angegeben — " + (
         "abgelehnt" if cfg.reject_if_unknown else "akzeptiert (unbekannt → pass)")) \

@@ -188,3 +188,17 @@ def test_response_validation(spark):
     assert "no number" in check('{"evaluations": [' + item("a") + "," + item("b", '"x"') + "]}").error
     assert check("nothing").evaluations is None
     assert one(spark, "64", R.priority_label(V.cast("int"))) == "review"
+
+
+def test_shown_float_is_python_text(spark):
+    values = [95.5, 1e7, 12345678.95, 4297648922181334.0, 9999999999999998.0, 1e16, 4.297648922181334e+22, 0.5, 0.001, 0.00025, 1.5e-05, 2e-10, 0.0, -12345678.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(X.shown_float(F.col("v"))).collect()] == [repr(v) for v in values]
+    assert matching_reason(spark, 4297648922181334.0) == "Tagessatz 4297648922181334.0€ > Maximum 1300.0€"
+
+
+def matching_reason(spark, daily):
+    from postflow.operators import matching
+    from postflow.sources.config import RateBounds
+    df = spark.createDataFrame([("t", "d", daily)], "title string, description string, daily_rate double")
+    return df.select(matching.check_rate(df, RateBounds(80.0, 130.0, 600.0, 1300.0), F.col("title"))["reason"]).first()[0]
