@@ -114,9 +114,9 @@ LEDGER_FILE = {"value": "CASE WHEN page_id % 9 = 0 THEN '{\"entries\": ' ELSE '{
 @query("s8_ledger_scan", """SELECT url AS url_key, '2024-01-2' || (page_id % 10) || ' 00:00:00' AS last_seen, 'filtered' AS status, CAST(page_id % 4 AS INT) AS errors, unnest(['a', 'b']) AS group_id, unnest(['filtered', 'captured']) AS decision
  FROM pages WHERE page_id % 9 <> 0""")
 def s8(spark, d):
-    entries, decisions = ledger.from_json(view(spark, d, "pages", LEDGER_FILE))
-    return entries.select("url_key", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "status", "errors") \
-        .join(decisions.select("url_key", "group_id", "decision"), "url_key")
+    entries, decisions = ledger.from_json(view(spark, d, "pages", {"page_id": "page_id"} | LEDGER_FILE))
+    return entries.select("page_id", "url_key", F.date_format("last_seen", "yyyy-MM-dd HH:mm:ss").alias("last_seen"), "status", "errors") \
+        .join(decisions.select("page_id", "url_key", "group_id", "decision"), ["page_id", "url_key"]).drop("page_id")
 
 
 @query("s9_feed_scan", f"""WITH {FEED_CTE}, r AS (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY entry_ord) AS rn FROM f)

@@ -22,16 +22,20 @@ LEDGER_FILE = ("version int, entries map<string, struct<url:string,title:string,
 
 
 def from_json(files: DataFrame, raw: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Ledger files in map form to (entries, decisions); a corrupt file gives no rows."""
+    """Ledger files in map form to (entries, decisions); a corrupt file gives no rows.
+
+    The other columns of ``files`` are kept in both: several files may know the same URL.
+    """
+    keep = [c for c in files.columns if c != raw]
     parsed = F.from_json(raw, LEDGER_FILE)
-    rows = files.select(F.explode(parsed["entries"]).alias("url_key", "e"))
+    rows = files.select(*keep, F.explode(parsed["entries"]).alias("url_key", "e"))
     entries = rows.select(
-        "url_key", "e.url", "e.title", "e.summary", "e.provider", "e.feed",
+        *keep, "url_key", "e.url", "e.title", "e.summary", "e.provider", "e.feed",
         F.try_to_timestamp("e.first_seen").alias("first_seen"),
         F.try_to_timestamp("e.last_seen").alias("last_seen"),
         "e.status", "e.basis", "e.errors", "e.last_error")
-    decisions = rows.select("url_key", F.explode("e.groups").alias("group_id", "d")) \
-        .select("url_key", "group_id", "d.decision", "d.terms")
+    decisions = rows.select(*keep, "url_key", F.explode("e.groups").alias("group_id", "d")) \
+        .select(*keep, "url_key", "group_id", "d.decision", "d.terms")
     return entries, decisions
 
 

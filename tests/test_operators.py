@@ -457,3 +457,13 @@ def test_fold_of_a_hot_posting_equals_a_loop(spark, batch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == _plain_fold(events)
+
+
+def test_ledger_files_with_the_same_url(spark):
+    def content(seen, decision):
+        return '{"version": 1, "entries": {"u": {"last_seen": "%s", "status": "filtered", "groups": {"a": {"decision": "%s"}}}}}' % (seen, decision)
+    files = spark.createDataFrame([(1, content("2024-01-01T00:00:00", "filtered")), (2, content("2024-01-02T00:00:00", "captured")), (3, '{"entries": ')],
+                                  "file int, value string")
+    entries, decisions = ledger.from_json(files)
+    rows = entries.join(decisions, ["file", "url_key"]).select("file", F.dayofmonth("last_seen").alias("day"), "decision").collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, "filtered"), (2, 2, "captured")]
