@@ -121,10 +121,10 @@ def t1_stream(spark, d):
 
 @query("t2_seen_dedupe", f"SELECT DISTINCT {canon_sql('url')} AS url_key FROM pages WHERE {canon_sql('url')} NOT IN (SELECT {canon_sql('url')} FROM pages WHERE {PROCESSED})")
 def t2(spark, d):
-    """In-batch duplicates go, and so do URLs of earlier runs."""
-    state, _ = prior(spark, d)
+    """In-batch duplicates go, and so do URLs of earlier runs: a key stays processed whatever its URL's last sighting was."""
+    processed = view(spark, d, "pages", {"url": "url"}).where(PROCESSED).select(urls.project_id(F.col("url"), F.lit("")).alias("project_id")).distinct()
     keyed = entries(spark, d).select(urls.identity_url(F.col("link")).alias("url_key"), urls.project_id(F.col("link"), F.col("title")).alias("project_id"))
-    return keyed.dropDuplicates(["url_key"]).join(state.processed, "project_id", "left_anti").select("url_key")
+    return keyed.dropDuplicates(["url_key"]).join(processed, "project_id", "left_anti").select("url_key")
 
 
 @query("t2_dedupe_stream", f"SELECT DISTINCT {canon_sql('url')} AS url_key FROM pages")

@@ -59,3 +59,15 @@ def test_longest_block_reads_the_real_page(spark, tmp_path):
     got = {r["page_id"]: r["block"] for r in entry.queries()["o7_longest_block"](spark, str(tmp_path)).collect()}
     behind = "https://www.a.example/jobs/2\n" * 9 + "Schluss 2"
     assert got == {1: hashlib.sha256(own[:2500].encode()).hexdigest(), 2: hashlib.sha256(behind.encode()).hexdigest()}
+
+
+def test_same_url_on_two_pages(spark, tmp_path):
+    """A key stays processed when a later page shows its URL with a tag; two ledger files may know one URL."""
+    urls = ["http://a.example.net/en/5", "http://a.example.net/en/5?utm_source=feed", "http://b.example.com/en/6", "http://b.example.com/en/6"]
+    spark.createDataFrame([(i + 1, u, "<title>x</title>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("t2_seen_dedupe", "s8_ledger_scan"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        cursor = c.execute(entry.oracle_sql()[name])
+        assert rows(df.columns, df.collect()) == rows([d[0] for d in cursor.description], cursor.fetchall())
