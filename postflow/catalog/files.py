@@ -3,8 +3,12 @@ below the session's shared folder, one file for each row where the reader takes
 
 from __future__ import annotations
 
+import re
 import uuid
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..session import shared_dir
@@ -18,12 +22,32 @@ def folder(spark: SparkSession, kind: str) -> str:
 
 
 def one_file_each(df: DataFrame, key: str, value: str, path: str) -> str:
-    df.select(key, F.col(value).alias("value")).write.partitionBy(key).text(path)
+    """One text file ``<key>=<its value>.txt`` for each row (keys are ids), in one folder for each task.
+
+    The tasks write the files themselves: Spark's writer makes a folder, a checksum file and two renames for
+    each of them, and the readers then list as many folders as there are rows.
+    """
+    root = re.sub(r"^file:/+", "/", path)
+
+    def write(batches):
+        files, at = fs.FileSystem.from_uri(root)
+        at = f"{at}/slice={TaskContext.get().partitionId()}"
+        files.create_dir(at, recursive=True)
+        for batch in batches:
+            for k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                with files.open_output_stream(f"{at}/{key}={k}.txt") as out:
+                    out.write(f"{v or ''}\n".encode())
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    shared, folder_ = fs.FileSystem.from_uri(root)
+    shared.create_dir(folder_, recursive=True)  # without rows there is no task
+    named = df.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v")).repartition("k")
+    named.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return path
 
 
 def key_of(path: str, key: str):
-    return F.regexp_extract(path, rf"/{key}=([^/]*)/", 1)
+    return F.regexp_extract(path, rf"/{key}=([^/]*)[.]txt$", 1)
 
 
 @query("s1_document_files", """SELECT CAST(doc_id AS VARCHAR) AS path, doc_id % 11 < 9 AS has_header,

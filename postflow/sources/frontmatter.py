@@ -23,9 +23,9 @@ _EMPTY_STRINGS = "cast(array() as array<string>)"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    """One row per file, read as bytes: the text reader copies its settings for every file."""
+    return spark.read.format("binaryFile").load(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("content"))
 
 
 def has_header(content: Column) -> Column:

@@ -51,7 +51,7 @@ def key_sets(df: DataFrame, raw: str = "value") -> tuple[DataFrame, DataFrame]:
 
 
 def read_key_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return key_sets(spark.read.text(path, wholetext=True))
+    return key_sets(spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value")))
 
 
 def unseen(df: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:

@@ -40,3 +40,13 @@ def test_scan_takes_no_content(spark, tmp_path):
     (tmp_path / "b.log").write_text("1")
     rows = inventory.scan_files(spark, str(tmp_path), "*.md").collect()
     assert [(r.path.rsplit("/", 1)[1], r.length) for r in rows] == [("a_20240102_030405.md", 5)]
+
+
+def test_one_file_each_makes_few_folders(spark, tmp_path):
+    from postflow.catalog.files import key_of, one_file_each
+    df = spark.range(300).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE 'ä' || id || chr(10) END AS v")
+    at = one_file_each(df, "id", "v", f"file:{tmp_path}/many")
+    assert len(list((tmp_path / "many").iterdir())) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = spark.read.text(at, wholetext=True).select(key_of("_metadata.file_path", "id").cast("int").alias("id"), "value").collect()
+    assert {(r.id, r.value) for r in read} == {(i, ("" if i % 3 == 0 else f"ä{i}\n") + "\n") for i in range(300)} and len(read) == 300
+    assert spark.read.text(one_file_each(df.limit(0), "id", "v", f"{tmp_path}/none"), wholetext=True).count() == 0
