@@ -178,15 +178,20 @@ def t7(spark, d):
 LATE = "published > (SELECT max(published) FROM f WHERE page_id % 3 = 0) - INTERVAL 7 DAY"
 
 
+LANDING_ROWS = 20_000
+
+
 @query("t7_late_stream", f"WITH {FEED_CTE} SELECT page_id FROM f WHERE page_id % 3 < 2 OR published IS NULL OR {LATE}")
 def t7_stream(spark, d):
     """Three landings; Spark filters a batch by the watermark that the batch before has worked with, so
     rows of the third are late by the dates of the first.  Undated ones stay."""
     base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
     landed = feed_entries(spark, d)
+    # A batch is one landing, so each has the same number of files; with that many rows for one, none stays empty.
+    files = 1 + landed.count() // LANDING_ROWS
     for part in range(3):
-        landed.where(F.col("page_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/landing/part={part}")
-    entries = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/landing/*")
+        landed.where(F.col("page_id") % 3 == part).repartition(files).write.mode("append").parquet(f"{base}/landing/part={part}")
+    entries = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", files).parquet(f"{base}/landing/*")
     SI.drop_late(entries, ["page_id"]).writeStream.format("parquet").option("path", f"{base}/out") \
         .option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out").select("page_id")

@@ -71,3 +71,18 @@ def test_same_url_on_two_pages(spark, tmp_path):
         df = entry.queries()[name](spark, str(tmp_path))
         cursor = c.execute(entry.oracle_sql()[name])
         assert rows(df.columns, df.collect()) == rows([d[0] for d in cursor.description], cursor.fetchall())
+
+
+def test_late_stream_landings_of_several_files(spark, con, monkeypatch):
+    from pathlib import Path
+
+    from postflow.catalog import streams
+    from postflow.session import shared_dir
+    before = set(Path(shared_dir(spark)).glob("late-*"))
+    monkeypatch.setattr(streams, "LANDING_ROWS", 50, raising=False)
+    df = entry.queries()["t7_late_stream"](spark, "/root/testdata/sf0.001")
+    cursor = con.execute(entry.oracle_sql()["t7_late_stream"])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in cursor.description], cursor.fetchall())
+    made, = set(Path(shared_dir(spark)).glob("late-*")) - before
+    many = [len(list(part.glob("*.parquet"))) for part in (made / "landing").iterdir()]
+    assert len(many) == 3 and len(set(many)) == 1 and many[0] > 1
