@@ -131,7 +131,7 @@ def c4(spark, d):
     rows = view(spark, d, "documents", {**PII_VIEW, "project_id": s("doc_id"), "state": "'scraped'"})
     cache = spark.createDataFrame([], "cache_key string, line long, project_id string, cache_hit boolean, best_score int")
     log = spark.createDataFrame([], "timestamp string, cost_usd decimal(18,6)")
-    asked = scoring.requests_for(rows, cache, log, TODAY, DIGESTS, PROMPT, "0" * 16, "model-a", "v1", LIMITS)
+    asked = scoring.decisions(rows, cache, log, TODAY, DIGESTS, PROMPT, "0" * 16, "model-a", "v1", LIMITS)
     return asked.select("project_id", "est_input_tokens", "input_truncated", "action")
 
 

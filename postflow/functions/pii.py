@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -19,9 +20,9 @@ IBAN = (r"\b[A-Z]{2}\d{2}[\s]?[0-9A-Z]{4}[\s]?[0-9]{4}[\s]?[0-9]{4}"
 IBAN_LEFT = r"\b[A-Z]{2}\d{2}[\s]?[0-9A-Z]{4}[\s]?[0-9]{4}[\s]?[0-9]{4}"
 NAME = (r"\b(?:Herr|Frau|Hr\.|Fr\.|Mr\.|Mrs\.|Ms\.)\s+[A-ZÄÖÜ][a-zäöüß\-]+"
         r"(?:\s+[A-ZÄÖÜ][a-zäöüß\-]+)?")
-SIGNATURE = (r"^[\-_*]{2,}\s*$|^Mit\s+freundlichen?\s+Grü|^Mit\s+freundlichen?\s+Gru"
-             r"|^Freundliche\s+Grü|^Viele\s+Grü|^Beste\s+Grü|^Best\s+regards|^Kind\s+regards"
-             r"|^Yours\s+sincerely|^Thanks\s+and\s+regards")
+SIGNATURE = (r"^(?:[\-_*]{2,}\s*$|Mit\s+freundlichen?\s+Grü|Mit\s+freundlichen?\s+Gru"
+             r"|Freundliche\s+Grü|Viele\s+Grü|Beste\s+Grü|Best\s+regards|Kind\s+regards"
+             r"|Yours\s+sincerely|Thanks\s+and\s+regards)")
 THREAD = (r"^(?:[-]{4,}\s*(?:Forwarded|Weitergeleitet|Original)\s+[Mm]essage"
           r"|Von:\s+.+\nGesendet:|From:\s+.+\nSent:"
           r"|On\s+\d{1,2}\s+\w+\s+\d{4}.+wrote:|Am\s+\d{1,2}\.\s+\w+\s+\d{4}.+schrieb:)")
@@ -46,6 +47,10 @@ class Rules:
 
 DEFAULT = Rules()
 KINDS = ["thread", "signature"] + [kind for kind, _, _ in DEFAULT.steps]
+#: What every match of a default pattern holds; a cheap test for it spares most texts the pattern.
+DIGIT = r"(?U)\d"
+TITLES = ("Herr", "Frau", "Hr.", "Fr.", "Mr.", "Mrs.", "Ms.")
+NEEDS_DIGIT = {pattern for kind, pattern, _ in DEFAULT.steps if kind in ("iban", "phone")}
 
 
 def _cut_before(text: Column, pattern: str) -> Column:
@@ -53,21 +58,30 @@ def _cut_before(text: Column, pattern: str) -> Column:
     return rstrip(F.element_at(F.split(text, pattern, 2), 1))
 
 
-def _apply(text: Column, rules: Rules, steps: list[tuple[str, str, str | None]], counts: list[Column]) -> Column:
-    """One step after the other; each count and each text is bound once."""
+def _apply(text: Column, rules: Rules, steps: list[tuple[str, str, str | None]], counts: list[Column],
+           digit: Column | None = None) -> Column:
+    """One step after the other; each count and each text is bound once.  ``digit``: whether the text may hold
+    one; no step adds any."""
     if not steps:
         return let(strip(text), lambda done: F.struct(
             done.alias("scrubbed"), *[n.alias(f"n_{k}") for k, n in zip(KINDS, counts)],
-            is_safe(done).alias("safe")))
+            is_safe(done, digit).alias("safe")))
     (kind, pattern, placeholder), rest = steps[0], steps[1:]
     if placeholder is None:
         count, changed = text.rlike(pattern).cast("int"), _cut_before(text, pattern)
+    elif digit is None:
+        return let(text.rlike(DIGIT), lambda d: _apply(text, rules, steps, counts, d))
     else:
         count, changed = F.regexp_count(text, F.lit(pattern)), F.regexp_replace(text, pattern, placeholder)
     if kind == "email":  # the cheap test spares most texts the pattern
         count = F.when(text.contains("@"), count).otherwise(0)
+    elif pattern in NEEDS_DIGIT:
+        count = F.when(digit, count).when(text.isNotNull(), 0)
+    elif pattern == DEFAULT.steps[-1][1]:
+        titled = reduce(lambda a, b: a | b, [text.contains(t) for t in TITLES])
+        count = F.when(titled, count).when(text.isNotNull(), 0)
     return let(count, lambda n: let(F.when(n > 0, changed).otherwise(text), lambda after: _apply(
-        after, rules, rest, counts + [n])))
+        after, rules, rest, counts + [n], digit)))
 
 
 def scrub_struct(text: Column, rules: Rules = DEFAULT) -> Column:
@@ -93,12 +107,15 @@ def total_replacements(prefix: str = "n_") -> Column:
 
 
 def useful_text(scrubbed: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(scrubbed, PLACEHOLDER, ""), r"(?U)\s+", " "))
+    plain = F.when(scrubbed.contains("["), F.regexp_replace(scrubbed, PLACEHOLDER, "")).otherwise(scrubbed)
+    return strip(F.regexp_replace(plain, r"(?U) \s+|[^\S ]\s*", " "))  # single blanks stay as they are
 
 
-def is_safe(scrubbed: Column) -> Column:
-    """Enough text is left and none of it still looks like personal data."""
+def is_safe(scrubbed: Column, digit: Column | None = None) -> Column:
+    """Enough text is left and none of it still looks like personal data; a caller that knows may say
+    whether there is any ``digit``."""
+    digit = scrubbed.rlike(DIGIT) if digit is None else digit
     return let(useful_text(scrubbed), lambda clean: (
         (F.length(clean) >= MIN_USEFUL_CHARS)
-        & ~(clean.contains("@") & clean.rlike(f"(?U){EMAIL}")) & ~clean.rlike(f"(?U){PHONE}")
-        & ~clean.rlike(f"(?iU){IBAN_LEFT}")))
+        & ~(clean.contains("@") & clean.rlike(f"(?U){EMAIL}")) & ~(digit & clean.rlike(f"(?U){PHONE}"))
+        & ~(digit & clean.rlike(f"(?iU){IBAN_LEFT}"))))

@@ -9,18 +9,23 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.markdown import PRE_SCORE
 from ..operators import evaluation as E, similarity
 from ..operators.evaluation import Limits
+from ..session import cut_lineage
 
 
-def requests_for(postings: DataFrame, cache: DataFrame, cost_log: DataFrame, today: dt.date, digests: dict[str, str],
-                 template: str, profiles_hash: str, model: str, prompt_version: str,
-                 limits: Limits = Limits()) -> DataFrame:
-    """Pending postings to requests.  ``action`` is ``send``, ``cached`` or a stop reason.
+#: Large columns of a prepared request, which no decision reads.
+TEXTS = ["text", "scrubbed", "request_text", "prompt"]
 
-    Only postings in state ``scraped`` are taken; free checks run before the budget.
+
+def decisions(postings: DataFrame, cache: DataFrame, cost_log: DataFrame, today: dt.date, digests: dict[str, str],
+              template: str, profiles_hash: str, model: str, prompt_version: str, limits: Limits = Limits()) -> DataFrame:
+    """What becomes of each pending posting, with all facts of its request but the texts.
+
+    ``action`` is ``send``, ``cached`` or a stop reason.  Only postings in state ``scraped`` are taken; free checks
+    run before the budget.  The text rules run once: the facts are written, and the budget reads them several times.
     """
     pending = postings.where(F.col("state") == "scraped").select("project_id", "text")
-    prepared = E.prepare(pending, digests, template, profiles_hash, model, prompt_version, limits)
-    looked_up = E.cache_lookup(prepared, cache)
+    facts = cut_lineage(E.prepare(pending, digests, template, profiles_hash, model, prompt_version, limits).drop(*TEXTS))
+    looked_up = E.cache_lookup(facts, cache)
     open_ = looked_up.where(F.col("evaluation_status").isNull() & ~F.col("cache_hit"))
     admitted = E.admit(open_.select("project_id", "est_cost"), cost_log, today, ["project_id"], limits) \
         .select("project_id", "budget_reason", F.lit(True).alias("_asked"))
@@ -30,6 +35,16 @@ def requests_for(postings: DataFrame, cache: DataFrame, cost_log: DataFrame, tod
     return df.withColumn("action", action).drop("_asked")
 
 
+def requests_for(postings: DataFrame, cache: DataFrame, cost_log: DataFrame, today: dt.date, digests: dict[str, str],
+                 template: str, profiles_hash: str, model: str, prompt_version: str,
+                 limits: Limits = Limits()) -> DataFrame:
+    """The :func:`decisions` with the texts of their requests, which are made once more for that."""
+    rules = (digests, template, profiles_hash, model, prompt_version, limits)
+    pending = postings.where(F.col("state") == "scraped").select("project_id", "text")
+    texts = E.prepare(pending, *rules).select("project_id", *TEXTS)
+    return decisions(postings, cache, cost_log, today, *rules).join(texts, "project_id")
+
+
 def state_events(results: DataFrame, now: dt.datetime) -> DataFrame:
     """Only a successful evaluation changes the state."""
     return results.where("evaluation_status = 'ok'").select(
