@@ -258,6 +258,8 @@ def match_terms(df: DataFrame, groups: list[SearchGroup]) -> DataFrame:
 
 PREFIX = 4
 WORDS = r"[0-9a-zäöüß]+"
+#: Up to so many rules every text tests all of them in its row, which costs less than listing its word beginnings.
+RULES_IN_ROW = 500
 
 
 def _begin_keys(low: Column) -> Column:
@@ -269,27 +271,29 @@ def _begin_keys(low: Column) -> Column:
     return F.concat(begins, F.transform(others, lambda c: F.concat(F.lit("\1"), c)))
 
 
-def match_rule_table(df: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """J2 for rule tables: (posting, group, term) by an equi-join on word beginnings.
+def match_rule_table(df: DataFrame, rules: DataFrame, key: str, in_row: int = RULES_IN_ROW) -> DataFrame:
+    """J2 for rule tables: (posting, group, term); the result equals :func:`match_terms`.  ``key`` is unique.
 
-    A term starts at a word start, so the text must hold a word that begins like the
-    first word of the term; a term without such letters is keyed by its first sign.
-    The distinct keys of a text meet the rules without the text; only the candidates
-    (key, rule) then meet the text, its pattern and its context terms.  Every true match
-    is a candidate, so the result equals :func:`match_terms`.  ``key`` is unique.
+    Up to ``in_row`` rules (counted first) go as one broadcast row to the texts, which stay where they are.
+    More rules meet the texts by an equi-join on word beginnings: a term starts at a word start, so the text must
+    hold a word that begins like the first word of the term; a term without such letters is keyed by its first
+    sign.  The distinct keys of a text meet the rules without the text; only the candidates (key, rule) then
+    meet the text, all of one text at once.
     """
     df = df if "topic_low" in df.columns else with_texts(df)
-    low_term = T.search_form(F.trim(F.col("term")))
-    word = F.regexp_extract(low_term, WORDS, 0)
-    keyed = rules.withColumn("_begin", F.when(word != "", F.substring(word, 1, PREFIX))
-                             .otherwise(F.concat(F.lit("\1"), F.substring(low_term, 1, 1))))
-    pairs = df.select(key, F.explode(_begin_keys(F.col("topic_low"))).alias("_begin")).join(keyed, "_begin").drop("_begin")
-    candidates = pairs.join(df.select(key, "topic_low"), key)
-    low = F.col("topic_low")
-    in_context = F.exists("context_terms", lambda c: F.rlike(low, T.term_pattern(c)))
-    found = candidates.where(low.contains(F.col("needle")) & F.expr("topic_low rlike pattern")
-                             & ((F.size("context_terms") == 0) | in_context))
-    return found.select(key, "group_id", "term", "term_ord")
+    rule, low = F.struct("group_id", "term", "context_terms", "pattern", "needle", "term_ord"), F.col("topic_low")
+    if rules.limit(in_row + 1).count() <= in_row:
+        listed = df.select(key, "topic_low").crossJoin(F.broadcast(rules.agg(F.collect_list(rule).alias("_rules"))))
+    else:
+        low_term = T.search_form(F.trim(F.col("term")))
+        word = F.regexp_extract(low_term, WORDS, 0)
+        keyed = rules.select(rule.alias("_rule"), F.when(word != "", F.substring(word, 1, PREFIX))
+                             .otherwise(F.concat(F.lit("\1"), F.substring(low_term, 1, 1))).alias("_begin"))
+        pairs = df.select(key, F.explode(_begin_keys(low)).alias("_begin")).join(keyed, "_begin")
+        listed = pairs.groupBy(key).agg(F.collect_list("_rule").alias("_rules")).join(df.select(key, "topic_low"), key)
+    found = F.filter("_rules", lambda r: low.contains(r["needle"]) & F.rlike(low, r["pattern"]) & (
+        (F.size(r["context_terms"]) == 0) | F.exists(r["context_terms"], lambda c: F.rlike(low, T.term_pattern(c)))))
+    return listed.select(key, F.explode(found).alias("_r")).select(key, "_r.group_id", "_r.term", "_r.term_ord")
 
 
 def title_prefilter(title: Column, summary: Column, exclude: list, groups: list[SearchGroup],

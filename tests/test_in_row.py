@@ -37,3 +37,17 @@ def test_scrub_guards_lose_no_match(spark):
     got = {r.i: r for r in pii.scrub(spark.createDataFrame(list(texts.items()), "i int, text string")).collect()}
     assert [got[i].n_name for i in (0, 1, 2, 3, 4)] == [0, 1, 1, 2, 0]
     assert got[0].n_phone == 1 and got[4].n_iban == 1 and got[6].scrubbed is None
+
+
+def test_few_rules_go_to_the_texts(spark):
+    entries = ["anat", "thha*", "le la", "é", "+1", "a", {"term": "der", "with": ["wh*", "para"]}]
+    rows = [("g", "include", t.term, [c.term for c in t.context], t.pattern, t.needle, i) for i, t in enumerate(terms.compile_terms(entries))]
+    rules = spark.createDataFrame(rows, config.TERM_RULE)
+    r = random.Random(2)
+    parts = ["anat", "Thhaha", "le-la", "é", "+1", "a", "der", "what", "para", "xanat", "\n", "ab"]
+    docs = spark.createDataFrame([(k, " ".join(r.choice(parts) for _ in range(r.randint(0, 6))), "", None) for k in range(200)],
+                                 "doc_id long, description string, title string, schlagworte string")
+    few = matching.match_rule_table(docs, rules, "doc_id")
+    assert "Exchange hashpartitioning" not in plan(few)[1]
+    assert sorted_rows(few) == sorted_rows(matching.match_rule_table(docs, rules, "doc_id", in_row=0)) and few.count() > 200
+    assert matching.match_rule_table(docs, rules.where("1 = 0"), "doc_id").count() == 0
