@@ -25,6 +25,7 @@ from re import _constants as op, _parser as parser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .tables import with_long_ids, with_text_ids
@@ -185,6 +186,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+#: Texts of an index segment in ``redact``.
+SEGMENT = 512
+
+
 @lru_cache(maxsize=4)
 def _plan(rules: tuple[Rule, ...]):
     """Compiled expressions, queries over gram numbers, and the table from gram code to gram number."""
@@ -265,12 +270,15 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             end = max(end, stop)
         return "".join(out) + text[end:]
 
-    @F.pandas_udf("string")
-    def clean(series: pd.Series) -> pd.Series:
-        texts = series.fillna("").tolist()
-        found = spans_of(texts, rules)
-        return pd.Series([None if missing else cleaned(t, f) if f else t
-                          for t, f, missing in zip(texts, found, series.isna())], dtype=object)
+    @F.arrow_udf("string")
+    def clean(column: pa.Array) -> pa.Array:
+        # The texts of a segment become Python strings, not those of the whole batch.
+        parts = [pa.array([], column.type)]
+        for at in range(0, len(column), SEGMENT):
+            texts = column.slice(at, SEGMENT).to_pylist()
+            found = spans_of([t or "" for t in texts], rules)
+            parts.append(pa.array([cleaned(t, f) if f else t for t, f in zip(texts, found)], column.type))
+        return pa.concat_arrays(parts)
     new = docs.withColumn("_secret_text", clean(F.col("text")))
     changed = ~F.col("_secret_text").eqNullSafe(F.col("text"))
     columns = {"text": F.col("_secret_text")}
