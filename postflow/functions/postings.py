@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -33,21 +34,26 @@ NEGATION_WINDOW = 30
 # --- Fixed values: patterns --------------------------------------------------
 NEGATION = (r"\b(kein(?:e|en|em|er|es)?|nicht|no\s|without|ohne|ausgeschlossen|"
             r"nicht\s+vorgesehen|nicht\s+möglich)\s+")
+# A language is named by a word start or by its code as a word.
 LANGUAGES = {
-    "de": r"\b(deutsch|german|de\b|auf deutsch|deutschkenntnisse|deutschsprachig|"
-          r"german\s+language|sprache:\s*deutsch)",
-    "en": r"\b(english|englisch|en\b|englischkenntnisse|englischsprachig|"
-          r"english\s+language|sprache:\s*englisch)",
-    "nl": r"\b(dutch|niederländisch|nl\b|vlaams|dutch\s+language|sprache:\s*niederländisch)",
+    "de": (["deutsch", "german"], "de"),
+    "en": (["english", "englisch"], "en"),
+    "nl": (["dutch", "niederländisch", "vlaams"], "nl"),
 }
+HOURLY_LABELS, DAILY_LABELS = ["stundensatz", "hourly rate", "stundenlohn"], ["tagessatz", "rate"]
 HOURLY_LABELLED = r"(?:stundensatz|hourly rate|stundenlohn)\D{0,10}(\d+(?:[.,]\d+)?)"
-HOURLY_UNIT = r"(\d+(?:[.,]\d+)?)\s*(?:€|EUR|eur)?\s*/?\s*(?:std\.?|stunde|h\b|hour)"
+_AMOUNT = r"(\d+(?:[.,]\d+)?)\s*(?:€|EUR|eur)?\s*/?\s*"
+_HOUR, _DAY = r"(?:std\.?|stunde|h\b|hour)", r"(?:tag|day|pt\b|pd\b|pro tag|per day)"
+HOURLY_UNIT = _AMOUNT + _HOUR
 DAILY_LABELLED = r"(?:tagessatz|daily rate|rate)\D{0,10}(\d+(?:[.,]\d+)?)"
-DAILY_UNIT = (r"(\d+(?:[.,]\d+)?)\s*(?:€|EUR|eur)?\s*/?\s*"
-              r"(?:tag|day|pt\b|pd\b|pro tag|per day)")
+DAILY_UNIT = _AMOUNT + _DAY
+UNITS = f"{_AMOUNT}(?:{_HOUR}|{_DAY})"
 
+# Headings start a line or follow two asterisks; the text is read behind a line end.
+MUST_WORDS = ["must", "muss", "zwingend erforderlich", "voraussetzungen", "anforderungen", "profil", "talente",
+              "requirements", "qualifikation"]
 MUST_START = (
-    r"(?:^|\n|\*\*)[ \t]*(?:ihr |dein |deine )?"
+    r"[\n*](?:(?<=\n)|(?<=\*)\*)[ \t]*(?:ihr |dein |deine )?"
     r"(must[ \t-]*haves?|muss[ \t-]*(?:kriterien|anforderungen)|zwingend erforderlich|"
     r"voraussetzungen|anforderungen|profil|talente|requirements|qualifikation(?:en)?)"
     r"[ \t]*(?::|\*\*|\n|$)"
@@ -61,10 +67,13 @@ _PER_WEEK = r"(?:pro|/|je|die|per)\s*Woche"
 HOURS_RANGE = rf"(\d{{1,2}})\s*(?:-|–|bis)\s*(\d{{1,2}})\s*{_HOURS}\s*{_PER_WEEK}"
 HOURS = rf"(\d{{1,2}})\s*{_HOURS}\s*{_PER_WEEK}"
 DAYS = rf"(\d)(?:\s*(?:-|–|bis)\s*(\d))?\s*Tage\s*{_PER_WEEK}"
-PERCENT = r"Auslastung\W{0,8}(\d{2,3})\s*%"
-FULL_TIME = r"\b(Vollzeit|full[ -]?time)\b"
-PART_TIME = r"\b(Teilzeit|part[ -]?time)\b"
-REMOTE_SHARE = r"(\d{1,3})\s*%\s*Remote"
+#: Every hit of the three forms lies in one hit of this.
+WEEKLY = rf"\d{{1,2}}\s*+(?:(?:-|–|bis)\s*+\d{{1,2}}\s*+)?(?:{_HOURS}|Tage)\s*{_PER_WEEK}"
+# These run on the search form.
+PERCENT = r"auslastung\W{0,8}(\d{2,3})\s*%"
+FULL_TIME = r"\b(vollzeit|full[ -]?time)\b"
+PART_TIME = r"\b(teilzeit|part[ -]?time)\b"
+REMOTE_SHARE = r"(\d{1,3})\s*%\s*remote"
 
 MONTHS = {
     "januar": 1, "january": 1, "februar": 2, "february": 2, "märz": 3, "maerz": 3,
@@ -72,8 +81,10 @@ MONTHS = {
     "july": 7, "august": 8, "september": 9, "oktober": 10, "october": 10,
     "november": 11, "dezember": 12, "december": 12,
 }
-START_LABEL = (r"(Projektzeitraum|Zeitraum|Laufzeit|Projektstart|Einsatzbeginn|Starttermin|"
-               r"Start|Beginn)\**\s*:?\**\s*([^\n]{0,80})")
+# Projektzeitraum, Zeitraum, Laufzeit, Projektstart, Einsatzbeginn, Starttermin, Start, Beginn, told apart by their first letter.
+START_LABEL = (r"([zlpesb](?:(?<=z)eitraum|(?<=l)aufzeit|(?<=p)rojekt(?:zeitraum|start)|(?<=e)insatzbeginn|"
+               r"(?<=s)tart(?:termin)?|(?<=b)eginn))\**\s*:?\**\s*([^\n]{0,80})")
+START_STEMS, START_PREFIX = ["zeit", "start", "beginn"], len("projekt")
 DAY_DATE = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
 MONTH_DATE = r"(?:(Anfang|Mitte|Ende)\s+)?(" + "|".join(MONTHS) + r")(?:\s+(\d{4}))?"
 IMMEDIATE = r"\b(asap|ab sofort|sofort|schnellstmöglich|kurzfristig)\b"
@@ -101,27 +112,52 @@ def _on_low(text: Column, low: Column | None, body) -> Column:
     return body(low) if low is not None else let(search_form(text), body)
 
 
-def _rate(text: Column, low: Column | None, *patterns: str) -> Column:
-    """First number of the first pattern that hits (every hit of these parses)."""
-    return _on_low(text, low, lambda t: F.coalesce(*[
-        german_number(blank_to_null(F.regexp_extract(t, f"(?U){p}", 1))) for p in patterns]))
+def _contains(text: Column, needles: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
+
+
+def _from_first(text: Column, needles: list[str], before: int = 0) -> Column:
+    """The text from ``before`` characters ahead of its first needle on, null without a needle."""
+    first = F.least(*[F.when(text.contains(n), F.instr(text, n)) for n in needles], F.lit(None).cast("int"))
+    return F.when(_contains(text, needles), F.substr(text, F.greatest(F.lit(1), first - before)))
+
+
+def _amount(low: Column, pattern: str) -> Column:
+    return german_number(blank_to_null(F.regexp_extract(low, f"(?U){pattern}", 1)))
+
+
+def _labelled(low: Column, labels: list[str], pattern: str) -> Column:
+    return _amount(_from_first(low, labels), pattern)
 
 
 def hourly_rate(text: Column, low: Column | None = None) -> Column:
-    """P10."""
-    return _rate(text, low, HOURLY_LABELLED, HOURLY_UNIT)
+    """P10: first number of the first pattern that hits (every hit of these parses)."""
+    return _on_low(text, low, lambda t: F.coalesce(_labelled(t, HOURLY_LABELS, HOURLY_LABELLED), _amount(t, HOURLY_UNIT)))
 
 
 def daily_rate(text: Column, low: Column | None = None) -> Column:
     """P10."""
-    return _rate(text, low, DAILY_LABELLED, DAILY_UNIT)
+    return _on_low(text, low, lambda t: F.coalesce(_labelled(t, DAILY_LABELS, DAILY_LABELLED), _amount(t, DAILY_UNIT)))
+
+
+def rates(text: Column, low: Column | None = None) -> Column:
+    """P10: struct(hourly, daily), with one search for the amounts of both units."""
+    def both(t: Column) -> Column:
+        found = F.array_join(F.regexp_extract_all(t, F.lit(f"(?U){UNITS}"), F.lit(0)), "\n")
+        return let(found, lambda units: F.struct(
+            F.coalesce(_labelled(t, HOURLY_LABELS, HOURLY_LABELLED), _amount(units, HOURLY_UNIT)).alias("hourly"),
+            F.coalesce(_labelled(t, DAILY_LABELS, DAILY_LABELLED), _amount(units, DAILY_UNIT)).alias("daily")))
+
+    return _on_low(text, low, both)
 
 
 def work_mode(text: Column, low: Column | None = None) -> Column:
     """Exact synonym, else the first synonym (in order) the text contains."""
+    listed = list(WORK_MODES)  # one that holds an earlier one is never the first
+    first = {s: m for i, (s, m) in enumerate(WORK_MODES.items()) if not any(e in s for e in listed[:i])}
     return _on_low(text, low, lambda t: F.coalesce(
         _literal_map(WORK_MODES)[t],
-        *[F.when(t.contains(s), F.lit(m)) for s, m in WORK_MODES.items()]))
+        *[F.when(t.contains(s), F.lit(m)) for s, m in first.items()]))
 
 
 def contract_type(text: Column, low: Column | None = None) -> Column:
@@ -136,43 +172,53 @@ def contract_type(text: Column, low: Column | None = None) -> Column:
         return F.when(text_.contains(synonym) & ~window(text_, synonym).rlike(f"(?U){NEGATION}"),
                       F.lit(canonical))
 
+    def short(t: Column) -> Column:
+        """A long text is a synonym in blanks only if it starts or ends with many; stripping it is slow."""
+        return (F.length(t) <= 200) | (strip(F.substring(t, 1, 50)) == "") | (strip(F.right(t, F.lit(50))) == "")
+
     return _on_low(text, low, lambda t: F.coalesce(
-        _literal_map(CONTRACT_TYPES)[strip(t)],
+        F.when(short(t), _literal_map(CONTRACT_TYPES)[strip(t)]),
         *[inside(t, s, m) for s, m in CONTRACT_TYPES.items()]))
 
 
 def languages(text: Column, low: Column | None = None) -> Column:
     """P14."""
+    def named(t: Column, stems: list[str], code: str) -> Column:
+        hits = [t.contains(s) & t.rlike(rf"(?U){s}(?<=\b{s})") for s in stems]
+        hits.append(t.contains(code) & (t.contains(f" {code} ") | t.rlike(rf"(?U){code}\b(?<=\b{code})")))
+        return reduce(lambda a, b: a | b, hits)
+
     return _on_low(text, low, lambda t: F.array_compact(F.array(*[
-        F.when(t.rlike(f"(?U){p}"), F.lit(code)) for code, p in LANGUAGES.items()])))
+        F.when(named(t, *names), F.lit(code)) for code, names in LANGUAGES.items()])))
 
 
-def must_sections(text: Column) -> Column:
+def must_sections(text: Column, low: Column | None = None) -> Column:
     """Up to 2,500 characters after each requirement heading, cut at an end marker.
 
     The look-ahead captures the text after a heading without consuming it, so windows
-    may overlap, and no row leaves the JVM.
+    may overlap, and no row leaves the JVM.  ``low`` may be a search form that holds that of the text.
     """
     start = f"(?iUd){MUST_START}(?=((?s:.{{0,{MUST_CHARS}}})))"
-    windows = F.regexp_extract_all(text, F.lit(start), F.lit(2))
+    windows = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(start), F.lit(2))
     end = f"(?iUd){MUST_END}"
-    return F.array_join(
+    sections = F.array_join(
         F.transform(windows, lambda w: F.element_at(F.split(w, end, 2), 1)), "\n")
+    return sections if low is None else F.when(text.isNull() | _contains(low, MUST_WORDS), sections).otherwise("")
 
 
 def weekly_hours(text: Column, full_time: float = 40.0, low_text: Column | None = None) -> Column:
     """P20: struct(lo, hi, label) of the first form that is stated, null when none is."""
 
-    def groups(pattern: str, n: int) -> Column:
+    def groups(source: Column, pattern: str, n: int) -> Column:
         """The whole hit and its groups, null without a hit."""
-        return F.array(*[blank_to_null(F.regexp_extract(text, FLAGS + pattern, i)) for i in range(n + 1)])
+        return F.array(*[blank_to_null(F.regexp_extract(source, pattern, i)) for i in range(n + 1)])
 
     def struct(lo: Column, hi: Column, label: Column) -> Column:
         return F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"),
                         label.cast("string").alias("label"))
 
-    def form(pattern: str, n: int, build) -> Column:
-        return let(groups(pattern, n), lambda g: F.when(F.get(g, F.lit(1)).isNotNull(), build(
+    def form(source: Column, pattern: str, n: int, build) -> Column:
+        return let(groups(source, pattern, n), lambda g: F.when(F.get(g, F.lit(1)).isNotNull(), build(
             *[F.get(g, F.lit(i)) for i in range(n + 1)])))
 
     def days(hit: Column, first: Column, last: Column) -> Column:
@@ -186,14 +232,15 @@ def weekly_hours(text: Column, full_time: float = 40.0, low_text: Column | None
 
     def first_form(low: Column) -> Column:
         # Each form needs its key word, so the cheap test spares most texts the patterns.
-        weekly = F.coalesce(
-            form(HOURS_RANGE, 2, lambda _, a, b: struct(a, b, none)),
-            form(HOURS, 1, lambda _, a: struct(a, a, none)), form(DAYS, 2, days))
+        found = F.array_join(F.regexp_extract_all(text, F.lit(FLAGS + WEEKLY), F.lit(0)), "\n")
+        weekly = let(found, lambda hits: F.coalesce(
+            form(hits, FLAGS + HOURS_RANGE, 2, lambda _, a, b: struct(a, b, none)),
+            form(hits, FLAGS + HOURS, 1, lambda _, a: struct(a, a, none)), form(hits, FLAGS + DAYS, 2, days)))
         whole = struct(F.lit(full_time), F.lit(full_time), F.lit("Vollzeit"))
         return F.coalesce(
             F.when(low.contains("woche"), weekly),
-            F.when(low.contains("auslastung"), form(PERCENT, 1, percent)),
-            F.when((low.contains("vollzeit") | low.contains("full")) & text.rlike(FLAGS + FULL_TIME), whole))
+            F.when(low.contains("auslastung"), form(_from_first(low, ["auslastung"]), "(?U)" + PERCENT, 1, percent)),
+            F.when((low.contains("vollzeit") | low.contains("full")) & low.rlike("(?U)" + FULL_TIME), whole))
 
     return first_form(low_text) if low_text is not None else let(search_form(text), first_form)
 
@@ -207,7 +254,10 @@ def _general(number: Column) -> Column:
 def workload(text: Column, low: float = 20, high: float = 40, full_time: float = 40,
              low_text: Column | None = None) -> Column:
     """P20 as a condition: struct(status, value, note).  ``low_text`` is the search form, if at hand."""
-    part_time = text.rlike(FLAGS + PART_TIME)  # read only when no hours are stated
+    if low_text is None:
+        return let(search_form(text), lambda found: workload(text, low, high, full_time, found))
+    # Read only when no hours are stated.
+    part_time = (low_text.contains("teilzeit") | low_text.contains("part")) & low_text.rlike("(?U)" + PART_TIME)
 
     def judge(hours: Column) -> Column:
         lo, hi, label = hours["lo"], hours["hi"], hours["label"]
@@ -227,9 +277,10 @@ def workload(text: Column, low: float = 20, high: float = 40, full_time: float =
     return let(weekly_hours(text, full_time, low_text), judge)
 
 
-def remote_share(text: Column) -> Column:
+def remote_share(text: Column, low: Column | None = None) -> Column:
     """The stated percentage, or null."""
-    return blank_to_null(F.regexp_extract(text, FLAGS + REMOTE_SHARE, 1)).cast("int")
+    return _on_low(text, low, lambda t: F.when(t.contains("remote") & t.contains("%"), blank_to_null(
+        F.regexp_extract(t, "(?U)" + REMOTE_SHARE, 1)).cast("int")))
 
 
 def _segment_dates(segment: Column, today: dt.date) -> Column:
@@ -260,14 +311,14 @@ def start_date(text: Column, today: dt.date, low_text: Column | None = None) ->
     the search form, so no pattern has to fold case.
     """
     def stated(low: Column) -> Column:
-        return F.when(low.contains("zeit") | low.contains("start") | low.contains("beginn"),
-                      _first_start(low, today))
+        return let(_from_first(low, START_STEMS, START_PREFIX), lambda labelled: F.when(
+            labelled.isNotNull(), _first_start(labelled, today)))
 
     return stated(low_text) if low_text is not None else let(search_form(text), stated)
 
 
 def _first_start(low: Column, today: dt.date) -> Column:
-    pattern = "(?Ud)" + START_LABEL.lower()
+    pattern = "(?Ud)" + START_LABEL
     segments = F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)), lambda hit: F.struct(
         F.regexp_extract(hit, pattern, 1).alias("label"), F.regexp_extract(hit, pattern, 2).alias("segment")))
     parsed = F.transform(segments, lambda z: F.struct(

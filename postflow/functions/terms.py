@@ -14,9 +14,12 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from .text import let
+
 # --- Fixed values: the characters that make a word (of a search form), and those that
 # --- may stand between the parts of a term -----------------------------------
 WORD = "0-9a-zäöüß"
+JOINED = "ſıİ"  # only case folding joins these letters to s, i, i
 GAP = r"(?U:[\s\x1c-\x1f\-]*)"
 
 
@@ -26,12 +29,13 @@ def _escape(part: str) -> str:
 
 @dataclass(frozen=True)
 class Term:
-    """One compiled rule term: ``pattern`` decides, ``needle`` only prunes."""
+    """One compiled rule term: ``pattern`` decides, ``needle`` only prunes, ``plain`` (the term between spaces) only confirms."""
 
     term: str
     pattern: str
     needle: str
     context: tuple["Term", ...] = ()
+    plain: str = ""
 
 
 def compile_term(entry) -> Term | None:
@@ -45,8 +49,11 @@ def compile_term(entry) -> Term | None:
     if not parts:
         return None
     tail = "" if raw.endswith("*") else f"(?![{WORD}])"
-    pattern = f"(?<![{WORD}])" + GAP.join(_escape(p.lower()) for p in parts) + tail
-    return Term(raw, pattern, max(parts, key=len).lower(), tuple(context))
+    # The letters come first and look back at the word start, so a text is searched for the letters.
+    first, *others = [_escape(p.lower()) for p in parts]
+    pattern = GAP.join([f"{first}(?<![{WORD}]{first})", *others]) + tail
+    plain = " " + " ".join(parts).lower() + ("" if raw.endswith("*") else " ")
+    return Term(raw, pattern, max(parts, key=len).lower(), tuple(context), plain)
 
 
 def compile_terms(entries) -> list[Term]:
@@ -57,19 +64,26 @@ def term_pattern(term: Column) -> Column:
     """P15 as a column, for rule tables that are built in Spark."""
     core = F.lower(F.trim(F.regexp_replace(F.trim(term), r"\*+\z", "")))
     parts = F.filter(F.split(core, r"[\s\-]+"), lambda p: p != "")
-    body = F.array_join(F.transform(parts, lambda p: F.regexp_replace(p, rf"([^{WORD}_])", r"\\$1")), GAP)
+    escaped = F.transform(parts, lambda p: F.regexp_replace(p, rf"([^{WORD}_])", r"\\$1"))
+    body = F.array_join(F.transform(escaped, lambda p, i: F.when(i > 0, p).otherwise(
+        F.concat(p, F.lit(f"(?<![{WORD}]"), p, F.lit(")")))), GAP)
     tail = F.when(F.trim(term).endswith("*"), "").otherwise(f"(?![{WORD}])")
-    return F.when(F.size(parts) > 0, F.concat(F.lit(f"(?<![{WORD}])"), body, tail))
+    return F.when(F.size(parts) > 0, F.concat(body, tail))
 
 
 def search_form(text: Column) -> Column:
     """Lower case; the letters that only case folding joins to ASCII are mapped too."""
-    return F.lower(F.translate(text, "ſıİK", "siik"))
+    def low(t: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [t.contains(c) for c in JOINED])
+        return F.lower(F.when(odd, F.translate(t, JOINED, "sii")).otherwise(t))  # translating is slow and seldom needed
+
+    return let(text, low)
 
 
 def hits(term: Term, low: Column) -> Column:
-    """True when the term occurs.  The substring test is cheap and runs first."""
-    found = low.contains(term.needle) & low.rlike(term.pattern)
+    """True when the term occurs.  The substring tests are cheap and run first."""
+    word = low.rlike(term.pattern)
+    found = low.contains(term.needle) & (low.contains(term.plain) | word if term.plain else word)
     if term.context:
         found = found & reduce(lambda a, b: a | b, [hits(c, low) for c in term.context])
     return found

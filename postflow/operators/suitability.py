@@ -54,7 +54,7 @@ def _condition(status: Column, value: Column, note: Column) -> Column:
 def work_mode_condition(cfg: dict, text: str) -> Column:
     """P22 and the term lists of the work-place condition."""
     facts = F.struct(_matched(cfg.get("onsite_only"), text).alias("onsite"),
-                     P.remote_share(F.col(text)).alias("share"))
+                     P.remote_share(F.col(text), F.col(text + "_low")).alias("share"))
     return let(facts, lambda v: _work_mode_result(v["onsite"], v["share"], cfg, text))
 
 
@@ -102,7 +102,7 @@ def _texts(df: DataFrame) -> DataFrame:
         df = df.withColumn("_cond_low", T.search_form(F.col("_cond")))
     else:
         df = df.withColumns({"_cond": F.col("_text"), "_cond_low": F.col("_text_low")})
-    df = df.withColumn("_must", P.must_sections(F.col("_body")))
+    df = df.withColumn("_must", P.must_sections(F.col("_body"), F.col("_text_low")))
     return df.withColumns({f"{c}_low": T.search_form(F.col(c)) for c in ("_title", "_must")})
 
 
