@@ -50,7 +50,7 @@ DAILY_UNIT = _AMOUNT + _DAY
 UNITS = f"{_AMOUNT}(?:{_HOUR}|{_DAY})"
 
 # Headings start a line or follow two asterisks; the text is read behind a line end.
-MUST_WORDS = ["must", "muss", "zwingend erforderlich", "voraussetzungen", "anforderungen", "profil", "talente",
+MUST_WORDS = ["must", "muss", "zwingend", "voraussetzungen", "anforderungen", "profil", "talente",
               "requirements", "qualifikation"]
 MUST_START = (
     r"[\n*](?:(?<=\n)|(?<=\*)\*)[ \t]*(?:ihr |dein |deine )?"
@@ -69,10 +69,12 @@ HOURS = rf"(\d{{1,2}})\s*{_HOURS}\s*{_PER_WEEK}"
 DAYS = rf"(\d)(?:\s*(?:-|–|bis)\s*(\d))?\s*Tage\s*{_PER_WEEK}"
 #: Every hit of the three forms lies in one hit of this.
 WEEKLY = rf"\d{{1,2}}\s*+(?:(?:-|–|bis)\s*+\d{{1,2}}\s*+)?(?:{_HOURS}|Tage)\s*{_PER_WEEK}"
+#: A hit without blanks is at most a quarter as long.
+WEEKLY_CHARS = 100
 # These run on the search form.
 PERCENT = r"auslastung\W{0,8}(\d{2,3})\s*%"
-FULL_TIME = r"\b(vollzeit|full[ -]?time)\b"
-PART_TIME = r"\b(teilzeit|part[ -]?time)\b"
+FULL_TIME = r"[vf](?:(?<=\bv)ollzeit|(?<=\bf)ull[ -]?time)\b"
+PART_TIME = r"[tp](?:(?<=\bt)eilzeit|(?<=\bp)art[ -]?time)\b"
 REMOTE_SHARE = r"(\d{1,3})\s*%\s*remote"
 
 MONTHS = {
@@ -116,10 +118,43 @@ def _contains(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
 
 
+def _tail(text: Column, needle: str) -> Column:
+    """The text from its first needle (four letters or more) on; this search skips, substring functions try every place."""
+    return F.regexp_extract(text, f"(?s){needle}.*", 0)
+
+
+def _from_byte(text: Column, start: Column) -> Column:
+    """The text behind its first ``start`` bytes: counting characters would take longer than finding a needle."""
+    size = F.octet_length(text)
+    return F.substr(text.cast("binary"), F.greatest(F.lit(0), start) + 1, size).cast("string")
+
+
+def _first_byte(text: Column, needles: list[str], words: Column | None = None) -> Column:
+    """The bytes ahead of the first needle; all bytes without one.
+
+    ``words`` may be the words of the text that begin with a needle, if only such words matter.
+    """
+    return F.octet_length(text) - F.greatest(*[F.when(
+        text.contains(n) if words is None else words.contains(f" {n}"), F.octet_length(_tail(text, n))) for n in needles], F.lit(0))
+
+
 def _from_first(text: Column, needles: list[str], before: int = 0) -> Column:
-    """The text from ``before`` characters ahead of its first needle on, null without a needle."""
-    first = F.least(*[F.when(text.contains(n), F.instr(text, n)) for n in needles], F.lit(None).cast("int"))
-    return F.when(_contains(text, needles), F.substr(text, F.greatest(F.lit(1), first - before)))
+    """The text from ``before`` bytes ahead of its first needle on, null without a needle.
+
+    ``before`` may cut a letter outside ASCII; a pattern must not look at what is left of it.
+    """
+    return let(_first_byte(text, needles), lambda first: F.when(
+        first < F.octet_length(text), _from_byte(text, first - before)))
+
+
+def _from_line_of_first(text: Column, needles: list[str], words: Column | None = None) -> Column:
+    """The text from the line of its first needle on, null without a needle."""
+    def cut(first: Column) -> Column:
+        head = F.substr(text.cast("binary"), F.lit(1), first).cast("string")
+        return F.when(first < F.octet_length(text), _from_byte(
+            text, first - F.octet_length(F.substring_index(head, "\n", -1))))
+
+    return let(_first_byte(text, needles, words), cut)
 
 
 def _amount(low: Column, pattern: str) -> Column:
@@ -192,20 +227,41 @@ def languages(text: Column, low: Column | None = None) -> Column:
         F.when(named(t, *names), F.lit(code)) for code, names in LANGUAGES.items()])))
 
 
-def must_sections(text: Column, low: Column | None = None) -> Column:
+def must_sections(text: Column, low: Column | None = None, folded: bool = False,
+                  words: Column | None = None) -> Column:
     """Up to 2,500 characters after each requirement heading, cut at an end marker.
 
     The look-ahead captures the text after a heading without consuming it, so windows
-    may overlap, and no row leaves the JVM.  ``low`` may be a search form that holds that of the text.
+    may overlap, and no row leaves the JVM.  ``low`` may be a search form that holds that of the text;
+    ``folded`` says that ``text`` is a search form itself, which the patterns read without folding case,
+    and ``words`` may hold all its words that begin with ``MUST_WORDS`` (a heading's word starts a word).
     """
-    start = f"(?iUd){MUST_START}(?=((?s:.{{0,{MUST_CHARS}}})))"
-    windows = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(start), F.lit(2))
-    end = f"(?iUd){MUST_END}"
-    sections = F.array_join(
-        F.transform(windows, lambda w: F.element_at(F.split(w, end, 2), 1)), "\n")
+    if folded:  # no line end parts a heading from its word, so nothing ahead of the first word's line matters
+        return F.when(text.isNotNull(), F.coalesce(let(
+            _from_line_of_first(text, MUST_WORDS, words), lambda t: _must_sections(t, "(?Ud)")), F.lit("")))
+    sections = _must_sections(text, "(?iUd)")
     return sections if low is None else F.when(text.isNull() | _contains(low, MUST_WORDS), sections).otherwise("")
 
 
+def _must_sections(text: Column, flags: str) -> Column:
+    start = f"{flags}{MUST_START}(?=((?s:.{{0,{MUST_CHARS}}})))"
+    windows = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(start), F.lit(2))
+    # Spark keeps a compiled pattern here; a split would compile it for every window.
+    end = f"{flags}{MUST_END}(?s:.*)"
+    return F.array_join(F.transform(windows, lambda w: F.regexp_replace(w, end, "")), "\n")
+
+
+def _near_first_week(text: Column, rest: Column) -> Column:
+    """The last ``rest`` characters of a text, whose first "woche" follows ``WEEKLY_CHARS`` of them.
+
+    A hit ends with the word and has few characters but blanks, so one that begins still earlier
+    fills these with blanks; such a text is read whole.
+    """
+    before = F.substring(text, -rest, F.lit(WEEKLY_CHARS))
+    blank = F.length(F.regexp_replace(before, r"(?U)\s+", "")) < WEEKLY_CHARS // 4
+    return F.when(blank, text).otherwise(F.right(text, rest))
+
+
 def weekly_hours(text: Column, full_time: float = 40.0, low_text: Column | None = None) -> Column:
     """P20: struct(lo, hi, label) of the first form that is stated, null when none is."""
 
@@ -232,7 +288,8 @@ def weekly_hours(text: Column, full_time: float = 40.0, low_text: Column | None
 
     def first_form(low: Column) -> Column:
         # Each form needs its key word, so the cheap test spares most texts the patterns.
-        found = F.array_join(F.regexp_extract_all(text, F.lit(FLAGS + WEEKLY), F.lit(0)), "\n")
+        near = let(F.length(_tail(low, "woche")), lambda rest: _near_first_week(text, rest + WEEKLY_CHARS))
+        found = F.array_join(F.regexp_extract_all(near, F.lit(FLAGS + WEEKLY), F.lit(0)), "\n")
         weekly = let(found, lambda hits: F.coalesce(
             form(hits, FLAGS + HOURS_RANGE, 2, lambda _, a, b: struct(a, b, none)),
             form(hits, FLAGS + HOURS, 1, lambda _, a: struct(a, a, none)), form(hits, FLAGS + DAYS, 2, days)))
@@ -279,7 +336,7 @@ def workload(text: Column, low: float = 20, high: float = 40, full_time: float =
 
 def remote_share(text: Column, low: Column | None = None) -> Column:
     """The stated percentage, or null."""
-    return _on_low(text, low, lambda t: F.when(t.contains("remote") & t.contains("%"), blank_to_null(
+    return _on_low(text, low, lambda t: F.when(t.contains("%") & t.contains("remote"), blank_to_null(
         F.regexp_extract(t, "(?U)" + REMOTE_SHARE, 1)).cast("int")))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, functions as F
 
@@ -19,6 +20,7 @@ from .text import let
 # --- Fixed values: the characters that make a word (of a search form), and those that
 # --- may stand between the parts of a term -----------------------------------
 WORD = "0-9a-zäöüß"
+LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzäöüß"  # the same without ranges, which Java searches ten times faster
 JOINED = "ſıİ"  # only case folding joins these letters to s, i, i
 GAP = r"(?U:[\s\x1c-\x1f\-]*)"
 
@@ -29,13 +31,17 @@ def _escape(part: str) -> str:
 
 @dataclass(frozen=True)
 class Term:
-    """One compiled rule term: ``pattern`` decides, ``needle`` only prunes, ``plain`` (the term between spaces) only confirms."""
+    """One compiled rule term: ``pattern`` decides, ``needle`` only prunes, ``plain`` (the term between spaces) only confirms.
+
+    ``head`` is the first part, if word characters make it; a hit then starts a word with it.
+    """
 
     term: str
     pattern: str
     needle: str
     context: tuple["Term", ...] = ()
     plain: str = ""
+    head: str = ""
 
 
 def compile_term(entry) -> Term | None:
@@ -53,7 +59,8 @@ def compile_term(entry) -> Term | None:
     first, *others = [_escape(p.lower()) for p in parts]
     pattern = GAP.join([f"{first}(?<![{WORD}]{first})", *others]) + tail
     plain = " " + " ".join(parts).lower() + ("" if raw.endswith("*") else " ")
-    return Term(raw, pattern, max(parts, key=len).lower(), tuple(context), plain)
+    head = parts[0].lower() if re.fullmatch(f"[{WORD}]+", parts[0].lower()) else ""
+    return Term(raw, pattern, max(parts, key=len).lower(), tuple(context), plain, head)
 
 
 def compile_terms(entries) -> list[Term]:
@@ -80,20 +87,40 @@ def search_form(text: Column) -> Column:
     return let(text, low)
 
 
-def hits(term: Term, low: Column) -> Column:
-    """True when the term occurs.  The substring tests are cheap and run first."""
+def term_words(terms: list[Term], low: Column, others: list[str] | None = None) -> Column:
+    """The words of a search form that begin with the head of a term or one of ``others``, each between spaces.
+
+    One search of the text for all terms.  A term of one part is then a word of this short list, and a
+    longer one can only occur where its head is in it.
+    """
+    heads = {h for t in terms for h in (t.head, *[c.head for c in t.context]) if h} | set(others or [])
+    heads = sorted(h for h in heads if not any(h.startswith(o) for o in heads - {h}))
+    if not heads:
+        return F.when(low.isNotNull(), F.lit(""))
+    tails = {c: "|".join(h[1:] for h in group) for c, group in groupby(heads, lambda h: h[0])}
+    begins = "|".join(f"{c}(?:{tail})" for c, tail in tails.items())
+    pattern = f"[^{LETTERS}](?=[{''.join(tails)}])((?:{begins})[{LETTERS}]*+)"
+    found = F.regexp_extract_all(F.concat(F.lit(" "), low), F.lit(pattern), F.lit(1))
+    return F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" "))
+
+
+def hits(term: Term, low: Column, words: Column | None = None) -> Column:
+    """True when the term occurs.  The substring tests are cheap and run first; ``words`` may be :func:`term_words`."""
     word = low.rlike(term.pattern)
     found = low.contains(term.needle) & (low.contains(term.plain) | word if term.plain else word)
+    if words is not None and term.head:
+        single = term.plain.strip() == term.head
+        found = words.contains(term.plain) if single else words.contains(f" {term.head}") & found
     if term.context:
-        found = found & reduce(lambda a, b: a | b, [hits(c, low) for c in term.context])
+        found = found & reduce(lambda a, b: a | b, [hits(c, low, words) for c in term.context])
     return found
 
 
-def matched(terms: list[Term], low: Column) -> Column:
+def matched(terms: list[Term], low: Column, words: Column | None = None) -> Column:
     """The distinct matched terms in rule order; ``low`` is a search form."""
     if not terms:
         return F.expr("cast(array() as array<string>)")
-    return F.array_compact(F.array(*[F.when(hits(t, low), F.lit(t.term)) for t in terms]))
+    return F.array_compact(F.array(*[F.when(hits(t, low, words), F.lit(t.term)) for t in terms]))
 
 
 def first_match(terms: list[Term], low: Column) -> Column:

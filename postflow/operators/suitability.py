@@ -42,8 +42,8 @@ def _signed(points: Column) -> Column:
     return F.format_string("%+d", points.cast("int"))
 
 
-def _matched(entries, text: str) -> Column:
-    return T.matched(T.compile_terms(entries), F.col(text + "_low"))
+def _matched(entries, text: str, words: str | None = None) -> Column:
+    return T.matched(T.compile_terms(entries), F.col(text + "_low"), F.col(words) if words else None)
 
 
 def _condition(status: Column, value: Column, note: Column) -> Column:
@@ -51,14 +51,14 @@ def _condition(status: Column, value: Column, note: Column) -> Column:
                     note.cast("string").alias("note"))
 
 
-def work_mode_condition(cfg: dict, text: str) -> Column:
-    """P22 and the term lists of the work-place condition."""
-    facts = F.struct(_matched(cfg.get("onsite_only"), text).alias("onsite"),
+def work_mode_condition(cfg: dict, text: str, words: str | None = None) -> Column:
+    """P22 and the term lists of the work-place condition; ``words`` names the column of its :func:`terms.term_words`."""
+    facts = F.struct(_matched(cfg.get("onsite_only"), text, words).alias("onsite"),
                      P.remote_share(F.col(text), F.col(text + "_low")).alias("share"))
-    return let(facts, lambda v: _work_mode_result(v["onsite"], v["share"], cfg, text))
+    return let(facts, lambda v: _work_mode_result(v["onsite"], v["share"], cfg, text, words))
 
 
-def _work_mode_result(onsite: Column, share: Column, cfg: dict, text: str) -> Column:
+def _work_mode_result(onsite: Column, share: Column, cfg: dict, text: str, words: str | None) -> Column:
     none = F.lit(None).cast("string")
     return F.when(F.size(onsite) > 0, _condition(
         F.lit(P.NOT_OK), F.lit("vollständig vor Ort"), F.concat(F.lit("Angabe: "), F.get(onsite, F.lit(0))))) \
@@ -66,8 +66,8 @@ def _work_mode_result(onsite: Column, share: Column, cfg: dict, text: str) -> Co
         .when(share <= 0, _condition(F.lit(P.NOT_OK), F.lit("0 % remote"), none)) \
         .when(share.isNotNull(), _condition(
             F.lit(P.PARTIAL), F.concat(share.cast("string"), F.lit(" % remote")), none)) \
-        .when(F.size(_matched(cfg.get("hybrid"), text)) > 0, _condition(F.lit(P.PARTIAL), F.lit("hybrid"), none)) \
-        .when(F.size(_matched(cfg.get("remote"), text)) > 0, _condition(F.lit(P.OK), F.lit("remote"), none)) \
+        .when(F.size(_matched(cfg.get("hybrid"), text, words)) > 0, _condition(F.lit(P.PARTIAL), F.lit("hybrid"), none)) \
+        .when(F.size(_matched(cfg.get("remote"), text, words)) > 0, _condition(F.lit(P.OK), F.lit("remote"), none)) \
         .otherwise(_condition(F.lit(P.UNKNOWN), none, F.lit("Kein Arbeitsort angegeben")))
 
 
@@ -89,28 +89,44 @@ def _start_result(found: Column, available_from: dt.date | None) -> Column:
         .otherwise(_condition(F.lit(P.OK), found["shown"], F.lit(f"Verfügbar ab {day}")))
 
 
-def _texts(df: DataFrame) -> DataFrame:
+def _term_lists(rules: dict) -> tuple[list, list]:
+    """The terms searched in the whole text, and those of the work-place condition."""
+    common, work = rules.get("common") or {}, (rules.get("conditions") or {}).get("work_mode") or {}
+    lists = [(cfg or {}).get(c) for cfg in (rules.get("groups") or {}).values() for c in CATEGORIES]
+    lists += [(common.get("role") or {}).get("terms")]
+    lists += [rule.get(k) for rule in common.get("competency_bonuses") or [] for k in ("requires", "skills")]
+    return ([t for entries in lists for t in T.compile_terms(entries)],
+            [t for k in ("onsite_only", "hybrid", "remote") for t in T.compile_terms(work.get(k))])
+
+
+def _texts(df: DataFrame, rules: dict) -> DataFrame:
     body = full_text(*[F.col(c) for c in TEXT_FIELDS[1:] if c in df.columns], sep="\n")
-    tags = [F.col(c) for c in TAG_FIELDS if c in df.columns]
-    df = df.withColumn("_body", body).withColumn("_title", F.coalesce("title", F.lit("")))
-    df = df.withColumn("_text", full_text(F.col("_title"), F.col("_body"), tag_text(*tags), sep="\n"))
-    df = df.withColumn("_text_low", T.search_form(F.col("_text")))
+    tags = tag_text(*[F.col(c) for c in TAG_FIELDS if c in df.columns])
+    df = df.withColumns({"_body": body, "_title": F.coalesce("title", F.lit("")), "_tags": tags})
+    # Line ends part the fields, so the search form of the text is that of its parts.
+    df = df.withColumns({f"{c}_low": T.search_form(F.col(c)) for c in ("_body", "_title", "_tags")})
+    df = df.withColumns({f"_text{low}": full_text(*[F.col(c + low) for c in ("_title", "_body", "_tags")], sep="\n")
+                         for low in ("", "_low")})
+    terms, work_terms = _term_lists(rules)
     if "details" in df.columns:
         kept = F.filter(F.map_entries("details"), lambda e: e["value"].isNotNull() & (e["value"] != ""))
         details = F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), " ; ")
         df = df.withColumn("_cond", F.concat_ws("\n", blank_to_null(F.col("_text")), blank_to_null(details)))
         df = df.withColumn("_cond_low", T.search_form(F.col("_cond")))
+        df = df.withColumns({"_text_words": T.term_words(terms, F.col("_text_low"), P.MUST_WORDS),
+                             "_cond_words": T.term_words(work_terms, F.col("_cond_low"))})
     else:
-        df = df.withColumns({"_cond": F.col("_text"), "_cond_low": F.col("_text_low")})
-    df = df.withColumn("_must", P.must_sections(F.col("_body"), F.col("_text_low")))
-    return df.withColumns({f"{c}_low": T.search_form(F.col(c)) for c in ("_title", "_must")})
+        df = df.withColumns({"_cond": F.col("_text"), "_cond_low": F.col("_text_low"),
+                             "_text_words": T.term_words(terms + work_terms, F.col("_text_low"), P.MUST_WORDS)})
+        df = df.withColumn("_cond_words", F.col("_text_words"))
+    return df.withColumn("_must_low", P.must_sections(F.col("_body_low"), folded=True, words=F.col("_text_words")))
 
 
 def _groups(df: DataFrame, rules: dict) -> DataFrame:
     """J13 + A10: points and reasons of every group, in one projection per step."""
     weights, caps = rules.get("weights") or {}, rules.get("caps") or {}
     groups = rules.get("groups") or {}
-    df = df.withColumns({f"_m_{i}_{c}": _matched((cfg or {}).get(c), "_text")
+    df = df.withColumns({f"_m_{i}_{c}": _matched((cfg or {}).get(c), "_text", "_text_words")
                          for i, cfg in enumerate(groups.values()) for c in CATEGORIES})
     structs = []
     for i, gid in enumerate(groups):
@@ -137,7 +153,7 @@ def score(df: DataFrame, rules: dict, today: dt.date, available_from: dt.date |
     keep = df.columns
     common, conditions = rules.get("common") or {}, rules.get("conditions") or {}
     thresholds = rules.get("thresholds") or {}
-    df = _groups(_texts(df), rules)
+    df = _groups(_texts(df, rules), rules)
     reasons, technical = [F.coalesce(F.col("_best.reasons"), F.expr("cast(array() as array<string>)"))], \
         F.coalesce(F.col("_best.score"), F.lit(0))
     none = F.lit(None).cast("string")
@@ -146,7 +162,7 @@ def score(df: DataFrame, rules: dict, today: dt.date, available_from: dt.date |
         return F.array_compact(F.array(F.when(flag, text)))
 
     role = common.get("role") or {}
-    df = df.withColumn("_role", _matched(role.get("terms"), "_text"))
+    df = df.withColumn("_role", _matched(role.get("terms"), "_text", "_text_words"))
     role_points = int(role.get("points", 0))
     technical = technical + F.when(F.size("_role") > 0, role_points).otherwise(0)
     reasons.append(one(F.size("_role") > 0, F.concat(
@@ -154,8 +170,8 @@ def score(df: DataFrame, rules: dict, today: dt.date, available_from: dt.date |
         F.lit(f" ({role_points:+d})"))))
 
     for i, rule in enumerate(common.get("competency_bonuses") or []):  # A22
-        df = df.withColumns({f"_need{i}": _matched(rule.get("requires"), "_text"),
-                             f"_skill{i}": _matched(rule.get("skills"), "_text")})
+        df = df.withColumns({f"_need{i}": _matched(rule.get("requires"), "_text", "_text_words"),
+                             f"_skill{i}": _matched(rule.get("skills"), "_text", "_text_words")})
         has = (F.size(f"_need{i}") > 0) & (F.size(f"_skill{i}") > 0)
         points = F.least(F.lit(int(rule.get("max_points", 10))),
                          F.size(f"_skill{i}") * int(rule.get("points_per_skill", 5)))
@@ -207,7 +223,7 @@ def score(df: DataFrame, rules: dict, today: dt.date, available_from: dt.date |
     df = df.withColumns({
         "_technical": technical,
         "_reasons": F.concat("_reasons", F.array_compact(F.array("_cap.reason", "_reject"))),
-        "_work": work_mode_condition(conditions.get("work_mode") or {}, "_cond"),
+        "_work": work_mode_condition(conditions.get("work_mode") or {}, "_cond", "_cond_words"),
         "_load": P.workload(F.col("_cond"), low_text=F.col("_cond_low"), **_workload_bounds(conditions.get("workload") or {})),
         "_start": start_condition(F.col("_cond"), today, available_from, F.col("_cond_low")),
     })
