@@ -194,7 +194,7 @@ w AS (SELECT p_partkey, trim(term) AS t, list_filter(regexp_split_to_array(lower
 SELECT p_partkey, '(?<![{V.WORD}])' || array_to_string(list_transform(parts, lambda x: regexp_replace(x, '([^{V.WORD}_])', '\\\\\\1', 'g')), {text(V.GAP)})
  || CASE WHEN suffix(t, '*') THEN '' ELSE '(?![{V.WORD}])' END AS pattern FROM w""")
 def p15(spark, d):
-    return view(spark, d, "part", P15_VIEW).select("p_partkey", terms.term_pattern(F.col("term")).alias("pattern"))
+    return view(spark, d, "part", P15_VIEW).select("p_partkey", terms.term_pattern(F.col("term"), first="start").alias("pattern"))
 
 
 @query("p16_tag_text", "SELECT doc_id, concat_ws(' ; ', lang, nullif(CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END, '')) AS tags FROM documents")

@@ -67,13 +67,20 @@ def compile_terms(entries) -> list[Term]:
     return [t for t in map(compile_term, entries or []) if t]
 
 
-def term_pattern(term: Column) -> Column:
-    """P15 as a column, for rule tables that are built in Spark."""
+def term_pattern(term: Column, first: str = "letters") -> Column:
+    """P15 as a column, for rule tables that are built in Spark.
+
+    Both forms have the same hits.  With ``first="letters"`` it is the one that texts are searched with, as in
+    :func:`compile_term`; with ``first="start"`` the word start comes first, as P15 writes a pattern.
+    """
     core = F.lower(F.trim(F.regexp_replace(F.trim(term), r"\*+\z", "")))
     parts = F.filter(F.split(core, r"[\s\-]+"), lambda p: p != "")
     escaped = F.transform(parts, lambda p: F.regexp_replace(p, rf"([^{WORD}_])", r"\\$1"))
-    body = F.array_join(F.transform(escaped, lambda p, i: F.when(i > 0, p).otherwise(
-        F.concat(p, F.lit(f"(?<![{WORD}]"), p, F.lit(")")))), GAP)
+    if first == "start":
+        body = F.concat(F.lit(f"(?<![{WORD}])"), F.array_join(escaped, GAP))
+    else:
+        body = F.array_join(F.transform(escaped, lambda p, i: F.when(i > 0, p).otherwise(
+            F.concat(p, F.lit(f"(?<![{WORD}]"), p, F.lit(")")))), GAP)
     tail = F.when(F.trim(term).endswith("*"), "").otherwise(f"(?![{WORD}])")
     return F.when(F.size(parts) > 0, F.concat(body, tail))
 
