@@ -158,7 +158,7 @@ def s13(spark, d):
     from ..functions.text import raw_tokens
     words = table(spark, d, "documents").select("lang", F.explode(F.array_distinct(raw_tokens(F.col("text")))).alias("term"))
     return words.groupBy(F.col("lang").alias("group_id"), "term").agg(F.count("*").alias("df"))\
-        .withColumn("pattern", terms.term_pattern(F.col("term")))
+        .withColumn("pattern", terms.term_pattern(F.col("term"), first="start"))
 
 
 FILES = {"path": "'base/' || " + pick("o_orderkey", 5, ["'projects/p_' || strftime_ymd || '_101500.md'", "'logs/run.log'", "'temp/x.bin'", "'data/a_backup.db'", "'projects/q.md'"]),
