@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import urls
 from ..functions.text import blank_to_null, let, rest, strip
 from ..model import SCHEMA_VERSION, SOURCE, STATE_CHANGE
+from .folders import read_files
 
 # --- Fixed values: the header keys the record model knows --------------------
 KNOWN_KEYS = [
@@ -23,9 +24,8 @@ _EMPTY_STRINGS = "cast(array() as array<string>)"
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, read as bytes: the text reader copies its settings for every file."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.col("_metadata.file_path").alias("path"), F.col("content").cast("string").alias("content"))
+    """One row per file, read as bytes; neither its name nor its text passes the driver."""
+    return read_files(spark, path).select("path", F.col("content").cast("string").alias("content"))
 
 
 def has_header(content: Column) -> Column:
