@@ -125,7 +125,7 @@ def j5(spark, d):
 @query("j6_unlogged_rejections", "SELECT page_id FROM pages WHERE url NOT LIKE 'https%'")
 def j6(spark, d):
     pages = table(spark, d, "pages").select("page_id", F.lit("a").alias("search_group_id"), F.col("url").alias("provider_url"))
-    return logs.new_rejections(pages, pages.where("provider_url like 'https%'")).select("page_id")
+    return logs.new_rejections(pages, pages.where("provider_url like 'https%'"), F.col("page_id")).select("page_id")
 
 
 @query("j7_cache_lookup", """SELECT d.doc_id AS project_id, coalesce(c.hit, false) AS cache_hit, c.doc_id AS result FROM documents d LEFT JOIN (SELECT text, source, max(doc_id) AS doc_id, true AS hit FROM documents WHERE lang = 'en' GROUP BY text, source) c ON c.text = d.text AND c.source = d.source""")

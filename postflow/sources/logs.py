@@ -19,11 +19,16 @@ def parse_lines(df: DataFrame, line: str, schema: T.StructType) -> DataFrame:
         *[c for c in df.columns if c != line], *[F.col(f"_row.{f.name}") for f in schema.fields])
 
 
-def new_rejections(rejections: DataFrame, logged: DataFrame) -> DataFrame:
-    """One row per (group, URL) not logged yet; rows without URL always pass."""
+def new_rejections(rejections: DataFrame, logged: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row per (group, URL) not logged yet, the first by ``order`` if given; rows without URL always pass."""
     keys = ["search_group_id", "provider_url"]
     has_url = F.coalesce(F.col("provider_url"), F.lit("")) != ""
-    with_url = rejections.where(has_url).dropDuplicates(keys)
+    with_url = rejections.where(has_url)
+    if order is None:
+        with_url = with_url.dropDuplicates(keys)
+    else:
+        rest = F.struct(*[c for c in rejections.columns if c not in keys])
+        with_url = with_url.groupBy(*keys).agg(F.min_by(rest, order).alias("first")).select(*keys, "first.*").select(*rejections.columns)
     known = logged.select(*keys).distinct()
     return with_url.join(known, keys, "left_anti").unionByName(rejections.where(~has_url))
 
