@@ -41,7 +41,9 @@ def one_file_each(df: DataFrame, key: str, value: str, path: str) -> str:
 
     shared, folder_ = fs.FileSystem.from_uri(root)
     shared.create_dir(folder_, recursive=True)  # without rows there is no task
-    named = df.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v")).repartition("k")
+    # Written where the rows are: dealing the texts anew would put them on the disk once more.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = df.select(F.col(key).cast("string").alias("k"), F.col(value).alias("v")).coalesce(tasks)
     named.mapInArrow(write, "n long").agg(F.sum("n")).collect()
     return path
 
